@@ -44,3 +44,8 @@ def utf8(column: pa.Array) -> list[bytes]:
     if pa.types.is_large_string(column.type):
         return pc.cast(column, pa.large_binary()).to_pylist()
     return pc.cast(column, pa.binary()).to_pylist()
+
+
+def small_side(table: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if its counted rows are few; a larger one is left to a shuffle join."""
+    return F.broadcast(table) if table.count() <= max_rows else table

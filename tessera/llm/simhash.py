@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, materialize, utf8
+from tessera.llm.common import id_and_text, materialize, small_side, utf8
 
 SEED = 42
 FANOUT = 16
@@ -224,3 +224,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, max_bu
     named = nodes.join(roots, nodes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = made.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their component: those whose id is its smallest; rows with a null id stay.
+
+    Of rows that repeat one id, all stay if that id stays.
+    """
+    marked = near_duplicates(docs, shingle, max_bits, id_col=id_col, text_col=text_col)
+    gone = materialize(marked.filter("doc_id > component_id").select("doc_id").distinct(), "copies")
+    return docs.join(small_side(gone), docs[f"`{id_col}`"].cast("long") == gone["doc_id"], "left_anti").select(docs.columns)
