@@ -79,12 +79,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(x: np.ndarray, gradient, steps: int, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def _descend(x: np.ndarray, gradient, steps: int, rate: float = 0.05, ridge: float = 5e-4) -> tuple[np.ndarray, float]:
     """Adam over weights and bias; ``gradient(z)`` gives the slope of the risk at each row's logit."""
     weights, m, v = np.zeros(x.shape[1] + 1), 0.0, 0.0
     for step in range(1, steps + 1):
         slope = gradient(x @ weights[:-1] + weights[-1])
-        g = np.append(x.T @ slope + 1e-4 * weights[:-1], slope.sum())
+        g = np.append(x.T @ slope + ridge * weights[:-1], slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         weights = weights - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return weights[:-1], weights[-1]
@@ -94,21 +94,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 150) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 200) -> float:
     """The share of positives among the unlabelled rows, from a classifier of positive against unlabelled.
 
-    With odds r(x) of positive against unlabelled, p(x)/p_u(x) = r(x) up to the samples' sizes, and the class prior is the
-    largest share a with a * p(x) <= p_u(x) everywhere; it is read off as the inverse of that ratio where it is highest
-    (the mean of the top tenth of held-out positives), which rests on some region holding positives only.
+    Where only positives lie, the density of the positives over that of the unlabelled rows is one over the class prior.
+    The log ratio is learnt on half of each sample from the shape features alone, and read off as its median over the
+    other half of the positives, most of which lie in such places when good text is not mistaken for bad.
     """
+    positive, unlabelled = positive[:, :SHAPES], unlabelled[:, :SHAPES]
     x = np.vstack([positive[::2], unlabelled[::2]])
     y = np.repeat([1.0, 0.0], [len(positive[::2]), len(unlabelled[::2])])
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    weights, bias = _descend(x, lambda z: share * (_sigmoid(z) - y), steps)
-    ratio = np.sort(np.exp(np.clip(positive[1::2] @ weights + bias, -20, 20)))
-    if not len(ratio):
-        return 0.5
-    return float(np.clip(1 / ratio[-max(1, len(ratio) // 10) :].mean(), 0.05, 0.95))
+    weights, bias = _descend(x, lambda z: share * (_sigmoid(z) - y), steps, ridge=1e-2)
+    held_out = positive[1::2] if len(positive) > 1 else positive
+    return float(np.clip(np.exp(-np.median(held_out @ weights + bias)), 0.05, 0.95))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600) -> Model:
