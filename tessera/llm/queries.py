@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, quality, secrets, simhash, token_files
+from tessera.llm import bpe, decontaminate, neighbours, quality, secrets, simhash, substring_dedup, token_files
 from tessera.llm.common import read_table
 
 
@@ -23,6 +24,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -36,10 +41,38 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_substring_dedup": OP10_SQL}
+
+
+OP10_SQL = """
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d)
+), firsts AS (
+    SELECT s, min(doc_id) AS first_doc FROM windows GROUP BY s
+), gone AS (
+    SELECT DISTINCT doc_id, i + k AS place
+    FROM (SELECT doc_id, i, unnest(generate_series(0, 12)) AS k FROM windows JOIN firsts USING (s) WHERE first_doc < doc_id)
+), words AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d
+), kept AS (
+    SELECT words.doc_id, count(*) AS n_words, count(gone.place) AS n_removed,
+           string_agg(word, ' ' ORDER BY place) FILTER (WHERE gone.place IS NULL) AS left_over
+    FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.place = gone.place
+    GROUP BY words.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
