@@ -170,7 +170,10 @@ class Encoder:
             if self._RUN.search(text):
                 return self._encode([text])[0]
         first, *rest = text.split(" ")
-        pieces = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        return self.joined([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
+
+    def joined(self, pieces: list[str]) -> bytes:
+        """The ids of pieces that are encoded apart, end to end."""
         cache = self.cache
         missing = [p for p in dict.fromkeys(pieces) if p not in cache]
         if missing:
