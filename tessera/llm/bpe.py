@@ -1,20 +1,26 @@
-"""Byte-level BPE in Spark's higher-order functions.
+"""Byte-level BPE with Spark's higher-order functions for the corpus's frequent words.
 
 A document is cut into units, its pieces between single spaces, which byte-level BPE never joins. The units of the corpus
-are counted, and each distinct one of the most frequent (a documented number) is encoded once and kept in a literal table;
-any other unit is encoded where it stands by the same expression, so nothing is dropped and nothing but those counts is
-shuffled. Encoding starts from a unit's bytes and folds over them: each step looks up the ranks of neighbouring pieces in
-the literal rank map and merges the leftmost pair of the least rank. Decoding looks ids up in the literal list of pieces
-and concatenates them.
+are counted, and each distinct one of the most frequent (a documented number) is encoded once by higher-order functions:
+they fold over its bytes, each step looking up the ranks of neighbouring pieces in a literal rank map and merging the
+leftmost pair of the least rank. That bounded table goes to every task. A unit that is not in it is merged in the task, by
+the same rule over the same ranks, since the fold takes some ten times as long for a word and rare words are most of
+the distinct ones. Decoding looks ids up in the list of pieces and concatenates them.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +28,9 @@ from tessera.llm.common import materialize
 
 #: How many frequent units are encoded once and looked up from then on.
 FREQUENT = 60_000
+#: Longer units are not worth a place in that table.
+LONGEST = 64
+CACHED = 250_000
 NO_RANK = (1 << 31) - 1
 
 
@@ -64,10 +73,6 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = f"(?U){pattern}"
         self.ranks = Table({piece.hex().upper(): rank for piece, rank in ranks.items()}, "int")
-        listed = [""] * (max(ranks.values(), default=-1) + 1)
-        for piece, rank in ranks.items():
-            listed[rank] = piece.hex().upper()
-        self.pieces = F.split(F.lit(",".join(listed)), ",")
 
     def _rank(self, left: Column, right: Column) -> Column:
         return F.coalesce(self.ranks.get(F.concat(left, right)), F.lit(NO_RANK))
@@ -108,36 +113,89 @@ class Codec:
         """The ids of a stretch of text, match by match."""
         return F.flatten(F.transform(F.regexp_extract_all(unit, F.lit(self.pattern), F.lit(0)), self.word))
 
-    def units(self, text: Column) -> Column:
-        """Stretches of a text that are encoded apart: its pieces before each single space, or the pattern's matches where
-        white space around a space would change at such a cut."""
-        pieces = F.transform(F.split(text, " "), lambda x, i: F.when(i > 0, F.concat(F.lit(" "), x)).otherwise(x))
-        cut = F.filter(pieces, lambda x: x != "")
-        return F.when(text.rlike(r"(?U)\s (?:\s|\z)"), F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))).otherwise(cut)
 
-    def decoded(self, ids: Column) -> Column:
-        """The bytes that ``ids`` stand for; an unknown id makes them null."""
-        pieces = F.transform(ids, lambda i: F.get(self.pieces, i))
-        return F.when(F.exists(pieces, lambda x: x.isNull()), F.lit(None).cast("binary")).otherwise(F.unhex(F.array_join(pieces, "")))
-
-
-def frequent_units(texts: DataFrame, codec: Codec, at_most: int = FREQUENT) -> Table:
-    """The ids of the corpus's most frequent units, counted over whole texts.
+class Merger:
+    """Units and their ids inside a task: the given table first, then merges over the ranks, kept in a bounded cache."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, table: dict[str, bytes]):
+        self.ranks, self.table = ranks, table
+        self.pattern = regex.compile(pattern)
+        self.cache: dict[str, bytes] = {}
+
+    def _word(self, word: bytes) -> list[int]:
+        """The ids of one match of the pattern: itself, or its bytes with the leftmost pair of the least rank merged until no pair has one."""
+        rank = self.ranks.get
+        whole = rank(word)
+        if whole is not None:
+            return [whole]
+        parts = [word[i : i + 1] for i in range(len(word))]
+        pairs = [rank(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
+        while pairs and (least := min(pairs)) < NO_RANK:
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], NO_RANK)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], NO_RANK)
+        return [self.ranks[p] for p in parts]
+
+    def _unit(self, unit: str) -> bytes:
+        found = self.table.get(unit) or self.cache.get(unit)
+        if found is None:
+            if len(self.cache) > CACHED:
+                self.cache.clear()
+            ids = [i for w in self.pattern.findall(unit) for i in self._word(w.encode("utf-8", "replace"))]
+            found = self.cache[unit] = np.array(ids, "<u4").tobytes()
+        return found
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._unit, units(text))), "<u4")
+
+
+_WHITE_RUN = regex.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
+
+
+def units(text: str) -> list[str]:
+    """Stretches of a text that are encoded apart: its pieces before each single space, or all of it where white space
+    around a space would change at such a cut."""
+    first, *rest = text.split(" ")
+    if ("  " in text or not text.isprintable()) and _WHITE_RUN.search(text):
+        return [text]
+    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+
+
+def frequent_units(texts: DataFrame, codec: Codec, at_most: int = FREQUENT) -> dict[str, bytes]:
+    """The ids, as little-endian unsigned 32-bit integers, of the corpus's most frequent units, counted over whole texts.
 
     The least count is the lowest of a geometric scale (at most 256 steps) that no more than ``at_most`` units reach, so
     no more than that many come to the driver. Each of these distinct units is encoded once, by the fold.
     """
-    counted = texts.select(F.explode(codec.units(F.col("text"))).alias("unit")).groupBy("unit").count()
-    counted = materialize(counted.filter("count > 1").withColumn("step", F.floor(4 * F.log2("count")).cast("int")), "units")
-    steps = sorted(counted.groupBy("step").count().collect(), reverse=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
+
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(x for x in units(text) if len(x) <= LONGEST)
+                if len(counts) > 400_000:
+                    yield flush()
+                    counts.clear()
+        if counts:
+            yield flush()
+
+    counted = texts.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    counted = materialize(counted.filter("n > 1").withColumn("step", F.floor(4 * F.log2("n")).cast("int")), "units")
     least, total = NO_RANK, 0
-    for step, n in steps:
+    for step, n in sorted(counted.groupBy("step").count().collect(), reverse=True):
         total += n
         if total > at_most:
             break
         least = step
     top = counted.filter(F.col("step") >= least).select("unit", codec.unit(F.col("unit")).alias("ids"))
-    return Table({r.unit: list(r.ids) for r in top.collect()}, "array<int>")
+    return {r.unit: np.array(r.ids, "<u4").tobytes() for r in top.collect()}
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", at_most: int = FREQUENT) -> DataFrame:
@@ -146,20 +204,47 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     A null text counts as empty and has no ids; repeated rows are encoded alike; an empty table gives an empty result.
     A column that is already called ``ids_col`` is replaced.
     """
-    codec = Codec(ranks, pattern)
+    spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    table = frequent_units(docs.select(text.alias("text")), codec, at_most)
-    ids = F.flatten(F.transform(codec.units(text), lambda u: F.coalesce(table.get(u), codec.unit(u))))
-    return docs.withColumn(ids_col, ids)
+    table = frequent_units(docs.select(text.alias("text")), Codec(ranks, pattern), at_most)
+    shared = spark.sparkContext.broadcast((ranks, pattern, table))  # a vocabulary and at most at_most units
+    held: list[Merger] = []
+
+    def run(texts: pa.Array) -> pa.Array:
+        if not held:
+            held.append(Merger(*shared.value))
+        made = [held[0].ids(t) for t in texts.to_pylist()]
+        offsets = np.cumsum([0, *map(len, made)]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, "<u4"), *made]).astype(np.int32))
+
+    return docs.withColumn(ids_col, F.arrow_udf(run, "array<int>")(text))
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+    """``encoded`` with the bytes that ids stand for, their pieces concatenated; null ids, or an id of no piece, give null."""
+    pieces = encoded.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()})
+
+    def run(ids: pa.Array) -> pa.Array:
+        get = pieces.value.get
+        out = []
+        for row in ids:
+            found = None if not row.is_valid else [get(i) for i in row.values.to_numpy(zero_copy_only=False).tolist()]
+            out.append(None if found is None or None in found else b"".join(found))
+        return pa.array(out, pa.binary())
+
+    return encoded.withColumn(bytes_col, F.arrow_udf(run, "binary")(F.col(f"`{ids_col}`")))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row: the encoding's digest, and that of its decoding."""
-    codec = Codec(ranks, pattern)
-    encoded = encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids")
-    return encoded.select(
+    done = decode(encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids"), ranks)
+
+    def listed(ids: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(" ".join(map(str, row.values.to_pylist())).encode()).hexdigest() for row in ids], pa.string())
+
+    return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(codec.decoded(F.col("ids")), 256).alias("decoded_sha256"),
+        F.arrow_udf(listed, "string")(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
