@@ -73,7 +73,7 @@ WITH d AS (
     SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d
 ), kept AS (
     SELECT words.doc_id, count(*) AS n_words, count(gone.place) AS n_removed,
-           string_agg(word, ' ' ORDER BY place) FILTER (WHERE gone.place IS NULL) AS left_over
+           string_agg(word, ' ' ORDER BY words.place) FILTER (WHERE gone.place IS NULL) AS left_over
     FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.place = gone.place
     GROUP BY words.doc_id
 )
