@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -121,36 +122,46 @@ class Merger:
         self.ranks, self.table = ranks, table
         self.pattern = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
+        self.single = [ranks[bytes([b])] for b in range(256)] if ranks else []
+        #: The rank of each pair of pieces that may be merged, by their ids.
+        self.pairs: dict[int, int] = {}
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
 
     def _word(self, word: bytes) -> list[int]:
         """The ids of one match of the pattern: itself, or its bytes with the leftmost pair of the least rank merged until no pair has one."""
-        rank = self.ranks.get
-        whole = rank(word)
+        whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        parts = [word[i : i + 1] for i in range(len(word))]
-        pairs = [rank(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
+        rank, single = self.pairs.get, self.single
+        parts = [single[b] for b in word]
+        pairs = [rank(a << 32 | b, NO_RANK) for a, b in zip(parts, parts[1:])]
         while pairs and (least := min(pairs)) < NO_RANK:
             i = pairs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            parts[i] = least
+            del parts[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = rank(parts[i - 1] + parts[i], NO_RANK)
+                pairs[i - 1] = rank(parts[i - 1] << 32 | least, NO_RANK)
             if i < len(pairs):
-                pairs[i] = rank(parts[i] + parts[i + 1], NO_RANK)
-        return [self.ranks[p] for p in parts]
+                pairs[i] = rank(least << 32 | parts[i + 1], NO_RANK)
+        return parts
 
-    def _unit(self, unit: str) -> bytes:
-        found = self.table.get(unit) or self.cache.get(unit)
+    def _rare(self, unit: str) -> bytes:
+        found = self.cache.get(unit)
         if found is None:
             if len(self.cache) > CACHED:
                 self.cache.clear()
-            ids = [i for w in self.pattern.findall(unit) for i in self._word(w.encode("utf-8", "replace"))]
-            found = self.cache[unit] = np.array(ids, "<u4").tobytes()
+            words = [unit] if unit[0] == " " and unit[1:].isalpha() else self.pattern.findall(unit)
+            ids = [i for w in words for i in self._word(w.encode("utf-8", "replace"))]
+            found = self.cache[unit] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._unit, units(text))), "<u4")
+        known, rare = self.table.get, self._rare
+        return np.frombuffer(b"".join([known(u) or rare(u) for u in units(text)]), "<u4")
 
 
 _WHITE_RUN = regex.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
@@ -239,8 +250,10 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row: the encoding's digest, and that of its decoding."""
     done = decode(encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids"), ranks)
 
+    names = [str(i) for i in range(max(ranks.values(), default=-1) + 1)]
+
     def listed(ids: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(" ".join(map(str, row.values.to_pylist())).encode()).hexdigest() for row in ids], pa.string())
+        return pa.array([hashlib.sha256(" ".join(map(names.__getitem__, row.values.to_pylist())).encode()).hexdigest() for row in ids], pa.string())
 
     return done.select(
         "doc_id",
