@@ -27,7 +27,10 @@ from tessera.llm.common import id_and_text, shared_dir
 MAGIC = b"TSRIDS01"
 END_ID = 0
 SAMPLE = 64
-CACHED = 250_000
+#: Pieces in the younger half of the cache; the older half has as many.
+CACHED = 500_000
+#: Pieces in one call of the tokenizer, and documents whose pieces are looked up at once.
+TOGETHER, DOCUMENTS = 400, 64
 
 
 class EliasFano:
@@ -160,28 +163,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.spaced = np.array([n.startswith("\u0120") for n in names])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [] if not texts else [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if "  " in text or "\n " in text or not text.isascii() or "\r" in text or "\t" in text:
-            if self._RUN.search(text):
-                return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        return self.joined([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
-
-    def joined(self, pieces: list[str]) -> bytes:
-        """The ids of pieces that are encoded apart, end to end."""
-        cache = self.cache
-        missing = [p for p in dict.fromkeys(pieces) if p not in cache]
-        if missing:
-            if len(cache) > CACHED:
-                cache.clear()
-                missing = list(dict.fromkeys(pieces))
-            cache.update(zip(missing, self._encode(missing)))
-        return b"".join(map(cache.__getitem__, pieces))
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; pieces that are not cached are encoded together for all of them."""
+        whole = {i for i, text in enumerate(texts) if ("  " in text or not text.isprintable()) and self._RUN.search(text)}
+        made = dict(zip(whole, self._encode([texts[i] for i in whole])))
+        cut = []
+        for i, text in enumerate(texts):
+            first, *rest = [""] if i in whole else text.split(" ")
+            cut.append([first, *[" " + x for x in rest]] if first else [" " + x for x in rest])
+        return [made[i] if i in whole else ids for i, ids in enumerate(self.joined(cut))]
+
+    def joined(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of lists of pieces that are encoded apart, those of a list end to end."""
+        cache, older = self.cache, self.older
+        missing = {p for pieces in cut for p in pieces if p not in cache}
+        found = {p: older[p] for p in missing if p in older}
+        cache.update(found)
+        if len(found) < len(missing):
+            cache.update(self._together(sorted(missing.difference(found))))
+        out = [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+        if len(cache) > CACHED:
+            self.older, self.cache = cache, {}
+        return out
+
+    def _together(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        """Pieces that start with their only white space are encoded as one text and told apart by the ids that start with a
+        space; the others go to the tokenizer one by one."""
+        plain = [p for p in pieces if p[0] == " " and p[1:].isprintable() and len(p) > 1]
+        other = [p for p in pieces if p[0] != " " or not p[1:].isprintable() or len(p) == 1]
+        out, groups = [], [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, held in zip(groups, self._encode(["".join(g) for g in groups])):
+            at = np.flatnonzero(self.spaced[np.frombuffer(held, "<u4")]).tolist()
+            if len(at) == len(group):
+                cuts = [4 * x for x in at] + [len(held)]
+                out += zip(group, [held[a:b] for a, b in zip(cuts, cuts[1:])])
+            else:
+                other += group
+        return [*out, *zip(other, self._encode(other))]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int, int]]:
@@ -200,8 +229,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
             if batch.num_rows and writer is None:
                 encoder = Encoder(definition.value)
                 writer = ShardWriter(uri, encoder.width)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                writer.add(doc_id, encoder.ids(text) + end)
+            for at in range(0, batch.num_rows, DOCUMENTS):
+                some = batch.slice(at, DOCUMENTS)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.many(some.column(1).to_pylist())):
+                    writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([writer.total], pa.int64())], names=["shard", "uri", "n_ids"])
