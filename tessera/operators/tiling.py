@@ -85,6 +85,12 @@ def _edges(ring: Column, test) -> Column:
     return F.exists(at, lambda i: test(value(i - 1, "x"), value(i - 1, "y"), value(i, "x"), value(i, "y")))
 
 
+def _overlaps(ring: Column, left: Column, bottom: Column, side: int) -> Column:
+    """Whether the open insides of a ring's bounds and of a tile meet."""
+    b = bounds(ring)
+    return (b["min_x"] < left + side) & (b["max_x"] > left) & (b["min_y"] < bottom + side) & (b["max_y"] > bottom)
+
+
 def _holds_centre(ring: Column, left: Column, bottom: Column, side: int) -> Column:
     """Even-odd test of a tile's centre."""
     cx, cy = left + side // 2, bottom + side // 2
@@ -106,6 +112,6 @@ def polygon_tiles(shapes: DataFrame, key: str = "id", outer: str = "outer", inne
     narrow = (F.col("r.min_x") == F.col("r.max_x")) | (F.col("r.min_y") == F.col("r.max_y"))
     left, bottom = coords.tile_start(F.col("tile_x"), level), coords.tile_start(F.col("tile_y"), level)
     through = lambda *e: crosses(*e, left, bottom, side)
-    met = _edges(F.col("outer"), through) | _holds_centre(F.col("outer"), left, bottom, side)
-    hidden = F.exists(F.coalesce("inners", F.array()), lambda ring: ~_edges(ring, through) & _holds_centre(ring, left, bottom, side))
+    met = _overlaps(F.col("outer"), left, bottom, side) & (_edges(F.col("outer"), through) | _holds_centre(F.col("outer"), left, bottom, side))
+    hidden = F.exists(F.coalesce("inners", F.array()), lambda ring: _overlaps(ring, left, bottom, side) & ~_edges(ring, through) & _holds_centre(ring, left, bottom, side))
     return with_pos(cells.filter(narrow | (met & ~hidden)).select(key, "tile_x", "tile_y").distinct())
