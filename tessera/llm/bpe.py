@@ -24,8 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import materialize
+from tessera.llm.common import id_and_text, materialize
 
 #: How many frequent units are encoded once and looked up from then on.
 FREQUENT = 60_000
@@ -121,7 +122,7 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int], pattern: str, table: dict[str, bytes]):
         self.ranks, self.table = ranks, table
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, bytes] = {}
+        self.cache, self.older = dict(table), {}
         self.single = [ranks[bytes([b])] for b in range(256)] if ranks else []
         #: The rank of each pair of pieces that may be merged, by their ids.
         self.pairs: dict[int, int] = {}
@@ -150,18 +151,19 @@ class Merger:
         return parts
 
     def _rare(self, unit: str) -> bytes:
-        found = self.cache.get(unit)
-        if found is None:
-            if len(self.cache) > CACHED:
-                self.cache.clear()
-            words = [unit] if unit[0] == " " and unit[1:].isalpha() else self.pattern.findall(unit)
-            ids = [i for w in words for i in self._word(w.encode("utf-8", "replace"))]
-            found = self.cache[unit] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+        words = [unit] if unit[0] == " " and unit[1:].isalpha() else self.pattern.findall(unit)
+        ids = [i for w in words for i in self._word(w.encode("utf-8", "replace"))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, text: str) -> np.ndarray:
-        known, rare = self.table.get, self._rare
-        return np.frombuffer(b"".join([known(u) or rare(u) for u in units(text)]), "<u4")
+    def ids(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        cut, cache, older = units(text), self.cache, self.older
+        for unit in {u for u in cut if u not in cache}:
+            cache[unit] = older.get(unit) or self._rare(unit)
+        out = b"".join(map(cache.__getitem__, cut))
+        if len(cache) > CACHED:
+            self.older, self.cache = cache, dict(self.table)
+        return out
 
 
 _WHITE_RUN = regex.compile(r"[\s\x1c-\x1f] (?:[\s\x1c-\x1f]|\Z)")
@@ -215,20 +217,32 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     A null text counts as empty and has no ids; repeated rows are encoded alike; an empty table gives an empty result.
     A column that is already called ``ids_col`` is replaced.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    table = frequent_units(docs.select(text.alias("text")), Codec(ranks, pattern), at_most)
-    shared = spark.sparkContext.broadcast((ranks, pattern, table))  # a vocabulary and at most at_most units
-    held: list[Merger] = []
+    shared = _shared(docs.select(text.alias("text")), ranks, pattern, at_most)
+    kept = [c for c in docs.columns if c != ids_col]
 
-    def run(texts: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Merger(*shared.value))
-        made = [held[0].ids(t) for t in texts.to_pylist()]
-        offsets = np.cumsum([0, *map(len, made)]).astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, "<u4"), *made]).astype(np.int32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = Merger(*shared.value)
+        for batch in batches:
+            made = [merger.ids(t) for t in batch.column(0).to_pylist()]
+            offsets = np.cumsum([0, *(len(x) // 4 for x in made)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(made), "<i4"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*kept, ids_col])
+
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    return docs.select(text, *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+
+
+def _shared(texts: DataFrame, ranks: dict[bytes, int], pattern: str, at_most: int):
+    """What every task holds: a vocabulary and at most ``at_most`` units with their ids."""
+    table = frequent_units(texts, Codec(ranks, pattern), at_most)
+    return texts.sparkSession.sparkContext.broadcast((ranks, pattern, table))
 
-    return docs.withColumn(ids_col, F.arrow_udf(run, "array<int>")(text))
+
+def joined_pieces(ids: list[int], pieces: dict[int, bytes]) -> bytes | None:
+    """The bytes that ids stand for, null if one stands for no piece."""
+    found = list(map(pieces.get, ids))
+    return None if None in found else b"".join(found)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -236,28 +250,29 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", by
     pieces = encoded.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()})
 
     def run(ids: pa.Array) -> pa.Array:
-        get = pieces.value.get
-        out = []
-        for row in ids:
-            found = None if not row.is_valid else [get(i) for i in row.values.to_numpy(zero_copy_only=False).tolist()]
-            out.append(None if found is None or None in found else b"".join(found))
-        return pa.array(out, pa.binary())
+        return pa.array([joined_pieces(row.values.to_numpy(zero_copy_only=False).tolist(), pieces.value) if row.is_valid else None for row in ids], pa.binary())
 
     return encoded.withColumn(bytes_col, F.arrow_udf(run, "binary")(F.col(f"`{ids_col}`")))
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row: the encoding's digest, and that of its decoding."""
-    done = decode(encode(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids"), ranks)
-
-    names = [str(i) for i in range(max(ranks.values(), default=-1) + 1)]
-
-    def listed(ids: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(" ".join(map(names.__getitem__, row.values.to_pylist())).encode()).hexdigest() for row in ids], pa.string())
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, at_most: int = FREQUENT) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row: digests of what ``encode`` gives and of what ``decode`` makes of
+    it, taken in one pass so that no ids travel between the two."""
+    table = id_and_text(docs)
+    shared = _shared(table, ranks, pattern, at_most)
 
-    return done.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.arrow_udf(listed, "string")(F.col("ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = Merger(*shared.value)
+        pieces = {rank: piece for piece, rank in merger.ranks.items()}
+        names = {rank: str(rank) for rank in pieces}
+        for batch in batches:
+            counts, listed, decoded = [], [], []
+            for text in batch.column(1).to_pylist():
+                ids = np.frombuffer(merger.ids(text), "<u4").tolist()
+                counts.append(len(ids))
+                listed.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(joined_pieces(ids, pieces)).hexdigest())
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return table.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
