@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import materialize, shared_dir, storage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["id_and_text", "materialize", "read_table", "shared_dir", "small_side", "storage", "utf8"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

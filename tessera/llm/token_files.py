@@ -17,12 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import id_and_text, shared_dir
+from tessera.llm.common import id_and_text, shared_dir, storage
 
 MAGIC = b"TSRIDS01"
 END_ID = 0
@@ -86,15 +85,11 @@ class EliasFano:
         return cls(n, low_width, low, high, np.frombuffer(data, "<u4", n_samples, 20 + n_low + n_high))
 
 
-def _storage(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if ":/" in uri else (pafs.LocalFileSystem(), uri)
-
-
 class ShardWriter:
     """Streams ids to a file and keeps only the documents' ends until the footer."""
 
     def __init__(self, uri: str, width: int):
-        self.fs, self.path = _storage(uri)
+        self.fs, self.path = storage(uri)
         self.width = width
         self.part = f"{self.path}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.part)
@@ -123,7 +118,7 @@ class Shard:
     TAIL = 12 + len(MAGIC)
 
     def __init__(self, uri: str):
-        fs, path = _storage(uri)
+        fs, path = storage(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         tail = self.file.read_at(self.TAIL, size - self.TAIL)
@@ -239,7 +234,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
 
     with open(tokenizer_path, encoding="utf-8") as file:  # a vocabulary file: a few MB, whatever the corpus
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
-    fs, path = _storage(folder)
+    fs, path = storage(folder)
     fs.create_dir(path, recursive=True)
     table = id_and_text(docs, id_col, text_col)
     dealt = table.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
