@@ -1,8 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are the documents that the label table marks good; the unlabelled set is a plain sample of all web text.
-The class prior is estimated from the two samples, and a linear model minimises the non-negative unbiased risk, so what
-the flexible model gains by pushing its negative risk below zero is undone. Both samples are bounded by documented
+The class prior is estimated from the two samples, and a linear model minimises the non-negative unbiased risk, so that
+nothing is gained by pushing the negative part of the risk below zero. Both samples are bounded by documented
 parameters; every document is then scored where it lies, without a shuffle.
 """
 
@@ -79,7 +79,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(x: np.ndarray, gradient, steps: int, rate: float = 0.05, ridge: float = 5e-4) -> tuple[np.ndarray, float]:
+def _descend(x: np.ndarray, gradient, steps: int, rate: float = 0.05, ridge: float = 2e-3) -> tuple[np.ndarray, float]:
     """Adam over weights and bias; ``gradient(z)`` gives the slope of the risk at each row's logit."""
     weights, m, v = np.zeros(x.shape[1] + 1), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -127,8 +127,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600) -> Model
         zp, zu = z[:n_pos], z[n_pos:]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         at_p, at_u = -prior * _sigmoid(zp) / n_pos, _sigmoid(zu) / n_unl
-        if negative < 0:
-            return np.concatenate([-at_p, -at_u])
+        if negative < 0:  # the negative part counts as zero, and so does its slope
+            return np.concatenate([-prior * _sigmoid(-zp) / n_pos, np.zeros(n_unl)])
         return np.concatenate([at_p - prior * _sigmoid(-zp) / n_pos, at_u])
 
     weights, bias = _descend(np.vstack([positive, unlabelled]), gradient, steps, 0.02)
