@@ -51,10 +51,10 @@ class Table:
         text = json.dumps(_bucketed(entries, self.buckets), ensure_ascii=False, separators=(",", ":"))
         self.column = F.from_json(F.lit(text), f"array<map<string,{value_type}>>")
 
-    def get(self, key: Column) -> Column:
-        """The value of ``key``, null if there is none."""
+    def get(self, key: Column, held: Column) -> Column:
+        """The value of ``key``, null if there is none; ``held`` stands for the table's column, which a plan then writes out once."""
         slot = F.pmod(F.crc32(key), F.lit(self.buckets)).cast("int")
-        return F.try_element_at(F.get(self.column, slot), key)
+        return F.try_element_at(F.get(held, slot), key)
 
 
 @lru_cache(maxsize=4)
@@ -76,28 +76,21 @@ class Codec:
         self.pattern = f"(?U){pattern}"
         self.ranks = Table({piece.hex().upper(): rank for piece, rank in ranks.items()}, "int")
 
-    def _rank(self, left: Column, right: Column) -> Column:
-        return F.coalesce(self.ranks.get(F.concat(left, right)), F.lit(NO_RANK))
+    def _merged(self, h: Column, held: Column) -> Column:
+        def rank(left: Column, right: Column) -> Column:
+            return F.coalesce(self.ranks.get(F.concat(left, right), held), F.lit(NO_RANK))
 
-    def word(self, word: Column) -> Column:
-        """The ids of one match of the pattern."""
-        def whole(h: Column) -> Column:
-            return _let(self.ranks.get(h), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self._merged(h)))
-
-        return _let(F.hex(word.cast("binary")), whole)
-
-    def _merged(self, h: Column) -> Column:
         size = (F.length(h) / 2).cast("int")
         pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(h, i * 2 - 1, F.lit(2)))
-        start = _let(pieces, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: self._rank(x, F.get(p, i + 1))).alias("r")))
+        start = _let(pieces, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1))).alias("r")))
 
         def merge(s: Column) -> Column:
             p, r = s["p"], s["r"]
 
             def at(k: Column) -> Column:
                 joined = F.concat(F.get(p, k - 1), F.get(p, k))
-                left = F.when(k > 1, F.array(self._rank(F.get(p, k - 2), joined))).otherwise(F.array().cast("array<int>"))
-                right = F.when(k + 1 < F.size(p), F.array(self._rank(joined, F.get(p, k + 1)))).otherwise(F.array().cast("array<int>"))
+                left = F.when(k > 1, F.array(rank(F.get(p, k - 2), joined))).otherwise(F.array().cast("array<int>"))
+                right = F.when(k + 1 < F.size(p), F.array(rank(joined, F.get(p, k + 1)))).otherwise(F.array().cast("array<int>"))
                 return F.struct(
                     F.concat(F.slice(p, F.lit(1), k - 1), F.array(joined), F.slice(p, k + 2, F.size(p))).alias("p"),
                     F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(p))).alias("r"),
@@ -109,11 +102,19 @@ class Codec:
             return F.when(F.coalesce(F.array_min(s["r"]), F.lit(NO_RANK)) < NO_RANK, merge(s)).otherwise(s)
 
         steps = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, start, step, lambda s: F.transform(s["p"], lambda x: self.ranks.get(x)))
+        return F.aggregate(steps, start, step, lambda s: F.transform(s["p"], lambda x: self.ranks.get(x, held)))
 
     def unit(self, unit: Column) -> Column:
-        """The ids of a stretch of text, match by match."""
-        return F.flatten(F.transform(F.regexp_extract_all(unit, F.lit(self.pattern), F.lit(0)), self.word))
+        """The ids of a stretch of text, match by match: a match that is a piece itself, or its merged bytes."""
+
+        def word(w: Column, held: Column) -> Column:
+            def whole(h: Column) -> Column:
+                return _let(self.ranks.get(h, held), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self._merged(h, held)))
+
+            return _let(F.hex(w.cast("binary")), whole)
+
+        matches = F.regexp_extract_all(unit, F.lit(self.pattern), F.lit(0))
+        return _let(self.ranks.column, lambda held: F.flatten(F.transform(matches, lambda w: word(w, held))))
 
 
 class Merger:
