@@ -123,7 +123,7 @@ def main(argv: list[str] | None = None) -> None:
         store.snapshot(given.arguments[0])
     elif given.mode == "purge":
         for name in given.arguments:
-            store.purge(*PURGES[name], properties=("sequence", "timestamp", "base_url") if name == "osm" else ())
+            store.purge(*PURGES[name], properties=("sequence", "followed", "timestamp", "base_url") if name == "osm" else ())
     elif given.mode == "stats":
         store.stats().show()
     else:

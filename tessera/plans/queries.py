@@ -326,9 +326,9 @@ def table_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def changes_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Every change, streamed from files into a store: the elements after the last changeset."""
+    """Every day's changes, streamed from files into a store in the order of the days: the elements after the last changeset."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    st.changes(spark, sf).withColumn("seq", F.col("version").cast("long") % 1 + F.lit(1)).select(*[c.split()[0] for c in ch.CHANGE.split(", ")]).write.parquet(f"{folder}/source")
+    st.changes(spark, sf).select(*[c.split()[0] for c in ch.CHANGE.split(", ")]).write.parquet(f"{folder}/source")
     store = Store(spark, f"{folder}/store")
     store.commit({"elements": spark.createDataFrame([], ch.ELEMENT)})
     replication.follow(spark, store, f"{folder}/source", f"{folder}/checkpoint").awaitTermination()

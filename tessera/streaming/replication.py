@@ -1,7 +1,9 @@
 """Following a replication folder: changes arrive as files, each changeset is applied once and in order.
 
 The number of the last applied changeset lies in the same manifest as the tables, so a batch that runs again skips what it
-has already applied.
+has already applied. A trigger takes every file that lies in the folder, so a changeset may be any number of files, but
+they must appear together (written elsewhere and moved in) where the folder is followed while it grows; a part that comes
+after its changeset was applied is an error and never passed over.
 """
 
 from __future__ import annotations
@@ -16,21 +18,38 @@ from tessera.sources.store import Store
 
 def advance(store: Store, batch: DataFrame) -> list[int]:
     """Apply a batch's changesets after the store's sequence, one commit each; a rejected one stops the batch and changes nothing."""
-    done = store.properties().get("sequence", -1)
-    since = store.properties().get("timestamp")
+    found = store.properties()
+    done, since = found.get("sequence", -1), found.get("timestamp")
+    _no_late_parts(store, batch, found.get("followed"), done, since)
     waiting = [r.seq for r in batch.filter(F.col("seq") > done).select("seq").distinct().orderBy("seq").collect()]  # one number a changeset
     for seq in waiting:
         after = ch.apply_changeset(store.read("elements"), batch.filter(F.col("seq") == seq), since)
-        store.commit({"elements": after}, sort={"elements": "id"}, sequence=seq)
+        store.commit({"elements": after}, sort={"elements": "id"}, sequence=seq, followed=found.get("followed", waiting[0]))
     return waiting
 
 
+def _no_late_parts(store: Store, batch: DataFrame, followed: int | None, done: int, since) -> None:
+    """Raise if the batch holds changes of a changeset that was applied without them; those that were applied may come again."""
+    if followed is None:
+        return
+    again = batch.filter(F.col("seq").between(followed, done))
+    again = ch.newer(again, since) if since is not None else again
+    have = store.read("elements").select("type", "id", F.col("version").alias("had"))
+    late = again.join(have, ["type", "id"], "left").filter(F.col("had").isNull() | (F.col("had") < F.col("version"))).select("seq").first()
+    if late:
+        raise ch.ChangesetRejected(f"changeset {late.seq}: a part came after it was applied")
+
+
 def follow(spark: SparkSession, store: Store, source: str, checkpoint: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
     """Read changes (Parquet files of ``changes.CHANGE``) as a stream and apply them to the store."""
-    stream = spark.readStream.schema(ch.CHANGE).option("maxFilesPerTrigger", 16).parquet(source)
+    stream = spark.readStream.schema(ch.CHANGE).parquet(source)  # no limit of files: a trigger must not end within a changeset
     trigger = {"availableNow": True} if once else {"processingTime": every}
 
     def step(batch: DataFrame, _: int) -> None:
-        advance(store, batch)
+        held = batch.persist()
+        try:
+            advance(store, held)
+        finally:
+            held.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ids
 from tessera.operators import changes as ch
 from tessera.operators import compare
+from tessera.plans import queries
 from tessera.sources.store import Store
 from tessera.streaming import replication
 
@@ -96,6 +98,31 @@ def test_stream_applies_each_changeset_once(spark, tmp_path):
     assert got == {(0, 1): (3, False, None), (1, 1): (1, True, None)} and store.properties()["sequence"] == 3
 
 
+def test_a_changeset_of_many_files_is_applied_whole(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.commit({"elements": spark.createDataFrame([], ch.ELEMENT)})
+    source, checkpoint = str(tmp_path / "source"), str(tmp_path / "checkpoint")
+    rows = [change(seq, i, "modify" if seq > 1 else "create", 0, i, seq, x=seq) for seq in (1, 2) for i in range(40)]
+    spark.createDataFrame(rows, ch.CHANGE).repartition(40).write.parquet(source)
+    assert len(list((tmp_path / "source").glob("*.parquet"))) > 16
+    replication.follow(spark, store, source, checkpoint).awaitTermination()
+    assert sorted((r.id, r.version, r.x) for r in store.read("elements").collect()) == [(i, 2, 2) for i in range(40)]
+    spark.createDataFrame([change(2, 40, "create", 0, 40, 1)], ch.CHANGE).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="a part came after"):
+        replication.follow(spark, store, source, checkpoint).awaitTermination()
+
+
+def test_registered_stream_applies_every_day(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(replication, "advance", lambda store, batch: seen.append(sorted(r.seq for r in batch.select("seq").distinct().collect())))
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    queries.changes_stream(spark, sf)
+    days = sorted(r.seq for r in queries.st.changes(spark, sf).select("seq").distinct().collect())
+    assert len(days) > 1 and seen == [days]
+
+
 def test_edges_of_elements(spark):
     got = ch.element_edges(elements(spark, (1, 5, 2, True, [1, 1, 2]), (2, 6, 1, False, [1]))).collect()
     assert {(r.ref, r.referrer) for r in got} == {(1, W + 5), (2, W + 5)}
