@@ -35,7 +35,8 @@ NEEDS = {"weak_access": ("secret",), "weak_key": ("id",), "weak_assign": ("id",
 
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _WEAK_ACCESS = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA)[A-Z0-9]{8,}")
-_WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+# What parts a name from its value (=, ., -, _) may stand before a key.
+_WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
 _LONG = re.compile(r"[^\s]{40,}")
 _ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3|ftp)://[^\s\"'<>]+")
 
