@@ -109,7 +109,7 @@ class SuffixAutomaton:
 
 def _stretches(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, ...]]:
     """``(text, anchor, first window, first word, words, codes)`` for each chunk of texts: the stretches of windows with one anchor,
-    the last but one being their lengths in words and the last the chunk's words as 32-bit codes."""
+    the last but one being their lengths in words and the last the chunk's words as 64-bit codes."""
     digest = xxhash.xxh3_64_intdigest
     at = 0
     while at < len(texts):
@@ -140,7 +140,7 @@ def _stretches(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, ...]
             continue
         breaks = np.append(np.flatnonzero(changed | ~inside), windows)
         ends = breaks[np.searchsorted(breaks, starts, side="right")]
-        yield owner[starts], grams[least[starts]].view(np.int64), starts - begin[starts], starts, ends - starts + size - 1, (hashes >> np.uint64(32)).astype("<u4")
+        yield owner[starts], grams[least[starts]].view(np.int64), starts - begin[starts], starts, ends - starts + size - 1, hashes.astype("<u8")
 
 
 def _anchors(table: DataFrame, size: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _pieces(table: DataFrame, size: int) -> DataFrame:
             for owner, anchor, first, start, words, codes in _stretches(utf8(batch.column(1)), size):
                 ends = np.cumsum(words)
                 spread = np.repeat(start - np.concatenate(([0], ends[:-1])), words) + np.arange(ends[-1])
-                offsets = np.concatenate(([0], 4 * ends)).astype(np.int32)
+                offsets = np.concatenate(([0], 8 * ends)).astype(np.int32)
                 content = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(codes[spread])])
                 columns = [pa.array(anchor), pa.array(ids[owner]), pa.array(versions[owner]), pa.array(first.astype(np.int32)), content]
                 yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "version", "at", "words"])
@@ -173,7 +173,7 @@ def _first_docs(pieces: DataFrame, size: int) -> DataFrame:
 
     def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton()
-        sequences = [np.frombuffer(words, "<u4").tolist() for _, _, words, _, _ in held]
+        sequences = [np.frombuffer(words, "<u8").tolist() for _, _, words, _, _ in held]
         for symbols, (_, _, _, doc, _) in zip(sequences, held):
             automaton.add(symbols, doc)
         automaton.finish()
@@ -195,7 +195,7 @@ def _first_docs(pieces: DataFrame, size: int) -> DataFrame:
                     yield from out(held)
                     held, words = [], 0
                 held.append(row)
-                words += len(row[2]) // 4
+                words += len(row[2]) // 8
         if held:
             yield from out(held)
 
@@ -212,8 +212,8 @@ def repeated_windows(table: DataFrame, size: int = 13, hot: int = HOT) -> DataFr
     shared = _anchors(table, size).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
     shared = materialize(shared.filter("a < b").select("anchor", (F.col("n") > hot).alias("hot")), "anchors")
     pieces = _pieces(table, size).join(small_side(shared, 4_000_000), "anchor")
-    windows = F.sequence(F.lit(0), (F.length("words") / 4).cast("int") - size)
-    cut = F.when(F.col("hot"), F.transform(windows, lambda t: F.struct((F.col("at") + t).alias("at"), F.substring(F.col("words"), 4 * t + 1, F.lit(4 * size)).alias("words"))))
+    windows = F.sequence(F.lit(0), (F.length("words") / 8).cast("int") - size)
+    cut = F.when(F.col("hot"), F.transform(windows, lambda t: F.struct((F.col("at") + t).alias("at"), F.substring(F.col("words"), 8 * t + 1, F.lit(8 * size)).alias("words"))))
     cut = pieces.select("anchor", "doc_id", "version", "hot", F.explode(F.coalesce(cut, F.array(F.struct("at", "words")))).alias("piece"))
     cut = cut.select("doc_id", "version", "piece.at", "piece.words", F.when(F.col("hot"), F.xxhash64("anchor", "piece.words")).otherwise(F.col("anchor")).alias("shard"))
     cut = materialize(cut.withColumn("content", F.xxhash64("words")), "pieces")

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+import xxhash
 
 from tessera.llm import substring_dedup as sd
 
@@ -47,6 +48,21 @@ def test_against_brute_force(make, odd_rows, hot):
     assert sorted((tuple(r) for r in made.collect()), key=key) == sorted(plain(rows), key=key)
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_words_whose_hashes_share_their_upper_half(make, hot):
+    seen = {}
+    for word in ("n%d" % i for i in range(1_000_000)):
+        other = seen.setdefault(xxhash.xxh3_64_intdigest(word.encode()) >> 32, word)
+        if other != word:
+            break
+    else:
+        pytest.fail("no such words")
+    text = " ".join("t%d" % i for i in range(12))
+    rows = [(1, f"{text} {other}"), (2, f"{text} {word}"), (3, f"{text} {word}")]
+    got = sd.dedup(make(rows), hot=hot).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(plain(rows))
+
+
 def test_empty(make):
     assert sd.digests(make([])).count() == 0
     assert [tuple(r)[:3] for r in sd.digests(make([(1, "a " * 30), (2, "a " * 30)])).orderBy("doc_id").collect()] == [(1, 30, 0), (2, 30, 30)]
