@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-The test items are the query set. Their n-grams are counted over all items, and those in few items are the seeds (an item
-without any has all its n-grams as seeds). Items go in blocks of bounded size; a block's words and seeds are what a task
-holds, every document is streamed past it once, and each passage around seeds of an item is aligned with that item.
-Rarity is counted over the items and not over the corpus, since a leaked passage may itself stand in thousands of documents.
+The test items are the query set. Every n-gram of an item is a seed, one that items share standing for all of them, so each
+part of an item can be found. Items go in blocks of bounded size; a block's words and seeds are what a task holds, every
+document is streamed past it once, and each passage around seeds of an item that holds enough of the item's words to reach
+the threshold is aligned with that item. A copy without a run of n of the item's words is not found.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_and_text, materialize, small_side
@@ -32,48 +31,21 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_TO_SPACE).split()
 
 
-def _gram_rows(items: DataFrame, n: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, grams, places, sizes = [], [], [], []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = words(text)
-                size = min(n, len(w))
-                for i in range(len(w) - size + 1 if size else 0):
-                    ids.append(item)
-                    grams.append(xxhash.xxh64_intdigest(b" ".join(w[i : i + size])) - (1 << 63))
-                    places.append(i)
-                    sizes.append(len(w))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grams, pa.int64()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())], names=["item_id", "gram", "place", "size"])
-
-    return items.mapInArrow(run, "item_id long, gram long, place int, size int")
-
-
-def seeds(items: DataFrame, n: int = 4, max_items: int = 3) -> DataFrame:
-    """``(item_id, place)``: where each item's rare n-grams start; a shorter item is one gram."""
-    grams = _gram_rows(items, n)
-    spread = grams.groupBy("gram").agg(F.count_distinct("item_id").alias("n_items"))
-    rows = grams.join(spread, "gram")
-    least = F.min("n_items").over(Window.partitionBy("item_id"))
-    return rows.withColumn("least", least).filter((F.col("n_items") <= max_items) | (F.col("least") > max_items)).select("item_id", "place")
-
-
 class Block:
     """The items of one block: their words as ids from 1, and each seed's code with the (item, place) pairs it stands for."""
 
-    def __init__(self, rows: list[tuple[int, str, list[int]]], n: int):
+    def __init__(self, rows: list[tuple[int, str]], n: int):
         self.ids = [r[0] for r in rows]
         split = [words(r[1]) for r in rows]
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in split for w in s), 1)}
         self.base = len(self.vocabulary) + 1
         self.items = [np.array([self.vocabulary[w] for w in s], np.int32) for s in split]
         where: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (item, row) in enumerate(zip(self.items, rows)):
+        for k, item in enumerate(self.items):
             size = min(n, len(item))
             if size:
-                codes = self.codes(item, size)
-                for place in row[2]:
-                    where[size][int(codes[place])].append((k, place))
+                for place, code in enumerate(self.codes(item, size).tolist()):
+                    where[size][code].append((k, place))
         self.seeds = {}
         for size, found in where.items():
             keys = np.array(sorted(found), np.uint64)
@@ -147,7 +119,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return scores
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, max_items: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, score, similarity, n_seeds)`` for each document row and item aligned at ``threshold`` or more.
 
     similarity is the best alignment's score over the item's score with itself. Null or empty texts, items without words
@@ -157,8 +129,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, max_items: int = 3,
     """
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).dropna()
     items = items.groupBy("item_id").agg(F.max(F.struct(F.length("text"), "text"))["text"].alias("text"))
-    planned = items.join(seeds(items, n, max_items).groupBy("item_id").agg(F.array_sort(F.collect_list("place")).alias("places")), "item_id")
-    planned = materialize(planned, "items")
+    planned = materialize(items, "items")
     total = planned.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (4 * BLOCK_WORDS)))
     table = id_and_text(docs, id_col, text_col)
@@ -166,7 +137,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, max_items: int = 3,
     parts = []
     for b in range(blocks):
         mine = planned.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id")
-        rows = [(r.item_id, r.text, r.places) for r in mine.collect()]  # a block's items: about 4 * BLOCK_WORDS characters
+        rows = [(r.item_id, r.text) for r in mine.collect()]  # a block's items: about 4 * BLOCK_WORDS characters
         parts.append(_scan(table, spark.sparkContext.broadcast(Block(rows, n)), threshold))
     return reduce(DataFrame.union, parts)
 
@@ -176,21 +147,23 @@ def _scan(table: DataFrame, shared, threshold: float) -> DataFrame:
         block = shared.value
         get = block.vocabulary.get
         for batch in batches:
-            rows, items, stretches, counts = [], [], [], []
+            rows, items, stretches = [], [], []
+            counts: dict[tuple[int, int], int] = defaultdict(int)  # by row of the batch and item
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([get(w, 0) for w in words(text)], np.int32)
                 for item, first, last, n in block.passages(ids):
-                    rows.append(row)
-                    items.append(item)
-                    stretches.append(ids[first:last])
-                    counts.append(n)
+                    counts[row, item] += n
+                    stretch, wanted = ids[first:last], block.items[item]
+                    if np.isin(wanted, stretch).sum() >= threshold * len(wanted):  # or no alignment can reach it
+                        rows.append(row)
+                        items.append(item)
+                        stretches.append(stretch)
             scores = align([block.items[k] for k in items], stretches).tolist()
-            best: dict[tuple[int, int], tuple[int, int]] = {}  # by row of the batch and item
-            for row, item, score, n in zip(rows, items, scores, counts):
-                had = best.get((row, item), (0, 0))
-                best[row, item] = max(score, had[0]), n + had[1]
+            best: dict[tuple[int, int], int] = {}
+            for row, item, score in zip(rows, items, scores):
+                best[row, item] = max(score, best.get((row, item), 0))
             ids_of = batch.column(0).to_pylist()
-            out = [(ids_of[row], block.ids[item], score, score / (MATCH * len(block.items[item])), n) for (row, item), (score, n) in best.items()]
+            out = [(ids_of[row], block.ids[item], score, score / (MATCH * len(block.items[item])), counts[row, item]) for (row, item), score in best.items()]
             kept = [x for x in out if x[3] >= threshold]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32())
             columns = [pa.array(c, t) for c, t in zip(zip(*kept), kinds)] if kept else [pa.array([], t) for t in kinds]

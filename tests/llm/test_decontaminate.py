@@ -43,6 +43,22 @@ def test_copies_edits_and_clean_texts(spark, make, odd_rows):
     assert kept.columns == make(rows).columns and kept.filter("doc_id is null").count() == 1
 
 
+def test_items_that_share_a_passage(spark, make):
+    shared = ["s%d" % i for i in range(20)]
+    items = [(i, " ".join([*shared[:10], f"v{i}", *shared[10:]])) for i in range(6)]
+    rows = [(100, " ".join(["before", *shared[:10], "edited", *shared[10:], "after"])), (101, " ".join(["x y z", *shared[10:], "rest"])), (102, " ".join(shared[:14]))]
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(make(rows), benchmark(spark, items)).collect()}
+    assert got == {(d, i) for d in (100, 102) for i in range(6)}
+    kept = [r.doc_id for r in dc.clean(make(rows), benchmark(spark, items)).collect()]
+    assert kept == [101]
+
+
+def test_short_items_without_a_run_of_four(spark, make):
+    item = ["w%d" % i for i in range(15)]
+    edited = [w if i % 4 < 3 else "x" for i, w in enumerate(item)]
+    assert [r.doc_id for r in dc.leaks(make([(1, " ".join(edited))]), benchmark(spark, [(1, " ".join(item))])).collect()] == [1]
+
+
 def test_blocks_agree(spark, make, monkeypatch):
     draw = random.Random(5)
     words = ["w%d" % i for i in range(50)]
