@@ -89,12 +89,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, verified: float = 0
     ``is_query`` tells queries by the column vec_id. A query is not its own neighbour, nor is a row that repeats its id; of
     other repeated rows each counts, ties go to the smaller vec_id, and a query with fewer than k candidates gets them
     all. Rows with a null id or vector, or a vector that is zero or holds null or non-finite components, take no part; so
-    do vectors of another length than the first's. An empty table gives an empty result. In each block at least
+    do vectors of another length than the most frequent one (ties: the greatest). An empty table gives an empty result. In each block at least
     ``at_least`` vectors, or the share ``verified`` of them, are verified for each query.
     """
     table = materialize(usable(vectors, id_col, vector_col), "vectors")
-    n, width = table.agg(F.count("*"), F.min(F.size("v"))).first()
-    table = table.filter(F.size("v") == (width or 0))
+    found = table.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+    n, width = (found.n, found.width) if found else (0, 0)
+    table = table.filter(F.size("v") == width)
     spark = vectors.sparkSession
     queries = table.filter(is_query).dropDuplicates(["vec_id"])
     batches = max(1, -(-queries.count() // QUERY_ROWS))

@@ -37,6 +37,13 @@ def test_recall_and_scores(spark):
     assert [i for i, _ in got[100]] == [7, 101, 102, 103, 104]
 
 
+def test_a_truncated_vector_removes_no_other(spark):
+    rows = [(0, [1.0, 0.0], 0)] + [(i, [1.0, float(i), 0.5], 0) for i in range(1, 9)]
+    found = neighbours.search(table(spark, rows), F.col("vec_id") == 1).collect()
+    want = plain(rows[1:], lambda i: i == 1)[1]
+    assert [(r.query_id, r.vec_id) for r in sorted(found, key=lambda r: r["rank"])] == [(1, i) for i, _ in want]
+
+
 def test_few_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1), (2, [0.0, 0.0], 1), (3, None, 1), (None, [1.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [1.0, None], 1), (50, [-1.0, 0.0], None), (1, [1.0, 1.0], 1)]
