@@ -15,7 +15,7 @@ PATH = P.path("byte_bpe_50k.json")
 def test_elias_fano(steps):
     values = np.cumsum(np.array(steps, np.int64))
     made = tf.EliasFano.from_bytes(tf.EliasFano.of(values).to_bytes())
-    assert [made.select(i) for i in range(len(values))] == values.tolist()
+    assert [made.select(i) for i in range(len(values))] == made.values().tolist() == values.tolist()
 
 
 def test_elias_fano_is_small():
@@ -42,5 +42,17 @@ def test_random_access(make, tmp_path):
     read = {}
     for _, uri, _, _ in shards:
         shard = tf.Shard(uri)
-        read |= {shard.ids[i]: shard.tokens(i).tolist() for i in reversed(range(shard.n))}
+        read |= {shard.doc_id(i): shard.tokens(i).tolist() for i in reversed(range(shard.n))}
     assert read == {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in ((1, "one two"), (2, ""), (3, "three"))}
+
+
+def test_far_ids_and_marks(make, tmp_path):
+    rows = [(-(1 << 63), "word, word. word"), (-5, "naïve... Ünter!? $5*"), (0, " Été) été) x's. ,"), ((1 << 63) - 1, "a" * 100_000), (None, "word.")]
+    shards = tf.write_shards(make(rows).repartition(1), PATH, str(tmp_path))
+    library = Tokenizer.from_file(PATH)
+    got = {}
+    for _, uri, _, _ in shards:
+        shard = tf.Shard(uri)
+        assert [shard.doc_id(i) for i in range(shard.n)] == shard.doc_ids()
+        got |= {k: shard.tokens(i).tolist() for i, k in enumerate(shard.doc_ids())}
+    assert got == {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
