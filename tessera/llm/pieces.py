@@ -13,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces in the younger half of a cache; the older half has as many.
-CACHED = 500_000
+CACHED = 300_000
 #: Bytes of the texts that are cut at once; a longer text is cut by itself.
-TOGETHER = 8_000_000
+TOGETHER = 4_000_000
 #: Marks that stand for a match of their own, all together, after a word.
 MARKS = ".,;:!?)#$*"
 
@@ -36,6 +36,7 @@ def chunks(texts: pa.Array, size: int = TOGETHER) -> Iterator[pa.Array]:
         last = max(first + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield texts.slice(first, last - first)
         first = last
+        pa.default_memory_pool().release_unused()  # an executor's workers share its memory
 
 
 def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
@@ -104,29 +105,32 @@ class Cache:
         return found
 
 
+def distinct_ids(pieces: pa.Array, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct pieces, each after a space, end to end, and how many each one has."""
+    words, marks = (x.dictionary_encode() for x in words_and_marks(pieces))
+    made = [*cache.get(_listed(_after_space(words.dictionary))), *cache.get(_listed(marks.dictionary))]
+    sizes = np.fromiter(map(len, made), np.int64, len(made)) >> 2
+    codes = np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(words.dictionary)], axis=1)
+    lengths = sizes[codes]
+    ids = np.frombuffer(b"".join(made), "<u4")
+    return ids[spread((np.cumsum(sizes) - sizes)[codes].ravel(), lengths.ravel(), np.cumsum(lengths))], lengths.sum(axis=1)
+
+
 def encode(texts: pa.Array, cache: Cache, whole: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts end to end, and where each text's ids end; ``whole`` encodes what is not cut, without the cache."""
     flat, offsets, firsts = cut(texts)
     n = len(firsts)
     coded = flat.dictionary_encode()
-    words, marks = (x.dictionary_encode() for x in words_and_marks(coded.dictionary))
-    spaced = _after_space(words.dictionary)
-    made = [*cache.get(_listed(spaced)), *whole(_listed(firsts)), *cache.get(_listed(marks.dictionary))]
-    sizes = np.fromiter(map(len, made), np.int64, len(made)) >> 2
-    starts = np.cumsum(sizes) - sizes
-    codes = np.empty((len(flat), 2), np.int64)
-    places = coded.indices.to_numpy()
-    n_words = len(words.dictionary)
-    codes[:, 0] = words.indices.to_numpy()[places]
-    codes[:, 1] = marks.indices.to_numpy()[places] + (n_words + n)
+    ids, sizes = distinct_ids(coded.dictionary, cache)
+    own = whole(_listed(firsts))
+    sizes = np.concatenate((sizes, np.fromiter(map(len, own), np.int64, n) >> 2))
+    codes = coded.indices.to_numpy().astype(np.int64)
     # a text's first piece has no space before it: it, or a text that is not cut, goes by itself
-    codes[offsets[:-1], 0] = n_words + np.arange(n)
+    codes[offsets[:-1]] = len(coded.dictionary) + np.arange(n)
     lengths = sizes[codes]
-    lengths[offsets[:-1], 1] = 0
-    lengths, codes = lengths.ravel(), codes.ravel()
     ends = np.cumsum(lengths)
-    ids = np.frombuffer(b"".join(made), "<u4")[spread(starts[codes], lengths, ends)]
-    return ids, ends[2 * offsets[1:] - 1] if n else ends
+    ids = np.concatenate((ids, np.frombuffer(b"".join(own), "<u4")))[spread((np.cumsum(sizes) - sizes)[codes], lengths, ends)]
+    return ids, ends[offsets[1:] - 1] if n else ends
 
 
 def _listed(strings: pa.Array) -> list[str]:
