@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.shared import materialize, shared_dir, storage
 
-__all__ = ["id_and_text", "materialize", "read_table", "shared_dir", "small_side", "storage", "utf8"]
+__all__ = ["id_and_text", "materialize", "read_table", "shared_dir", "small_side", "split_words", "storage", "utf8"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,23 @@ def utf8(column: pa.Array) -> list[bytes]:
     return pc.cast(column, pa.binary()).to_pylist()
 
 
+_SPACED = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+_SPACED_LOWER = _SPACED.lower()
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words between ASCII white space of all texts end to end, and how many each text has; nulls have none. ``lower`` lowers A-Z."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = bytes(memoryview(texts.buffers()[2] or b"")[offsets[0] : offsets[-1]]).translate(_SPACED_LOWER if lower else _SPACED)
+    texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(data)])
+    lists = pc.split_pattern(texts, " ")
+    flat = lists.flatten()
+    filled = pc.greater(pc.binary_length(flat), 0)
+    of_text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    return flat.filter(filled), np.bincount(of_text[filled.to_numpy(zero_copy_only=False)], minlength=len(texts))
+
+
 def small_side(table: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if its counted rows are few; a larger one is left to a shuffle join."""
     return F.broadcast(table) if table.count() <= max_rows else table

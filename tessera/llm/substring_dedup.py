@@ -5,17 +5,20 @@ the task that owns a shard of references, and the stretches of documents that ca
 of a window is its anchor, the least hash among its runs of five words; equal windows have equal anchors, wherever they
 stand. Consecutive windows with one anchor travel as one stretch.
 
-1. Anchors are counted by documents with partial sums; those of a single document are done with.
-2. Stretches at shared anchors are kept, equal ones collapse to their smallest doc_id. A very frequent anchor's stretches
-   are cut into single windows, each its own shard, so that no shard holds more than a bounded number of stretches.
+1. Anchors are counted by documents with partial sums. Those of more than one document set a bit in a map of fixed size, and
+   so do the very frequent ones in a second map. A bit that two anchors share only lets more stretches through.
+2. Stretches whose anchor's bit is set leave their task, equal ones once for many documents with their smallest and largest
+   doc_id. Stretches of very frequent anchors are cut into single windows, each its own shard, so that no shard holds more
+   than a bounded number of stretches.
 3. A task builds a suffix automaton over shards, carries each state's smallest doc_id up its suffix links, and streams the
    stretches through it: where the matching statistic reaches the window's length, the state tells the first document.
 4. The windows found to start in a smaller doc_id go back to their documents, which lose the words that they cover.
+
+Words are compared by 64-bit hashes, and stretches go back to documents by 64-bit hashes of their shard and their content.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +27,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, materialize, small_side, utf8
+from tessera.llm.common import id_and_text, materialize, small_side, split_words, utf8
+from tessera.llm.pieces import chunks
 
 GRAM = 5
-HOT = 1000
-CHUNK_WORDS = 1 << 18
+#: Stretches of an anchor beyond which its windows go apart.
+HOT = 8000
+#: Bytes of text whose equal stretches leave a task once.
+TOGETHER = 32_000_000
 SHARD_WORDS = 1 << 16
+#: Bits of the maps of anchors, 32 MB each whatever the corpus, and of a slice of one.
+BITS, SLICE = 28, 20
 
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(GRAM)]
+_STEP = 0xD6E8FEB86659FD93
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 class SuffixAutomaton:
@@ -107,71 +117,168 @@ class SuffixAutomaton:
         return out
 
 
-def _stretches(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """``(text, anchor, first window, first word, words, codes)`` for each chunk of texts: the stretches of windows with one anchor,
-    the last but one being their lengths in words and the last the chunk's words as 64-bit codes."""
-    digest = xxhash.xxh3_64_intdigest
-    at = 0
-    while at < len(texts):
-        held, sizes, first = [], [], at
-        while at < len(texts) and (not held or len(held) < CHUNK_WORDS):
-            words = texts[at].split()
-            held += words
-            sizes.append(len(words))
-            at += 1
-        if len(held) < size:
-            continue
-        hashes = np.fromiter(map(digest, held), np.uint64, len(held))
-        owner = np.repeat(np.arange(first, at), sizes)
-        begin = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
-        grams = np.zeros(len(held) - GRAM + 1, np.uint64)
-        for i, m in enumerate(_MULTIPLIERS):
-            grams += hashes[i : len(held) - GRAM + 1 + i] * np.uint64(m)
-        grams ^= grams >> np.uint64(29)
-        grams *= np.uint64(0xBF58476D1CE4E5B9)
-        grams ^= grams >> np.uint64(32)
-        windows = len(held) - size + 1
-        least = np.lib.stride_tricks.sliding_window_view(grams, size - GRAM + 1).argmin(axis=1) + np.arange(windows)
-        inside = owner[:windows] == owner[size - 1 :]
-        changed = np.ones(windows, bool)
-        changed[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
-        starts = np.flatnonzero(changed & inside)
-        if not len(starts):
-            continue
-        breaks = np.append(np.flatnonzero(changed | ~inside), windows)
-        ends = breaks[np.searchsorted(breaks, starts, side="right")]
-        yield owner[starts], grams[least[starts]].view(np.int64), starts - begin[starts], starts, ends - starts + size - 1, hashes.astype("<u8")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ x >> np.uint64(29)
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
+
+
+def _stretches(texts: pa.Array, size: int) -> tuple[np.ndarray, ...]:
+    """``(text, anchor, first window, first word, words, codes)``: the stretches of windows with one anchor, the last but one
+    being their lengths in words and the last the words of all texts as 64-bit codes."""
+    flat, sizes = split_words(texts)
+    coded = flat.dictionary_encode()
+    listed = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, listed), np.uint64, len(listed))[coded.indices.to_numpy()]
+    nothing = np.zeros(0, np.int64)
+    if len(hashes) < size:
+        return nothing, nothing, nothing, nothing, nothing, hashes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    grams = np.zeros(len(hashes) - GRAM + 1, np.uint64)
+    for i, m in enumerate(_MULTIPLIERS):
+        grams += hashes[i : len(hashes) - GRAM + 1 + i] * np.uint64(m)
+    grams = _mixed(grams)
+    windows = len(hashes) - size + 1
+    least = np.lib.stride_tricks.sliding_window_view(grams, size - GRAM + 1).argmin(axis=1) + np.arange(windows)
+    inside = owner[:windows] == owner[size - 1 :]
+    changed = np.ones(windows, bool)
+    changed[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
+    starts = np.flatnonzero(changed & inside)
+    breaks = np.append(np.flatnonzero(changed | ~inside), windows)
+    ends = breaks[np.searchsorted(breaks, starts, side="right")]
+    return owner[starts], grams[least[starts]].view(np.int64), starts - begin[starts], starts, ends - starts + size - 1, hashes
 
 
 def _anchors(table: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for owner, anchor, *_ in _stretches(utf8(batch.column(1)), size):
+            at = 0
+            for some in chunks(batch.column(1)):
+                ids = batch.column(0).slice(at, len(some)).to_numpy()
+                at += len(some)
+                owner, anchor, *_ = _stretches(some, size)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[owner])], names=["anchor", "doc_id"])
 
     return table.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
 
 
-def _pieces(table: DataFrame, size: int) -> DataFrame:
+def _set(bits: np.ndarray, places: np.ndarray) -> None:
+    np.bitwise_or.at(bits, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+
+
+def _is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7) & 1).astype(bool)
+
+
+def _maps(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The bit maps of anchors and of hot anchors, from ``(anchor, hot)``; each task makes its own slices of them."""
+    in_slice = (1 << SLICE) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
+            slots = batch.column(0).to_numpy() & ((1 << BITS) - 1)
+            hot = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for k in np.unique(slots >> SLICE).tolist():
+                mine = slots >> SLICE == k
+                bits = held.setdefault(k, np.zeros((2, 1 << SLICE - 3), np.uint8))
+                _set(bits[0], slots[mine] & in_slice)
+                _set(bits[1], slots[mine & (hot > 0)] & in_slice)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["k", "bits"])
+
+    slices = 1 << BITS - SLICE
+    out = np.zeros((2, slices, 1 << SLICE - 3), np.uint8)
+    dealt = counted.select("anchor", "hot").repartition(min(64, slices), F.shiftright(F.col("anchor").bitwiseAND((1 << BITS) - 1), SLICE))
+    found = dealt.mapInArrow(run, "k int, bits binary").toArrow()  # slices of fixed size, a fixed number of them
+    for k, bits in zip(found.column("k").to_pylist(), found.column("bits").to_pylist()):
+        out[:, k] = np.frombuffer(bits, np.uint8).reshape(2, -1)
+    return out[0].ravel(), out[1].ravel()
+
+
+def _shared_stretches(texts: pa.Array, size: int, maps: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """``(text, shard, content, first window, first word, words, codes)`` of the stretches that other documents may hold, windows of
+    hot anchors apart."""
+    owner, anchor, first, start, words, codes = _stretches(texts, size)
+    slots = anchor & ((1 << BITS) - 1)
+    kept = np.flatnonzero(_is_set(maps[0], slots))
+    owner, anchor, first, start, words, hot = (x[kept] for x in (owner, anchor, first, start, words, _is_set(maps[1], slots)))
+    times = np.where(hot, words - size + 1, 1)
+    shift = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    owner, anchor, first, start, words, hot = (np.repeat(x, times) for x in (owner, anchor, first, start, words, hot))
+    first, start, words = first + shift, start + shift, np.where(hot, size, words)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(codes) + 1, _STEP, np.uint64))
+        back = np.cumprod(np.full(len(codes) + 1, _BACK, np.uint64))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * powers[: len(codes)])))
+        content = _mixed((sums[start + words] - sums[start]) * back[start] + words.astype(np.uint64))
+        shard = np.where(hot, _mixed(content * np.uint64(_STEP) + anchor.view(np.uint64)).view(np.int64), anchor)
+    return owner, shard, content.view(np.int64), first, start, words, codes
+
+
+def _in_chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    for batch in batches:
+        at = 0
+        for some in chunks(batch.column(column)):
+            yield batch.slice(at, len(some)), some
+            at += len(some)
+
+
+def _contents(table: DataFrame, size: int, maps) -> DataFrame:
+    """``(shard, content, words, doc, last_doc)``: stretches that may be shared, equal ones of many documents once."""
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        shard, content, doc = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((doc, content, shard))
+        shard, content, doc = shard[order], content[order], doc[order]
+        new = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (content[1:] != content[:-1])))
+        last = np.append(new[1:], len(shard)) - 1
+        words = pa.chunked_array([h[3] for h in held]).combine_chunks().take(pa.array(order[new]))
+        return pa.RecordBatch.from_arrays([pa.array(shard[new]), pa.array(content[new]), words, pa.array(doc[new]), pa.array(doc[last])], names=["shard", "content", "words", "doc", "last_doc"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch, texts in _in_chunks(batches, 1):
+            owner, shard, content, _, start, words, codes = _shared_stretches(texts, size, maps.value)
+            if not len(shard):
+                continue
+            ends = np.cumsum(words)
+            spread = np.repeat(start - (ends - words), words) + np.arange(ends[-1])
+            offsets = np.concatenate(([0], 8 * ends)).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(codes.astype("<u8")[spread])])
+            held.append((shard, content, batch.column(0).to_numpy()[owner], data))
+            n += texts.nbytes
+            if n >= TOGETHER:
+                yield out(held)
+                held, n = [], 0
+        if held:
+            yield out(held)
+
+    return table.select("doc_id", "text").mapInArrow(run, "shard long, content long, words binary, doc long, last_doc long")
+
+
+def _places(table: DataFrame, size: int, maps) -> DataFrame:
+    """``(doc_id, version, at, shard, content)`` of the stretches that may be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _in_chunks(batches, 1):
+            owner, shard, content, first, *_ = _shared_stretches(texts, size, maps.value)
             ids, versions = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for owner, anchor, first, start, words, codes in _stretches(utf8(batch.column(1)), size):
-                ends = np.cumsum(words)
-                spread = np.repeat(start - np.concatenate(([0], ends[:-1])), words) + np.arange(ends[-1])
-                offsets = np.concatenate(([0], 8 * ends)).astype(np.int32)
-                content = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(codes[spread])])
-                columns = [pa.array(anchor), pa.array(ids[owner]), pa.array(versions[owner]), pa.array(first.astype(np.int32)), content]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "version", "at", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[owner], versions[owner], first.astype(np.int32), shard, content)], names=["doc_id", "version", "at", "shard", "content"])
 
-    return table.select("doc_id", "text", "version").mapInArrow(run, "anchor long, doc_id long, version long, at int, words binary")
+    return table.select("doc_id", "text", "version").mapInArrow(run, "doc_id long, version long, at int, shard long, content long")
 
 
 def _first_docs(pieces: DataFrame, size: int) -> DataFrame:
-    """``(shard, content, firsts)`` for the distinct pieces ``(shard, content, words, doc, last_doc)`` that some document must lose from."""
-
-    def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """``(shard, content, firsts)`` for the pieces ``(shard, content, words, doc, last_doc)`` that some document must lose from."""
+
+    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        same: dict[tuple, tuple] = {}
+        for row in rows:
+            doc, last = same.get(row[:3], row[3:])
+            same[row[:3]] = min(doc, row[3]), max(last, row[4])
+        held = [(*k, *v) for k, v in same.items()]
         automaton = SuffixAutomaton()
         sequences = [np.frombuffer(words, "<u8").tolist() for _, _, words, _, _ in held]
         for symbols, (_, _, _, doc, _) in zip(sequences, held):
@@ -209,17 +316,10 @@ def repeated_windows(table: DataFrame, size: int = 13, hot: int = HOT) -> DataFr
     ``table`` has doc_id, text and version (a hash of the text, which tells rows that repeat an id apart).
     """
     table = table.filter("doc_id is not null")
-    shared = _anchors(table, size).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
-    shared = materialize(shared.filter("a < b").select("anchor", (F.col("n") > hot).alias("hot")), "anchors")
-    pieces = _pieces(table, size).join(small_side(shared, 4_000_000), "anchor")
-    windows = F.sequence(F.lit(0), (F.length("words") / 8).cast("int") - size)
-    cut = F.when(F.col("hot"), F.transform(windows, lambda t: F.struct((F.col("at") + t).alias("at"), F.substring(F.col("words"), 8 * t + 1, F.lit(8 * size)).alias("words"))))
-    cut = pieces.select("anchor", "doc_id", "version", "hot", F.explode(F.coalesce(cut, F.array(F.struct("at", "words")))).alias("piece"))
-    cut = cut.select("doc_id", "version", "piece.at", "piece.words", F.when(F.col("hot"), F.xxhash64("anchor", "piece.words")).otherwise(F.col("anchor")).alias("shard"))
-    cut = materialize(cut.withColumn("content", F.xxhash64("words")), "pieces")
-    distinct = cut.groupBy("shard", "content", "words").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last_doc"))
-    firsts = _first_docs(distinct, size)
-    joined = cut.select("doc_id", "version", "at", "shard", "content").join(firsts, ["shard", "content"])
+    counted = _anchors(table, size).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+    maps = table.sparkSession.sparkContext.broadcast(_maps(counted.filter("a < b").select("anchor", (F.col("n") > hot).alias("hot"))))
+    firsts = _first_docs(_contents(table, size, maps), size)
+    joined = _places(table, size, maps).join(firsts, ["shard", "content"])
     starts = F.filter(F.transform("firsts", lambda first, t: F.when(first < F.col("doc_id"), F.col("at") + t)), lambda x: x.isNotNull())
     found = joined.select("doc_id", "version", starts.alias("starts")).filter(F.size("starts") > 0)
     return found.groupBy("doc_id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
