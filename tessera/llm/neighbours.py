@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by collision counting over sorted projections.
 
 Every vector is hashed by its projections on a fixed set of random lines, and each line keeps the vectors of a block in
-sorted order: that is the whole index. A query's window on a line is centred on its own projection. Virtual rehashing
-widens all its windows by a factor in each round and counts, for each vector, the lines on which it has come inside; only
-the two new strips of a line are visited in a round. Vectors that collide on enough lines are verified by their exact
-cosine, and a query is done with a block once enough of the block's vectors are verified.
+sorted order: that is the whole index. A query's window on a line is centred on its own projection. Virtual rehashing widens
+all its windows by a factor a round, and a vector collides on the lines where its place in the order is inside the
+window. Vectors that collide on enough lines are verified by their exact cosine, and a query is done with a block at the
+first round in which enough of the block's vectors are to be verified. Collisions only grow with the windows, so that
+round is found by halving the range of rounds.
 
 Every vector is indexed, in blocks of bounded size dealt at random. Queries are a stated set; they go past the blocks in
-batches of bounded size, and each block gives its nearest few for each query.
+batches of bounded size, one batch after another, and each block gives its nearest few for each query.
 """
 
 from __future__ import annotations
@@ -22,48 +23,60 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-LINES = 128
+LINES = 80
 SEED = 20
-#: Lines on which a vector has to collide with the query, of LINES.
+#: Lines on which a vector has to collide with the query, of LINES: a count tells near from far best where most lines collide.
 THRESHOLD = 64
-FIRST_WIDTH, GROWTH, ROUNDS = 0.15, 1.3, 14
+FIRST_WIDTH, GROWTH, ROUNDS = 0.15, 1.15, 32
 #: More than the distance between any two projections of unit vectors, so all lines fit in one sorted array.
 APART = 1000.0
 BLOCK_ROWS = 8192
 QUERY_ROWS = 16_384
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest component near 1, so that no square vanishes or overflows."""
+    exponent = np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))[1]
+    return np.ldexp(vectors, -exponent)
+
+
 class Block:
     """The sorted projections of some vectors, and the search over them."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: int = LINES, threshold: int = THRESHOLD):
-        self.ids, self.vectors, self.threshold = ids, vectors, threshold
-        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
+        self.ids, self.vectors, self.threshold = ids, scaled(vectors), threshold
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         self.lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1], lines))
-        hashes = (vectors / self.norms[:, None]) @ self.lines
-        self.order = np.argsort(hashes, axis=0, kind="stable").T.ravel()
-        self.sorted = (np.sort(hashes, axis=0).T + APART * np.arange(lines)[:, None]).ravel()
+        hashes = ((self.vectors / self.norms[:, None]) @ self.lines).T
+        order = np.argsort(hashes, axis=1, kind="stable")
+        self.first = len(ids) * np.arange(lines)
+        self.sorted = (np.take_along_axis(hashes, order, axis=1) + APART * np.arange(lines)[:, None]).ravel()
+        self.places = np.empty(hashes.shape, np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.places, order, np.arange(len(ids), dtype=self.places.dtype)[None, :], axis=1)
+
+    def collisions(self, at: np.ndarray, width: float) -> np.ndarray:
+        """On how many lines each vector lies in the window of that width around the query's projection."""
+        low, high = (np.searchsorted(self.sorted, x) - self.first for x in (at - width, at + width))
+        kind = self.places.dtype
+        inside = self.places - low.astype(kind)[:, None] < (high - low).astype(kind)[:, None]  # unsigned: below low wraps to large
+        return np.add.reduce(inside, axis=0, dtype=np.int16)
 
     def nearest(self, query_id: int, query: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and cosines of the k nearest verified vectors, by falling cosine and then rising id; at least ``least`` are verified."""
         n = len(self.ids)
+        query = scaled(query)
         norm = np.sqrt((query * query).sum())
         at = (query / norm) @ self.lines + APART * np.arange(self.lines.shape[1])
-        counts = np.zeros(n, np.int64)
-        lo = hi = np.searchsorted(self.sorted, at)
         least = min(least, n)
-        width = FIRST_WIDTH
-        for _ in range(ROUNDS):
-            a, b = np.searchsorted(self.sorted, at - width), np.searchsorted(self.sorted, at + width)
-            strips = [self.order[x:y] for x, y in zip((*a.tolist(), *hi.tolist()), (*lo.tolist(), *b.tolist()))]
-            counts += np.bincount(np.concatenate(strips), minlength=n)
-            lo, hi = a, b
-            found = np.flatnonzero(counts >= self.threshold)
-            if len(found) >= least:
-                break
-            width *= GROWTH
-        else:
-            found = np.arange(n)
+        low, high = 0, ROUNDS
+        found = np.arange(n)
+        while low < high:
+            middle = (low + high) // 2
+            some = np.flatnonzero(self.collisions(at, FIRST_WIDTH * GROWTH**middle) >= self.threshold)
+            if len(some) >= least:
+                high, found = middle, some
+            else:
+                low = middle + 1
         found = found[self.ids[found] != query_id]
         if len(found) < min(k, n):
             found = np.flatnonzero(self.ids != query_id)
@@ -83,7 +96,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return table.filter(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, verified: float = 0.1, at_least: int = 96, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, verified: float = 0.15, at_least: int = 96, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k nearest, score being the cosine in double precision.
 
     ``is_query`` tells queries by the column vec_id. A query is not its own neighbour, nor is a row that repeats its id; of
@@ -104,7 +117,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, verified: float = 0
     for b in range(batches):
         rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == b).collect()  # a batch: about QUERY_ROWS vectors
         batch = np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], np.float64)
-        parts.append(_past(dealt, spark.sparkContext.broadcast(batch), k, verified, at_least, block_rows))
+        shared = spark.sparkContext.broadcast(batch)
+        parts.append(materialize(_past(dealt, shared, k, verified, at_least, block_rows), "nearest"))
+        shared.destroy()
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import neighbours
@@ -52,3 +55,30 @@ def test_few_and_odd_vectors(spark):
     want = [(0, 1, 1, half), (0, 2, 1, half), (0, 3, 50, -1.0), (50, 1, 1, -half), (50, 2, 1, -half), (50, 3, 0, -1.0)]
     assert len(got) == 6 and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-9 for a, b in zip(sorted(got), want))
     assert neighbours.search(table(spark, []), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_recall_over_the_whole_table(spark):
+    """The query over all rows of the embeddings, and again in blocks of a tenth of its size, against every pair."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("the driver's tables are not here")
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = vectors.select("vec_id", "embedding").toArrow()
+    ids, v = rows.column("vec_id").to_numpy(), np.stack(rows.column("embedding").to_numpy()).astype(float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    for block_rows in (neighbours.BLOCK_ROWS, 200):
+        got = neighbours.search(vectors, F.col("vec_id") % 50 == 0, block_rows=block_rows).toPandas()
+        hits = 0
+        asked = np.flatnonzero(ids % 50 == 0)
+        for i in asked:
+            near = v @ v[i]
+            near[i] = -9
+            hits += len(set(got[got.query_id == ids[i]].vec_id) & set(ids[np.lexsort((ids, -near))[:5]]))
+        assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_tiny_and_huge_components(spark):
+    rows = [(0, [1e-200, 1e-200], 0), (1, [1e200, 1e200], 0), (2, [1e-200, -1e-200], 0), (3, [0.0, 5e-324], 0)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = neighbours.search(made, F.col("vec_id") == 0).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [1, 3, 2] and all(abs(r.score) <= 1 + 1e-12 for r in got)
