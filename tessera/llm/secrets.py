@@ -3,8 +3,8 @@
 Strong kinds stand alone: an assigned secret, an access identifier, a long hexadecimal run. Weak candidates are parts that
 prove nothing by themselves: a short access identifier, a bare 40-character key, a short assigned value, an endpoint. A
 weak part is reported only where a complementary part lies within its scope, a span of characters around it in the same
-document. Parts are sorted and each one's scope is looked up among the starts of the complementary roles, an interval
-join that takes a search for each part and role; scopes never leave a document, so no row moves.
+document. Parts are sorted by start and each one's scope is looked up among the complementary parts with their running
+largest end, an interval join that takes a search for each part and role; scopes never leave a document, so no row moves.
 """
 
 from __future__ import annotations
@@ -85,19 +85,19 @@ def weak_parts(text: str, base: list[Part]) -> list[Part]:
 
 
 def linked(base: list[Part], weak: list[Part], scope: int = SCOPE) -> list[Part]:
-    """The weak parts within ``scope`` characters of which a part of a role that they need starts or ends."""
+    """The weak parts whose scope, the part and ``scope`` characters on either side, touches a part of a role that they need."""
     if not weak:
         return []
-    near: dict[str, np.ndarray] = {}
+    near: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for role in ("id", "secret", "place"):
-        mine = [p for p in (*base, *weak) if ROLE[p.kind] == role]
-        near[role] = np.array(sorted(x for p in mine for x in (p.start, p.end)), np.int64)
+        mine = sorted(p for p in (*base, *weak) if ROLE[p.kind] == role)
+        near[role] = np.array([p.start for p in mine], np.int64), np.maximum.accumulate(np.array([p.end for p in mine], np.int64))
     out = []
     for p in weak:
         for role in NEEDS[p.kind]:
-            at = near[role]
-            k = int(np.searchsorted(at, p.start - scope))
-            if k < len(at) and at[k] <= p.end + scope:
+            starts, reach = near[role]
+            k = int(np.searchsorted(starts, p.end + scope, side="right"))
+            if k and reach[k - 1] >= p.start - scope:
                 out.append(p)
                 break
     return out
@@ -140,7 +140,12 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
 
 
 def redact(docs: DataFrame, scope: int = SCOPE, text_col: str = "text") -> DataFrame:
-    """``docs`` with every found part, linked ones too, replaced by <kind>; texts without parts stay as they are, null stays null."""
+    """``docs`` with every found part, linked ones too, replaced by <kind>; texts without parts stay as they are, null stays null.
+
+    Of parts that overlap, the first counts, and the longer one of two that start together as listed in ``KINDS``. Repeated
+    rows and null ids are redacted like any other; texts are read whole; an empty table gives an empty result; the other
+    columns, whatever their names, stay as they are and where they are.
+    """
 
     def run(texts: pa.Array) -> pa.Array:
         out = []
