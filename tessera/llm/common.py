@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import materialize, shared_dir, storage
 
-__all__ = ["id_and_text", "materialize", "read_table", "shared_dir", "small_side", "split_words", "storage", "utf8"]
+__all__ = ["columns_of", "id_and_text", "materialize", "read_table", "shared_dir", "small_side", "split_words", "storage", "utf8"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def columns_of(table: DataFrame) -> list[Column]:
+    """All columns of a table, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in table.columns]
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A text column of an Arrow batch as UTF-8 bytes."""
     if pa.types.is_large_string(column.type):

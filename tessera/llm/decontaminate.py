@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, materialize, small_side
+from tessera.llm.common import columns_of, id_and_text, materialize, small_side
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 50_000
@@ -173,6 +173,10 @@ def _scan(table: DataFrame, shared, threshold: float) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id no leak carries; rows with a null doc_id stay."""
+    """The rows of ``docs`` whose doc_id no leak carries; rows with a null doc_id stay, and so do null and empty texts.
+
+    Of rows that repeat one id, all go if one of them holds a passage. Texts are read whole; empty tables give ``docs`` as
+    it is; the columns keep their names and places.
+    """
     found = materialize(leaks(docs, benchmark, threshold=threshold).select("doc_id").filter("doc_id is not null").distinct(), "leaks")
-    return docs.join(small_side(found), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small_side(found), "doc_id", "left_anti").select(columns_of(docs))

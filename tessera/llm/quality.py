@@ -110,6 +110,20 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 20
     return float(np.clip(np.exp(-np.median(held_out @ weights + bias)), 0.05, 0.95))
 
 
+def risk(z: np.ndarray, n_pos: int, prior: float) -> float:
+    """The non-negative unbiased risk of logits, those of the positives first."""
+    zp, zu = z[:n_pos], z[n_pos:]
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def risk_slope(z: np.ndarray, n_pos: int, prior: float) -> np.ndarray:
+    zp, zu = z[:n_pos], z[n_pos:]
+    good = -prior * _sigmoid(-zp) / n_pos
+    if np.logaddexp(0, zu).mean() < prior * np.logaddexp(0, zp).mean():  # the negative part counts as zero, and so does its slope
+        return np.concatenate([good, np.zeros(len(zu))])
+    return np.concatenate([good - prior * _sigmoid(zp) / n_pos, _sigmoid(zu) / len(zu)])
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600) -> Model:
     """Minimise prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]) with the logistic loss l.
 
@@ -121,17 +135,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600) -> Model
     scale = np.where(scale > 1e-4, scale, np.inf)
     positive, unlabelled = (positive - mean) / scale, (unlabelled - mean) / scale
     prior = estimate_prior(positive, unlabelled)
-    n_pos, n_unl = len(positive), len(unlabelled)
-
-    def gradient(z: np.ndarray) -> np.ndarray:
-        zp, zu = z[:n_pos], z[n_pos:]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        at_p, at_u = -prior * _sigmoid(zp) / n_pos, _sigmoid(zu) / n_unl
-        if negative < 0:  # the negative part counts as zero, and so does its slope
-            return np.concatenate([-prior * _sigmoid(-zp) / n_pos, np.zeros(n_unl)])
-        return np.concatenate([at_p - prior * _sigmoid(-zp) / n_pos, at_u])
-
-    weights, bias = _descend(np.vstack([positive, unlabelled]), gradient, steps, 0.02)
+    weights, bias = _descend(np.vstack([positive, unlabelled]), lambda z: risk_slope(z, len(positive), prior), steps, 0.02)
     return Model(mean, scale, weights, float(bias), prior)
 
 
@@ -143,10 +147,10 @@ def _bucket(salt: str, id_col: Column) -> Column:
 def _feature_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [features(t).tobytes() for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["kind", "x"])
+            made = [features(t).tobytes() for t in utf8(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["kind", "doc_id", "x"])
 
-    return docs.select("kind", "text").mapInArrow(run, "kind int, x binary")
+    return docs.select("kind", "doc_id", "text").mapInArrow(run, "kind int, doc_id long, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 9000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -162,32 +166,50 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unla
     rate_u = min(1.0, max_unlabelled / max(1, docs.count()))
     good = good.filter(_bucket("p", F.col("doc_id")) < rate_p)
     # at most about max_positive ids of eight bytes each, so the broadcast is bounded
-    positive = table.join(F.broadcast(good), "doc_id", "left_semi").select(F.lit(1).alias("kind"), "text")
-    unlabelled = table.filter(_bucket("u", F.coalesce("doc_id", F.lit(-1))) < rate_u).select(F.lit(0).alias("kind"), "text")
-    rows = _feature_rows(positive.union(unlabelled)).collect()
+    positive = table.join(F.broadcast(good), "doc_id", "left_semi").select(F.lit(1).alias("kind"), "doc_id", "text")
+    unlabelled = table.filter(_bucket("u", F.coalesce("doc_id", F.lit(-1))) < rate_u).select(F.lit(0).alias("kind"), "doc_id", "text")
+    # in order, so that the model does not depend on how the tables are split
+    rows = sorted(_feature_rows(positive.union(unlabelled)).collect(), key=lambda r: (r.kind, r.doc_id is not None, r.doc_id or 0, bytes(r.x)))
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(-1, WIDTH).astype(np.float64)
     kind = np.array([r.kind for r in rows])
     return fit(x[kind == 1], x[kind == 0])
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scored(model: Model, text_col: str) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        x = np.array([features(t) for t in utf8(texts)], dtype=np.float64).reshape(-1, WIDTH)
+        return pa.array(model.scores(x), pa.float64())
+
+    return F.arrow_udf(run, "double")(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
+def good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with their columns as they are.
+
+    A null or empty text has the score of the empty vector; repeated rows go or stay together; texts are read whole; an
+    empty table gives an empty result.
+    """
+    return docs.filter(_scored(model, text_col) >= threshold)
+
+
+def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` after its own columns, in its own order.
 
     A null or empty text gets the score of the empty vector; repeated rows score alike; an empty table gives an empty
     result. Columns of ``docs`` named score or predicted give way to the new ones.
     """
-
-    def run(texts: pa.Array) -> pa.Array:
-        x = np.array([features(t) for t in utf8(texts)], dtype=np.float64).reshape(-1, WIDTH)
-        return pa.array(model.scores(x), pa.float64())
-
-    score = F.arrow_udf(run, "double")
-    scored = docs.withColumn("score", score(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    scored = docs.withColumn("score", _scored(model, text_col))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row; a row with a null doc_id has a null held_out."""
+    """``(doc_id, held_out, score, predicted)`` for every row.
+
+    A null or empty text gets the score of the empty vector; a row with a null doc_id has a null held_out, is never a
+    trusted positive and may be among the unlabelled; repeated rows score alike; labels repeated for an id count once.
+    With no good labels every score is 0.5. Texts are read whole; an empty table gives an empty result; other columns
+    are not read.
+    """
     table = id_and_text(docs)
     scored = classify(table, train(table, labels), threshold)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0

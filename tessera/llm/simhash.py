@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, materialize, small_side, utf8
+from tessera.llm.common import columns_of, id_and_text, materialize, small_side, utf8
 
 SEED = 42
 FANOUT = 16
@@ -229,8 +229,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, max_bu
 def one_of_each(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component: those whose id is its smallest; rows with a null id stay.
 
-    Of rows that repeat one id, all stay if that id stays.
+    Of rows that repeat one id, all stay if that id stays. Null and empty texts are copies of each other; texts are read whole;
+    an empty table gives an empty result; the columns keep their names and places.
     """
     marked = near_duplicates(docs, shingle, max_bits, id_col=id_col, text_col=text_col)
     gone = materialize(marked.filter("doc_id > component_id").select("doc_id").distinct(), "copies")
-    return docs.join(small_side(gone), docs[f"`{id_col}`"].cast("long") == gone["doc_id"], "left_anti").select(docs.columns)
+    return docs.join(small_side(gone), docs[f"`{id_col}`"].cast("long") == gone["doc_id"], "left_anti").select(columns_of(docs))

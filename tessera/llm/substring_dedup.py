@@ -360,4 +360,6 @@ def dedup(docs: DataFrame, size: int = 13, hot: int = HOT, id_col: str = "doc_id
 
 
 def digests(docs: DataFrame, size: int = 13) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256)`` for every row: ``dedup`` with the digest of what is kept, and its rules for
+    nulls, empty and long texts, ties, repeated rows, empty tables and other columns."""
     return dedup(docs, size).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -69,3 +69,22 @@ def test_odd_rows(spark, make, odd_rows):
     assert {r.predicted for r in toxicity.scores(docs, nothing).collect()} == {0}
     assert quality.quality_scores(make([]), labels).count() == 0 and toxicity.scores(make([]), labels).count() == 0
     assert quality.classify(docs, quality.train(docs, nothing)).columns == [*[c for c in docs.columns], "predicted"]
+
+
+@needs_tables
+def test_the_model_does_not_depend_on_the_split(spark):
+    docs, labels = tables(spark)
+    one, other = quality.train(docs, labels), quality.train(docs.repartition(7).orderBy("n_chars"), labels.repartition(3))
+    assert np.array_equal(one.weights, other.weights) and one.bias == other.bias and one.prior == other.prior
+
+
+def test_slope_of_the_risk():
+    draw = np.random.default_rng(3)
+    for shift in (0.0, -6.0):  # the negative part of the risk above zero, and below
+        z = np.concatenate((draw.standard_normal(7), draw.standard_normal(11) + shift))
+        slope = quality.risk_slope(z, 7, 0.4)
+        for i in range(len(z)):
+            up, down = z.copy(), z.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert abs((quality.risk(up, 7, 0.4) - quality.risk(down, 7, 0.4)) / 2e-5 - slope[i]) < 1e-8

@@ -56,3 +56,13 @@ def test_each_stage_on_what_the_one_before_kept(spark, tmp_path):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(before[r.doc_id].encode()).hexdigest()
     assert kept["tokenize"][1].count() == len(before)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = read_table(spark, SF, "documents").selectExpr("doc_id", "text", "lang", "source", "n_chars", "'keep-me' AS score", "7 AS predicted", "1 AS `a.b`", "2 AS `c``d`", "3 AS anchor")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF)
+        assert docs.columns == before.columns and [t for c, t in docs.dtypes if c != "n_chars"] == [t for c, t in before.dtypes if c != "n_chars"], name
+    row = docs.first()
+    assert (row["score"], row["predicted"], row["a.b"], row["c`d"]) == ("keep-me", 7, 1, 2)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
