@@ -17,23 +17,27 @@ from tessera.llm.common import materialize, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model).filter("predicted = 1").select(docs.columns)
+    """The documents that the classifier keeps; nulls, ties, repeated rows and empty tables as ``quality.good`` has them."""
+    return quality.good(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group; nulls, ties, repeated rows and empty tables as ``simhash.one_of_each`` has them."""
     return simhash.one_of_each(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a benchmark item; nulls, repeated rows and empty tables as ``decontaminate.clean`` has them."""
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """All documents, secrets in their texts replaced, n_chars the new length (null for a null text), as ``secrets.redact`` has it."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of counts and digests for each document; nulls, repeated rows and empty tables as ``bpe.digests`` has them."""
     return bpe.digests(docs, bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
