@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ids
+from tessera.operators.compare import missing_references
 from tessera.sources.shared import materialize
 
 ELEMENT = "type int, id long, version int, visible boolean, tags map<string,string>, refs array<long>, x int, y int"
@@ -42,13 +43,25 @@ def steps(elements: DataFrame, changes: DataFrame) -> DataFrame:
     return held.union(made).withColumns({"before": F.lag(state).over(order), "last": F.lead("ord").over(order).isNull()})
 
 
-def violations(elements: DataFrame, changes: DataFrame) -> DataFrame:
+def violations(elements: DataFrame, changes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Changes that may not be applied, ``(type, id, version, problem)``: a created element has version 1, is new and nothing refers to it; a
-    modified or deleted one exists, a visible one going up by one version (a deleted one comes back with any); a deleted
-    way or relation lists no members."""
-    met = steps(elements, changes).filter("op is not null")
-    referred = element_edges(elements).select(F.col("ref").alias("own")).distinct().withColumn("referred", F.lit(True))
-    met = met.withColumn("own", ids.combined_id(F.col("type"), F.col("id"))).join(referred, "own", "left")
+    modified or deleted one exists, a visible one going up by one version (a deleted one comes back with any) and listed
+    as a referrer by all that it referred to; a deleted way or relation lists no members.
+
+    ``edges`` is a store's table ``(ref, referrer)``. Without one, edges are those of ``elements``, which list all that refers.
+    """
+    met = steps(elements, changes).filter("op is not null").withColumn("own", ids.combined_id(F.col("type"), F.col("id")))
+    listed = element_edges(elements) if edges is None else edges
+    created = met.filter("op = 'create'").select(F.col("own").alias("ref"))
+    referred = listed.join(created, "ref", "left_semi").select(F.col("ref").alias("own")).distinct().withColumn("referred", F.lit(True))
+    met = met.join(referred, "own", "left")
+    if edges is None:
+        met = met.withColumn("broken", F.lit(None).cast("boolean"))
+    else:
+        old = element_edges(elements)
+        mine = edges.join(old.select("referrer").distinct(), "referrer", "left_semi").select("ref", "referrer")
+        broken = missing_references(old, mine).select(F.col("referrer").alias("own")).distinct().withColumn("broken", F.lit(True))
+        met = met.join(broken, "own", "left")
     before = F.col("before")
     problem = (
         F.when((F.col("op") == "create") & (F.col("version") != 1), "created with a version other than 1")
@@ -56,6 +69,7 @@ def violations(elements: DataFrame, changes: DataFrame) -> DataFrame:
         .when((F.col("op") == "create") & F.col("referred"), "created but referred to")
         .when((F.col("op") != "create") & before.isNull(), "does not exist")
         .when((F.col("op") == "modify") & before["visible"] & (F.col("version") != before["version"] + 1), "version does not follow")
+        .when((F.col("op") != "create") & F.col("broken"), "a reference does not list it")
         .when((F.col("op") == "delete") & (F.col("type") != 0) & (F.size("refs") > 0), "deleted with members")
     )
     return met.select("type", "id", "version", problem.alias("problem")).filter("problem is not null")
@@ -84,11 +98,13 @@ def dirty(changes: DataFrame, key: str = "id", order: Column | None = None, old:
     return changes.groupBy(key).agg(F.min_by(old, order).alias("first_old"), F.max_by(new, order).alias("last_new"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000, written: bool = False) -> DataFrame:
     """``(combined_id)``: the seeds and everything that refers to them, however far; cycles end.
 
-    Works frontier by frontier; each is written to the shared folder, so the lineage stays short and no id passes through the driver.
+    Works frontier by frontier; each is written to the shared folder, so the lineage stays short and no id passes through the
+    driver. The edges are written there once, unless they are a table that is read as it lies (``written``).
     """
+    edges = edges if written else materialize(edges.select("ref", "referrer"), "edges")
     frontier = materialize(seeds.select(F.col(seeds.columns[0]).alias("combined_id")).distinct(), "frontier")
     seen = frontier
     for _ in range(max_rounds):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, tagrules
@@ -66,18 +66,21 @@ def role_code(role: Column) -> Column:
 def relation_lines(relations: DataFrame, ways: DataFrame, points: DataFrame) -> DataFrame:
     """``(id, members)`` of area relations: ``(pos, role, line)`` of their way members in order.
 
-    Other members are passed over; a relation with a missing way, or with a way a point of which is missing, has no row.
+    Other members are passed over, and so is a way without nodes, as a deleted one is; a relation with a missing way, or with a
+    way a point of which is missing, has no row.
     """
     able = relations.filter(tagrules.is_relation_area(F.col("tags")))
     each = able.select("id", F.posexplode("members").alias("pos", "member")).filter(ids.element_type(F.col("member.combined_id")) == ids.WAY)
     each = each.select("id", "pos", F.col("member.role").alias("role"), ids.element_id(F.col("member.combined_id")).alias("way"))
-    nodes = each.join(ways.select(F.col("id").alias("way"), "nodes"), "way", "left")
-    spread = nodes.select("id", "pos", "role", F.posexplode_outer("nodes").alias("at", "node"))
+    nodes = each.join(ways.select(F.col("id").alias("way"), F.coalesce("nodes", F.array().cast("array<long>")).alias("nodes")), "way", "left")
+    spread = nodes.select("id", "pos", "role", F.col("nodes").isNotNull().alias("there"), F.posexplode_outer("nodes").alias("at", "node"))
     met = spread.join(points.select(F.col("id").alias("node"), F.struct("x", "y").alias("point")), "node", "left")
+    # a way that is there without nodes has one row with no node, which counts for nothing
     lines = met.groupBy("id", "pos", "role").agg(
-        (F.count("point") == F.count("*")).alias("whole"), F.array_sort(F.collect_list(F.struct("at", "point"))).alias("held")
+        (F.bool_and("there") & (F.count("point") == F.count("node"))).alias("whole"), F.count("node").alias("n"), F.array_sort(F.collect_list(F.struct("at", "point"))).alias("held")
     )
-    members = F.array_sort(F.collect_list(F.struct("pos", role_code(F.col("role")).alias("role"), F.col("held.point").alias("line"))))
+    member = F.when(F.col("n") > 0, F.struct("pos", role_code(F.col("role")).alias("role"), F.col("held.point").alias("line")))
+    members = F.array_sort(F.collect_list(member))
     return lines.groupBy("id").agg(F.bool_and("whole").alias("whole"), members.alias("members")).filter("whole").drop("whole")
 
 
@@ -119,7 +122,3 @@ def segments(lines: DataFrame, column: str = "line") -> DataFrame:
     rows = lines.filter(F.size(column) > 1).withColumn("segment", F.explode(at))
     parts = [F.col(f"segment.{p}.{c}").cast("long").alias(f"{c}{i}") for i, p in ((1, "a"), (2, "b")) for c in ("x", "y")]
     return rows.select(*[c for c in lines.columns if c != column], *parts)
-
-
-def row_numbers(table: DataFrame, key: str, *order: Column) -> DataFrame:
-    return table.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
