@@ -86,10 +86,15 @@ def final_states(elements: DataFrame, changes: DataFrame) -> DataFrame:
 def apply_changeset(elements: DataFrame, changes: DataFrame, since=None) -> DataFrame:
     """The element table after a changeset; raises if any of its changes breaks a rule."""
     changes = newer(changes, since) if since is not None else changes
-    wrong = violations(elements, changes).limit(5).collect()
+    check(violations(elements, changes))
+    return final_states(elements, changes)
+
+
+def check(found: DataFrame) -> None:
+    """Raise if there are violations, and name a few of them."""
+    wrong = found.limit(5).collect()
     if wrong:
         raise ChangesetRejected("; ".join(f"{ids.TYPE_NAMES[r.type]}/{r.id} v{r.version}: {r.problem}" for r in wrong))
-    return final_states(elements, changes)
 
 
 def dirty(changes: DataFrame, key: str = "id", order: Column | None = None, old: str = "old", new: str = "new") -> DataFrame:

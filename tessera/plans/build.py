@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ids
 from tessera.operators import elements, features, shapes, tiling
-from tessera.sources import pbf, shapefile
+from tessera.sources import osm_xml, pbf, shapefile
 from tessera.sources.store import Store
-from tessera.streaming import replication
 
 
 def digest_pbf(store: Store, path: str, any_order: bool = False) -> None:
@@ -31,28 +30,40 @@ def recompute_references(store: Store) -> None:
     store.commit({"refs": elements.references(store.read("ways"), store.read("relations"))}, sort={"refs": "ref"})
 
 
-def geometries(store: Store) -> DataFrame:
-    """``(combined_id, tags, line, shapes)`` of every visible way, relation and coastline that has a geometry."""
-    points = store.read("points")
-    ways = elements.way_geometries(store.read("ways").filter("visible"), points)
+def geometries(tables: dict[str, DataFrame], only: DataFrame | None = None) -> DataFrame:
+    """``(combined_id, tags, line, shapes)`` of every visible way, relation and coastline that has a geometry.
+
+    ``tables`` are a store's by name; ``only``, a table of combined_id, keeps the elements to be assembled to those.
+    """
+    points = tables["points"]
+
+    def wanted(table: DataFrame, kind: int) -> DataFrame:
+        if only is None:
+            return table
+        return table.join(only.select(F.col("combined_id").alias("_own")), ids.combined_id(kind, F.col("id")) == F.col("_own"), "left_semi")
+
+    ways = elements.way_geometries(wanted(tables["ways"].filter("visible"), ids.WAY), points)
     made = ways.withColumn("shapes", F.when(F.col("kind") == "area", shapes.assemble(F.array("line"))))
     # a closed way whose ring is not valid stays a line
     own = lambda kind: ids.combined_id(kind, F.col("id")).alias("combined_id")
     parts = [made.select(own(ids.WAY), "tags", F.when(F.col("shapes").isNull(), F.col("line")).alias("line"), "shapes")]
-    relations = store.read("relations").filter("visible")
-    lines = elements.relation_lines(relations, store.read("ways"), points)
+    relations = wanted(tables["relations"].filter("visible"), ids.RELATION)
+    lines = elements.relation_lines(relations, tables["ways"], points)
     area = lines.select("id", shapes.assemble(F.col("members.line")).alias("shapes")).filter("shapes is not null")
     parts.append(area.join(relations.select("id", "tags"), "id").select(own(ids.RELATION), "tags", F.lit(None).cast(elements.POINTS).alias("line"), "shapes"))
-    if "coastlines" in store.tables():
-        coast = store.read("coastlines")
+    if "coastlines" in tables:
+        coast = wanted(tables["coastlines"], ids.COASTLINE)
         parts.append(coast.select(own(ids.COASTLINE), F.create_map(F.lit("natural"), F.lit("coastline")).alias("tags"), F.lit(None).cast(elements.POINTS).alias("line"), "shapes"))
     return reduce(DataFrame.union, parts)
 
 
 def at_level(made: DataFrame, level: int) -> DataFrame:
-    """Geometries simplified for a level; those that it drops are gone."""
-    simple = made.withColumns({"line": shapes.simplify(F.col("line"), level), "shapes": shapes.simplify_shapes(F.col("shapes"), level)})
-    return simple.filter("line is not null or shapes is not null")
+    """Geometries simplified for a level; those that it or a level below drops are gone."""
+    for z in range(1, level + 1):
+        simple = made.withColumns({"_line": shapes.simplify(F.col("line"), z), "_shapes": shapes.simplify_shapes(F.col("shapes"), z)})
+        simple = simple.filter("_line is not null or _shapes is not null")
+        made = simple.drop("line", "shapes").withColumnsRenamed({"_line": "line", "_shapes": "shapes"}) if z == level else simple.drop("_line", "_shapes")
+    return made
 
 
 def geometry_tiles(made: DataFrame, level: int) -> DataFrame:
@@ -62,9 +73,8 @@ def geometry_tiles(made: DataFrame, level: int) -> DataFrame:
     return lines.union(tiling.polygon_tiles(each, "combined_id", level=level)).distinct()
 
 
-def assemble_geometry(store: Store, levels: int = 1) -> None:
-    """Tables ``features (level, combined_id, json, external)`` and ``tiles (level, tile_pos, combined_id, json)`` of every level below ``levels``."""
-    made = geometries(store)
+def laid_out(made: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Tables ``features (level, combined_id, json, n_tiles, external)`` and ``tiles (level, tile_pos, combined_id, json)`` of every level below ``levels``."""
     placed, rows = [], []
     for level in range(levels):
         simple = at_level(made, level)
@@ -73,11 +83,21 @@ def assemble_geometry(store: Store, levels: int = 1) -> None:
         found = features.place(simple.select("combined_id", features.feature(text, F.col("tags"), F.col("combined_id")).alias("json")), hits)
         placed.append(found.withColumn("level", F.lit(level)))
         rows.append(features.tile_rows(found, hits).withColumn("level", F.lit(level)))
-    store.commit({"features": reduce(DataFrame.union, placed), "tiles": reduce(DataFrame.union, rows)}, sort={"features": "combined_id", "tiles": "tile_pos"})
+    return reduce(DataFrame.union, placed), reduce(DataFrame.union, rows)
+
+
+def tables_of(store: Store) -> dict[str, DataFrame]:
+    return {name: store.read(name) for name in store.tables()}
+
+
+def assemble_geometry(store: Store, levels: int = 1) -> None:
+    """Write the tables of ``laid_out`` for everything in the store."""
+    placed, rows = laid_out(geometries(tables_of(store)), levels)
+    store.commit({"features": placed, "tiles": rows}, sort={"features": "combined_id", "tiles": "tile_pos"}, levels=levels)
 
 
 def average_point_density(store: Store) -> DataFrame:
-    made = geometries(store)
+    made = geometries(tables_of(store))
     rings = made.filter("shapes is not null").select(F.explode("shapes").alias("s")).select(F.explode(F.concat(F.array("s.outer"), F.coalesce("s.inners", F.array()))).alias("line"))
     return elements.mean_segment_length(made.filter("line is not null").select("line").union(rings))
 
@@ -99,8 +119,11 @@ PURGES = {"coastlines": ("coastlines",), "geometry": ("features", "tiles"), "osm
 
 
 def main(argv: list[str] | None = None) -> None:
+    from tessera.plans import update  # these two build on this module
+    from tessera.streaming import replication
+
     parser = argparse.ArgumentParser(description="Jobs over a store of map data")
-    parser.add_argument("mode", choices=["digest_pbf", "digest_coastlines", "recompute_references", "assemble_geometry", "average_point_density", "compact", "create_snapshot", "purge", "stats", "update"])
+    parser.add_argument("mode", choices=["digest_pbf", "digest_coastlines", "recompute_references", "assemble_geometry", "average_point_density", "compact", "create_snapshot", "purge", "stats", "start", "update_to", "rollback_to", "release", "info", "get", "follow"])
     parser.add_argument("store")
     parser.add_argument("arguments", nargs="*")
     parser.add_argument("--levels", type=int, default=1)
@@ -126,6 +149,19 @@ def main(argv: list[str] | None = None) -> None:
             store.purge(*PURGES[name], properties=("sequence", "followed", "timestamp", "base_url") if name == "osm" else ())
     elif given.mode == "stats":
         store.stats().show()
+    elif given.mode == "start":
+        print(update.start(store, osm_xml.states(store.spark, given.arguments[0]), given.arguments[1]))
+    elif given.mode == "update_to":
+        print(update.update_to(store, given.arguments[0], int(given.arguments[1])))
+    elif given.mode == "rollback_to":
+        update.rollback_to(store, int(given.arguments[0]))
+    elif given.mode == "release":
+        store.release()
+    elif given.mode == "info":
+        print(update.info(store))
+    elif given.mode == "get":
+        kind, number, *what = given.arguments
+        update.get(store, kind, int(number), *what).show(truncate=False)
     else:
         source, checkpoint = given.arguments
         replication.follow(store.spark, store, source, checkpoint).awaitTermination()

@@ -2,6 +2,9 @@
 
 A commit writes new table folders and then one manifest file, moved into place in one step; readers see the tables of the
 manifest they opened. Savepoints, rollback and snapshots are moves of manifests and never touch data.
+
+A small change of a large table is written as a delta, the keys that it replaces and the rows that come instead, and the table
+is read as its base with its deltas; after a number of them the table is written anew.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from pyspark.sql import functions as F
 
 from tessera.sources.shared import storage
 
-FORMAT = 2
+FORMAT = 3
+#: Deltas of a table before it is written anew.
+DELTAS = 8
 
 
 class Store:
@@ -46,20 +51,43 @@ class Store:
         self.fs.move(part, self._file(name))
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.manifest()["tables"][table])
+        return self._merged(self.manifest()["tables"][table])
+
+    def _merged(self, parts: list) -> DataFrame:
+        """A table's base and, for each delta ``(keys, folder of keys, folder of rows)``, the rows that are not replaced and those that come."""
+        out = self.spark.read.parquet(parts[0])
+        for keys, gone, rows in parts[1:]:
+            out = out.join(self.spark.read.parquet(gone), keys, "left_anti").unionByName(self.spark.read.parquet(rows))
+        return out
 
     def tables(self) -> list[str]:
         return sorted(self.manifest()["tables"])
 
-    def commit(self, tables: dict[str, DataFrame], sort: dict[str, str] | None = None, **properties) -> int:
-        """Write new versions of some tables; the others stay. A table named in ``sort`` is laid out in ranges of that column."""
+    def commit(self, tables: dict[str, DataFrame], sort: dict[str, str] | None = None, deltas: dict[str, tuple[DataFrame, DataFrame]] | None = None, **properties) -> int:
+        """Write new versions of some tables; the others stay. A table named in ``sort`` is laid out in ranges of that column.
+
+        ``deltas`` gives for a table the keys to replace (a table of the key columns) and the rows that come instead.
+        """
         found = self.manifest()
         version = found["version"] + 1
-        for name, df in tables.items():
+
+        def write(name: str, df: DataFrame) -> str:
             folder = f"{self.root}/{name}/v={version}-{uuid.uuid4().hex[:8]}"
+            df.write.parquet(folder)
+            return folder
+
+        def write_base(name: str, df: DataFrame) -> None:
             column = (sort or {}).get(name)
-            (df.repartitionByRange(column).sortWithinPartitions(column) if column else df).write.parquet(folder)
-            found["tables"][name] = folder
+            found["tables"][name] = [write(name, df.repartitionByRange(column).sortWithinPartitions(column) if column else df)]
+
+        for name, df in tables.items():
+            write_base(name, df)
+        for name, (gone, rows) in (deltas or {}).items():
+            parts = [*found["tables"][name], [gone.columns, write(name, gone.distinct()), write(name, rows)]]
+            if len(parts) > DELTAS:
+                write_base(name, self._merged(parts))
+            else:
+                found["tables"][name] = parts
         found["version"] = version
         found["properties"] |= properties
         self._put(found)
@@ -81,9 +109,16 @@ class Store:
     def rollback(self) -> None:
         """Back to the last savepoint, which is used up."""
         found = self.manifest()
+        if not found["savepoints"]:
+            raise ValueError("there is no savepoint to go back to")
         *rest, last = found["savepoints"]
         self._put(found | last | {"savepoints": rest, "version": found["version"] + 1})
 
+    def forget(self) -> None:
+        """Drop the last savepoint; the store stays as it is."""
+        found = self.manifest()
+        self._put(found | {"savepoints": found["savepoints"][:-1]})
+
     def release(self) -> None:
         """Forget the savepoints: what has happened since stays."""
         self._put(self.manifest() | {"savepoints": []})
@@ -107,10 +142,12 @@ class Store:
     def stats(self) -> DataFrame:
         """``(table_name, n_files, n_bytes, n_rows)`` by name."""
         rows = []
-        for name, folder in sorted(self.manifest()["tables"].items()):
-            fs, path = storage(folder)
-            files = [f for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith("part-")]
-            rows.append((name, len(files), sum(f.size for f in files), self.spark.read.parquet(folder).count()))
+        for name, parts in sorted(self.manifest()["tables"].items()):
+            files = []
+            for folder in (parts[0], *(f for _, *folders in parts[1:] for f in folders)):
+                fs, path = storage(folder)
+                files += [f for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith("part-")]
+            rows.append((name, len(files), sum(f.size for f in files), self._merged(parts).count()))
         return self.spark.createDataFrame(rows, "table_name string, n_files long, n_bytes long, n_rows long")
 
     def delete_range(self, table: str, column: str, first: int, end: int) -> None:

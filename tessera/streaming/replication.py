@@ -8,23 +8,39 @@ after its changeset was applied is an error and never passed over.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.functions import ids
 from tessera.operators import changes as ch
+from tessera.plans import update
+from tessera.sources.shared import materialize
 from tessera.sources.store import Store
 
 
 def advance(store: Store, batch: DataFrame) -> list[int]:
-    """Apply a batch's changesets after the store's sequence, one commit each; a rejected one stops the batch and changes nothing."""
+    """Apply a batch's changesets after the store's sequence, one commit each; a rejected one stops the batch and changes nothing.
+
+    A digested store is brought up to date as ``plans.update`` says; a store of one table ``elements`` gets a delta of it.
+    """
     found = store.properties()
     done, since = found.get("sequence", -1), found.get("timestamp")
     _no_late_parts(store, batch, found.get("followed"), done, since)
     waiting = [r.seq for r in batch.filter(F.col("seq") > done).select("seq").distinct().orderBy("seq").collect()]  # one number a changeset
     for seq in waiting:
-        after = ch.apply_changeset(store.read("elements"), batch.filter(F.col("seq") == seq), since)
-        store.commit({"elements": after}, sort={"elements": "id"}, sequence=seq, followed=found.get("followed", waiting[0]))
+        mine, followed = batch.filter(F.col("seq") == seq), found.get("followed", waiting[0])
+        if "elements" not in store.tables():
+            update.apply_changeset(store, mine, seq)
+            store.set_properties(followed=followed)
+            continue
+        mine = materialize(ch.newer(mine, since) if since is not None else mine, "changes")
+        keys = mine.select("type", "id").distinct()
+        before = materialize(store.read("elements").join(keys, ["type", "id"], "left_semi"), "before")
+        ch.check(ch.violations(before, mine, _referring(store, mine)))
+        store.commit({}, deltas={"elements": (keys, ch.final_states(before, mine))}, sequence=seq, followed=followed)
     return waiting
 
 
@@ -34,12 +50,26 @@ def _no_late_parts(store: Store, batch: DataFrame, followed: int | None, done: i
         return
     again = batch.filter(F.col("seq").between(followed, done))
     again = ch.newer(again, since) if since is not None else again
-    have = store.read("elements").select("type", "id", F.col("version").alias("had"))
+    have = _versions(store)
     late = again.join(have, ["type", "id"], "left").filter(F.col("had").isNull() | (F.col("had") < F.col("version"))).select("seq").first()
     if late:
         raise ch.ChangesetRejected(f"changeset {late.seq}: a part came after it was applied")
 
 
+def _versions(store: Store) -> DataFrame:
+    if "elements" in store.tables():
+        return store.read("elements").select("type", "id", F.col("version").alias("had"))
+    kinds = enumerate(("nodes", "ways", "relations"))
+    return reduce(DataFrame.union, [store.read(name).select(F.lit(k).alias("type"), "id", F.col("version").alias("had")) for k, name in kinds])
+
+
+def _referring(store: Store, changes: DataFrame) -> DataFrame:
+    """The edges of a table of elements that a changeset's rules ask for: those to what it touches, and those from there."""
+    own = changes.select(ids.combined_id(F.col("type"), F.col("id")).alias("own")).distinct()
+    edges = ch.element_edges(store.read("elements"))
+    return edges.join(own, edges["ref"] == own["own"], "left_semi").union(edges.join(own, edges["referrer"] == own["own"], "left_semi")).distinct()
+
+
 def follow(spark: SparkSession, store: Store, source: str, checkpoint: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
     """Read changes (Parquet files of ``changes.CHANGE``) as a stream and apply them to the store."""
     stream = spark.readStream.schema(ch.CHANGE).parquet(source)  # no limit of files: a trigger must not end within a changeset
