@@ -33,6 +33,8 @@ from tessera.llm.pieces import Cache, chunks, spread
 FREQUENT = 60_000
 #: Longer words are not worth a place in that table, and are merged one by one.
 LONGEST = 64
+#: Other pieces that a worker keeps, in each half of its cache.
+CACHED = 150_000
 NO_RANK = (1 << 31) - 1
 #: Bytes of an id's decimal text, with the space before it.
 NAME = 8
@@ -165,7 +167,7 @@ class Merger:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, table: dict[str, bytes]):
         self.ranks, self.pattern, self.table = ranks, pattern, table
-        self.cache = Cache(self._missing, table)
+        self.cache = Cache(self._missing, table, CACHED)
         self._match = regex.compile(pattern)
         self.single = np.array([ranks[bytes([b])] for b in range(256)] if ranks else [0] * 256, np.int32)
 

@@ -5,8 +5,9 @@ the task that owns a shard of references, and the stretches of documents that ca
 of a window is its anchor, the least hash among its runs of five words; equal windows have equal anchors, wherever they
 stand. Consecutive windows with one anchor travel as one stretch.
 
-1. Anchors are counted by documents with partial sums. Those of more than one document set a bit in a map of fixed size, and
-   so do the very frequent ones in a second map. A bit that two anchors share only lets more stretches through.
+1. The stretches of each anchor are counted with partial sums. Anchors of more than one set a bit in a map of fixed size, and
+   so do the very frequent ones in a second map. A bit that two anchors share only lets more stretches through, as does an
+   anchor that only one document has several times.
 2. Stretches whose anchor's bit is set leave their task, equal ones once for many documents with their smallest and largest
    doc_id. Stretches of very frequent anchors are cut into single windows, each its own shard, so that no shard holds more
    than a bounded number of stretches.
@@ -27,15 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, materialize, small_side, split_words, utf8
+from tessera.llm.common import id_and_text, materialize, split_words, utf8
 from tessera.llm.pieces import chunks
 
 GRAM = 5
 #: Stretches of an anchor beyond which its windows go apart.
 HOT = 8000
 #: Bytes of text whose equal stretches leave a task once.
-TOGETHER = 32_000_000
+TOGETHER = 16_000_000
 SHARD_WORDS = 1 << 16
+#: Bytes of places of windows that are broadcast at most.
+PLACES_BYTES = 128_000_000
 #: Bits of the maps of anchors, 32 MB each whatever the corpus, and of a slice of one.
 BITS, SLICE = 28, 20
 
@@ -153,14 +156,11 @@ def _stretches(texts: pa.Array, size: int) -> tuple[np.ndarray, ...]:
 def _anchors(table: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for some in chunks(batch.column(1)):
-                ids = batch.column(0).slice(at, len(some)).to_numpy()
-                at += len(some)
-                owner, anchor, *_ = _stretches(some, size)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[owner])], names=["anchor", "doc_id"])
+            for some in chunks(batch.column(0)):
+                anchors, n = np.unique(_stretches(some, size)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(n.astype(np.int32))], names=["anchor", "n"])
 
-    return table.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
+    return table.select("text").mapInArrow(run, "anchor long, n int")
 
 
 def _set(bits: np.ndarray, places: np.ndarray) -> None:
@@ -316,8 +316,8 @@ def repeated_windows(table: DataFrame, size: int = 13, hot: int = HOT) -> DataFr
     ``table`` has doc_id, text and version (a hash of the text, which tells rows that repeat an id apart).
     """
     table = table.filter("doc_id is not null")
-    counted = _anchors(table, size).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
-    maps = table.sparkSession.sparkContext.broadcast(_maps(counted.filter("a < b").select("anchor", (F.col("n") > hot).alias("hot"))))
+    counted = _anchors(table, size).groupBy("anchor").agg(F.sum("n").alias("n"))
+    maps = table.sparkSession.sparkContext.broadcast(_maps(counted.filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))))
     firsts = _first_docs(_contents(table, size, maps), size)
     joined = _places(table, size, maps).join(firsts, ["shard", "content"])
     starts = F.filter(F.transform("firsts", lambda first, t: F.when(first < F.col("doc_id"), F.col("at") + t)), lambda x: x.isNotNull())
@@ -333,7 +333,7 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def dedup(docs: DataFrame, size: int = 13, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, size: int = 13, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", places_bytes: int = PLACES_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` for every row; kept is what is left, its words joined by one space, as UTF-8.
 
     A null or empty text has no words. A row with a null doc_id neither loses words nor takes them from others. Rows that
@@ -355,7 +355,9 @@ def dedup(docs: DataFrame, size: int = 13, hot: int = HOT, id_col: str = "doc_id
                 kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    marked = table.join(small_side(found, 200_000), ["doc_id", "version"], "left").select("doc_id", "text", "starts")
+    # at most so many bytes of places go to every task; more of them, and the texts, are dealt by document
+    size_of = found.agg(F.sum(24 + 4 * F.size("starts"))).first()[0] or 0
+    marked = table.join(F.broadcast(found) if size_of <= places_bytes else found, ["doc_id", "version"], "left").select("doc_id", "text", "starts")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 

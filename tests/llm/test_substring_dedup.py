@@ -44,7 +44,7 @@ def test_against_brute_force(make, odd_rows, hot):
             text += p[a : a + draw.randrange(5, 50)] if draw.random() < 0.7 else [draw.choice("ab") for _ in range(20)]
         rows.append((i, " ".join(text)))
     rows += [(12, "a second text of one id " * 9), (4, odd_rows[5][1]), (80, odd_rows[5][1])]
-    made = sd.dedup(make(rows), hot=hot).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
+    made = sd.dedup(make(rows), hot=hot, places_bytes=hot).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
     assert sorted((tuple(r) for r in made.collect()), key=key) == sorted(plain(rows), key=key)
 
 
