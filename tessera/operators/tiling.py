@@ -2,7 +2,7 @@
 
 A geometry whose bounds lie in one row or one column of tiles hits every tile of its bounds without an exact test. Otherwise
 lines hit the closed tiles that a segment touches; polygons hit the tiles whose open inside their outer ring meets, less those
-that a hole contains. Candidates are generated per segment or per polygon from the grid; there is no join.
+that a hole contains. Candidates are generated from the grid, by segment and by row of tiles; there is no join.
 """
 
 from __future__ import annotations
@@ -78,40 +78,42 @@ def line_tiles(lines: DataFrame, key: str = "id", column: str = "line", level: i
     return with_pos(whole.union(exact))
 
 
-def _edges(ring: Column, test) -> Column:
-    """Whether ``test(x1, y1, x2, y2)`` holds for some edge of a closed ring."""
-    at = F.sequence(F.lit(1), F.size(ring) - 1)
-    value = lambda i, c: F.get(ring, i)[c].cast("long")
-    return F.exists(at, lambda i: test(value(i - 1, "x"), value(i - 1, "y"), value(i, "x"), value(i, "y")))
-
-
-def _overlaps(ring: Column, left: Column, bottom: Column, side: int) -> Column:
-    """Whether the open insides of a ring's bounds and of a tile meet."""
-    b = bounds(ring)
-    return (b["min_x"] < left + side) & (b["max_x"] > left) & (b["min_y"] < bottom + side) & (b["max_y"] > bottom)
-
-
-def _holds_centre(ring: Column, left: Column, bottom: Column, side: int) -> Column:
-    """Even-odd test of a tile's centre."""
-    cx, cy = left + side // 2, bottom + side // 2
-    at = F.sequence(F.lit(1), F.size(ring) - 1)
-
-    def right_of(i: Column) -> Column:
-        x1, y1, x2, y2 = (F.get(ring, j)[c].cast("long") for j in (i - 1, i) for c in ("x", "y"))
-        return ((y1 > cy) != (y2 > cy)) & (cx < (x2 - x1) * (cy - y1) / F.nullif(y2 - y1, F.lit(0)) + x1)
-
-    return F.size(F.filter(at, right_of)) % 2 == 1
-
-
 def polygon_tiles(shapes: DataFrame, key: str = "id", outer: str = "outer", inners: str = "inners", level: int = 0) -> DataFrame:
-    """Distinct ``(key, tile_x, tile_y, tile_pos)`` of shapes: a closed outer ring and an array of closed inner rings."""
+    """Distinct ``(key, tile_x, tile_y, tile_pos)`` of shapes: a closed outer ring and an array of closed inner rings.
+
+    Rings are tiled by edge, as lines are, and filled by rows of tiles: where the row through the tiles' centres meets the
+    ring an odd number of times to the right of a centre, that tile's centre is inside. So the rows made are those
+    that edges touch and those that come out, whatever the size of the bounds, and no row holds a ring.
+    """
     side = coords.tile_side(level)
-    ranged = shapes.select(key, F.col(outer).alias("outer"), F.col(inners).alias("inners"), _tile_range(bounds(F.col(outer)), level).alias("r"))
-    cells = ranged.select("*", _range(F.col("r.min_x"), F.col("r.max_x")).alias("tile_x"))
-    cells = cells.select("*", _range(F.col("r.min_y"), F.col("r.max_y")).alias("tile_y"))
+    # two shapes of one key may share a tile, so each shape is its own
+    ranged = shapes.select(key, F.monotonically_increasing_id().alias("shape"), F.concat(F.array(outer), F.coalesce(inners, F.array())).alias("rings"), _tile_range(bounds(F.col(outer)), level).alias("r"))
     narrow = (F.col("r.min_x") == F.col("r.max_x")) | (F.col("r.min_y") == F.col("r.max_y"))
+    whole = ranged.filter(narrow).select(key, "r", _range(F.col("r.min_x"), F.col("r.max_x")).alias("tile_x"))
+    whole = whole.select(key, "tile_x", _range(F.col("r.min_y"), F.col("r.max_y")).alias("tile_y"))
+    rings = ranged.filter(~narrow).select(key, "shape", F.posexplode("rings").alias("ring", "line"))
+    edges = segments(rings.withColumn("box", bounds(F.col("line"))).repartition(key, "shape", "ring"))
+    x1, y1, x2, y2, box = (F.col(c) for c in ("x1", "y1", "x2", "y2", "box"))
+    near = edges.withColumn("tile_x", _range(coords.to_tile(F.least(x1, x2) - 1, level), coords.to_tile(F.greatest(x1, x2), level)))
+    near = near.withColumn("tile_y", _range(coords.to_tile(F.least(y1, y2) - 1, level), coords.to_tile(F.greatest(y1, y2), level)))
     left, bottom = coords.tile_start(F.col("tile_x"), level), coords.tile_start(F.col("tile_y"), level)
-    through = lambda *e: crosses(*e, left, bottom, side)
-    met = _overlaps(F.col("outer"), left, bottom, side) & (_edges(F.col("outer"), through) | _holds_centre(F.col("outer"), left, bottom, side))
-    hidden = F.exists(F.coalesce("inners", F.array()), lambda ring: _overlaps(ring, left, bottom, side) & ~_edges(ring, through) & _holds_centre(ring, left, bottom, side))
-    return with_pos(cells.filter(narrow | (met & ~hidden)).select(key, "tile_x", "tile_y").distinct())
+    overlaps = (box["min_x"] < left + side) & (box["max_x"] > left) & (box["min_y"] < bottom + side) & (box["max_y"] > bottom)
+    ids_of = [key, "shape", "ring", "tile_x", "tile_y"]
+    border = near.filter(overlaps & crosses(x1, y1, x2, y2, left, bottom, side)).select(*ids_of, F.lit(True).alias("edge"))
+    # the rows of tiles whose centre line an edge meets, and where
+    centre = lambda tile: coords.tile_start(tile, level) + side // 2
+    met = edges.withColumn("tile_y", _range(coords.to_tile(F.least(y1, y2), level), coords.to_tile(F.greatest(y1, y2), level)))
+    cy = centre(F.col("tile_y"))
+    met = met.filter((y1 > cy) != (y2 > cy)).withColumn("x", (x2 - x1) * (cy - y1) / (y2 - y1) + x1)
+    rows = met.groupBy(key, "shape", "ring", "tile_y").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("x") / 2).cast("int") - 1), lambda i: F.struct(F.get("x", 2 * i).alias("a"), F.get("x", 2 * i + 1).alias("b")))
+    spans = rows.select(key, "shape", "ring", "tile_y", F.explode(pairs).alias("p"))
+    tile_of = lambda x: coords.to_tile(F.floor(x).cast("long"), level)
+    filled = spans.withColumn("tile_x", _range(tile_of(F.col("p.a")), tile_of(F.col("p.b"))))
+    cx = centre(F.col("tile_x"))
+    inside = filled.filter((F.col("p.a") <= cx) & (cx < F.col("p.b"))).select(*ids_of, F.lit(False).alias("edge"))
+    cells = border.union(inside).groupBy(*ids_of).agg(F.bool_or("edge").alias("edge"))
+    # a tile goes with its shape's outer ring unless a hole has all of it
+    kept = cells.groupBy(key, "shape", "tile_x", "tile_y").agg(F.bool_or(F.col("ring") == 0).alias("met"), F.bool_or((F.col("ring") > 0) & ~F.col("edge")).alias("hidden"))
+    exact = kept.filter("met and not hidden").select(key, "tile_x", "tile_y")
+    return with_pos(whole.union(exact).distinct())

@@ -217,6 +217,44 @@ FROM old FULL JOIN new ON old.id = new.id AND old.tile_x = new.tile_x AND old.ti
 WHERE old.id IS NULL OR new.id IS NULL OR new.id % 89 = 0""",
     "table_stats": "SELECT 'nodes' AS table_name, count(*) AS n_rows FROM part UNION ALL SELECT 'ways', count(DISTINCT l_orderkey) FROM lineitem",
 }
+_NEW_NODES = NODES.replace("AS INTEGER) AS x", "AS INTEGER) + CASE WHEN p_partkey % 97 = 0 THEN 60000 ELSE 0 END AS x")
+_NEW_WAYS = f"""old_{WAYS}, ways AS (
+    SELECT id, CASE WHEN id % 103 = 0 AND len(nodes) > 2 THEN nodes[1:len(nodes) - 1] ELSE nodes END AS nodes FROM old_ways WHERE id % 101 <> 0
+)"""
+_WAY_NUMBER = f"(combined_id - {WAY})"
+_REFERENCE = """'{"type":"Reference","location":"way/' || """ + _WAY_PATH.replace("n // ", f"{_WAY_NUMBER} // ").replace("n % ", f"{_WAY_NUMBER} % ") + """ || '"}'"""
+ORACLE["updated_tiles"] = f"""WITH {_NEW_NODES}, {_NEW_WAYS}, {SPREAD}, {LINES}, {TAGGED}, {FEATURES}, {LINE_TILES}, {PLACED}
+SELECT {morton('tile_x', 'tile_y')} AS tile_pos, combined_id, md5(CASE WHEN external THEN {_REFERENCE} ELSE json END) AS digest FROM line_hits JOIN placed USING (combined_id)"""
+ORACLE["polygon_tiles_general"] = f"""WITH {SQUARES}, corners AS (
+    SELECT * FROM (VALUES (0, 0, -3), (1, 5, 1), (2, 1, 4), (3, -4, 0), (4, 0, -3)) c(i, a, b)
+), points AS (
+    SELECT id, ring, i, CAST(trunc(cx + h * a / (CASE ring WHEN 0 THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END)) AS BIGINT) AS x, CAST(trunc(cy + h * b / (CASE ring WHEN 0 THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END)) AS BIGINT) AS y
+    FROM squares, corners, (VALUES (0), (1)) r(ring)
+), boxes AS (
+    SELECT id, ring, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM points GROUP BY id, ring
+), ranges AS (
+    SELECT id, {tile("x0")} AS tx0, {tile("x1")} AS tx1, {tile("y0")} AS ty0, {tile("y1")} AS ty1 FROM boxes WHERE ring = 0
+), cells AS (
+    SELECT *, tile_x::BIGINT * {SIDE} AS l, tile_y::BIGINT * {SIDE} AS b FROM (SELECT *, unnest(generate_series(ty0, ty1)) AS tile_y FROM (SELECT *, unnest(generate_series(tx0, tx1)) AS tile_x FROM ranges))
+), edges AS (
+    SELECT p.id, p.ring, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_ FROM points p JOIN points q ON q.id = p.id AND q.ring = p.ring AND q.i = p.i + 1
+), sides AS (
+    SELECT c.id, c.tile_x, c.tile_y, tx0 = tx1 OR ty0 = ty1 AS narrow, e.*, c.l, c.b, e.ring AS r,
+           (bx - ax) * (b - ay) - (by_ - ay) * (l - ax) AS s1, (bx - ax) * (b + {SIDE} - ay) - (by_ - ay) * (l - ax) AS s2,
+           (bx - ax) * (b - ay) - (by_ - ay) * (l + {SIDE} - ax) AS s3, (bx - ax) * (b + {SIDE} - ay) - (by_ - ay) * (l + {SIDE} - ax) AS s4
+    FROM cells c JOIN edges e ON e.id = c.id
+), rings AS (
+    SELECT s.id, tile_x, tile_y, s.r AS ring, bool_or(narrow) AS narrow,
+           bool_or((least(ax, bx) < l + {SIDE} AND greatest(ax, bx) > l AND least(ay, by_) < b + {SIDE} AND greatest(ay, by_) > b AND least(s1, s2, s3, s4) < 0 AND greatest(s1, s2, s3, s4) > 0)
+               OR (ay = by_ AND ay > b AND ay < b + {SIDE} AND least(ax, bx) < l + {SIDE} AND greatest(ax, bx) >= l)) AS edge,
+           count(*) FILTER ((ay > b + {SIDE // 2}) <> (by_ > b + {SIDE // 2}) AND l + {SIDE // 2} < (bx - ax) * (b + {SIDE // 2} - ay)::DOUBLE / nullif(by_ - ay, 0) + ax) % 2 = 1 AS centre,
+           bool_or(x0 < l + {SIDE} AND x1 > l AND y0 < b + {SIDE} AND y1 > b) AS meets
+    FROM sides s JOIN boxes ON boxes.id = s.id AND boxes.ring = s.r GROUP BY s.id, tile_x, tile_y, s.r
+), hits AS (
+    SELECT id, CAST(tile_x AS INTEGER) AS tile_x, CAST(tile_y AS INTEGER) AS tile_y FROM rings GROUP BY id, tile_x, tile_y
+    HAVING bool_or(narrow) OR (bool_or(ring = 0 AND meets AND (edge OR centre)) AND NOT bool_or(ring = 1 AND meets AND NOT edge AND centre))
+)
+SELECT id, tile_x, tile_y, {morton('tile_x', 'tile_y')} AS tile_pos FROM hits"""
 ORACLE["changes_stream"] = ORACLE["apply_changes"]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import coords, ids, tagrules
 from tessera.operators import changes as ch
 from tessera.operators import compare, elements, features, merges, shapes, tiling
+from tessera.plans import build, update
 from tessera.plans import standin as st
 from tessera.sources.shared import shared_dir
 from tessera.sources.store import Store
@@ -321,6 +322,30 @@ def tile_patch(spark: SparkSession, sf: str) -> DataFrame:
     return patch.select(*keys, "action")
 
 
+def updated_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Tile entries of a store after a changeset that moves nodes, shortens ways and deletes ways: patched, not assembled anew."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    common = [F.lit(1).alias("version"), F.lit(True).alias("visible")]
+    nodes, ways = st.nodes(spark, sf), st.ways(spark, sf)
+    relations = ways.limit(0).select("id", *common, "tags", F.array(F.struct(F.col("id").alias("combined_id"), F.lit("").alias("role"))).alias("members"))
+    first = {"nodes": nodes.select("id", *common, "tags"), "points": nodes.select("id", "x", "y"), "ways": ways.select("id", *common, "tags", "nodes"), "relations": relations}
+    store.commit(first | {"refs": elements.references(ways)}, sequence=0)
+    build.assemble_geometry(store)
+
+    def change(rows: DataFrame, op: str, kind: int, tags: Column, refs: Column, x: Column, y: Column) -> DataFrame:
+        return rows.select(
+            F.lit(1).cast("long").alias("seq"), F.col("id").alias("ord"), F.lit(op).alias("op"), F.lit(kind).alias("type"), "id", F.lit(2).alias("version"),
+            F.lit("2024-01-01").cast("timestamp").alias("ts"), tags.alias("tags"), refs.alias("refs"), x.alias("x"), y.alias("y"),
+        )
+
+    none, nothing = F.lit(None).cast("int"), F.slice("nodes", 1, 0)
+    moved = change(nodes.filter("id % 97 = 0"), "modify", ids.NODE, F.col("tags"), F.array().cast("array<long>"), F.col("x") + 60_000, F.col("y"))
+    shorter = change(ways.filter("id % 103 = 0 and id % 101 <> 0 and size(nodes) > 2"), "modify", ids.WAY, F.col("tags"), F.slice("nodes", F.lit(1), F.size("nodes") - 1), none, none)
+    gone = change(ways.filter("id % 101 = 0"), "delete", ids.WAY, F.col("tags"), nothing, none, none)
+    update.apply_changeset(store, moved.union(shorter).union(gone), 1)
+    return store.read("tiles").select("tile_pos", "combined_id", F.md5("json").alias("digest"))
+
+
 def table_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Tables written to a new store, compacted and listed."""
     store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
@@ -345,7 +370,7 @@ ALL: list[Query] = [
     line_tiles, line_tile_counts, square_tiles, square_ring_tiles, polygon_tiles_general, area_rule_way, area_rule_relation, way_kinds,
     feature_json, external_features, tile_document, simplify_lines, assembled_squares, set_merge, set_merge_partial, map_merge,
     counter_merge, change_filter, dirty_set, apply_changes, change_problems, affected_closure, ref_integrity, store_diff, stale_orders,
-    tile_patch, table_stats, changes_stream,
+    tile_patch, updated_tiles, table_stats, changes_stream,
 ]
 
 
