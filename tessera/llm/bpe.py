@@ -33,6 +33,8 @@ from tessera.llm.pieces import Cache, chunks, spread
 FREQUENT = 60_000
 #: Longer words are not worth a place in that table, and are merged one by one.
 LONGEST = 64
+#: Bytes of the texts that are cut and decoded at once.
+TOGETHER = 2_000_000
 #: Other pieces that a worker keeps, in each half of its cache.
 CACHED = 150_000
 NO_RANK = (1 << 31) - 1
@@ -312,7 +314,7 @@ def frequent_units(texts: DataFrame, codec: Codec, at_most: int = FREQUENT) -> d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in chunks(batch.column(0)):
+            for some in chunks(batch.column(0), TOGETHER):
                 listed, n = cutting.counts(some, LONGEST)
                 yield pa.RecordBatch.from_arrays([listed.cast(pa.string()), n], names=["unit", "n"])
 
@@ -341,7 +343,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for some in chunks(batch.column(0)):
+            for some in chunks(batch.column(0), TOGETHER):
                 ids, ends = merger.value.all(some)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in batch.columns[1:]), lists], names=[*kept, ids_col])
@@ -387,7 +389,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, at_most: int
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             at = 0
-            for some in chunks(batch.column(1)):
+            for some in chunks(batch.column(1), TOGETHER):
                 ids, ends = merger.value.all(some)
                 data, stops = merger.value.decoded(ids, ends)
                 starts, begins = [0, *ends[:-1].tolist()], [0, *stops[:-1].tolist()]
