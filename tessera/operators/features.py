@@ -76,15 +76,19 @@ def is_external(combined: Column, n_tiles: Column, json: Column) -> Column:
 
 
 def place(features: DataFrame, hits: DataFrame) -> DataFrame:
-    """``features (combined_id, json)`` with n_tiles and external, counted over ``hits (combined_id, tile_pos)``; those without a tile go."""
-    n = hits.groupBy("combined_id").agg(F.count("*").alias("n_tiles"))
-    return features.join(n, "combined_id").withColumn("external", is_external(F.col("combined_id"), F.col("n_tiles"), F.col("json")))
+    """``features (combined_id, json)`` with tiles, n_tiles and external; those without a tile go.
 
+    ``hits (combined_id, tile_pos)`` may repeat: they are gathered once by feature and made distinct there.
+    """
+    tiles = hits.groupBy("combined_id").agg(F.collect_set("tile_pos").alias("tiles"))
+    counted = features.join(tiles, "combined_id").withColumn("n_tiles", F.size("tiles").cast("long"))
+    return counted.withColumn("external", is_external(F.col("combined_id"), F.col("n_tiles"), F.col("json")))
 
-def tile_rows(placed: DataFrame, hits: DataFrame) -> DataFrame:
+
+def tile_rows(placed: DataFrame) -> DataFrame:
     """``(tile_pos, combined_id, json)``: the feature itself, or its reference where it is external."""
     line = F.when(F.col("external"), reference(F.col("combined_id"))).otherwise(F.col("json"))
-    return hits.select("combined_id", "tile_pos").join(placed.select("combined_id", line.alias("json")), "combined_id").select("tile_pos", "combined_id", "json")
+    return placed.select(F.explode("tiles").alias("tile_pos"), "combined_id", line.alias("json"))
 
 
 def tile_documents(rows: DataFrame, collection: bool = False) -> DataFrame:

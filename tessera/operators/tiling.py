@@ -60,22 +60,23 @@ def crosses(x1: Column, y1: Column, x2: Column, y2: Column, left: Column, bottom
     return through | level_edge
 
 
-def line_tiles(lines: DataFrame, key: str = "id", column: str = "line", level: int = 0) -> DataFrame:
-    """Distinct ``(key, tile_x, tile_y, tile_pos)`` of lines of two points or more."""
+def line_tiles(lines: DataFrame, key: str = "id", column: str = "line", level: int = 0, distinct: bool = True) -> DataFrame:
+    """Distinct ``(key, tile_x, tile_y, tile_pos)`` of lines of two points or more; without ``distinct`` a tile comes once for each segment."""
     side = coords.tile_side(level)
-    ranged = lines.filter(F.size(column) > 1).select(key, F.col(column).alias("line"), _tile_range(bounds(F.col(column)), level).alias("r"))
-    narrow = (F.col("r.min_x") == F.col("r.max_x")) | (F.col("r.min_y") == F.col("r.max_y"))
-    whole = ranged.filter(narrow).select(key, "r", _range(F.col("r.min_x"), F.col("r.max_x")).alias("tile_x"))
-    whole = whole.select(key, "tile_x", _range(F.col("r.min_y"), F.col("r.max_y")).alias("tile_y"))
-    each = segments(ranged.filter(~narrow))
+    ranged = lines.filter(F.size(column) > 1).select(key, F.col(column).alias("line"), bounds(F.col(column)).alias("b"))
+    ranged = ranged.withColumn("r", _tile_range(F.col("b"), level))
+    ranged = ranged.withColumn("narrow", (F.col("r.min_x") == F.col("r.max_x")) | (F.col("r.min_y") == F.col("r.max_y")))
+    # a narrow line stands for all tiles of its bounds, as if it were one segment through them
+    through = F.array(F.struct(F.col("b.min_x").alias("x"), F.col("b.min_y").alias("y")), F.struct(F.col("b.max_x").alias("x"), F.col("b.max_y").alias("y")))
+    each = segments(ranged.select(key, "r", "narrow", F.when(F.col("narrow"), through).otherwise(F.col("line")).alias("line")))
     # a segment that lies on a tile's low side touches the tile before it too
     first = lambda a, b, low: F.greatest(low, coords.to_tile(F.least(a, b) - 1, level))
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    columns = each.select(key, "r", "x1", "y1", "x2", "y2", _range(first(x1, x2, F.col("r.min_x")), coords.to_tile(F.greatest(x1, x2), level)).alias("tile_x"))
-    cells = columns.select(key, "x1", "y1", "x2", "y2", "tile_x", _range(first(y1, y2, F.col("r.min_y")), coords.to_tile(F.greatest(y1, y2), level)).alias("tile_y"))
+    columns = each.select(key, "r", "narrow", "x1", "y1", "x2", "y2", _range(first(x1, x2, F.col("r.min_x")), coords.to_tile(F.greatest(x1, x2), level)).alias("tile_x"))
+    cells = columns.select(key, "narrow", "x1", "y1", "x2", "y2", "tile_x", _range(first(y1, y2, F.col("r.min_y")), coords.to_tile(F.greatest(y1, y2), level)).alias("tile_y"))
     left, bottom = coords.tile_start(F.col("tile_x"), level), coords.tile_start(F.col("tile_y"), level)
-    exact = cells.filter(touches(x1, y1, x2, y2, left, bottom, side)).select(key, "tile_x", "tile_y").distinct()
-    return with_pos(whole.union(exact))
+    hits = cells.filter(F.col("narrow") | touches(x1, y1, x2, y2, left, bottom, side)).select(key, "tile_x", "tile_y")
+    return with_pos(hits.distinct() if distinct else hits)
 
 
 def polygon_tiles(shapes: DataFrame, key: str = "id", outer: str = "outer", inners: str = "inners", level: int = 0) -> DataFrame:

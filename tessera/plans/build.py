@@ -67,10 +67,10 @@ def at_level(made: DataFrame, level: int) -> DataFrame:
 
 
 def geometry_tiles(made: DataFrame, level: int) -> DataFrame:
-    """Distinct ``(combined_id, tile_x, tile_y, tile_pos)``."""
-    lines = tiling.line_tiles(made.filter("line is not null"), "combined_id", level=level)
+    """``(combined_id, tile_x, tile_y, tile_pos)``, a tile of a line once for each segment."""
+    lines = tiling.line_tiles(made.filter("line is not null"), "combined_id", level=level, distinct=False)
     each = made.filter("shapes is not null").select("combined_id", F.explode("shapes").alias("s")).select("combined_id", "s.outer", "s.inners")
-    return lines.union(tiling.polygon_tiles(each, "combined_id", level=level)).distinct()
+    return lines.union(tiling.polygon_tiles(each, "combined_id", level=level))
 
 
 def laid_out(made: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
@@ -81,8 +81,8 @@ def laid_out(made: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
         hits = geometry_tiles(simple, level)
         text = F.when(F.col("shapes").isNull(), features.line_geometry(F.col("line"))).otherwise(features.area_geometry(F.col("shapes")))
         found = features.place(simple.select("combined_id", features.feature(text, F.col("tags"), F.col("combined_id")).alias("json")), hits)
-        placed.append(found.withColumn("level", F.lit(level)))
-        rows.append(features.tile_rows(found, hits).withColumn("level", F.lit(level)))
+        placed.append(found.drop("tiles").withColumn("level", F.lit(level)))
+        rows.append(features.tile_rows(found).withColumn("level", F.lit(level)))
     return reduce(DataFrame.union, placed), reduce(DataFrame.union, rows)
 
 

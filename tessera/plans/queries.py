@@ -14,7 +14,7 @@ from tessera.operators import changes as ch
 from tessera.operators import compare, elements, features, merges, shapes, tiling
 from tessera.plans import build, update
 from tessera.plans import standin as st
-from tessera.sources.shared import shared_dir
+from tessera.sources.shared import materialize, shared_dir
 from tessera.sources.store import Store
 from tessera.streaming import replication
 
@@ -189,20 +189,17 @@ def feature_json(spark: SparkSession, sf: str) -> DataFrame:
     return _features(spark, sf).select("combined_id", "json")
 
 
-def _tiles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
     made = _features(spark, sf)
-    hits = tiling.line_tiles(made, key="combined_id")
-    return features.place(made.select("combined_id", "json"), hits), hits
+    return features.place(made.select("combined_id", "json"), tiling.line_tiles(made, key="combined_id", distinct=False))
 
 
 def external_features(spark: SparkSession, sf: str) -> DataFrame:
-    placed, _ = _tiles(spark, sf)
-    return placed.select("combined_id", "n_tiles", F.octet_length("json").alias("n_bytes"), "external")
+    return _placed(spark, sf).select("combined_id", "n_tiles", F.octet_length("json").alias("n_bytes"), "external")
 
 
 def tile_document(spark: SparkSession, sf: str) -> DataFrame:
-    placed, hits = _tiles(spark, sf)
-    done = features.tile_documents(features.tile_rows(placed, hits))
+    done = features.tile_documents(features.tile_rows(_placed(spark, sf)))
     return done.select("tile_pos", "n", F.octet_length("document").alias("n_bytes"), F.md5("document").alias("digest"))
 
 
@@ -308,17 +305,19 @@ def stale_orders(spark: SparkSession, sf: str) -> DataFrame:
     return compare.stale(source, named(st.orders_edited(spark, sf), F.when(F.col("o_orderkey") % 71 == 0, 1).otherwise(2 + F.col("o_orderkey") % 2).cast("int")))
 
 
-def _hits_json(lines: DataFrame, odd: Column) -> DataFrame:
-    hits = tiling.line_tiles(lines).select("id", "tile_x", "tile_y")
-    return hits.withColumn("json", F.when(odd, "b").otherwise("a"))
+def _hits_json(lines: DataFrame) -> DataFrame:
+    return tiling.line_tiles(lines).select("id", "tile_x", "tile_y").join(lines.select("id", "json"), "id")
 
 
 def tile_patch(spark: SparkSession, sf: str) -> DataFrame:
-    """From all lines to those that stay, some of them with another text and some shortened."""
-    lines = _lines(spark, sf)
+    """From all lines to those that stay, some of them with another text and some shortened: only lines that differ are tiled."""
+    lines = materialize(_lines(spark, sf).withColumn("json", F.lit("a")), "lines")
     after = lines.filter("id % 97 <> 0").withColumn("line", F.when((F.col("id") % 83 == 0) & (F.size("line") > 2), F.slice("line", 1, 2)).otherwise(F.col("line")))
+    after = after.withColumn("json", F.when(F.col("id") % 89 == 0, "b").otherwise("a"))
+    changed = materialize(compare.diff(lines, after, ["id"]).select("id"), "changed")
+    old, new = (_hits_json(t.join(changed, "id", "left_semi")) for t in (lines, after))
     keys = ["id", "tile_x", "tile_y"]
-    patch = compare.tile_patch(_hits_json(lines, F.lit(False)), _hits_json(after, F.col("id") % 89 == 0), keys)
+    patch = compare.tile_patch(old, new, keys)
     return patch.select(*keys, "action")
 
 
