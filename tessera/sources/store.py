@@ -16,7 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import storage
+from tessera.sources.shared import located, storage
 
 FORMAT = 3
 #: Deltas of a table before it is written anew.
@@ -25,7 +25,7 @@ DELTAS = 8
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root = spark, located(spark, root.rstrip("/"))
         self.fs, self.path = storage(self.root)
         self.fs.create_dir(self.path, recursive=True)
 

@@ -111,3 +111,11 @@ def test_shapefile(spark, tmp_path):
     (tmp_path / "coast.shp").write_bytes(data)
     got = shapefile.read(spark, str(tmp_path / "coast.shp")).orderBy("id").collect()
     assert [r.id for r in got] == [0, 1] and len(got[0].shapes[0].inners) == 1 and got[0].shapes[0].outer[1].y == 10_000_000
+
+
+def test_paths_name_their_file_system(spark):
+    from tessera.sources import shared
+
+    assert shared.located(spark, "/a/b") == "file:///a/b" and shared.located(spark, "s3a://bucket/x") == "s3a://bucket/x"
+    assert shared.storage("file:///a/b")[1] == shared.storage("/a/b")[1] == "/a/b"
+    assert shared.shared_dir(spark).startswith("file:/")
