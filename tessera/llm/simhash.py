@@ -123,8 +123,9 @@ def bucket_stars(fps: np.ndarray, reps: np.ndarray, max_bits: int) -> tuple[np.n
     index = GrayIndex(fps)
     reps = reps[index.order]
     label = np.arange(len(fps))
-    for first in range(0, len(fps), QUERY_BLOCK):
-        label = hook(label, *index.search(first, min(first + QUERY_BLOCK, len(fps)), max_bits))
+    block = max(64, QUERY_BLOCK * 8192 // max(8192, len(fps)))  # what a search holds grows with the bucket
+    for first in range(0, len(fps), block):
+        label = hook(label, *index.search(first, min(first + block, len(fps)), max_bits))
     least = np.full(len(fps), np.iinfo(np.int64).max)
     np.minimum.at(least, label, reps)
     to = least[label]

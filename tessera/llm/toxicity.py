@@ -5,8 +5,9 @@ it. Those probabilities are taken out of fold while the models are trained, so a
 will be on new text. Terms are lower-case words and their beginnings, which catch inflected forms; the few hundred that
 best tell toxic from other labelled text are chosen by counts over the training rows, in Spark.
 
-The label table marks toxic text only, so the finer categories are derived from it: a toxic document in which chosen terms
-come back is ``repeated``, one with several different ones is ``severe``.
+The label table marks toxic text only, so the finer categories are derived from it and from what the terms do not state: a
+toxic document whose words come back more than in half of the toxic ones is ``repeated``, one with more capitals and
+exclamation marks than half of them is ``shouted``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import id_and_text, materialize
 
-CATEGORIES = ("toxic", "repeated", "severe")
+CATEGORIES = ("toxic", "repeated", "shouted")
 BEGINNINGS = (4, 5, 6)
 _WORD = regex.compile(r"\p{L}+")
 
@@ -120,11 +121,17 @@ def fit(x: np.ndarray, labels: np.ndarray, place: dict[str, int], folds: int = 5
     return Chain(place, models)
 
 
-def categories(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """The labels of the chain from the toxic mark and the chosen terms of a row."""
-    repeated = toxic * (x.max(axis=1, initial=0) > 1)
-    severe = toxic * ((x > 0).sum(axis=1) >= 6)
-    return np.column_stack((toxic, repeated, severe))
+def manner(text: str) -> tuple[float, float]:
+    """The share of words that have come before in a text, and that of capitals and exclamation marks among its characters."""
+    words = text.lower().split()
+    loud = sum(c.isupper() for c in text) + text.count("!")
+    return (len(words) - len(set(words))) / max(1, len(words)), loud / max(1, len(text))
+
+
+def categories(manners: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The labels of the chain from the toxic mark and the manner of each row."""
+    usual = np.median(manners[toxic > 0], axis=0) if toxic.any() else np.zeros(2)
+    return np.column_stack((toxic, (manners > usual) * toxic[:, None]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_other: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
@@ -143,19 +150,22 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_other:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [vector(t, place).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "toxic", "x"])
+            texts = batch.column(2).to_pylist()
+            made = [vector(t, place).tobytes() for t in texts]
+            manners = [pa.array(m, pa.float64()) for m in np.array([manner(t) for t in texts], np.float64).reshape(-1, 2).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary()), *manners], names=["doc_id", "toxic", "x", "again", "loud"])
 
-    made = sorted(rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, x binary").collect())
+    kinds = "doc_id long, toxic int, x binary, again double, loud double"
+    made = sorted(rows.select("doc_id", "toxic", "text").mapInArrow(run, kinds).collect())
     x = np.frombuffer(b"".join(bytes(r.x) for r in made), np.float32).reshape(len(made), len(place)).astype(np.float64)
     toxic = np.array([r.toxic for r in made], np.float64)
     if not made or not place:
         return Chain(place, [np.append(np.zeros(len(place) + i), -4.0) for i in range(len(CATEGORIES))])
-    return fit(x, categories(x, toxic), place)
+    return fit(x, categories(np.array([(r.again, r.loud) for r in made]), toxic), place)
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """``(doc_id, held_out, toxic, repeated, severe, predicted)`` for every row of ``docs``; predicted is 1 where toxic reaches the threshold.
+    """``(doc_id, held_out, toxic, repeated, shouted, predicted)`` for every row of ``docs``; predicted is 1 where toxic reaches the threshold.
 
     A null or empty text has the chain's probabilities of no terms; a null doc_id is carried, with a null held_out;
     repeated rows score alike; an empty table gives an empty result; with no toxic labels every probability is low.

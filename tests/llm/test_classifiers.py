@@ -88,3 +88,11 @@ def test_slope_of_the_risk():
             up[i] += 1e-5
             down[i] -= 1e-5
             assert abs((quality.risk(up, 7, 0.4) - quality.risk(down, 7, 0.4)) / 2e-5 - slope[i]) < 1e-8
+
+
+def test_finer_categories_are_of_the_text():
+    texts = ["a b c d", "a a a a", "LOUD words!!", "calm LOUD LOUD LOUD LOUD!", "a a a a a"]
+    toxic = np.array([1, 1, 1, 1, 0.0])
+    made = toxicity.categories(np.array([toxicity.manner(t) for t in texts]), toxic)
+    assert made.tolist() == [[1, 0, 0], [1, 1, 0], [1, 0, 1], [1, 1, 1], [0, 0, 0]]
+    assert toxicity.manner("") == (0.0, 0.0)
