@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import ids
+from tessera.functions import ids, tagrules
 from tessera.operators import elements, features, shapes, tiling
 from tessera.sources import osm_xml, pbf, shapefile
 from tessera.sources.store import Store
@@ -73,6 +73,17 @@ def geometry_tiles(made: DataFrame, level: int) -> DataFrame:
     return lines.union(tiling.polygon_tiles(each, "combined_id", level=level))
 
 
+def node_features(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Features of the visible tagged nodes, and the tile of each, on level 0: nodes that were asked for in tiles."""
+    own = ids.combined_id(ids.NODE, F.col("id")).alias("combined_id")
+    tagged = tables["nodes"].filter(tagrules.allowed_in_tiles(F.lit(ids.NODE), F.col("visible"), nodes=True) & (F.size("tags") > 0))
+    placed = tiling.point_tiles(tagged.join(tables["points"], "id"))
+    text = features.feature(features.point_geometry(F.struct("x", "y")), F.col("tags"), ids.combined_id(ids.NODE, F.col("id")))
+    found = features.place(placed.select(own, text.alias("json")), placed.select(own, "tile_pos"))
+    zero = F.lit(0).alias("level")
+    return found.drop("tiles").withColumn("level", F.lit(0)), features.tile_rows(found).select("*", zero)
+
+
 def laid_out(made: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
     """Tables ``features (level, combined_id, json, n_tiles, external)`` and ``tiles (level, tile_pos, combined_id, json)`` of every level below ``levels``."""
     placed, rows = [], []
@@ -90,9 +101,16 @@ def tables_of(store: Store) -> dict[str, DataFrame]:
     return {name: store.read(name) for name in store.tables()}
 
 
-def assemble_geometry(store: Store, levels: int = 1) -> None:
-    """Write the tables of ``laid_out`` for everything in the store."""
-    placed, rows = laid_out(geometries(tables_of(store)), levels)
+def assemble_geometry(store: Store, levels: int = 1, nodes: bool = False) -> None:
+    """Write the tables of ``laid_out`` for everything in the store; tagged nodes are among them only if they are asked for.
+
+    An update keeps ways, relations and coastlines up to date, and not nodes in tiles.
+    """
+    tables = tables_of(store)
+    placed, rows = laid_out(geometries(tables), levels)
+    if nodes:
+        more = node_features(tables)
+        placed, rows = placed.unionByName(more[0]), rows.unionByName(more[1])
     store.commit({"features": placed, "tiles": rows}, sort={"features": "combined_id", "tiles": "tile_pos"}, levels=levels)
 
 
@@ -127,6 +145,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("store")
     parser.add_argument("arguments", nargs="*")
     parser.add_argument("--levels", type=int, default=1)
+    parser.add_argument("--nodes", action="store_true", help="tagged nodes in tiles too")
     given = parser.parse_args(argv)
     store = Store(SparkSession.builder.getOrCreate(), given.store)
     if given.mode == "digest_pbf":
@@ -136,7 +155,7 @@ def main(argv: list[str] | None = None) -> None:
     elif given.mode == "recompute_references":
         recompute_references(store)
     elif given.mode == "assemble_geometry":
-        assemble_geometry(store, given.levels)
+        assemble_geometry(store, given.levels, given.nodes)
     elif given.mode == "average_point_density":
         average_point_density(store).show()
     elif given.mode == "compact":

@@ -255,6 +255,18 @@ ORACLE["polygon_tiles_general"] = f"""WITH {SQUARES}, corners AS (
     HAVING bool_or(narrow) OR (bool_or(ring = 0 AND meets AND (edge OR centre)) AND NOT bool_or(ring = 1 AND meets AND NOT edge AND centre))
 )
 SELECT id, tile_x, tile_y, {morton('tile_x', 'tile_y')} AS tile_pos FROM hits"""
+ORACLE |= {
+    "multipoint_tiles": f"WITH {ALL_LINES}, p AS (SELECT id, unnest(line) AS p FROM lines), t AS (SELECT DISTINCT id, {tile('p.x')} AS tile_x, {tile('p.y')} AS tile_y FROM p) SELECT id, tile_x, tile_y, {morton('tile_x', 'tile_y')} AS tile_pos FROM t",
+    "multipoint_json": f"""WITH {ALL_LINES}, texts AS (
+    SELECT id, list_transform(line, lambda p: '[' || {coordinate("p.x")} || ',' || {coordinate("p.y")} || ']') AS t FROM lines
+) SELECT id, CASE WHEN id % 2 = 0 OR len(t) < 2 THEN '{{"type":"Point","coordinates":' || t[1] || '}}' ELSE '{{"type":"MultiPoint","coordinates":[' || t[1] || ',' || t[2] || ']}}' END AS json FROM texts""",
+    "step_measures": f"""WITH {ALL_LINES}, p AS (SELECT id, line[1].x::DOUBLE AS ax, line[1].y::DOUBLE AS ay, line[2].x::DOUBLE AS bx, line[2].y::DOUBLE AS by_, line[3].x::DOUBLE AS cx, line[3].y::DOUBLE AS cy FROM lines)
+SELECT id, round(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 4) AS step, 0.5::DOUBLE * abs((bx - ax) * (cy - ay) - (cx - ax) * (by_ - ay)) AS area FROM p""",
+    "tile_gate": f"SELECT type, count(*) FILTER (type <> 0 AND id % 7 <> 0) AS n, count(*) FILTER (id % 7 <> 0) AS n_with_nodes FROM ({_IDS}) GROUP BY type",
+    "bounds_relations": f"""WITH {SQUARES}, b AS (SELECT id, cx - h AS x0, cx + h AS x1, cy - h AS y0, cy + h AS y1 FROM squares)
+SELECT a.id, a.x0 <= b.x0 AND a.x1 >= b.x1 AND a.y0 <= b.y0 AND a.y1 >= b.y1 AS contains, a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0 AS intersects FROM b a JOIN b ON b.id = a.id + 1""",
+    "way_lookup": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT 1 + 97 * i FROM range(21) t(i)) AND o_orderkey < 2000",
+}
 ORACLE["changes_stream"] = ORACLE["apply_changes"]
 
 

@@ -158,6 +158,44 @@ def polygon_tiles_general(spark: SparkSession, sf: str) -> DataFrame:
     return tiling.polygon_tiles(made)
 
 
+def multipoint_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The tiles that each way's nodes lie in, as a multipoint."""
+    return tiling.multipoint_tiles(_lines(spark, sf), "id", "line")
+
+
+def multipoint_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Ways' first one or two nodes as points and multipoints."""
+    some = F.slice("line", F.lit(1), (F.col("id") % 2 + 1).cast("int"))
+    return _lines(spark, sf).select("id", features.multipoint_geometry(some).alias("json"))
+
+
+def step_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Each way's first step, and the triangle of its first three points."""
+    p = [F.get("line", F.lit(i)) for i in range(3)]
+    area = F.when(F.size("line") > 2, coords.triangle_area(*p))
+    return _lines(spark, sf).select("id", F.round(coords.distance(p[0]["x"], p[0]["y"], p[1]["x"], p[1]["y"]), 4).alias("step"), area.alias("area"))
+
+
+def tile_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """How many elements of each type may be in tiles, without nodes and with them."""
+    kind = ids.element_type(F.col("combined_id"))
+    rows = combined_ids(spark, sf).select(kind.alias("type"), (ids.element_id(F.col("combined_id")) % 7 != 0).alias("visible"))
+    counts = [F.count_if(tagrules.allowed_in_tiles(F.col("type"), F.col("visible"), nodes)).alias(name) for nodes, name in ((False, "n"), (True, "n_with_nodes"))]
+    return rows.groupBy("type").agg(*counts)
+
+
+def bounds_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """How the bounds of neighbouring squares lie to each other."""
+    s = st.squares(spark, sf).select("id", elements.bounds(F.col("outer")).alias("a"))
+    met = s.join(s.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
+    return met.select("id", elements.bounds_contain(F.col("a"), F.col("b")).alias("contains"), elements.bounds_intersect(F.col("a"), F.col("b")).alias("intersects"))
+
+
+def way_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """A few ways by id; the filter reaches the scan."""
+    return elements.lookup(st.table(spark, sf, "orders"), list(range(1, 2000, 97)), "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
 def area_rule_way(spark: SparkSession, sf: str) -> DataFrame:
     order = st.table(spark, sf, "orders")
     tags = st.way_tags(F.col("o_orderstatus"), F.col("o_orderpriority"))
@@ -366,7 +404,7 @@ def changes_stream(spark: SparkSession, sf: str) -> DataFrame:
 ALL: list[Query] = [
     nodes_by_tile, tile_round_trip, tile_levels, level_tiles, coord_text, coord_parse, coord_fixed, size_texts, combined_ids, location_paths,
     type_counts, latest_version, reverse_refs, way_points, way_missing_node_guard, relation_way_points, way_bounds, segment_density,
-    line_tiles, line_tile_counts, square_tiles, square_ring_tiles, polygon_tiles_general, area_rule_way, area_rule_relation, way_kinds,
+    line_tiles, line_tile_counts, square_tiles, square_ring_tiles, polygon_tiles_general, multipoint_tiles, multipoint_json, step_measures, tile_gate, bounds_relations, way_lookup, area_rule_way, area_rule_relation, way_kinds,
     feature_json, external_features, tile_document, simplify_lines, assembled_squares, set_merge, set_merge_partial, map_merge,
     counter_merge, change_filter, dirty_set, apply_changes, change_problems, affected_closure, ref_integrity, store_diff, stale_orders,
     tile_patch, updated_tiles, table_stats, changes_stream,

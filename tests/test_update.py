@@ -134,3 +134,11 @@ def test_a_digested_store_follows_a_stream(spark, store, tmp_path):
     spark.createDataFrame(changes, ch.CHANGE).write.parquet(source)
     replication.follow(spark, store, source, checkpoint).awaitTermination()
     assert store.properties()["sequence"] == 6 and store.read("points").filter("id = 6").first().x == 9
+
+
+def test_nodes_in_tiles_if_asked_for(spark, store):
+    store.commit({"nodes": spark.createDataFrame([(1, 1, True, {"shop": "x"}), (2, 1, True, {}), (3, 1, False, {"shop": "y"})], NODE)})
+    assert store.read("tiles").filter("combined_id BETWEEN 0 AND 100").count() == 0
+    build.assemble_geometry(store, nodes=True)
+    found = store.read("tiles").filter("combined_id BETWEEN 0 AND 100").collect()
+    assert [(r.combined_id, r.level) for r in found] == [(1, 0)] and '"type":"Point"' in found[0].json
