@@ -173,7 +173,7 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
-        self.cache = Cache(self._missing)
+        self.cache = Cache(self.distinct)
 
     def __reduce__(self):
         return Encoder, (self.definition,)
@@ -185,7 +185,7 @@ class Encoder:
         """The ids of all texts end to end, and where each text's ids end."""
         return encode(texts, self.cache, self._encode)
 
-    def _missing(self, pieces: list[str]) -> list[bytes]:
+    def distinct(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces. Those that start with their only white space are encoded many to a text and told apart by
         the ids that start with a space; the others go to the tokenizer one by one."""
         # sorted, as neighbours share merges that are then at hand
