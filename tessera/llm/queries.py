@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontaminate, fill_in_middle, filter_audit, language_model, neighbours, quality, secrets, simhash, substring_dedup, token_files, toxicity
+from tessera.llm import bpe, decontaminate, fill_in_middle, filter_audit, language_model, lexicon, neighbours, quality, secrets, simhash, substring_dedup, token_files, toxicity
 from tessera.llm.common import read_table
 
 
@@ -61,6 +61,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
