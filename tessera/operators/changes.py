@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ids
 from tessera.operators.compare import missing_references
+from tessera.operators.elements import narrowed
 from tessera.sources.shared import materialize
 
 ELEMENT = "type int, id long, version int, visible boolean, tags map<string,string>, refs array<long>, x int, y int"
 CHANGE = "seq long, ord long, op string, type int, id long, version int, ts timestamp, tags map<string,string>, refs array<long>, x int, y int"
+#: A change as feeds give it, with the roles of a relation's members in their order.
+FEED = f"{CHANGE}, roles array<string>"
 FIELDS = ["type", "id", "version", "visible", "tags", "refs", "x", "y"]
 
 
@@ -107,13 +110,14 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1000, written:
     """``(combined_id)``: the seeds and everything that refers to them, however far; cycles end.
 
     Works frontier by frontier; each is written to the shared folder, so the lineage stays short and no id passes through the
-    driver. The edges are written there once, unless they are a table that is read as it lies (``written``).
+    driver. A round reads the ranges of the edges in which its frontier lies. The edges are laid out by ref for that and
+    written there once, unless they are a table that is read as it lies (``written``).
     """
-    edges = edges if written else materialize(edges.select("ref", "referrer"), "edges")
+    edges = edges if written else materialize(edges.select("ref", "referrer").repartitionByRange("ref").sortWithinPartitions("ref"), "edges")
     frontier = materialize(seeds.select(F.col(seeds.columns[0]).alias("combined_id")).distinct(), "frontier")
     seen = frontier
     for _ in range(max_rounds):
-        met = edges.join(frontier, edges["ref"] == frontier["combined_id"], "left_semi").select(F.col("referrer").alias("combined_id")).distinct()
+        met = narrowed(edges, "ref", frontier, distinct=True).select(F.col("referrer").alias("combined_id")).distinct()
         frontier = materialize(met.join(seen, "combined_id", "left_anti"), "frontier")
         if frontier.isEmpty():
             return seen

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import coords, ids
 
 #: A feature in more than one tile is stored once if its text has more bytes than this.
 INLINE_BYTES = 2048
+#: Ids of a range, of which a tile's features are gathered at once, as a power of two.
+ID_RANGE_BITS = 16
 
 
 def point_text(p: Column) -> Column:
@@ -75,29 +77,60 @@ def is_external(combined: Column, n_tiles: Column, json: Column) -> Column:
     return (ids.element_type(combined) == ids.COASTLINE) | ((n_tiles > 1) & (F.octet_length(json) > INLINE_BYTES))
 
 
+def _runs(intervals: Column) -> Column:
+    """Ascending intervals that do not overlap, those that follow each other made one."""
+    at = lambda i: F.get(intervals, i)
+    firsts = F.filter(intervals, lambda x, i: F.coalesce(at(i - 1)["last"] + 1 != x["first"], F.lit(True)))
+    lasts = F.filter(intervals, lambda x, i: F.coalesce(at(i + 1)["first"] - 1 != x["last"], F.lit(True)))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["first"].alias("first"), b["last"].alias("last")))
+
+
 def place(features: DataFrame, hits: DataFrame) -> DataFrame:
-    """``features (combined_id, json)`` with tiles, n_tiles and external; those without a tile go.
+    """``features (combined_id, json)`` with tiles, n_tiles and external; those without a tile go. ``tiles`` is an array of intervals
+    ``first, last`` of tile positions, so its size goes with a feature's border and not with its area.
 
-    ``hits (combined_id, tile_pos)`` may repeat: they are gathered once by feature and made distinct there.
+    ``hits`` is ``(combined_id, tile_pos)`` or, for intervals one of which may lie inside another but not across its end,
+    ``(combined_id, first, last)``. Both may repeat: they are gathered once by feature and made distinct there.
     """
-    tiles = hits.groupBy("combined_id").agg(F.collect_set("tile_pos").alias("tiles"))
-    counted = features.join(tiles, "combined_id").withColumn("n_tiles", F.size("tiles").cast("long"))
+    if "tile_pos" in hits.columns:
+        gathered = hits.groupBy("combined_id").agg(F.array_sort(F.collect_set("tile_pos")).alias("held"))
+        held = F.transform("held", lambda x: F.struct(x.alias("first"), x.alias("last")))
+    else:
+        before = Window.partitionBy("combined_id").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
+        outermost = hits.withColumn("upto", F.max("last").over(before)).filter("upto is null or upto < first")
+        gathered = outermost.groupBy("combined_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("held"))
+        held = F.col("held")
+    tiles = gathered.select("combined_id", _runs(held).alias("tiles"))
+    n_tiles = F.aggregate("tiles", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+    counted = features.join(tiles, "combined_id").withColumn("n_tiles", n_tiles)
     return counted.withColumn("external", is_external(F.col("combined_id"), F.col("n_tiles"), F.col("json")))
 
 
 def tile_rows(placed: DataFrame) -> DataFrame:
-    """``(tile_pos, combined_id, json)``: the feature itself, or its reference where it is external."""
+    """``(tile_pos, combined_id, json)``: the feature itself, or its reference where it is external, in every tile of its intervals; with
+    ``level`` before them where ``placed`` has it."""
+    level = [c for c in placed.columns if c == "level"]
     line = F.when(F.col("external"), reference(F.col("combined_id"))).otherwise(F.col("json"))
-    return placed.select(F.explode("tiles").alias("tile_pos"), "combined_id", line.alias("json"))
+    spans = placed.select(*level, F.explode("tiles").alias("t"), "combined_id", line.alias("json"))
+    return spans.select(*level, F.explode(F.sequence("t.first", "t.last")).alias("tile_pos"), "combined_id", "json")
 
 
 def tile_documents(rows: DataFrame, collection: bool = False) -> DataFrame:
-    """``(tile_pos, n, document)``: a tile's features in unsigned id order, one on each line, or as one feature collection."""
-    held = F.array_sort(F.collect_list(ids.unsigned_struct(F.col("combined_id"), F.col("json"))))
-    grouped = rows.groupBy("tile_pos").agg(held.alias("held"))
-    text = F.array_join("held.json", "," if collection else "\n")
+    """``(tile_pos, n, document)``: a tile's features in unsigned id order, one on each line, or as one feature collection.
+
+    Features are gathered by ranges of ids first, which spreads a full tile over many tasks and bounds their lists, and
+    a tile's ranges are then put together in order.
+    """
+    mark = "," if collection else "\n"
+    rows = rows.withColumn("range", F.shiftright("combined_id", ID_RANGE_BITS))
+    held = F.array_sort(F.collect_list(F.struct("combined_id", "json")))
+    parts = rows.groupBy("tile_pos", "range").agg(held.alias("held"))
+    parts = parts.select("tile_pos", "range", F.size("held").cast("long").alias("n"), F.array_join("held.json", mark).alias("text"))
+    # a range holds ids of one sign, in which signed order is unsigned order
+    whole = F.array_sort(F.collect_list(F.struct((F.col("range") < 0).alias("high"), "range", "text")))
+    text = F.array_join(F.col("held.text"), mark)
     text = F.concat(F.lit('{"type":"FeatureCollection","features":['), text, F.lit("]}")) if collection else text
-    return grouped.select("tile_pos", F.size("held").cast("long").alias("n"), text.alias("document"))
+    return parts.groupBy("tile_pos").agg(F.sum("n").alias("n"), whole.alias("held")).select("tile_pos", "n", text.alias("document"))
 
 
 def tile(rows: DataFrame, x: int, y: int) -> DataFrame:

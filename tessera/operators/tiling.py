@@ -2,7 +2,7 @@
 
 A geometry whose bounds lie in one row or one column of tiles hits every tile of its bounds without an exact test. Otherwise
 lines hit the closed tiles that a segment touches; polygons hit the tiles whose open inside their outer ring meets, less those
-that a hole contains. Candidates are generated from the grid, by segment and by row of tiles; there is no join.
+that a hole contains. Candidates are generated from the grid, by walking segments; there is no join with the grid.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import coords, ids
@@ -60,6 +60,24 @@ def crosses(x1: Column, y1: Column, x2: Column, y2: Column, left: Column, bottom
     return through | level_edge
 
 
+def walk(edges: DataFrame, side: Column | int, low_x: Column | None = None, low_y: Column | None = None) -> DataFrame:
+    """``edges`` with each tile (``tile_x``, ``tile_y``) of a side that a segment x1, y1, x2, y2 may touch: for each column of tiles, the
+    rows between where the segment enters the column and leaves it, in whole numbers. So the rows made go with a segment's
+    length and not with its bounds. ``low_x`` and ``low_y`` are tiles before which there are none."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    tile = lambda value: F.floor(value / side).cast("int")
+    # a segment that lies on a tile's low side touches the tile before it too
+    first = lambda value, low: tile(value - 1) if low is None else F.greatest(low, tile(value - 1))
+    columns = edges.withColumn("tile_x", _range(first(F.least(x1, x2), low_x), tile(F.greatest(x1, x2))))
+    left = F.col("tile_x").cast("long") * side
+    columns = columns.withColumns({"_in": F.greatest(left, F.least(x1, x2)), "_out": F.least(left + side, F.greatest(x1, x2))})
+    at = lambda x: F.expr(f"y1 + ((y2 - y1) * ({x} - x1)) div nullif(x2 - x1, 0)")
+    # the division cuts towards zero, so one unit more on either side
+    low = F.greatest(F.coalesce(F.least(at("_in"), at("_out")) - 1, F.least(y1, y2)), F.least(y1, y2))
+    high = F.least(F.coalesce(F.greatest(at("_in"), at("_out")) + 1, F.greatest(y1, y2)), F.greatest(y1, y2))
+    return columns.withColumn("tile_y", _range(first(low, low_y), tile(high))).drop("_in", "_out")
+
+
 def line_tiles(lines: DataFrame, key: str = "id", column: str = "line", level: int = 0, distinct: bool = True) -> DataFrame:
     """Distinct ``(key, tile_x, tile_y, tile_pos)`` of lines of two points or more; without ``distinct`` a tile comes once for each segment."""
     side = coords.tile_side(level)
@@ -69,22 +87,21 @@ def line_tiles(lines: DataFrame, key: str = "id", column: str = "line", level: i
     # a narrow line stands for all tiles of its bounds, as if it were one segment through them
     through = F.array(F.struct(F.col("b.min_x").alias("x"), F.col("b.min_y").alias("y")), F.struct(F.col("b.max_x").alias("x"), F.col("b.max_y").alias("y")))
     each = segments(ranged.select(key, "r", "narrow", F.when(F.col("narrow"), through).otherwise(F.col("line")).alias("line")))
-    # a segment that lies on a tile's low side touches the tile before it too
-    first = lambda a, b, low: F.greatest(low, coords.to_tile(F.least(a, b) - 1, level))
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    columns = each.select(key, "r", "narrow", "x1", "y1", "x2", "y2", _range(first(x1, x2, F.col("r.min_x")), coords.to_tile(F.greatest(x1, x2), level)).alias("tile_x"))
-    cells = columns.select(key, "narrow", "x1", "y1", "x2", "y2", "tile_x", _range(first(y1, y2, F.col("r.min_y")), coords.to_tile(F.greatest(y1, y2), level)).alias("tile_y"))
+    cells = walk(each, side, F.col("r.min_x"), F.col("r.min_y"))
     left, bottom = coords.tile_start(F.col("tile_x"), level), coords.tile_start(F.col("tile_y"), level)
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     hits = cells.filter(F.col("narrow") | touches(x1, y1, x2, y2, left, bottom, side)).select(key, "tile_x", "tile_y")
     return with_pos(hits.distinct() if distinct else hits)
 
 
-def polygon_tiles(shapes: DataFrame, key: str = "id", outer: str = "outer", inners: str = "inners", level: int = 0) -> DataFrame:
-    """Distinct ``(key, tile_x, tile_y, tile_pos)`` of shapes: a closed outer ring and an array of closed inner rings.
+def polygon_intervals(shapes: DataFrame, key: str = "id", outer: str = "outer", inners: str = "inners", level: int = 0) -> DataFrame:
+    """``(key, first, last)``: intervals of tile positions, ends included, of shapes: a closed outer ring and an array of closed inner
+    rings that do not overlap. Two shapes of one key may give a tile twice.
 
-    Rings are tiled by edge, as lines are, and filled by rows of tiles: where the row through the tiles' centres meets the
-    ring an odd number of times to the right of a centre, that tile's centre is inside. So the rows made are those
-    that edges touch and those that come out, whatever the size of the bounds, and no row holds a ring.
+    Edges are walked as lines are. The tiles that they touch are told one by one; so are, in the quadtree above those tiles, the
+    blocks without such a tile whose parent has one: no edge comes near a block, so it is in or out as a whole, and its
+    tiles are one interval. In or out is the parity of the rings met by the row through a tile's centre, before the
+    centre. So the rows made go with the length of the border, whatever the area, and no row holds a ring.
     """
     side = coords.tile_side(level)
     # two shapes of one key may share a tile, so each shape is its own
@@ -92,29 +109,47 @@ def polygon_tiles(shapes: DataFrame, key: str = "id", outer: str = "outer", inne
     narrow = (F.col("r.min_x") == F.col("r.max_x")) | (F.col("r.min_y") == F.col("r.max_y"))
     whole = ranged.filter(narrow).select(key, "r", _range(F.col("r.min_x"), F.col("r.max_x")).alias("tile_x"))
     whole = whole.select(key, "tile_x", _range(F.col("r.min_y"), F.col("r.max_y")).alias("tile_y"))
-    rings = ranged.filter(~narrow).select(key, "shape", F.posexplode("rings").alias("ring", "line"))
-    edges = segments(rings.withColumn("box", bounds(F.col("line"))).repartition(key, "shape", "ring"))
+    # from this height of the quadtree on a block is larger than the bounds, and so never inside
+    top = F.ceil(F.log2(F.greatest(F.col("r.max_x") - F.col("r.min_x"), F.col("r.max_y") - F.col("r.min_y")) + 3)).cast("int")
+    rings = ranged.filter(~narrow).select(key, "shape", top.alias("top"), F.posexplode("rings").alias("ring", "line"))
+    edges = segments(rings.withColumn("box", bounds(F.col("line"))).repartition(key, "shape", "ring")).filter("x1 <> x2 or y1 <> y2")
     x1, y1, x2, y2, box = (F.col(c) for c in ("x1", "y1", "x2", "y2", "box"))
-    near = edges.withColumn("tile_x", _range(coords.to_tile(F.least(x1, x2) - 1, level), coords.to_tile(F.greatest(x1, x2), level)))
-    near = near.withColumn("tile_y", _range(coords.to_tile(F.least(y1, y2) - 1, level), coords.to_tile(F.greatest(y1, y2), level)))
     left, bottom = coords.tile_start(F.col("tile_x"), level), coords.tile_start(F.col("tile_y"), level)
     overlaps = (box["min_x"] < left + side) & (box["max_x"] > left) & (box["min_y"] < bottom + side) & (box["max_y"] > bottom)
-    ids_of = [key, "shape", "ring", "tile_x", "tile_y"]
-    border = near.filter(overlaps & crosses(x1, y1, x2, y2, left, bottom, side)).select(*ids_of, F.lit(True).alias("edge"))
-    # the rows of tiles whose centre line an edge meets, and where
+    through = overlaps & crosses(x1, y1, x2, y2, left, bottom, side)
+    near = walk(edges, side).filter(touches(x1, y1, x2, y2, left, bottom, side))
+    place = [key, "shape", "tile_x", "tile_y"]
+    border = near.groupBy(*place).agg(F.max("top").alias("top"), F.bool_or(through & (F.col("ring") == 0)).alias("edge"), F.bool_or(through & (F.col("ring") > 0)).alias("hole_edge"))
+    # blocks of height k are named by their first tile's place over 2^k
+    up = border.select(key, "shape", "top", "tile_x", "tile_y", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("k"))
+    high = lambda c: F.expr(f"shiftright({c}, k)")
+    touched = up.select(key, "shape", "k", high("tile_x").alias("bx"), high("tile_y").alias("by")).distinct()
+    below = F.explode(F.array(*[F.struct((F.col("bx") * 2 + dx).alias("bx"), (F.col("by") * 2 + dy).alias("by")) for dx in (0, 1) for dy in (0, 1)]))
+    blocks = touched.filter("k > 0").select(key, "shape", (F.col("k") - 1).alias("k"), below.alias("b")).select(key, "shape", "k", "b.bx", "b.by")
+    blocks = blocks.join(touched, [key, "shape", "k", "bx", "by"], "left_anti")
+    first_tile = lambda c: F.expr(f"shiftleft({c}, k)")
+    asked = blocks.select(key, "shape", "k", first_tile("bx").alias("tile_x"), first_tile("by").alias("tile_y"), F.lit(None).cast("boolean").alias("edge"), F.lit(None).cast("boolean").alias("hole_edge"))
+    asked = asked.union(border.select(key, "shape", F.lit(0).alias("k"), "tile_x", "tile_y", "edge", "hole_edge"))
+    # the rows of tiles whose centre line an edge meets, and where; then one sweep over each row
     centre = lambda tile: coords.tile_start(tile, level) + side // 2
     met = edges.withColumn("tile_y", _range(coords.to_tile(F.least(y1, y2), level), coords.to_tile(F.greatest(y1, y2), level)))
     cy = centre(F.col("tile_y"))
     met = met.filter((y1 > cy) != (y2 > cy)).withColumn("x", (x2 - x1) * (cy - y1) / (y2 - y1) + x1)
-    rows = met.groupBy(key, "shape", "ring", "tile_y").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("x") / 2).cast("int") - 1), lambda i: F.struct(F.get("x", 2 * i).alias("a"), F.get("x", 2 * i + 1).alias("b")))
-    spans = rows.select(key, "shape", "ring", "tile_y", F.explode(pairs).alias("p"))
-    tile_of = lambda x: coords.to_tile(F.floor(x).cast("long"), level)
-    filled = spans.withColumn("tile_x", _range(tile_of(F.col("p.a")), tile_of(F.col("p.b"))))
-    cx = centre(F.col("tile_x"))
-    inside = filled.filter((F.col("p.a") <= cx) & (cx < F.col("p.b"))).select(*ids_of, F.lit(False).alias("edge"))
-    cells = border.union(inside).groupBy(*ids_of).agg(F.bool_or("edge").alias("edge"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("k", "int"), ("tile_x", "int"), ("edge", "boolean"), ("hole_edge", "boolean"))]
+    ends = met.select(key, "shape", "tile_y", "x", (F.col("ring") == 0).cast("int").alias("of_outer"), (F.col("ring") > 0).cast("int").alias("of_hole"), *none)
+    zero = F.lit(0)
+    places = asked.select(key, "shape", "tile_y", centre(F.col("tile_x")).cast("double").alias("x"), zero.alias("of_outer"), zero.alias("of_hole"), "k", "tile_x", "edge", "hole_edge")
+    # crossings at a centre come before it
+    row = Window.partitionBy(key, "shape", "tile_y").orderBy("x", F.col("k").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = ends.union(places).withColumns({"in_outer": F.sum("of_outer").over(row) % 2 == 1, "in_hole": F.sum("of_hole").over(row) % 2 == 1}).filter("k is not null")
     # a tile goes with its shape's outer ring unless a hole has all of it
-    kept = cells.groupBy(key, "shape", "tile_x", "tile_y").agg(F.bool_or(F.col("ring") == 0).alias("met"), F.bool_or((F.col("ring") > 0) & ~F.col("edge")).alias("hidden"))
-    exact = kept.filter("met and not hidden").select(key, "tile_x", "tile_y")
-    return with_pos(whole.union(exact).distinct())
+    kept = swept.filter((F.col("in_outer") | F.coalesce("edge", F.lit(False))) & ~(F.col("in_hole") & ~F.coalesce("hole_edge", F.lit(False))))
+    first = ids.morton(F.col("tile_x"), F.col("tile_y"))
+    exact = kept.select(key, first.alias("first"), (first + F.expr("shiftleft(1L, 2 * k)") - 1).alias("last"))
+    return exact.union(whole.select(key, first.alias("first"), first.alias("last")).distinct())
+
+
+def polygon_tiles(shapes: DataFrame, key: str = "id", outer: str = "outer", inners: str = "inners", level: int = 0) -> DataFrame:
+    """Distinct ``(key, tile_x, tile_y, tile_pos)`` of ``polygon_intervals``, spread out."""
+    spread = polygon_intervals(shapes, key, outer, inners, level).select(key, _range(F.col("first"), F.col("last")).alias("tile_pos")).distinct()
+    return spread.select(key, ids.morton_x(F.col("tile_pos")).alias("tile_x"), ids.morton_y(F.col("tile_pos")).alias("tile_y"), "tile_pos")

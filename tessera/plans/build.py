@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, tagrules
-from tessera.operators import elements, features, shapes, tiling
+from tessera.operators import elements, features, rings, shapes, tiling
 from tessera.sources import osm_xml, pbf, shapefile
+from tessera.sources.shared import materialize
 from tessera.sources.store import Store
 
 
@@ -19,7 +20,8 @@ def digest_pbf(store: Store, path: str, any_order: bool = False) -> None:
     found = pbf.tables(pbf.read(store.spark, path, any_order))
     head = pbf.header(path)
     edges = elements.references(found["ways"], found["relations"])
-    store.commit(found | {"refs": edges}, sort={"points": "id", "ways": "id", "refs": "ref"}, sequence=head.get("sequence", -1), timestamp=None, base_url=head.get("base_url"))
+    order = {"nodes": "id", "points": "id", "ways": "id", "relations": "id", "refs": "ref"}
+    store.commit(found | {"refs": edges}, sort=order, sequence=head.get("sequence", -1), timestamp=head.get("timestamp"), base_url=head.get("base_url"))
 
 
 def digest_coastlines(store: Store, path: str) -> None:
@@ -33,27 +35,32 @@ def recompute_references(store: Store) -> None:
 def geometries(tables: dict[str, DataFrame], only: DataFrame | None = None) -> DataFrame:
     """``(combined_id, tags, line, shapes)`` of every visible way, relation and coastline that has a geometry.
 
-    ``tables`` are a store's by name; ``only``, a table of combined_id, keeps the elements to be assembled to those.
+    ``tables`` are a store's by name; ``only``, a table of combined_id, keeps the elements to be assembled to those. They and what they
+    refer to are then read by key.
     """
-    points = tables["points"]
+    points, by_key = tables["points"], only is not None
 
     def wanted(table: DataFrame, kind: int) -> DataFrame:
         if only is None:
             return table
-        return table.join(only.select(F.col("combined_id").alias("_own")), ids.combined_id(kind, F.col("id")) == F.col("_own"), "left_semi")
+        own = only.filter(ids.element_type(F.col("combined_id")) == kind).select(ids.element_id(F.col("combined_id")).alias("id"))
+        return elements.narrowed(table, "id", own)
 
-    ways = elements.way_geometries(wanted(tables["ways"].filter("visible"), ids.WAY), points)
-    made = ways.withColumn("shapes", F.when(F.col("kind") == "area", shapes.assemble(F.array("line"))))
-    # a closed way whose ring is not valid stays a line
     own = lambda kind: ids.combined_id(kind, F.col("id")).alias("combined_id")
-    parts = [made.select(own(ids.WAY), "tags", F.when(F.col("shapes").isNull(), F.col("line")).alias("line"), "shapes")]
+    ways = elements.way_geometries(wanted(tables["ways"].filter("visible"), ids.WAY), points, by_key)
+    ways = materialize(ways.select(own(ids.WAY), "tags", "kind", "line"), "ways")
     relations = wanted(tables["relations"].filter("visible"), ids.RELATION)
-    lines = elements.relation_lines(relations, tables["ways"], points)
-    area = lines.select("id", shapes.assemble(F.col("members.line")).alias("shapes")).filter("shapes is not null")
-    parts.append(area.join(relations.select("id", "tags"), "id").select(own(ids.RELATION), "tags", F.lit(None).cast(elements.POINTS).alias("line"), "shapes"))
+    closed = ways.filter("kind = 'area'").select(F.col("combined_id").alias("id"), F.lit(0).alias("line"), F.posexplode("line").alias("pos", "p")).select("id", "line", "pos", "p.x", "p.y")
+    of_relations = elements.relation_points(relations, tables["ways"], points, by_key).select(ids.combined_id(ids.RELATION, F.col("id")).alias("id"), "line", "pos", "x", "y")
+    areas = materialize(rings.assemble(closed.union(of_relations)).withColumnRenamed("id", "combined_id"), "areas")
+    # a closed way whose ring is not valid stays a line
+    made = ways.join(areas, "combined_id", "left")
+    none = F.lit(None).cast(elements.POINTS).alias("line")
+    parts = [made.select("combined_id", "tags", F.when(F.col("shapes").isNull(), F.col("line")).alias("line"), "shapes")]
+    parts.append(areas.join(relations.select(own(ids.RELATION), "tags"), "combined_id").select("combined_id", "tags", none, "shapes"))
     if "coastlines" in tables:
         coast = wanted(tables["coastlines"], ids.COASTLINE)
-        parts.append(coast.select(own(ids.COASTLINE), F.create_map(F.lit("natural"), F.lit("coastline")).alias("tags"), F.lit(None).cast(elements.POINTS).alias("line"), "shapes"))
+        parts.append(coast.select(own(ids.COASTLINE), F.create_map(F.lit("natural"), F.lit("coastline")).alias("tags"), none, "shapes"))
     return reduce(DataFrame.union, parts)
 
 
@@ -67,34 +74,34 @@ def at_level(made: DataFrame, level: int) -> DataFrame:
 
 
 def geometry_tiles(made: DataFrame, level: int) -> DataFrame:
-    """``(combined_id, tile_x, tile_y, tile_pos)``, a tile of a line once for each segment."""
+    """``(combined_id, first, last)``: intervals of the tiles of each geometry, a tile of a line once for each segment."""
     lines = tiling.line_tiles(made.filter("line is not null"), "combined_id", level=level, distinct=False)
     each = made.filter("shapes is not null").select("combined_id", F.explode("shapes").alias("s")).select("combined_id", "s.outer", "s.inners")
-    return lines.union(tiling.polygon_tiles(each, "combined_id", level=level))
+    return lines.select("combined_id", F.col("tile_pos").alias("first"), F.col("tile_pos").alias("last")).union(tiling.polygon_intervals(each, "combined_id", level=level))
 
 
-def node_features(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Features of the visible tagged nodes, and the tile of each, on level 0: nodes that were asked for in tiles."""
+def node_features(tables: dict[str, DataFrame], only: DataFrame | None = None) -> DataFrame:
+    """``laid_out`` for the visible tagged nodes, on level 0: nodes that were asked for in tiles; ``only`` as in ``geometries``."""
     own = ids.combined_id(ids.NODE, F.col("id")).alias("combined_id")
-    tagged = tables["nodes"].filter(tagrules.allowed_in_tiles(F.lit(ids.NODE), F.col("visible"), nodes=True) & (F.size("tags") > 0))
-    placed = tiling.point_tiles(tagged.join(tables["points"], "id"))
+    nodes, points = tables["nodes"], tables["points"]
+    if only is not None:
+        keys = only.filter(ids.element_type(F.col("combined_id")) == ids.NODE)
+        nodes, points = (elements.narrowed(t, "id", keys) for t in (nodes, points))
+    tagged = nodes.filter(tagrules.allowed_in_tiles(F.lit(ids.NODE), F.col("visible"), nodes=True) & (F.size("tags") > 0))
+    placed = tiling.point_tiles(tagged.join(points, "id"))
     text = features.feature(features.point_geometry(F.struct("x", "y")), F.col("tags"), ids.combined_id(ids.NODE, F.col("id")))
-    found = features.place(placed.select(own, text.alias("json")), placed.select(own, "tile_pos"))
-    zero = F.lit(0).alias("level")
-    return found.drop("tiles").withColumn("level", F.lit(0)), features.tile_rows(found).select("*", zero)
+    return features.place(placed.select(own, text.alias("json")), placed.select(own, "tile_pos")).withColumn("level", F.lit(0))
 
 
-def laid_out(made: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
-    """Tables ``features (level, combined_id, json, n_tiles, external)`` and ``tiles (level, tile_pos, combined_id, json)`` of every level below ``levels``."""
-    placed, rows = [], []
+def laid_out(made: DataFrame, levels: int) -> DataFrame:
+    """Table ``features (level, combined_id, json, tiles, n_tiles, external)`` of every level below ``levels``."""
+    placed = []
     for level in range(levels):
         simple = at_level(made, level)
-        hits = geometry_tiles(simple, level)
         text = F.when(F.col("shapes").isNull(), features.line_geometry(F.col("line"))).otherwise(features.area_geometry(F.col("shapes")))
-        found = features.place(simple.select("combined_id", features.feature(text, F.col("tags"), F.col("combined_id")).alias("json")), hits)
-        placed.append(found.drop("tiles").withColumn("level", F.lit(level)))
-        rows.append(features.tile_rows(found).withColumn("level", F.lit(level)))
-    return reduce(DataFrame.union, placed), reduce(DataFrame.union, rows)
+        found = features.place(simple.select("combined_id", features.feature(text, F.col("tags"), F.col("combined_id")).alias("json")), geometry_tiles(simple, level))
+        placed.append(found.withColumn("level", F.lit(level)))
+    return reduce(DataFrame.union, placed)
 
 
 def tables_of(store: Store) -> dict[str, DataFrame]:
@@ -102,22 +109,18 @@ def tables_of(store: Store) -> dict[str, DataFrame]:
 
 
 def assemble_geometry(store: Store, levels: int = 1, nodes: bool = False) -> None:
-    """Write the tables of ``laid_out`` for everything in the store; tagged nodes are among them only if they are asked for.
-
-    An update keeps ways, relations and coastlines up to date, and not nodes in tiles.
-    """
+    """Write the features of ``laid_out`` for everything in the store, and the tiles that they make; tagged nodes are among them only if
+    they are asked for."""
     tables = tables_of(store)
-    placed, rows = laid_out(geometries(tables), levels)
-    if nodes:
-        more = node_features(tables)
-        placed, rows = placed.unionByName(more[0]), rows.unionByName(more[1])
-    store.commit({"features": placed, "tiles": rows}, sort={"features": "combined_id", "tiles": "tile_pos"}, levels=levels)
+    placed = laid_out(geometries(tables), levels)
+    placed = materialize(placed.unionByName(node_features(tables)) if nodes else placed, "features")
+    store.commit({"features": placed, "tiles": features.tile_rows(placed)}, sort={"features": "combined_id", "tiles": ["level", "tile_pos"]}, levels=levels, nodes=nodes)
 
 
 def average_point_density(store: Store) -> DataFrame:
     made = geometries(tables_of(store))
-    rings = made.filter("shapes is not null").select(F.explode("shapes").alias("s")).select(F.explode(F.concat(F.array("s.outer"), F.coalesce("s.inners", F.array()))).alias("line"))
-    return elements.mean_segment_length(made.filter("line is not null").select("line").union(rings))
+    borders = made.filter("shapes is not null").select(F.explode("shapes").alias("s")).select(F.explode(F.concat(F.array("s.outer"), F.coalesce("s.inners", F.array()))).alias("line"))
+    return elements.mean_segment_length(made.filter("line is not null").select("line").union(borders))
 
 
 def tile(store: Store, level: int, x: int, y: int) -> str:
@@ -160,7 +163,7 @@ def main(argv: list[str] | None = None) -> None:
         average_point_density(store).show()
     elif given.mode == "compact":
         for name in store.tables():
-            store.compact(name, store.read(name).columns[0])
+            store.compact(name)
     elif given.mode == "create_snapshot":
         store.snapshot(given.arguments[0])
     elif given.mode == "purge":

@@ -267,6 +267,23 @@ SELECT id, round(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)), 4) AS st
 SELECT a.id, a.x0 <= b.x0 AND a.x1 >= b.x1 AND a.y0 <= b.y0 AND a.y1 >= b.y1 AS contains, a.x0 <= b.x1 AND a.x1 >= b.x0 AND a.y0 <= b.y1 AND a.y1 >= b.y0 AS intersects FROM b a JOIN b ON b.id = a.id + 1""",
     "way_lookup": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT 1 + 97 * i FROM range(21) t(i)) AND o_orderkey < 2000",
 }
+_CORNERED = [("x + i * h", "y"), ("x + m * h", "y + i * h"), ("x + m * h - i * h", "y + m * h"), ("x", "y + m * h - i * h")]
+_CLOCKWISE = [("x", "y + i * h"), ("x + i * h", "y + m * h"), ("x + m * h", "y + m * h - i * h"), ("x + m * h - i * h", "y")]
+
+
+def _around(sides: list[tuple[str, str]]) -> str:
+    lists = " || ".join(f"list_transform(range(m), lambda i: CAST({a} AS VARCHAR) || ' ' || CAST({b} AS VARCHAR))" for a, b in sides)
+    return f"array_to_string({lists} || [CAST(x AS VARCHAR) || ' ' || CAST(y AS VARCHAR)], ',')"
+
+
+ORACLE["assembled_relations"] = f"""WITH base AS (
+    SELECT s_suppkey AS id, s_suppkey * 104729 % 1600000 - 800000 AS ox, s_suppkey * 130363 % 1600000 - 800000 AS oy, s_suppkey % 3 + 3 AS n, (s_suppkey % 5 + 1) * 1000 AS w
+    FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0
+), rings AS (
+    SELECT id, true AS is_outer, ox AS x, oy AS y, w // 2 AS h, 2 * n AS m FROM base
+    UNION ALL SELECT id, false, ox + w, oy + w, w // 2, 2 FROM base
+    UNION ALL SELECT id, true, ox + w + w // 4, oy + w + w // 4, (w - w // 4 * 2) // 2, 2 FROM base WHERE n = 5
+) SELECT id, is_outer, CAST(4 * m AS BIGINT) AS n, CASE WHEN is_outer THEN {_around(_CORNERED)} ELSE {_around(_CLOCKWISE)} END AS points FROM rings"""
 ORACLE["changes_stream"] = ORACLE["apply_changes"]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import coords, ids, tagrules
 from tessera.operators import changes as ch
-from tessera.operators import compare, elements, features, merges, shapes, tiling
+from tessera.operators import compare, elements, features, merges, rings, shapes, tiling
 from tessera.plans import build, update
 from tessera.plans import standin as st
 from tessera.sources.shared import materialize, shared_dir
@@ -251,12 +251,22 @@ def assembled_squares(spark: SparkSession, sf: str) -> DataFrame:
     s = st.squares(spark, sf)
     halves = lambda ring: F.array(F.slice(ring, 1, 3), F.slice(ring, 3, 3))
     lines = F.flatten(F.transform(F.concat(F.array(F.col("outer")), F.col("inners")), halves))
-    made = s.select("id", shapes.assemble(lines).alias("shapes"))
+    points = s.select("id", F.posexplode(lines).alias("line", "held")).select("id", "line", F.posexplode("held").alias("pos", "p"))
+    made = rings.assemble(points.select("id", "line", "pos", "p.x", "p.y"))
     one = F.get(F.col("shapes"), F.lit(0))
     box = elements.bounds(one["outer"])
     return made.select("id", F.size("shapes").alias("n_shapes"), F.size(one["inners"]).alias("n_inners"), box["min_x"].alias("min_x"), box["max_y"].alias("max_y"))
 
 
+def assembled_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations of neighbouring squares' sides: shared borders cancel, holes and islands nest, broken ones are left out."""
+    made = rings.ring_points(st.square_sides(spark, sf))
+    line = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias("text"))))
+    return made.groupBy("id", "shape", "ring").agg(line.alias("held")).select(
+        "id", (F.col("shape") == F.col("ring")).alias("is_outer"), (F.size("held") - 1).cast("long").alias("n"), F.array_join("held.text", ",").alias("points")
+    )
+
+
 def _deltas(spark: SparkSession, sf: str) -> DataFrame:
     e = st.table(spark, sf, "events")
     value = F.col("user_id") % 50
@@ -405,7 +415,7 @@ ALL: list[Query] = [
     nodes_by_tile, tile_round_trip, tile_levels, level_tiles, coord_text, coord_parse, coord_fixed, size_texts, combined_ids, location_paths,
     type_counts, latest_version, reverse_refs, way_points, way_missing_node_guard, relation_way_points, way_bounds, segment_density,
     line_tiles, line_tile_counts, square_tiles, square_ring_tiles, polygon_tiles_general, multipoint_tiles, multipoint_json, step_measures, tile_gate, bounds_relations, way_lookup, area_rule_way, area_rule_relation, way_kinds,
-    feature_json, external_features, tile_document, simplify_lines, assembled_squares, set_merge, set_merge_partial, map_merge,
+    feature_json, external_features, tile_document, simplify_lines, assembled_squares, assembled_relations, set_merge, set_merge_partial, map_merge,
     counter_merge, change_filter, dirty_set, apply_changes, change_problems, affected_closure, ref_integrity, store_diff, stale_orders,
     tile_patch, updated_tiles, table_stats, changes_stream,
 ]

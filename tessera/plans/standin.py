@@ -64,6 +64,29 @@ def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumns({"outer": ring(F.col("h")), "inners": F.when(F.col("id") % 2 == 0, F.array(hole)).otherwise(F.slice(F.array(hole), 1, 0))})
 
 
+def square_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, line, pos, x, y)``: for each supplier, the sides of the squares of a grid of n by n, n being 3, 4 or 5, without the one in the
+    second column and row, as a relation's members; grids of 5 have in that hole a smaller square. Each side is a line of three points, every
+    other one backwards. Those of every seventh supplier lack a side, those of every eleventh have a thin triangle across."""
+    k = F.col("s_suppkey")
+    base = table(spark, sf_dir, "supplier").select(
+        k.alias("id"), (k * 104729 % 1600000 - 800000).cast("int").alias("ox"), (k * 130363 % 1600000 - 800000).cast("int").alias("oy"), (k % 3 + 3).cast("int").alias("n"), ((k % 5 + 1) * 1000).cast("int").alias("w")
+    )
+    cells = base.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") * F.col("n") - 1))).filter((F.col("c") % F.col("n") != 1) | (F.floor(F.col("c") / F.col("n")) != 1))
+    cells = cells.select("id", "n", "c", "w", (F.col("ox") + F.col("c") % F.col("n") * F.col("w")).alias("x"), (F.col("oy") + F.floor(F.col("c") / F.col("n")) * F.col("w")).alias("y"))
+    q = F.floor(F.col("w") / 4)
+    island = base.filter("n = 5").select("id", "n", F.lit(25).alias("c"), (F.col("w") - 2 * q).alias("w"), (F.col("ox") + F.col("w") + q).alias("x"), (F.col("oy") + F.col("w") + q).alias("y"))
+    corners = ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))
+    side = lambda i: F.array(*[F.struct(*[F.lit((corners[i][d] * (2 - m) + corners[i + 1][d] * m) // 2).alias("xy"[d]) for d in (0, 1)]) for m in (0, 1, 2)])
+    sides = cells.union(island).select("*", F.posexplode(F.array(*[side(i) for i in range(4)])).alias("s", "p"))
+    sides = sides.filter((F.col("id") % 7 != 0) | (F.col("c") != 0) | (F.col("s") != 0))
+    sides = sides.select("id", (F.col("c") * 4 + F.col("s")).alias("line"), F.when(F.col("c") % 2 == 0, F.col("p")).otherwise(F.reverse("p")).alias("p"), "x", "y", "w")
+    at = lambda c: (F.col(c) + F.col(f"q.{c}") * F.col("w") / 2).cast("int").alias(c)
+    across = base.filter("id % 11 = 0").select("id", F.lit(1000).alias("line"), F.posexplode(F.array(*map(F.lit, (7, 10, 13, 7)))).alias("pos", "up"), "ox", "oy", "n", "w")
+    across = across.select("id", "line", "pos", (F.col("ox") - 1 + F.when(F.col("pos") == 1, F.col("n") * F.col("w") + 2).otherwise(0)).alias("x"), (F.col("oy") + F.col("up")).alias("y"))
+    return sides.select("id", "line", F.posexplode("p").alias("pos", "q"), "x", "y", "w").select("id", "line", "pos", at("x"), at("y")).union(across.select("id", "line", "pos", F.col("x").cast("int"), F.col("y").cast("int")))
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a version of its user, by time and then id."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")

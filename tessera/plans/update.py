@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ids
 from tessera.operators import changes as ch
-from tessera.operators import compare, elements
+from tessera.operators import compare, elements, features, merges
 from tessera.plans import build
 from tessera.sources import osm_xml
 from tessera.sources.shared import materialize
@@ -26,10 +26,10 @@ def _no_refs() -> Column:
 
 
 def touched(tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
-    """The store's rows of the elements ``keys (type, id)``, as ``changes.ELEMENT``."""
+    """The store's rows of the elements ``keys (type, id)``, as ``changes.ELEMENT``, read by key."""
 
     def some(name: str, kind: int) -> DataFrame:
-        return tables[name].join(keys.filter(F.col("type") == kind).select("id"), "id", "left_semi")
+        return elements.narrowed(tables[name], "id", keys.filter(F.col("type") == kind).select("id"))
 
     none = F.lit(None).cast("int")
 
@@ -43,7 +43,7 @@ def touched(tables: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
 
 
 def deltas(after: DataFrame) -> dict[str, Delta]:
-    """What becomes of the tables when ``after (changes.ELEMENT and roles)`` are the states of the touched elements."""
+    """What becomes of the tables of elements when ``after (changes.ELEMENT and roles)`` are the states of the touched ones."""
 
     def rows(kind: int, *columns) -> Delta:
         mine = after.filter(F.col("type") == kind)
@@ -51,16 +51,30 @@ def deltas(after: DataFrame) -> dict[str, Delta]:
 
     role = F.transform("refs", lambda r, i: F.struct(r.alias("combined_id"), F.coalesce(F.get("roles", i), F.lit("")).alias("role")))
     nodes = after.filter(F.col("type") == ids.NODE)
-    referrer = ids.combined_id(F.col("type"), F.col("id")).alias("referrer")
     return {
         "nodes": rows(ids.NODE),
         "points": (nodes.select("id"), nodes.filter("visible").select("id", "x", "y")),
         "ways": rows(ids.WAY, F.col("refs").alias("nodes")),
         "relations": rows(ids.RELATION, role.alias("members")),
-        "refs": (after.filter(F.col("type") != ids.NODE).select(referrer), ch.element_edges(after)),
     }
 
 
+def edge_delta(before: DataFrame, changes: DataFrame) -> Delta:
+    """What becomes of the table of references: each change takes its element out of the lists of what it referred to and puts it in
+    those of what it refers to. These operands are merged by reference and referrer, the last one counting, and only edges
+    that come or go are left."""
+    none = F.array().cast("array<long>")
+    steps = ch.steps(before, changes).filter("op is not null")
+    own = F.array(ids.combined_id(F.col("type"), F.col("id")))
+    met = steps.select(F.struct("version", "ord").alias("op_seq"), own.alias("own"), F.coalesce("before.refs", none).alias("old"), F.when(F.col("visible"), F.col("refs")).otherwise(none).alias("new"))
+    adds = met.select(F.explode("new").alias("key"), "op_seq", F.col("own").alias("adds"), none.alias("dels"))
+    dels = met.select(F.explode("old").alias("key"), "op_seq", none.alias("adds"), F.col("own").alias("dels"))
+    net = merges.merge_sets(merges.set_operands(adds.union(dels))).select(F.col("key").alias("ref"), F.col("value").alias("referrer"), "added")
+    had = ch.element_edges(before).withColumn("had", F.lit(True))
+    turned = materialize(net.join(had, ["ref", "referrer"], "left").filter(F.col("added") != F.coalesce("had", F.lit(False))).select("ref", "referrer", "added"), "edges")
+    return turned.filter("not added").select("ref", "referrer"), turned.filter("added").select("ref", "referrer")
+
+
 def merged(table: DataFrame, delta: Delta) -> DataFrame:
     gone, rows = delta
     return table.join(gone, gone.columns, "left_anti").unionByName(rows)
@@ -78,26 +92,32 @@ def apply_changeset(store: Store, changes: DataFrame, sequence: int) -> None:
     changes = materialize(changes if "roles" in changes.columns else changes.withColumn("roles", F.array().cast("array<string>")), "changes")
     tables = build.tables_of(store)
     before = materialize(touched(tables, changes.select("type", "id").distinct()), "before")
-    ch.check(ch.violations(before, changes, tables["refs"]))
+    # the rules ask for the edges to what is touched, and those from there, by what they refer to
+    near = changes.select(ids.combined_id(F.col("type"), F.col("id")).alias("ref")).union(ch.element_edges(before).select("ref"))
+    ch.check(ch.violations(before, changes, elements.narrowed(tables["refs"], "ref", near)))
     roles = changes.groupBy("type", "id").agg(F.max_by("roles", F.struct("version", "ord")).alias("roles"))
     after = materialize(ch.final_states(before, changes).join(roles, ["type", "id"], "left"), "after")
-    made = deltas(after)
+    made = deltas(after) | {"refs": edge_delta(before, changes)}
     made |= geometry_deltas(store, tables, made, after) if "tiles" in tables else {}
     store.commit({}, deltas=made, sequence=sequence)
 
 
 def geometry_deltas(store: Store, tables: dict[str, DataFrame], made: dict[str, Delta], after: DataFrame) -> dict[str, Delta]:
-    """What becomes of features and tiles: everything that refers to a touched element, before or after, is assembled again."""
+    """What becomes of features and tiles: everything that refers to a touched element, before or after, is assembled again.
+
+    What a feature had in tiles is told by the feature, so the tiles are not read. Nodes are among them if the store has them in tiles.
+    """
     edges = tables["refs"].select("ref", "referrer").union(made["refs"][1])
     seeds = after.select(ids.combined_id(F.col("type"), F.col("id")).alias("combined_id"))
     affected = materialize(ch.closure(edges, seeds, written=True), "affected")
     now = tables | {name: merged(tables[name], delta) for name, delta in made.items()}
-    placed, rows = build.laid_out(build.geometries(now, affected), store.properties()["levels"])
-    placed, rows = materialize(placed, "features"), materialize(rows, "tiles")
-    here = lambda name: tables[name].join(affected, "combined_id", "left_semi")
+    known = store.properties()
+    placed = build.laid_out(build.geometries(now, affected), known["levels"])
+    placed = materialize(placed.unionByName(build.node_features(now, affected)) if known.get("nodes") else placed, "features")
+    old = materialize(elements.narrowed(tables["features"], "combined_id", affected, distinct=True).select(placed.columns), "features")
     keys = ["level", "tile_pos", "combined_id"]
-    patch = materialize(compare.tile_patch(here("tiles"), rows, keys), "patch")
-    other = materialize(compare.diff(here("features").select(placed.columns), placed, ["level", "combined_id"]).select("level", "combined_id"), "patch")
+    patch = materialize(compare.tile_patch(features.tile_rows(old), features.tile_rows(placed), keys), "patch")
+    other = materialize(compare.diff(old, placed, ["level", "combined_id"]).select("level", "combined_id"), "patch")
     return {
         "tiles": (patch.select(*keys), patch.filter("action <> 'delete'").select(*keys, F.col("after").alias("json"))),
         "features": (other, placed.join(other, ["level", "combined_id"], "left_semi")),
@@ -131,7 +151,10 @@ def update_to(store: Store, source: str, last: int) -> list[int]:
 
 
 def rollback_to(store: Store, sequence: int) -> None:
-    """Back to the latest savepoint whose sequence is not after ``sequence``."""
+    """Back to the latest savepoint whose sequence is not after ``sequence``; without one the store stays as it is."""
+    kept = store.manifest()["savepoints"]
+    if store.properties().get("sequence", -1) > sequence and not any(s["properties"].get("sequence", -1) <= sequence for s in kept):
+        raise ValueError(f"there is no savepoint to go back to before {sequence + 1}")
     while store.properties().get("sequence", -1) > sequence:
         store.rollback()
 
@@ -157,4 +180,5 @@ def get(store: Store, kind: str, number: int, what: str = "element") -> DataFram
         return elements.lookup(tables[("nodes", "ways", "relations", "coastlines")[code]], [number])
     if what == "geometry":
         return build.geometries(tables, own)
-    return tables["tiles" if what == "tiles" else "features"].join(F.broadcast(own), "combined_id", "left_semi")  # one id
+    mine = elements.narrowed(tables["features"], "combined_id", own)
+    return features.tile_rows(mine) if what == "tiles" else mine

@@ -4,13 +4,15 @@ A commit writes new table folders and then one manifest file, moved into place i
 manifest they opened. Savepoints, rollback and snapshots are moves of manifests and never touch data.
 
 A small change of a large table is written as a delta, the keys that it replaces and the rows that come instead, and the table
-is read as its base with its deltas; after a number of them the table is written anew.
+is read as its base with its deltas. After a number of them the deltas are made one, and when they hold a share of the
+base's bytes the table is written anew, in the layout that the manifest keeps for it.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from tessera.sources.shared import located, storage
 
 FORMAT = 3
-#: Deltas of a table before it is written anew.
-DELTAS = 8
+#: Deltas of a table before they are made one, and their bytes for one byte of the base before it is written anew.
+DELTAS, SHARE = 8, 0.25
 
 
 class Store:
@@ -60,11 +62,30 @@ class Store:
             out = out.join(self.spark.read.parquet(gone), keys, "left_anti").unionByName(self.spark.read.parquet(rows))
         return out
 
+    def _is_empty(self, delta: list) -> bool:
+        return all(self.spark.read.parquet(folder).isEmpty() for folder in delta[1:])
+
+    def _one_delta(self, deltas: list, write) -> list[list]:
+        """One delta in place of several with the same keys: all keys that they replace, and the rows that are left of what came."""
+        if any(keys != deltas[0][0] for keys, _, _ in deltas):
+            return deltas
+        gone = reduce(DataFrame.union, [self.spark.read.parquet(g) for _, g, _ in deltas]).distinct()
+        rows = self._merged([deltas[0][2], *deltas[1:]])
+        return [[deltas[0][0], write(gone), write(rows)]]
+
+    def _files(self, folder: str) -> list:
+        fs, path = storage(folder)
+        return [f for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith("part-")]
+
+    def _bytes(self, folder: str) -> int:
+        return sum(f.size for f in self._files(folder))
+
     def tables(self) -> list[str]:
         return sorted(self.manifest()["tables"])
 
-    def commit(self, tables: dict[str, DataFrame], sort: dict[str, str] | None = None, deltas: dict[str, tuple[DataFrame, DataFrame]] | None = None, **properties) -> int:
-        """Write new versions of some tables; the others stay. A table named in ``sort`` is laid out in ranges of that column.
+    def commit(self, tables: dict[str, DataFrame], sort: dict[str, str | list[str]] | None = None, deltas: dict[str, tuple[DataFrame, DataFrame]] | None = None, **properties) -> int:
+        """Write new versions of some tables; the others stay. A table named in ``sort`` is laid out in ranges of its columns, now and
+        whenever it is written again.
 
         ``deltas`` gives for a table the keys to replace (a table of the key columns) and the rows that come instead.
         """
@@ -77,15 +98,21 @@ class Store:
             return folder
 
         def write_base(name: str, df: DataFrame) -> None:
-            column = (sort or {}).get(name)
-            found["tables"][name] = [write(name, df.repartitionByRange(column).sortWithinPartitions(column) if column else df)]
+            columns = layout.get(name)
+            found["tables"][name] = [write(name, df.repartitionByRange(*columns).sortWithinPartitions(*columns) if columns else df)]
 
+        layout = found["sort"] = found.get("sort", {}) | {name: [c] if isinstance(c, str) else c for name, c in (sort or {}).items()}
         for name, df in tables.items():
             write_base(name, df)
         for name, (gone, rows) in (deltas or {}).items():
-            parts = [*found["tables"][name], [gone.columns, write(name, gone.distinct()), write(name, rows)]]
-            if len(parts) > DELTAS:
+            delta = [gone.columns, write(name, gone.distinct()), write(name, rows)]
+            if self._is_empty(delta):
+                continue
+            parts = [*found["tables"][name], delta]
+            if sum(self._bytes(f) for _, *folders in parts[1:] for f in folders) > SHARE * self._bytes(parts[0]):
                 write_base(name, self._merged(parts))
+            elif len(parts) > DELTAS:
+                found["tables"][name] = [parts[0], *self._one_delta(parts[1:], lambda df, name=name: write(name, df))]
             else:
                 found["tables"][name] = parts
         found["version"] = version
@@ -135,18 +162,16 @@ class Store:
         found["properties"] = {k: v for k, v in found["properties"].items() if k not in properties}
         self._put(found | {"version": found["version"] + 1})
 
-    def compact(self, table: str, key: str) -> None:
-        """Rewrite a table in ranges of its key, with few files."""
-        self.commit({table: self.read(table)}, sort={table: key})
+    def compact(self, table: str, key: str | None = None) -> None:
+        """Rewrite a table in ranges of a key, or as it was laid out before (else by its first column), with few files."""
+        known = self.manifest().get("sort", {}).get(table)
+        self.commit({table: self.read(table)}, sort={table: key or known or self.read(table).columns[0]})
 
     def stats(self) -> DataFrame:
         """``(table_name, n_files, n_bytes, n_rows)`` by name."""
         rows = []
         for name, parts in sorted(self.manifest()["tables"].items()):
-            files = []
-            for folder in (parts[0], *(f for _, *folders in parts[1:] for f in folders)):
-                fs, path = storage(folder)
-                files += [f for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.startswith("part-")]
+            files = [f for folder in (parts[0], *(f for _, *folders in parts[1:] for f in folders)) for f in self._files(folder)]
             rows.append((name, len(files), sum(f.size for f in files), self._merged(parts).count()))
         return self.spark.createDataFrame(rows, "table_name string, n_files long, n_bytes long, n_rows long")
 

@@ -71,8 +71,8 @@ def _referring(store: Store, changes: DataFrame) -> DataFrame:
 
 
 def follow(spark: SparkSession, store: Store, source: str, checkpoint: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
-    """Read changes (Parquet files of ``changes.CHANGE``) as a stream and apply them to the store."""
-    stream = spark.readStream.schema(ch.CHANGE).parquet(source)  # no limit of files: a trigger must not end within a changeset
+    """Read changes (Parquet files of ``changes.FEED``, with or without roles) as a stream and apply them to the store."""
+    stream = spark.readStream.schema(ch.FEED).parquet(source)  # no limit of files: a trigger must not end within a changeset
     trigger = {"availableNow": True} if once else {"processingTime": every}
 
     def step(batch: DataFrame, _: int) -> None:

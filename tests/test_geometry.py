@@ -3,7 +3,8 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from tessera.operators import elements, shapes, tiling
+from tessera.functions import ids
+from tessera.operators import elements, features, shapes, tiling
 
 S = 156_250
 LINE = "id int, line array<struct<x:int,y:int>>"
@@ -124,18 +125,45 @@ def test_simplification_column(spark):
     assert table.select(shapes.simplify(F.col("line"), 0).alias("s")).first().s[1].x == 5
 
 
-def test_rings():
-    outer, hole, island = square(0, 0, 100, 100), square(10, 10, 90, 90), square(20, 20, 30, 30)
-    cut = lambda r: [r[:3], r[2:][::-1]]
-    made = shapes.rings_to_shapes([*cut(outer), *cut(hole), island])
-    assert [(len(s["outer"]), len(s["inners"])) for s in made] == [(5, 1), (5, 0)]
-    assert set(made[0]["outer"]) == set(outer) and set(made[0]["inners"][0]) == set(hole)
-    assert shapes.rings_to_shapes([outer[:4]]) is None
-    assert shapes.rings_to_shapes([[(0, 0), (10, 10), (10, 0), (0, 10), (0, 0)]]) is None
-    shared = shapes.rings_to_shapes([square(0, 0, 10, 10), square(10, 0, 20, 10)])
-    assert len(shared) == 1 and (10, 5) not in shared[0]["outer"]
-    touching = shapes.rings_to_shapes([square(0, 0, 10, 10), square(10, 10, 20, 20)])
-    assert len(touching) == 2
+def test_rows_of_a_polygon_go_with_its_border(spark):
+    """A polygon of some 400 by 400 tiles with a hole comes out as the same tiles and as far fewer intervals."""
+    diamond = [(0, -200 * S - 7), (201 * S + 3, 5), (11, 199 * S), (-200 * S, 31), (0, -200 * S - 7)]
+    hole = [(x // 3, y // 3) for x, y in diamond]
+    table = spark.createDataFrame([(0, diamond, [hole])], POLYGON)
+    spans = [(r.first, r.last) for r in tiling.polygon_intervals(table).collect()]
+    whole = sum(b - a + 1 for a, b in spans)
+    assert whole > 60_000 and len(spans) < 8_000
+    covered = sorted(spans)
+    assert all(a[1] < b[0] for a, b in zip(covered, covered[1:]))
+    for x, y, want in ((0, 0, False), (0, 100, True), (-150, 0, True), (30, -30, False), (150, 150, False)):
+        pos = spark.range(1).select(ids.morton(F.lit(x), F.lit(y)).alias("p")).first().p
+        assert any(a <= pos <= b for a, b in spans) == want, (x, y)
+
+
+def test_a_long_segment_makes_rows_along_its_length(spark):
+    line = spark.createDataFrame([(1, [(0, 0), (1000 * S, 900 * S), (1000 * S, 901 * S)])], LINE)
+    edges = elements.segments(line)
+    assert tiling.walk(edges, S).count() < 8_000
+    got = tiling.line_tiles(line)
+    assert 1900 < got.count() < 4_000 and got.filter("tile_x = 500 and tile_y = 450").count() == 1
+
+
+def test_features_of_many_id_ranges_make_one_document(spark):
+    big = (1 << 62) + 5
+    rows = [(1, c, f"t{i}") for i, c in enumerate([7, 70_000, big, -5, -(1 << 63) + 3, 8])]
+    got = features.tile_documents(spark.createDataFrame(rows, "tile_pos long, combined_id long, json string")).first()
+    assert (got.n, got.document) == (6, "t0\nt5\nt1\nt2\nt4\nt3")
+
+
+def test_tiles_as_intervals(spark):
+    made = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "combined_id long, json string")
+    hits = spark.createDataFrame([(1, 4), (1, 5), (1, 4), (1, 9), (2, -1), (2, 0)], "combined_id long, tile_pos long")
+    got = {r.combined_id: (r.n_tiles, [tuple(t) for t in r.tiles]) for r in features.place(made, hits).collect()}
+    assert got == {1: (3, [(4, 5), (9, 9)]), 2: (2, [(-1, 0)])}
+    spans = spark.createDataFrame([(1, 0, 15), (1, 1, 1), (1, 4, 7), (1, 16, 16), (1, 0, 15), (2, 3, 3)], "combined_id long, first long, last long")
+    got = {r.combined_id: (r.n_tiles, [tuple(t) for t in r.tiles]) for r in features.place(made, spans).collect()}
+    assert got == {1: (17, [(0, 16)]), 2: (1, [(3, 3)])}
+    assert features.tile_rows(features.place(made, spans)).filter("combined_id = 1").count() == 17
 
 
 def test_missing_point_kills_the_way(spark):

@@ -81,7 +81,7 @@ def test_only_what_differs_is_written(spark, store):
     tables = build.tables_of(store)
     changes = spark.createDataFrame([change(5, 0, "modify", 0, 6, 2, x=21, y=31)], ch.CHANGE).withColumn("roles", F.array().cast("array<string>"))
     before = update.touched(tables, changes.select("type", "id"))
-    made = update.deltas(ch.final_states(before, changes).withColumn("roles", F.array().cast("array<string>")))
+    made = update.deltas(ch.final_states(before, changes).withColumn("roles", F.array().cast("array<string>"))) | {"refs": update.edge_delta(before, changes)}
     patch = update.geometry_deltas(store, tables, made, ch.final_states(before, changes))
     assert {r.combined_id for r in patch["tiles"][0].collect()} == {W + 11}
     assert update.pending(made["points"]).first().asDict() == {"n_replaced": 1, "n_written": 1}
@@ -136,6 +136,70 @@ def test_a_digested_store_follows_a_stream(spark, store, tmp_path):
     assert store.properties()["sequence"] == 6 and store.read("points").filter("id = 6").first().x == 9
 
 
+def test_nodes_in_tiles_are_kept_up(spark, store, tmp_path):
+    tags = {i: {"shop": "x"} if i in (1, 5) else {} for i in range(1, 7)}
+    store.commit({"nodes": spark.createDataFrame([(i, 1, True, t) for i, t in tags.items()], NODE)})
+    build.assemble_geometry(store, nodes=True)
+    changes = [change(5, 0, "modify", 0, 5, 2, {"shop": "y"}, x=1, y=1), change(5, 1, "modify", 0, 6, 2, {"shop": "z"}, x=20, y=30), change(5, 2, "modify", 0, 1, 2, {}, x=10, y=10), change(5, 3, "create", 0, 8, 1, {"shop": "w"}, x=9, y=9)]
+    update.apply_changeset(store, spark.createDataFrame(changes, ch.CHANGE), 5)
+    assert {r.combined_id for r in store.read("tiles").filter("combined_id BETWEEN 0 AND 100").collect()} == {5, 6, 8}
+    rebuilt = Store(spark, str(tmp_path / "rebuilt"))
+    rebuilt.commit({name: store.read(name) for name in ("nodes", "points", "ways", "relations", "refs")})
+    build.assemble_geometry(rebuilt, nodes=True)
+    for name in ("features", "tiles"):
+        assert rows(store.read(name)) == rows(rebuilt.read(name)), name
+
+
+def test_roles_of_a_feed_are_kept(spark, store, tmp_path):
+    source = str(tmp_path / "source")
+    row = (*change(5, 0, "modify", 2, 20, 2, {"type": "multipolygon"}, [W + 10, W + 11]), ["outer", "inner"])
+    spark.createDataFrame([row], ch.FEED).write.parquet(source)
+    replication.follow(spark, store, source, str(tmp_path / "checkpoint")).awaitTermination()
+    assert [tuple(m) for m in store.read("relations").first().members] == [(W + 10, "outer"), (W + 11, "inner")]
+
+
+def test_only_edges_that_come_or_go_are_written(spark, store):
+    tables = build.tables_of(store)
+    changes = spark.createDataFrame([change(5, 0, "modify", 1, 11, 2, {}, [5, 4]), change(5, 1, "modify", 1, 11, 3, {}, [4, 6, 2])], ch.CHANGE)
+    gone, come = update.edge_delta(update.touched(tables, changes.select("type", "id").distinct()), changes)
+    assert {tuple(r) for r in gone.collect()} == {(5, W + 11)} and {tuple(r) for r in come.collect()} == {(4, W + 11), (2, W + 11)}
+
+
+def test_an_update_shuffles_no_table_of_points(spark, tmp_path):
+    """What an update reads of points, ways and references it reads by key: their scans meet the keys by broadcast."""
+    spark.range(1000).select("id", F.col("id").cast("int").alias("x"), F.lit(0).alias("y")).write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))
+    ways = spark.createDataFrame([(1, 1, True, {}, [3, 4, 900])], NODE + ", nodes array<long>")
+    lines = elements.way_geometries(ways, points, by_key=True)
+    text = lines._jdf.queryExecution().executedPlan().toString()
+    below = text[text.index("LeftSemi, BuildRight") :]
+    # between the meeting with the keys and the scan of the points there is no exchange
+    assert "Exchange" not in below[: below.index("FileScan parquet")] and "In(" in below or "EqualTo(id,900)" in below
+    assert len(lines.first().line) == 3
+
+
+def test_deltas_are_made_one_and_keep_the_layout(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.commit({"t": spark.range(100_000).withColumn("v", F.lit(0))}, sort={"t": "id"})
+    for i in range(20):
+        store.commit({}, deltas={"t": (spark.range(i, i + 2), spark.range(i + 1, i + 2).withColumn("v", F.lit(i)))})
+    assert len(store.manifest()["tables"]["t"]) <= 9 and store.manifest()["sort"] == {"t": ["id"]}
+    assert [(r.id, r.v) for r in store.read("t").filter("id < 22").orderBy("id").collect()] == [(20, 19), (21, 0)]
+    before = store.manifest()["tables"]["t"]
+    store.commit({}, deltas={"t": (spark.range(0), spark.range(0).withColumn("v", F.lit(1)))})
+    assert store.manifest()["tables"]["t"] == before
+    store.commit({}, deltas={"t": (spark.range(50_000), spark.range(50_000).withColumn("v", F.lit(7)))})
+    assert len(store.manifest()["tables"]["t"]) == 1 and store.read("t").filter("v = 7").count() == 50_000
+
+
+def test_back_to_where_no_savepoint_is(spark, store):
+    store.savepoint()
+    store.set_properties(sequence=9)
+    with pytest.raises(ValueError, match="no savepoint"):
+        update.rollback_to(store, 3)
+    assert len(store.manifest()["savepoints"]) == 1 and store.properties()["sequence"] == 9
+
+
 def test_nodes_in_tiles_if_asked_for(spark, store):
     store.commit({"nodes": spark.createDataFrame([(1, 1, True, {"shop": "x"}), (2, 1, True, {}), (3, 1, False, {"shop": "y"})], NODE)})
     assert store.read("tiles").filter("combined_id BETWEEN 0 AND 100").count() == 0
