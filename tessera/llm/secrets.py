@@ -60,8 +60,8 @@ def base_parts(text: str) -> list[Part]:
     return sorted(found)
 
 
-def weak_parts(text: str, base: list[Part]) -> list[Part]:
-    """Candidates that count only in company; one that overlaps a strong part is dropped."""
+def candidates(text: str) -> list[Part]:
+    """Parts that prove nothing by themselves, ordered by start and kind."""
     found = []
     low = text.lower()
     if "AKIA" in text or "ASIA" in text or "AROA" in text:
@@ -75,13 +75,24 @@ def weak_parts(text: str, base: list[Part]) -> list[Part]:
         found += [Part(m.start(), 5, m.end(), "weak_assign") for m in ASSIGN.finditer(text) if 6 <= m.end(2) - m.start(2) < MIN_ASSIGN and any(c.isdigit() for c in m.group(2))]
     if "://" in text:
         found += [Part(m.start(), 6, m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
+    return sorted(found)
+
+
+def weak_parts(text: str, base: list[Part]) -> list[Part]:
+    """``candidates`` that count in company. One inside a strong part of its own role says nothing more and is dropped; one that plays
+    another role, as an endpoint around a secret does, stays."""
+    found = candidates(text)
     if not found or not base:
-        return sorted(found)
-    starts = np.array([p.start for p in base])
-    reach = np.maximum.accumulate(np.array([p.end for p in base]))
-    found.sort()
-    before = np.searchsorted(starts, [p.end for p in found])
-    return [p for p, k in zip(found, before.tolist()) if not k or reach[k - 1] <= p.start]
+        return found
+    out = []
+    for role in {ROLE[p.kind] for p in found}:
+        mine = [p for p in base if ROLE[p.kind] == role]
+        starts = np.array([p.start for p in mine], np.int64)
+        reach = np.maximum.accumulate(np.array([p.end for p in mine], np.int64))
+        asked = [p for p in found if ROLE[p.kind] == role]
+        before = np.searchsorted(starts, [p.start for p in asked], side="right")
+        out += [p for p, k in zip(asked, before.tolist()) if not k or reach[k - 1] < p.end]
+    return sorted(out)
 
 
 def linked(base: list[Part], weak: list[Part], scope: int = SCOPE) -> list[Part]:
