@@ -12,8 +12,8 @@ from tessera.functions import ids, tagrules
 from tessera.sources.shared import materialize
 
 POINTS = "array<struct<x:int,y:int>>"
-#: Keys that are broadcast at most, and ranges of them that reach a scan.
-MAX_KEYS, RANGES = 1_000_000, 64
+#: Keys that a filter lists at most, keys that are broadcast at most, and ranges of them that reach a scan.
+FEW, MAX_KEYS, RANGES = 500, 1_000_000, 64
 
 
 def latest(versions: DataFrame, keys: tuple[str, ...] = ("type", "id")) -> DataFrame:
@@ -51,19 +51,31 @@ def key_ranges(keys: DataFrame, max_keys: int = MAX_KEYS, ranges: int = RANGES)
     return list(zip((c["first"] for c in cuts), [c["last"] for c in cuts[1:]] + [cuts[0]["end"]]))
 
 
-def narrowed(table: DataFrame, key: str, wanted: DataFrame, max_keys: int = MAX_KEYS, distinct: bool = False) -> DataFrame:
+def _few_ranges(keys: list[int], ranges: int = RANGES) -> list[tuple[int, int]]:
+    """``key_ranges`` of a few rising keys."""
+    cuts = sorted(range(1, len(keys)), key=lambda i: keys[i - 1] - keys[i])[: ranges - 1]
+    firsts = [0, *sorted(cuts)]
+    return [(keys[i], keys[j - 1]) for i, j in zip(firsts, [*firsts[1:], len(keys)])]
+
+
+def narrowed(table: DataFrame, key: str, wanted: DataFrame, max_keys: int = MAX_KEYS, distinct: bool = False, few: int = FEW) -> DataFrame:
     """The rows of a table whose long ``key`` is among the first column of ``wanted``, read by key.
 
-    The distinct keys are written and counted. While they are few they reach the table's scan as ranges, by which Parquet passes over
-    what lies elsewhere, and then as a broadcast semi-join, so the table is not shuffled; more of them meet it by a shuffle.
-    A null key is in no table; without keys there are no rows. ``distinct`` says that the keys are so already, and written.
+    A ``few`` keys become the filter itself. More are written and counted, and while there are no more than ``max_keys`` they reach the
+    table's scan as ranges, by which Parquet passes over what lies elsewhere, and then meet it by a broadcast semi-join, so
+    the table is not shuffled; more than that meet it by a shuffle. A null key is in no table; without keys there are no
+    rows. ``distinct`` says that the keys are so already, and written.
     """
     keys = wanted.select(F.col(wanted.columns[0]).alias("_key"))
-    keys = keys if distinct else materialize(keys.filter("_key is not null").distinct(), "keys")
+    keys = keys if distinct else keys.filter("_key is not null").distinct()
+    near = lambda ranges: reduce(or_, [F.col(key) == a if a == b else F.col(key).between(a, b) for a, b in ranges], F.lit(False))
+    some = sorted(r["_key"] for r in keys.limit(few + 1).collect())
+    if len(some) <= few:
+        return table.filter(near(_few_ranges(some)) & F.col(key).isin(some)) if some else table.filter(F.lit(False))
+    keys = keys if distinct else materialize(keys, "keys")
     ranges = key_ranges(keys, max_keys)
     if ranges is not None:
-        near = [F.col(key) == first if first == last else F.col(key).between(first, last) for first, last in ranges]
-        table, keys = table.filter(reduce(or_, near, F.lit(False))), F.broadcast(keys)
+        table, keys = table.filter(near(ranges)), F.broadcast(keys)
     return table.join(keys, F.col(key) == F.col("_key"), "left_semi")
 
 

@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.elements import POINTS
 from tessera.operators.tiling import walk
 from tessera.sources.shared import materialize
 
 EXACT = "decimal(38,0)"
+SHAPES = f"array<struct<outer:{POINTS},inners:array<{POINTS}>>>"
 
 
 def _point(x: str, y: str) -> Column:
@@ -227,6 +229,8 @@ def ring_points(points: DataFrame) -> DataFrame:
 def assemble(points: DataFrame) -> DataFrame:
     """``(id, shapes)`` of ``points (id, line, pos, x, y)``: arrays of ``outer`` and ``inners``, ordered by their points; a geometry that does not
     close to valid rings has no row."""
+    if points.isEmpty():
+        return points.sparkSession.createDataFrame([], f"id {points.schema['id'].dataType.simpleString()}, shapes {SHAPES}")
     line = F.array_sort(F.collect_list(F.struct("pos", "x", "y")))
     rings = ring_points(points).groupBy("id", "shape", "ring").agg(line.alias("held"))
     rings = rings.select("id", "shape", (F.col("shape") == F.col("ring")).alias("is_outer"), F.transform("held", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))

@@ -52,7 +52,8 @@ def geometries(tables: dict[str, DataFrame], only: DataFrame | None = None) -> D
     relations = wanted(tables["relations"].filter("visible"), ids.RELATION)
     closed = ways.filter("kind = 'area'").select(F.col("combined_id").alias("id"), F.lit(0).alias("line"), F.posexplode("line").alias("pos", "p")).select("id", "line", "pos", "p.x", "p.y")
     of_relations = elements.relation_points(relations, tables["ways"], points, by_key).select(ids.combined_id(ids.RELATION, F.col("id")).alias("id"), "line", "pos", "x", "y")
-    areas = materialize(rings.assemble(closed.union(of_relations)).withColumnRenamed("id", "combined_id"), "areas")
+    areas = rings.assemble(materialize(closed.union(of_relations), "borders")).withColumnRenamed("id", "combined_id")
+    areas = materialize(areas, "areas")
     # a closed way whose ring is not valid stays a line
     made = ways.join(areas, "combined_id", "left")
     none = F.lit(None).cast(elements.POINTS).alias("line")
@@ -73,11 +74,15 @@ def at_level(made: DataFrame, level: int) -> DataFrame:
     return made
 
 
-def geometry_tiles(made: DataFrame, level: int) -> DataFrame:
-    """``(combined_id, first, last)``: intervals of the tiles of each geometry, a tile of a line once for each segment."""
+def geometry_tiles(made: DataFrame, level: int, areas: bool = True) -> DataFrame:
+    """``(combined_id, first, last)``: intervals of the tiles of each geometry, a tile of a line once for each segment; ``areas`` says that there
+    may be some."""
     lines = tiling.line_tiles(made.filter("line is not null"), "combined_id", level=level, distinct=False)
+    lines = lines.select("combined_id", F.col("tile_pos").alias("first"), F.col("tile_pos").alias("last"))
+    if not areas:
+        return lines
     each = made.filter("shapes is not null").select("combined_id", F.explode("shapes").alias("s")).select("combined_id", "s.outer", "s.inners")
-    return lines.select("combined_id", F.col("tile_pos").alias("first"), F.col("tile_pos").alias("last")).union(tiling.polygon_intervals(each, "combined_id", level=level))
+    return lines.union(tiling.polygon_intervals(each, "combined_id", level=level))
 
 
 def node_features(tables: dict[str, DataFrame], only: DataFrame | None = None) -> DataFrame:
@@ -95,11 +100,12 @@ def node_features(tables: dict[str, DataFrame], only: DataFrame | None = None) -
 
 def laid_out(made: DataFrame, levels: int) -> DataFrame:
     """Table ``features (level, combined_id, json, tiles, n_tiles, external)`` of every level below ``levels``."""
-    placed = []
+    placed, made = [], materialize(made, "geometries")
+    areas = not made.filter("shapes is not null").isEmpty()
     for level in range(levels):
         simple = at_level(made, level)
         text = F.when(F.col("shapes").isNull(), features.line_geometry(F.col("line"))).otherwise(features.area_geometry(F.col("shapes")))
-        found = features.place(simple.select("combined_id", features.feature(text, F.col("tags"), F.col("combined_id")).alias("json")), geometry_tiles(simple, level))
+        found = features.place(simple.select("combined_id", features.feature(text, F.col("tags"), F.col("combined_id")).alias("json")), geometry_tiles(simple, level, areas))
         placed.append(found.withColumn("level", F.lit(level)))
     return reduce(DataFrame.union, placed)
 
@@ -185,8 +191,8 @@ def main(argv: list[str] | None = None) -> None:
         kind, number, *what = given.arguments
         update.get(store, kind, int(number), *what).show(truncate=False)
     else:
-        source, checkpoint = given.arguments
-        replication.follow(store.spark, store, source, checkpoint).awaitTermination()
+        source, checkpoint, *feed = given.arguments
+        replication.follow(store.spark, store, source, checkpoint, feed=feed[0] if feed else "osmchange").awaitTermination()
 
 
 if __name__ == "__main__":

@@ -402,12 +402,12 @@ def table_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def changes_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Every day's changes, streamed from files into a store in the order of the days: the elements after the last changeset."""
+    """Every day's changes as numbered changeset files, streamed into a store in their order: the elements after the last changeset."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    st.changes(spark, sf).select(*[c.split()[0] for c in ch.CHANGE.split(", ")]).write.parquet(f"{folder}/source")
+    first = st.write_feed(st.changes(spark, sf), f"{folder}/source")
     store = Store(spark, f"{folder}/store")
-    store.commit({"elements": spark.createDataFrame([], ch.ELEMENT)})
-    replication.follow(spark, store, f"{folder}/source", f"{folder}/checkpoint").awaitTermination()
+    store.commit({"elements": spark.createDataFrame([], ch.ELEMENT)}, sequence=first - 1)
+    replication.follow(spark, store, f"{folder}/source", f"{folder}/checkpoint", feed="osmchange").awaitTermination()
     return store.read("elements").select("id", "version", "visible", "x", "y")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import ids
+from tessera.functions import coords, ids
+from tessera.sources import osc_stream
+from tessera.sources.shared import storage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +109,32 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def write_feed(changes: DataFrame, folder: str) -> int:
+    """Write changes of nodes as a replication folder, a changeset file for each number from the least to the greatest; gives the least."""
+    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    time = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    at = F.when(F.col("op") != "delete", F.concat(F.lit(' lon="'), coords.text(F.col("x")), F.lit('" lat="'), coords.text(F.col("y")), F.lit('"'))).otherwise("")
+    tags = F.array_join(F.transform(F.map_entries("tags"), lambda t: F.concat(F.lit('<tag k="'), text(t["key"]), F.lit('" v="'), text(t["value"]), F.lit('"/>'))), "")
+    node = F.format_string('<%s><node id="%d" version="%d" timestamp="%s"%s>%s</node></%s>', "op", "id", "version", time, at, tags, "op")
+    days = changes.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("ord", node.alias("text")))).alias("held"))
+    first, last = changes.agg(F.min("seq"), F.max("seq")).first()
+    each = changes.sparkSession.range(first, last + 1).join(days, F.col("id") == F.col("seq"), "left")
+    document = F.concat(F.lit('<osmChange version="0.6">'), F.coalesce(F.array_join("held.text", ""), F.lit("")), F.lit("</osmChange>"))
+
+    def write(rows) -> None:
+        for row in rows:
+            fs, path = storage(f"{folder}/{osc_stream.changeset_path(row.id)}")
+            fs.create_dir(path.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(path, compression=None) as out:
+                out.write(gzip.compress(row.document.encode()))
+
+    each.select("id", document.alias("document")).foreachPartition(write)
+    fs, path = storage(folder)
+    with fs.open_output_stream(f"{path}/state.txt") as out:
+        out.write(f"sequenceNumber={last}\n".encode())
+    return first
+
+
 def orders_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with some dropped, some repriced and some added."""
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")

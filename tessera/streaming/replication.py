@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tessera.functions import ids
 from tessera.operators import changes as ch
 from tessera.plans import update
+from tessera.sources import osc_stream
 from tessera.sources.shared import materialize
 from tessera.sources.store import Store
 
@@ -70,9 +71,13 @@ def _referring(store: Store, changes: DataFrame) -> DataFrame:
     return edges.join(own, edges["ref"] == own["own"], "left_semi").union(edges.join(own, edges["referrer"] == own["own"], "left_semi")).distinct()
 
 
-def follow(spark: SparkSession, store: Store, source: str, checkpoint: str, once: bool = True, every: str = "1 minute") -> StreamingQuery:
-    """Read changes (Parquet files of ``changes.FEED``, with or without roles) as a stream and apply them to the store."""
-    stream = spark.readStream.schema(ch.FEED).parquet(source)  # no limit of files: a trigger must not end within a changeset
+def follow(spark: SparkSession, store: Store, source: str, checkpoint: str, once: bool = True, every: str = "1 minute", feed: str = "parquet") -> StreamingQuery:
+    """Read changes as a stream and apply them to the store: Parquet files of ``changes.FEED``, with or without roles, or with ``feed``
+    osmchange the numbered changeset files of a replication folder after the store's sequence."""
+    if feed == osc_stream.NAME:
+        stream = osc_stream.stream(spark, source, store.properties().get("sequence", -1))
+    else:
+        stream = spark.readStream.schema(ch.FEED).parquet(source)  # no limit of files: a trigger must not end within a changeset
     trigger = {"availableNow": True} if once else {"processingTime": every}
 
     def step(batch: DataFrame, _: int) -> None:

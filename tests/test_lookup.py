@@ -26,21 +26,29 @@ def keys(spark, values):
     return spark.createDataFrame([(v,) for v in values], "k long")
 
 
-def test_few_keys_reach_the_scan_and_shuffle_nothing(spark, table):
+def test_few_keys_are_the_filter(spark, table):
     got = elements.narrowed(table, "id", keys(spark, [40, 41, 99_990, 40, None]))
-    assert sorted(r.id for r in got.collect()) == [40, 99_990]
-    text = plan(got)
-    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
-    assert re.search(r"PushedFilters: \[Or\(.*EqualTo\(id,40\)", text) and "EqualTo(id,99990)" in text
-    spread = elements.narrowed(table, "id", keys(spark, [*range(0, 1000, 10), 90_000]))
-    assert spread.count() == 101 and max(metrics(spread)) <= 1500  # of 10,000 rows
+    assert sorted(r.id for r in got.collect()) == [40, 99_990] and "Join" not in plan(got) and "Exchange" not in plan(got)
+    assert re.search(r"PushedFilters: \[.*EqualTo\(id,40\)", plan(got)) and max(metrics(got)) <= 1000  # of 10,000 rows
+    assert elements.narrowed(table, "id", keys(spark, [])).count() == 0
+
+
+def test_more_keys_reach_the_scan_as_ranges_and_shuffle_nothing(spark, table):
+    got = elements.narrowed(table, "id", keys(spark, [*range(0, 1000, 10), 41, 90_000, None]), few=10)
+    assert got.count() == 101 and "BroadcastHashJoin" in plan(got) and "hashpartitioning" not in plan(got)
+    assert max(metrics(got)) <= 1500
 
 
 def test_many_keys_meet_by_a_shuffle(spark, table):
     wanted = keys(spark, range(0, 5000, 5))
-    got = elements.narrowed(table, "id", wanted, max_keys=10)
+    got = elements.narrowed(table, "id", wanted, max_keys=10, few=10)
     assert sorted(r.id for r in got.collect()) == list(range(0, 5000, 10))
-    assert elements.narrowed(table, "id", keys(spark, [])).count() == 0
+
+
+@given(st.sets(st.integers(-(1 << 63), (1 << 63) - 1), min_size=1, max_size=30), st.integers(1, 5))
+def test_few_ranges(values, n):
+    found = elements._few_ranges(sorted(values), n)
+    assert len(found) == min(n, len(values)) and all(sum(a <= v <= b for a, b in found) == 1 for v in values) and all(x in values for r in found for x in r)
 
 
 @settings(deadline=None, max_examples=15)
