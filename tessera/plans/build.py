@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, tagrules
-from tessera.operators import elements, features, rings, shapes, tiling
+from tessera.operators import compare, elements, features, rings, shapes, tiling
 from tessera.sources import osm_xml, pbf, shapefile
 from tessera.sources.shared import materialize
 from tessera.sources.store import Store
@@ -142,6 +142,21 @@ def external(store: Store, level: int, path: str) -> str | None:
     return found[0] if found else None
 
 
+#: What names a row of each table.
+KEYS = {
+    "nodes": ["id"], "points": ["id"], "ways": ["id"], "relations": ["id"], "coastlines": ["id"], "refs": ["ref", "referrer"],
+    "features": ["combined_id", "level"], "tiles": ["tile_pos", "level", "combined_id"],
+}
+
+
+def compare_stores(one: Store, other: Store, tables: list[str] | None = None) -> DataFrame:
+    """``(table_name, change, n)``: how many rows of each table were added, removed or changed from one store to the other; tables that
+    one of them lacks are passed over."""
+    both = [t for t in one.tables() if t in KEYS and t in other.tables() and t in (tables or KEYS)]
+    counts = [compare.diff_by_ranges(one.read(t), other.read(t).select(one.read(t).columns), KEYS[t]).groupBy("change").agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "change", "n") for t in both]
+    return reduce(DataFrame.union, counts)
+
+
 PURGES = {"coastlines": ("coastlines",), "geometry": ("features", "tiles"), "osm": ("nodes", "points", "ways", "relations", "refs")}
 
 
@@ -150,7 +165,7 @@ def main(argv: list[str] | None = None) -> None:
     from tessera.streaming import replication
 
     parser = argparse.ArgumentParser(description="Jobs over a store of map data")
-    parser.add_argument("mode", choices=["digest_pbf", "digest_coastlines", "recompute_references", "assemble_geometry", "average_point_density", "compact", "create_snapshot", "purge", "stats", "start", "update_to", "rollback_to", "release", "info", "get", "follow"])
+    parser.add_argument("mode", choices=["digest_pbf", "digest_coastlines", "recompute_references", "assemble_geometry", "average_point_density", "compare", "compact", "create_snapshot", "purge", "stats", "start", "update_to", "rollback_to", "release", "info", "get", "follow"])
     parser.add_argument("store")
     parser.add_argument("arguments", nargs="*")
     parser.add_argument("--levels", type=int, default=1)
@@ -167,6 +182,8 @@ def main(argv: list[str] | None = None) -> None:
         assemble_geometry(store, given.levels, given.nodes)
     elif given.mode == "average_point_density":
         average_point_density(store).show()
+    elif given.mode == "compare":
+        compare_stores(store, Store(store.spark, given.arguments[0])).show()
     elif given.mode == "compact":
         for name in store.tables():
             store.compact(name)

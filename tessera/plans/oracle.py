@@ -284,6 +284,42 @@ ORACLE["assembled_relations"] = f"""WITH base AS (
     UNION ALL SELECT id, false, ox + w, oy + w, w // 2, 2 FROM base
     UNION ALL SELECT id, true, ox + w + w // 4, oy + w + w // 4, (w - w // 4 * 2) // 2, 2 FROM base WHERE n = 5
 ) SELECT id, is_outer, CAST(4 * m AS BIGINT) AS n, CASE WHEN is_outer THEN {_around(_CORNERED)} ELSE {_around(_CLOCKWISE)} END AS points FROM rings"""
+_SQUARE_RING = lambda h, turn: "'[' || " + " || ',' || ".join(
+    f"'[' || {coordinate(f'(cx + ({a}) * {h})')} || ',' || {coordinate(f'(cy + ({b}) * {h})')} || ']'" for a, b in [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)][::turn]
+) + " || ']'"
+_LEVELS = " UNION ALL ".join(
+    f"""SELECT combined_id, json, {z} AS level, {tile("x0", z)} AS tx0, {tile("x1", z)} AS tx1, {tile("y0", z)} AS ty0, {tile("y1", z)} AS ty1, {SIDE << z} AS side, x0, x1, y0, y1, hx0, hx1, hy0, hy1, kind FROM made WHERE kind <> 'node' OR {z} = 0"""
+    for z in range(3)
+)
+_NAMED = lambda kind, geometry, properties, number: f"""'{{"type":"Feature","geometry":{{"type":"{kind}","coordinates":' || {geometry} || '}}{properties},"id":"' || {number} || '"}}'"""
+ORACLE["updated_areas"] = f"""WITH {SQUARES}, moved AS (
+    SELECT id, cx + CASE WHEN id % 7 = 0 AND id % 13 <> 0 THEN 70000 ELSE 0 END AS cx, cy, h, h // 2 AS q FROM squares
+), made AS (
+    SELECT {WAY} + id * 2 AS combined_id, 'area' AS kind, {_NAMED("Polygon", "'[' || " + _SQUARE_RING("h", 1) + " || ']'", ',"properties":{"building":"yes"}', "'way/' || CAST(id * 2 AS VARCHAR)")} AS json,
+           cx - h AS x0, cx + h AS x1, cy - h AS y0, cy + h AS y1, NULL AS hx0, NULL AS hx1, NULL AS hy0, NULL AS hy1 FROM moved WHERE id % 13 <> 0
+    UNION ALL SELECT {WAY} + id * 2 + 1, 'line', {_NAMED("LineString", _SQUARE_RING("q", 1), "", "'way/' || CAST(id * 2 + 1 AS VARCHAR)")},
+           cx - q, cx + q, cy - q, cy + q, NULL, NULL, NULL, NULL FROM moved WHERE id % 13 <> 0 AND id % 2 = 0
+    UNION ALL SELECT {RELATION} + id, 'area', {_NAMED("Polygon", "'[' || " + _SQUARE_RING("h", 1) + " || ',' || " + _SQUARE_RING("q", -1) + " || ']'", ',"properties":{"type":"multipolygon"}', "'relation/' || CAST(id AS VARCHAR)")},
+           cx - h, cx + h, cy - h, cy + h, cx - q, cx + q, cy - q, cy + q FROM moved WHERE id % 13 <> 0 AND id % 2 = 0
+    UNION ALL SELECT id * 10, 'node', {_NAMED("Point", f"'[' || {coordinate('(cx - h)')} || ',' || {coordinate('(cy - h)')} || ']'", ',"properties":{"shop":"a"}', "'node/' || CAST(id * 10 AS VARCHAR)")},
+           cx - h, cx - h, cy - h, cy - h, NULL, NULL, NULL, NULL FROM moved WHERE id % 3 = 0
+    UNION ALL SELECT id * 10 + 2, 'node', {_NAMED("Point", f"'[' || {coordinate('(cx + h)')} || ',' || {coordinate('(cy + h)')} || ']'", ',"properties":{"shop":"b"}', "'node/' || CAST(id * 10 + 2 AS VARCHAR)")},
+           cx + h, cx + h, cy + h, cy + h, NULL, NULL, NULL, NULL FROM moved WHERE id % 17 = 0 AND id % 13 <> 0
+), ranges AS ({_LEVELS}), cells AS (
+    SELECT *, tile_x::BIGINT * side AS l, tile_y::BIGINT * side AS b FROM (SELECT *, unnest(generate_series(ty0, ty1)) AS tile_y FROM (SELECT *, unnest(generate_series(tx0, tx1)) AS tile_x FROM ranges))
+), hits AS (
+    SELECT level, combined_id, json, {morton('tile_x', 'tile_y')} AS tile_pos FROM cells WHERE tx0 = tx1 OR ty0 = ty1
+        OR (kind = 'area' AND x0 < l + side AND x1 > l AND y0 < b + side AND y1 > b AND NOT coalesce(hx0 <= l AND hx1 >= l + side AND hy0 <= b AND hy1 >= b + side, false))
+        OR (kind = 'line' AND x0 <= l + side AND x1 >= l AND y0 <= b + side AND y1 >= b AND NOT (x0 < l AND x1 > l + side AND y0 < b AND y1 > b + side))
+) SELECT CAST(level AS INTEGER) AS level, tile_pos, combined_id, md5(json) AS digest FROM hits"""
+ORACLE["compared_stores"] = """SELECT 'points' AS table_name, CASE WHEN p_partkey % 101 = 0 THEN 'removed' ELSE 'changed' END AS change, count(*) AS n FROM part
+WHERE p_partkey <= 1000 AND (p_partkey % 101 = 0 OR p_partkey % 103 = 0) GROUP BY ALL
+UNION ALL SELECT 'ways', 'changed', count(*) FROM (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 211 = 0 GROUP BY l_orderkey HAVING count(*) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'ways', 'added', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey % 223 = 0 HAVING count(*) > 0"""
+ORACLE["batched_lookup"] = f"""WITH {NODES}, {WAYS}, spread AS (
+    SELECT id, n.pos, n.node FROM (SELECT id, unnest(list_transform(nodes, lambda v, i: {{pos: i, node: v}})) AS n FROM ways)
+) SELECT s.id, count(*) AS n, string_agg(CASE WHEN n.id IS NULL THEN '-' ELSE CAST(x AS VARCHAR) || ' ' || CAST(y AS VARCHAR) END, ',' ORDER BY pos) AS points
+FROM spread s LEFT JOIN nodes n ON n.id = s.node AND n.id % 50 <> 0 GROUP BY s.id"""
 ORACLE["changes_stream"] = ORACLE["apply_changes"]
 
 

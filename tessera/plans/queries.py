@@ -107,6 +107,14 @@ def way_points(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).select("id", F.size("line").cast("long").alias("n"), _points_text(F.col("line")).alias("points"))
 
 
+def batched_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every way's nodes by key, with null in the place of those that are not there."""
+    held = st.nodes(spark, sf).filter("id % 50 <> 0")
+    found = elements.batched_lookup(st.way_nodes(spark, sf), "nodes", held, "id", F.struct("x", "y"), "found", by_key=True)
+    texts = F.transform("found", lambda p: F.when(p.isNull(), "-").otherwise(F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))))
+    return found.select("id", F.size("found").cast("long").alias("n"), F.array_join(texts, ",").alias("points"))
+
+
 def way_missing_node_guard(spark: SparkSession, sf: str) -> DataFrame:
     w = st.way_nodes(spark, sf).filter(F.size("nodes") >= 2)
     found = elements.ordered_lookup(w, "nodes", st.nodes(spark, sf).filter("id % 50 <> 0"), "id", F.struct("x", "y"), "line")
@@ -393,6 +401,29 @@ def updated_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("tiles").select("tile_pos", "combined_id", F.md5("json").alias("digest"))
 
 
+def updated_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Tile entries on three levels of a store of squares as closed ways, relations of two of them and tagged nodes in tiles, after a changeset
+    that moves some squares node by node, gives some relations another role, deletes some ways with their relations and tags some nodes."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    tables = st.square_store(spark, sf)
+    store.commit(tables | {"refs": elements.references(tables["ways"], tables["relations"])}, sort={"points": "id", "ways": "id", "refs": "ref"}, sequence=0)
+    build.assemble_geometry(store, levels=3, nodes=True)
+    update.apply_changeset(store, st.square_changes(tables), 1)
+    return store.read("tiles").select("level", "tile_pos", "combined_id", F.md5("json").alias("digest"))
+
+
+def compared_stores(spark: SparkSession, sf: str) -> DataFrame:
+    """How two stores of nodes' places and ways differ: some nodes moved, some gone, some ways shorter and some new."""
+    old, new = (Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}") for _ in range(2))
+    points, ways = st.nodes(spark, sf).select("id", "x", "y"), st.ways(spark, sf)
+    layout = {"points": "id", "ways": "id"}
+    old.commit({"points": points, "ways": ways}, sort=layout)
+    moved = points.filter("id % 101 <> 0 or id > 1000").withColumn("y", F.when((F.col("id") % 103 == 0) & (F.col("id") <= 1000), F.col("y") + 1).otherwise(F.col("y")))
+    shorter = ways.withColumn("nodes", F.when(F.col("id") % 211 == 0, F.slice("nodes", 1, 1)).otherwise(F.col("nodes")))
+    new.commit({"points": moved, "ways": shorter.union(ways.filter("id % 223 = 0").withColumn("id", F.col("id") + 1_000_000_000))}, sort=layout)
+    return build.compare_stores(old, new)
+
+
 def table_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Tables written to a new store, compacted and listed."""
     store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
@@ -413,11 +444,11 @@ def changes_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 ALL: list[Query] = [
     nodes_by_tile, tile_round_trip, tile_levels, level_tiles, coord_text, coord_parse, coord_fixed, size_texts, combined_ids, location_paths,
-    type_counts, latest_version, reverse_refs, way_points, way_missing_node_guard, relation_way_points, way_bounds, segment_density,
+    type_counts, latest_version, reverse_refs, way_points, batched_lookup, way_missing_node_guard, relation_way_points, way_bounds, segment_density,
     line_tiles, line_tile_counts, square_tiles, square_ring_tiles, polygon_tiles_general, multipoint_tiles, multipoint_json, step_measures, tile_gate, bounds_relations, way_lookup, area_rule_way, area_rule_relation, way_kinds,
     feature_json, external_features, tile_document, simplify_lines, assembled_squares, assembled_relations, set_merge, set_merge_partial, map_merge,
     counter_merge, change_filter, dirty_set, apply_changes, change_problems, affected_closure, ref_integrity, store_diff, stale_orders,
-    tile_patch, updated_tiles, table_stats, changes_stream,
+    tile_patch, updated_tiles, updated_areas, compared_stores, table_stats, changes_stream,
 ]
 
 

@@ -68,6 +68,52 @@ def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumns({"outer": ring(F.col("h")), "inners": F.when(F.col("id") % 2 == 0, F.array(hole)).otherwise(F.slice(F.array(hole), 1, 0))})
 
 
+def square_store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of a store: ``squares``' corners as nodes 10 * id + i (i from 0, the hole's from 4), the squares as closed ways 2 * id that are
+    buildings and the holes as closed ways 2 * id + 1 that are not areas, and relations of both for even ids. Every third square's first corner is
+    tagged."""
+    s = squares(spark, sf_dir)
+    common = [F.lit(1).alias("version"), F.lit(True).alias("visible")]
+    corners = F.flatten(F.array(F.slice("outer", 1, 4), F.slice(F.coalesce(F.get("inners", F.lit(0)), F.slice("outer", 1, 0)), 1, 4)))
+    at = s.select("id", F.posexplode(corners).alias("i", "p")).select("id", "i", (F.col("id") * 10 + F.col("i")).alias("node"), "p.x", "p.y")
+    no_tags = F.create_map().cast("map<string,string>")
+    shop = F.when((F.col("id") % 3 == 0) & (F.col("i") == 0), F.create_map(F.lit("shop"), F.lit("a"))).otherwise(no_tags)
+    ring = lambda first: F.array(*[F.col("id") * 10 + first + i for i in (0, 1, 2, 3, 0)])
+    ways = s.select((F.col("id") * 2).alias("id"), *common, F.create_map(F.lit("building"), F.lit("yes")).alias("tags"), ring(0).alias("nodes"))
+    holes = s.filter("id % 2 = 0").select((F.col("id") * 2 + 1).alias("id"), *common, no_tags.alias("tags"), ring(4).alias("nodes"))
+    member = lambda k, role: F.struct(ids.combined_id(ids.WAY, F.col("id") * 2 + k).alias("combined_id"), F.lit(role).alias("role"))
+    relations = s.filter("id % 2 = 0").select("id", *common, F.create_map(F.lit("type"), F.lit("multipolygon")).alias("tags"), F.array(member(0, "outer"), member(1, "inner")).alias("members"))
+    return {
+        "nodes": at.select(F.col("node").alias("id"), *common, shop.alias("tags")),
+        "points": at.select(F.col("node").alias("id"), "x", "y"),
+        "ways": ways.union(holes),
+        "relations": relations,
+    }
+
+
+def square_changes(tables: dict[str, DataFrame]) -> DataFrame:
+    """A changeset for ``square_store``: the nodes of every seventh square move by 70,000 in x, relations of ids that 10 divides have their roles left out,
+    squares whose id 13 divides are deleted with their relations, and the third corners of those that 17 divides get tags."""
+    none, nothing = F.lit(None).cast("int"), F.array().cast("array<long>")
+
+    def change(rows: DataFrame, op: str, kind: int, tags: Column, refs: Column, roles: Column, x: Column = none, y: Column = none) -> DataFrame:
+        return rows.select(
+            F.lit(1).cast("long").alias("seq"), F.col("id").alias("ord"), F.lit(op).alias("op"), F.lit(kind).alias("type"), "id", F.lit(2).alias("version"),
+            F.lit("2024-01-01").cast("timestamp").alias("ts"), tags.alias("tags"), refs.alias("refs"), x.alias("x"), y.alias("y"), roles.alias("roles"),
+        )
+
+    no_roles, no_tags = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    square = F.floor(F.col("id") / 10)
+    nodes = tables["nodes"].join(tables["points"], "id").withColumn("square", square).filter("square % 13 <> 0")
+    tags = F.when((F.col("square") % 17 == 0) & (F.col("id") % 10 == 2), F.create_map(F.lit("shop"), F.lit("b"))).otherwise(F.col("tags"))
+    touched = nodes.filter("square % 7 = 0 or (square % 17 = 0 and id % 10 = 2)")
+    moved = change(touched, "modify", ids.NODE, tags, nothing, no_roles, F.when(F.col("square") % 7 == 0, F.col("x") + 70_000).otherwise(F.col("x")), F.col("y"))
+    bare = change(tables["relations"].filter("id % 10 = 0 and id % 13 <> 0"), "modify", ids.RELATION, F.col("tags"), F.col("members.combined_id"), no_roles)
+    gone = change(tables["relations"].filter("id % 13 = 0"), "delete", ids.RELATION, no_tags, nothing, no_roles)
+    ways = change(tables["ways"].filter(F.floor(F.col("id") / 2) % 13 == 0), "delete", ids.WAY, no_tags, nothing, no_roles)
+    return moved.union(bare).union(gone).union(ways)
+
+
 def square_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, line, pos, x, y)``: for each supplier, the sides of the squares of a grid of n by n, n being 3, 4 or 5, without the one in the
     second column and row, as a relation's members; grids of 5 have in that hole a smaller square. Each side is a line of three points, every
