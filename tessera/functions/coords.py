@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Units to a degree, a level-0 tile's side, and the least mean segment length at level 0.
@@ -51,12 +51,16 @@ def tile_start(tile: Column, level: int = 0) -> Column:
     return tile.cast("long") * tile_side(level)
 
 
-def level_tiles(spark, level: int = 0):
-    """Every tile of the world at a level, ends included, as ``(tile_x, tile_y)``."""
-    side = tile_side(level)
-    rows = spark.range(-(WORLD_Y // side), WORLD_Y // side + 1).select(F.col("id").cast("int").alias("tile_y"))
-    columns = F.sequence(F.lit(-(WORLD_X // side)), F.lit(WORLD_X // side)).cast("array<int>")
-    return rows.select(F.explode(columns).alias("tile_x"), "tile_y")
+def tiles_within(boxes: DataFrame) -> DataFrame:
+    """Every tile ``(tile_x, tile_y)`` of ranges of tiles ``(min_x, max_x, min_y, max_y)``, ends included, row by row."""
+    rows = boxes.select("min_x", "max_x", F.explode(F.sequence("min_y", "max_y")).alias("tile_y"))
+    return rows.select(F.explode(F.sequence("min_x", "max_x")).alias("tile_x"), "tile_y")
+
+
+def level_tiles(spark: SparkSession, level: int = 0) -> DataFrame:
+    """Every tile of the world at a level, ends included."""
+    x, y = (size // tile_side(level) for size in (WORLD_X, WORLD_Y))
+    return tiles_within(spark.createDataFrame([(-x, x, -y, y)], "min_x int, max_x int, min_y int, max_y int"))
 
 
 def least_density(level: int) -> float:

@@ -139,7 +139,9 @@ ORACLE = {
     "nodes_by_tile": f"WITH {NODES}, t AS (SELECT {tile('x')} AS tile_x, {tile('y')} AS tile_y, count(*) AS n FROM nodes GROUP BY 1, 2) SELECT tile_x, tile_y, {morton('tile_x', 'tile_y')} AS tile_pos, n FROM t",
     "tile_round_trip": f"WITH {NODES} SELECT id, {tile('x')} AS tile_x, {tile('y')} AS tile_y FROM nodes",
     "tile_levels": f"WITH {NODES} " + " UNION ALL ".join(f"SELECT {tile('x', z)} AS tile_x, {tile('y', z)} AS tile_y, count(*) AS n, {z} AS level FROM nodes GROUP BY 1, 2" for z in range(4)),
-    "level_tiles": f"SELECT CAST(x AS INTEGER) AS tile_x, CAST(y AS INTEGER) AS tile_y FROM generate_series(-(1800000000 // {SIDE << 6}), 1800000000 // {SIDE << 6}) a(x), generate_series(-(900000000 // {SIDE << 6}), 900000000 // {SIDE << 6}) b(y)",
+    "level_tiles": f"""WITH {NODES}, t AS (SELECT {tile('x', 1)} AS tx, {tile('y', 1)} AS ty FROM nodes), grid AS (
+    SELECT CAST(unnest(generate_series(x0, x1)) AS INTEGER) AS tile_x, tile_y FROM (SELECT x0, x1, CAST(unnest(generate_series(y0, y1)) AS INTEGER) AS tile_y FROM (SELECT min(tx) AS x0, max(tx) AS x1, min(ty) AS y0, max(ty) AS y1 FROM t))
+) SELECT tile_x, tile_y, count(tx) AS n FROM grid LEFT JOIN t ON tx = tile_x AND ty = tile_y GROUP BY 1, 2""",
     "coord_text": f"WITH {NODES} SELECT id, {coordinate('x')} AS x_text, {coordinate('y')} AS y_text FROM nodes",
     "coord_parse": f"""WITH t AS (SELECT p_partkey AS id, {_TEXT} AS text FROM part)
 SELECT id, text, CAST(CASE WHEN text LIKE '-%' THEN -1 ELSE 1 END * (CAST(split_part(ltrim(text, '-'), '.', 1) AS BIGINT) * 10000000 + CAST(rpad(left(split_part(text, '.', 2), 7), 7, '0') AS BIGINT)) AS INTEGER) AS fixed FROM t""",
@@ -320,6 +322,19 @@ ORACLE["batched_lookup"] = f"""WITH {NODES}, {WAYS}, spread AS (
     SELECT id, n.pos, n.node FROM (SELECT id, unnest(list_transform(nodes, lambda v, i: {{pos: i, node: v}})) AS n FROM ways)
 ) SELECT s.id, count(*) AS n, string_agg(CASE WHEN n.id IS NULL THEN '-' ELSE CAST(x AS VARCHAR) || ' ' || CAST(y AS VARCHAR) END, ',' ORDER BY pos) AS points
 FROM spread s LEFT JOIN nodes n ON n.id = s.node AND n.id % 50 <> 0 GROUP BY s.id"""
+_LEAST = 927.067380381451 * (1 << 11)
+_MEAN = "list_sum(list_transform(range(1, len(line)), lambda i: sqrt((line[i].x::DOUBLE - line[i + 1].x) * (line[i].x::DOUBLE - line[i + 1].x) + (line[i].y::DOUBLE - line[i + 1].y) * (line[i].y::DOUBLE - line[i + 1].y)))) / (len(line) - 1)"
+_AREAS = "list_transform(range(2, len(line)), lambda i: abs(line[i - 1].x::DOUBLE * line[i].y + line[i].x::DOUBLE * line[i + 1].y + line[i + 1].x::DOUBLE * line[i - 1].y - line[i - 1].x::DOUBLE * line[i + 1].y - line[i].x::DOUBLE * line[i - 1].y - line[i + 1].x::DOUBLE * line[i].y))"
+ORACLE["simplify_lines"] = f"""WITH RECURSIVE {ALL_LINES}, steps AS (
+    SELECT id, len(line) AS n_before, (len(line) - 2) >> 11 AS fewest, line FROM lines WHERE len(line) >= 4
+    UNION ALL
+    SELECT id, n_before, fewest, line[1:k] || line[k + 2:] FROM (
+        SELECT id, n_before, fewest, line, list_position({_AREAS}, list_min({_AREAS})) AS k FROM steps WHERE len(line) > 2 AND len(line) - 2 >= fewest AND {_MEAN} < {_LEAST}::DOUBLE
+    )
+), last AS (
+    SELECT id, n_before, arg_min(line, len(line)) AS line FROM steps GROUP BY id, n_before
+)
+SELECT id, CAST(n_before AS INTEGER) AS n_before, CAST(CASE WHEN len(line) = 2 AND {_MEAN} < {_LEAST}::DOUBLE THEN 0 ELSE len(line) END AS INTEGER) AS n_after FROM last"""
 ORACLE["changes_stream"] = ORACLE["apply_changes"]
 
 

@@ -38,7 +38,11 @@ def tile_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def level_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    return coords.level_tiles(spark, 6)
+    """Every tile of the nodes' bounds on level 1, with how many nodes it has, empty ones too."""
+    placed = tiling.point_tiles(st.nodes(spark, sf), 1)
+    box = placed.agg(*[f(c).alias(f"{name}_{c[-1]}") for c in ("tile_x", "tile_y") for name, f in (("min", F.min), ("max", F.max))])
+    counts = placed.groupBy("tile_x", "tile_y").agg(F.count("*").alias("n"))
+    return coords.tiles_within(box).join(counts, ["tile_x", "tile_y"], "left").select("tile_x", "tile_y", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def coord_text(spark: SparkSession, sf: str) -> DataFrame:
