@@ -93,16 +93,15 @@ def place(features: DataFrame, hits: DataFrame) -> DataFrame:
     ``(combined_id, first, last)``. Both may repeat: they are gathered once by feature and made distinct there.
     """
     if "tile_pos" in hits.columns:
-        gathered = hits.groupBy("combined_id").agg(F.array_sort(F.collect_set("tile_pos")).alias("held"))
-        held = F.transform("held", lambda x: F.struct(x.alias("first"), x.alias("last")))
+        # tiles of lines seldom follow each other, so each is an interval
+        gathered = hits.groupBy("combined_id").agg(F.sort_array(F.collect_set("tile_pos")).alias("held"))
+        tiles = gathered.select("combined_id", F.arrays_zip(F.col("held").alias("first"), F.col("held").alias("last")).alias("tiles"), F.size("held").cast("long").alias("n_tiles"))
     else:
         before = Window.partitionBy("combined_id").orderBy("first", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
         outermost = hits.withColumn("upto", F.max("last").over(before)).filter("upto is null or upto < first")
-        gathered = outermost.groupBy("combined_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("held"))
-        held = F.col("held")
-    tiles = gathered.select("combined_id", _runs(held).alias("tiles"))
-    n_tiles = F.aggregate("tiles", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
-    counted = features.join(tiles, "combined_id").withColumn("n_tiles", n_tiles)
+        gathered = outermost.groupBy("combined_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("held"), F.sum(F.col("last") - F.col("first") + 1).alias("n_tiles"))
+        tiles = gathered.select("combined_id", _runs(F.col("held")).alias("tiles"), "n_tiles")
+    counted = features.join(tiles, "combined_id")
     return counted.withColumn("external", is_external(F.col("combined_id"), F.col("n_tiles"), F.col("json")))
 
 
@@ -123,11 +122,11 @@ def tile_documents(rows: DataFrame, collection: bool = False) -> DataFrame:
     """
     mark = "," if collection else "\n"
     rows = rows.withColumn("range", F.shiftright("combined_id", ID_RANGE_BITS))
-    held = F.array_sort(F.collect_list(F.struct("combined_id", "json")))
+    held = F.sort_array(F.collect_list(F.struct("combined_id", "json")))
     parts = rows.groupBy("tile_pos", "range").agg(held.alias("held"))
     parts = parts.select("tile_pos", "range", F.size("held").cast("long").alias("n"), F.array_join("held.json", mark).alias("text"))
     # a range holds ids of one sign, in which signed order is unsigned order
-    whole = F.array_sort(F.collect_list(F.struct((F.col("range") < 0).alias("high"), "range", "text")))
+    whole = F.sort_array(F.collect_list(F.struct((F.col("range") < 0).alias("high"), "range", "text")))
     text = F.array_join(F.col("held.text"), mark)
     text = F.concat(F.lit('{"type":"FeatureCollection","features":['), text, F.lit("]}")) if collection else text
     return parts.groupBy("tile_pos").agg(F.sum("n").alias("n"), whole.alias("held")).select("tile_pos", "n", text.alias("document"))

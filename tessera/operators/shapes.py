@@ -67,6 +67,11 @@ def simplify(line: Column, level: int, closed: bool = False) -> Column:
     return F.arrow_udf(run, POINTS)(line)
 
 
+def simplify_points(points: Column, level: int) -> Column:
+    """Points and multipoints, which are on level 0 only: null above it."""
+    return points if level == 0 else F.when(F.lit(False), points)
+
+
 def simplify_shapes(shapes: Column, level: int) -> Column:
     """Shapes whose outer ring goes are dropped, inner rings one by one; null when no shape is left."""
     if level == 0:

