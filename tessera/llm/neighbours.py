@@ -100,7 +100,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, verified: float = 0
     """``(query_id, rank, vec_id, score)``: each query's k nearest, score being the cosine in double precision.
 
     ``is_query`` tells queries by the column vec_id. A query is not its own neighbour, nor is a row that repeats its id; of
-    other repeated rows each counts, ties go to the smaller vec_id, and a query with fewer than k candidates gets them
+    other repeated rows each counts; of several vectors of one query's id the least, component by component, is asked for; ties go to the smaller vec_id, and a query with fewer than k candidates gets them
     all. Rows with a null id or vector, or a vector that is zero or holds null or non-finite components, take no part; so
     do vectors of another length than the most frequent one (ties: the greatest). An empty table gives an empty result. In each block at least
     ``at_least`` vectors, or the share ``verified`` of them, are verified for each query.
@@ -110,7 +110,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, verified: float = 0
     n, width = (found.n, found.width) if found else (0, 0)
     table = table.filter(F.size("v") == width)
     spark = vectors.sparkSession
-    queries = table.filter(is_query).dropDuplicates(["vec_id"])
+    queries = table.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     batches = max(1, -(-queries.count() // QUERY_ROWS))
     dealt = table.repartition(max(1, -(-n // block_rows)))
     parts = []

@@ -82,3 +82,9 @@ def test_tiny_and_huge_components(spark):
     made = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = neighbours.search(made, F.col("vec_id") == 0).collect()
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [1, 3, 2] and all(abs(r.score) <= 1 + 1e-12 for r in got)
+
+
+def test_of_a_repeated_query_the_least_vector_is_asked_for(spark):
+    rows = [(50, [1.0, 0.0], 0), (50, [0.0, 1.0], 0), (1, [0.1, 1.0], 0), (2, [1.0, 0.1], 0)]
+    got = neighbours.search(table(spark, rows), F.col("vec_id") == 50).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(50, 1), (50, 2)]
