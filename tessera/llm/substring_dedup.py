@@ -13,9 +13,12 @@ stand. Consecutive windows with one anchor travel as one stretch.
    than a bounded number of stretches.
 3. A task builds a suffix automaton over shards, carries each state's smallest doc_id up its suffix links, and streams the
    stretches through it: where the matching statistic reaches the window's length, the state tells the first document.
-4. The windows found to start in a smaller doc_id go back to their documents, which lose the words that they cover.
+4. The windows found to start in a smaller doc_id go back to their documents, which lose the words that they cover. Documents
+   that lose words set a bit in a map of fixed size; the others are written as they are read, and only texts whose bit is set
+   travel, compressed, to meet their windows.
 
-Words are compared by 64-bit hashes, and stretches go back to documents by 64-bit hashes of their shard and their content.
+A stretch travels as its words, joined by one space, so words are compared as they are; only a word of more than 32 bytes goes
+as a 128-bit hash. Stretches go back to documents by 64-bit hashes of their shard and their content.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +42,15 @@ HOT = 8000
 #: Bytes of text whose equal stretches leave a task once.
 TOGETHER = 16_000_000
 SHARD_WORDS = 1 << 16
-#: Bytes of places of windows that are broadcast at most.
-PLACES_BYTES = 128_000_000
-#: Bits of the maps of anchors, 32 MB each whatever the corpus, and of a slice of one.
+#: Stretches held in a task at most, and handed on at once.
+HELD, BLOCK = 3_000_000, 100_000
+#: Bytes of a word beyond which its hash, one byte longer than this, stands for it.
+LONG = 32
+#: Bits of the maps of anchors and of documents, 32 MB each whatever the corpus, and of a slice of one.
 BITS, SLICE = 28, 20
 
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(GRAM)]
 _STEP = 0xD6E8FEB86659FD93
-_BACK = pow(_STEP, -1, 1 << 64)
 
 
 class SuffixAutomaton:
@@ -126,16 +132,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def _stretches(texts: pa.Array, size: int) -> tuple[np.ndarray, ...]:
-    """``(text, anchor, first window, first word, words, codes)``: the stretches of windows with one anchor, the last but one
-    being their lengths in words and the last the words of all texts as 64-bit codes."""
+def _stretches(texts: pa.Array, size: int) -> tuple:
+    """``(text, anchor, first window, first word, words, flat)``: the stretches of windows with one anchor, the last but one
+    being their lengths in words and the last the words of all texts end to end."""
     flat, sizes = split_words(texts)
     coded = flat.dictionary_encode()
     listed = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, listed), np.uint64, len(listed))[coded.indices.to_numpy()]
     nothing = np.zeros(0, np.int64)
     if len(hashes) < size:
-        return nothing, nothing, nothing, nothing, nothing, hashes
+        return nothing, nothing, nothing, nothing, nothing, flat
     owner = np.repeat(np.arange(len(sizes)), sizes)
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     grams = np.zeros(len(hashes) - GRAM + 1, np.uint64)
@@ -150,7 +156,7 @@ def _stretches(texts: pa.Array, size: int) -> tuple[np.ndarray, ...]:
     starts = np.flatnonzero(changed & inside)
     breaks = np.append(np.flatnonzero(changed | ~inside), windows)
     ends = breaks[np.searchsorted(breaks, starts, side="right")]
-    return owner[starts], grams[least[starts]].view(np.int64), starts - begin[starts], starts, ends - starts + size - 1, hashes
+    return owner[starts], grams[least[starts]].view(np.int64), starts - begin[starts], starts, ends - starts + size - 1, flat
 
 
 def _anchors(table: DataFrame, size: int) -> DataFrame:
@@ -171,50 +177,70 @@ def _is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7) & 1).astype(bool)
 
 
-def _maps(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The bit maps of anchors and of hot anchors, from ``(anchor, hot)``; each task makes its own slices of them."""
-    in_slice = (1 << SLICE) - 1
+def _maps(rows: DataFrame) -> np.ndarray:
+    """The bit map of the keys in the first column, and one of the keys marked in each further column; each task makes its own
+    slices of them."""
+    in_slice, n = (1 << SLICE) - 1, len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             slots = batch.column(0).to_numpy() & ((1 << BITS) - 1)
-            hot = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            marked = [np.ones(len(slots), bool), *(c.to_numpy(zero_copy_only=False).astype(bool) for c in batch.columns[1:])]
             for k in np.unique(slots >> SLICE).tolist():
                 mine = slots >> SLICE == k
-                bits = held.setdefault(k, np.zeros((2, 1 << SLICE - 3), np.uint8))
-                _set(bits[0], slots[mine] & in_slice)
-                _set(bits[1], slots[mine & (hot > 0)] & in_slice)
+                bits = held.setdefault(k, np.zeros((n, 1 << SLICE - 3), np.uint8))
+                for row, mark in zip(bits, marked):
+                    _set(row, slots[mine & mark] & in_slice)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["k", "bits"])
 
     slices = 1 << BITS - SLICE
-    out = np.zeros((2, slices, 1 << SLICE - 3), np.uint8)
-    dealt = counted.select("anchor", "hot").repartition(min(64, slices), F.shiftright(F.col("anchor").bitwiseAND((1 << BITS) - 1), SLICE))
+    out = np.zeros((n, slices, 1 << SLICE - 3), np.uint8)
+    dealt = rows.repartition(min(64, slices), F.shiftright(F.col(rows.columns[0]).bitwiseAND((1 << BITS) - 1), SLICE))
     found = dealt.mapInArrow(run, "k int, bits binary").toArrow()  # slices of fixed size, a fixed number of them
     for k, bits in zip(found.column("k").to_pylist(), found.column("bits").to_pylist()):
-        out[:, k] = np.frombuffer(bits, np.uint8).reshape(2, -1)
-    return out[0].ravel(), out[1].ravel()
+        out[:, k] = np.frombuffer(bits, np.uint8).reshape(n, -1)
+    return out.reshape(n, -1)
 
 
-def _shared_stretches(texts: pa.Array, size: int, maps: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """``(text, shard, content, first window, first word, words, codes)`` of the stretches that other documents may hold, windows of
-    hot anchors apart."""
-    owner, anchor, first, start, words, codes = _stretches(texts, size)
+def _spelled(flat: pa.Array, start: np.ndarray, words: np.ndarray) -> Iterator[list[bytes]]:
+    """The stretches as bytes, words joined by one space and long ones told by their hashes, so many at once."""
+    flat = flat.cast(pa.large_binary())
+    long = pc.greater(pc.binary_length(flat), LONG)
+    if pc.any(long).as_py():
+        hashes = [b"\0" + xxhash.xxh3_128_hexdigest(w).encode() for w in flat.filter(long).to_pylist()]
+        flat = pc.replace_with_mask(flat, long, pa.array(hashes, pa.large_binary()))
+    spaced = pc.binary_join_element_wise(flat, pa.scalar(b"", pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
+    offsets = np.frombuffer(spaced.buffers()[1], np.int64)
+    data = spaced.buffers()[2].to_pybytes()
+    for k in range(0, len(start), BLOCK):
+        some, n = start[k : k + BLOCK], words[k : k + BLOCK]
+        yield [data[a:b] for a, b in zip(offsets[some].tolist(), (offsets[some + n] - 1).tolist())]
+
+
+def _content(spelled: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, spelled), np.uint64, len(spelled))
+
+
+def _shared_stretches(texts: pa.Array, size: int, maps: np.ndarray) -> Iterator[tuple]:
+    """``(text, shard, content, first window, spelled)`` of the stretches that other documents may hold, windows of hot anchors
+    apart, so many at once."""
+    owner, anchor, first, start, words, flat = _stretches(texts, size)
     slots = anchor & ((1 << BITS) - 1)
     kept = np.flatnonzero(_is_set(maps[0], slots))
+    if not len(kept):
+        return
     owner, anchor, first, start, words, hot = (x[kept] for x in (owner, anchor, first, start, words, _is_set(maps[1], slots)))
     times = np.where(hot, words - size + 1, 1)
     shift = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     owner, anchor, first, start, words, hot = (np.repeat(x, times) for x in (owner, anchor, first, start, words, hot))
     first, start, words = first + shift, start + shift, np.where(hot, size, words)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(codes) + 1, _STEP, np.uint64))
-        back = np.cumprod(np.full(len(codes) + 1, _BACK, np.uint64))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * powers[: len(codes)])))
-        content = _mixed((sums[start + words] - sums[start]) * back[start] + words.astype(np.uint64))
-        shard = np.where(hot, _mixed(content * np.uint64(_STEP) + anchor.view(np.uint64)).view(np.int64), anchor)
-    return owner, shard, content.view(np.int64), first, start, words, codes
+    for k, spelled in enumerate(_spelled(flat, start, words)):
+        these = slice(k * BLOCK, (k + 1) * BLOCK)
+        content = _content(spelled)
+        apart = _mixed(content * np.uint64(_STEP) + anchor[these].view(np.uint64)).view(np.int64)
+        yield owner[these], np.where(hot[these], apart, anchor[these]), content.view(np.int64), first[these], spelled
 
 
 def _in_chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -226,36 +252,38 @@ def _in_chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple
 
 
 def _contents(table: DataFrame, size: int, maps) -> DataFrame:
-    """``(shard, content, words, doc, last_doc)``: stretches that may be shared, equal ones of many documents once."""
+    """``(shard, words, doc, last_doc)``: stretches that may be shared, equal ones of many documents once."""
 
-    def out(held: list[tuple]) -> pa.RecordBatch:
+    def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         shard, content, doc = (np.concatenate([h[i] for h in held]) for i in range(3))
+        spelled = [w for h in held for w in h[3]]
         order = np.lexsort((doc, content, shard))
         shard, content, doc = shard[order], content[order], doc[order]
         new = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (content[1:] != content[:-1])))
         last = np.append(new[1:], len(shard)) - 1
-        words = pa.chunked_array([h[3] for h in held]).combine_chunks().take(pa.array(order[new]))
-        return pa.RecordBatch.from_arrays([pa.array(shard[new]), pa.array(content[new]), words, pa.array(doc[new]), pa.array(doc[last])], names=["shard", "content", "words", "doc", "last_doc"])
+        for k in range(0, len(new), BLOCK):
+            these, lasts = new[k : k + BLOCK], last[k : k + BLOCK]
+            words = pa.array([spelled[i] for i in order[these].tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(shard[these]), words, pa.array(doc[these]), pa.array(doc[lasts])], names=["shard", "words", "doc", "last_doc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n, stretches = [], 0, 0
         for batch, texts in _in_chunks(batches, 1):
-            owner, shard, content, _, start, words, codes = _shared_stretches(texts, size, maps.value)
-            if not len(shard):
-                continue
-            ends = np.cumsum(words)
-            spread = np.repeat(start - (ends - words), words) + np.arange(ends[-1])
-            offsets = np.concatenate(([0], 8 * ends)).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(codes.astype("<u8")[spread])])
-            held.append((shard, content, batch.column(0).to_numpy()[owner], data))
+            ids = batch.column(0).to_numpy()
             n += texts.nbytes
-            if n >= TOGETHER:
-                yield out(held)
-                held, n = [], 0
+            for owner, shard, content, _, spelled in _shared_stretches(texts, size, maps.value):
+                held.append((shard, content, ids[owner], spelled))
+                stretches += len(spelled)
+                if stretches >= HELD:
+                    yield from out(held)
+                    held, n, stretches = [], 0, 0
+            if n >= TOGETHER and held:
+                yield from out(held)
+                held, n, stretches = [], 0, 0
         if held:
-            yield out(held)
+            yield from out(held)
 
-    return table.select("doc_id", "text").mapInArrow(run, "shard long, content long, words binary, doc long, last_doc long")
+    return table.select("doc_id", "text").mapInArrow(run, "shard long, words binary, doc long, last_doc long")
 
 
 def _places(table: DataFrame, size: int, maps) -> DataFrame:
@@ -263,51 +291,50 @@ def _places(table: DataFrame, size: int, maps) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _in_chunks(batches, 1):
-            owner, shard, content, first, *_ = _shared_stretches(texts, size, maps.value)
             ids, versions = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[owner], versions[owner], first.astype(np.int32), shard, content)], names=["doc_id", "version", "at", "shard", "content"])
+            for owner, shard, content, first, _ in _shared_stretches(texts, size, maps.value):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[owner], versions[owner], first.astype(np.int32), shard, content)], names=["doc_id", "version", "at", "shard", "content"])
 
     return table.select("doc_id", "text", "version").mapInArrow(run, "doc_id long, version long, at int, shard long, content long")
 
 
 def _first_docs(pieces: DataFrame, size: int) -> DataFrame:
-    """``(shard, content, firsts)`` for the pieces ``(shard, content, words, doc, last_doc)`` that some document must lose from."""
-
-    def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        same: dict[tuple, tuple] = {}
-        for row in rows:
-            doc, last = same.get(row[:3], row[3:])
-            same[row[:3]] = min(doc, row[3]), max(last, row[4])
-        held = [(*k, *v) for k, v in same.items()]
-        automaton = SuffixAutomaton()
-        sequences = [np.frombuffer(words, "<u8").tolist() for _, _, words, _, _ in held]
-        for symbols, (_, _, _, doc, _) in zip(sequences, held):
+    """``(shard, content, firsts)`` for the pieces ``(shard, words, doc, last_doc)`` that some document must lose from."""
+
+    def out(held: list[list]) -> Iterator[pa.RecordBatch]:
+        automaton, symbol_of = SuffixAutomaton(), {}
+        sequences = [[symbol_of.setdefault(w, len(symbol_of)) for w in words.split(b" ")] for _, words, _, _ in held]
+        for symbols, (_, _, doc, _) in zip(sequences, held):
             automaton.add(symbols, doc)
         automaton.finish()
         rows = []
-        for symbols, (shard, content, _, doc, last) in zip(sequences, held):
+        for symbols, (shard, words, _, last) in zip(sequences, held):
             firsts = automaton.first_docs(symbols, size)
             if any(f is not None and f < last for f in firsts):
-                rows.append((shard, content, firsts))
+                rows.append((shard, words, firsts))
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["shard", "content", "firsts"])
+            shards, spelled, firsts = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(_content(spelled).view(np.int64)), pa.array(firsts, pa.list_(pa.int64()))], names=["shard", "content", "firsts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        words = 0
+        held: list[list] = []
+        n = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if words >= SHARD_WORDS and row[0] != held[-1][0]:
+            for shard, words, doc, last in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][0] == shard and held[-1][1] == words:
+                    held[-1][2:] = min(doc, held[-1][2]), max(last, held[-1][3])
+                    continue
+                if n >= SHARD_WORDS and shard != held[-1][0]:
                     yield from out(held)
-                    held, words = [], 0
-                held.append(row)
-                words += len(row[2]) // 8
+                    held, n = [], 0
+                held.append([shard, words, doc, last])
+                n += words.count(b" ") + 1
         if held:
             yield from out(held)
 
-    dealt = pieces.repartition("shard").sortWithinPartitions("shard")
-    return dealt.select("shard", "content", "words", "doc", "last_doc").mapInArrow(run, "shard long, content long, firsts array<long>")
+    # equal stretches come one after another, so a window of very many documents is merged as it comes
+    dealt = pieces.repartition("shard").sortWithinPartitions("shard", "words")
+    return dealt.select("shard", "words", "doc", "last_doc").mapInArrow(run, "shard long, content long, firsts array<long>")
 
 
 def repeated_windows(table: DataFrame, size: int = 13, hot: int = HOT) -> DataFrame:
@@ -333,32 +360,50 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def dedup(docs: DataFrame, size: int = 13, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", places_bytes: int = PLACES_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, size: int = 13, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` for every row; kept is what is left, its words joined by one space, as UTF-8.
 
     A null or empty text has no words. A row with a null doc_id neither loses words nor takes them from others. Rows that
     repeat an id are not smaller than each other. Texts are judged whole and as given. Ties cannot arise, since only a
-    smaller doc_id counts. An empty table gives an empty result, and other columns are not read.
+    smaller doc_id counts. An empty table gives an empty result, and other columns are not read. ``bits`` of the map of
+    documents that lose words: a bit that documents share only lets more texts travel.
     """
     table = id_and_text(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
     found = materialize(repeated_windows(table, size, hot), "windows")
+    slot = F.xxhash64("doc_id", "version").bitwiseAND((1 << min(bits, BITS)) - 1).alias("slot")
+    marks = table.sparkSession.sparkContext.broadcast(_maps(found.select(slot)))
+
+    def left(ids: pa.Array, texts: list[bytes], starts: list) -> pa.RecordBatch:
+        counts, removed, kept = [], [], []
+        for text, places in zip(texts, starts):
+            words = text.split()
+            stay = [w for w, gone in zip(words, covered(len(words), np.array(places), size).tolist()) if not gone] if places else words
+            counts.append(len(words))
+            removed.append(len(words) - len(stay))
+            kept.append(b" ".join(stay))
+        return pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(~_is_set(marks.value[0], batch.column(3).to_numpy())))
+            yield left(some.column(0), utf8(some.column(1)), [None] * len(some))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor().compress
         for batch in batches:
-            counts, removed, kept = [], [], []
-            for text, starts in zip(utf8(batch.column(1)), batch.column(2).to_pylist()):
-                words = text.split()
-                gone = covered(len(words), np.array(starts), size) if starts else None
-                left = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
-                counts.append(len(words))
-                removed.append(len(words) - len(left))
-                kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    # at most so many bytes of places go to every task; more of them, and the texts, are dealt by document
-    size_of = found.agg(F.sum(24 + 4 * F.size("starts"))).first()[0] or 0
-    marked = table.join(F.broadcast(found) if size_of <= places_bytes else found, ["doc_id", "version"], "left").select("doc_id", "text", "starts")
-    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+            some = batch.filter(pa.array(_is_set(marks.value[0], batch.column(3).to_numpy())))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(map(pack, utf8(some.column(1))), pa.binary())], names=["doc_id", "version", "packed"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            yield left(batch.column(0), [unpack(x) for x in batch.column(1).to_pylist()], batch.column(2).to_pylist())
+
+    told = table.select("doc_id", "text", "version", slot)
+    schema = "doc_id long, n_words long, n_removed long, kept binary"
+    sent = told.mapInArrow(packed, "doc_id long, version long, packed binary")
+    met = sent.join(found.hint("merge"), ["doc_id", "version"], "left").select("doc_id", "packed", "starts")
+    return told.mapInArrow(whole, schema).unionByName(met.mapInArrow(unpacked, schema))
 
 
 def digests(docs: DataFrame, size: int = 13) -> DataFrame:

@@ -43,8 +43,10 @@ def test_against_brute_force(make, odd_rows, hot):
             a = draw.randrange(len(p))
             text += p[a : a + draw.randrange(5, 50)] if draw.random() < 0.7 else [draw.choice("ab") for _ in range(20)]
         rows.append((i, " ".join(text)))
+    lengthy = ["x" * 33, "y" * 40, "\0" + xxhash.xxh3_128_hexdigest(b"x" * 33), "z" * 32] + ["u%d" % i for i in range(12)]
+    rows += [(70, " ".join(lengthy)), (71, " ".join(lengthy)), (72, " ".join([lengthy[2], *lengthy[1:]]))]
     rows += [(12, "a second text of one id " * 9), (4, odd_rows[5][1]), (80, odd_rows[5][1])]
-    made = sd.dedup(make(rows), hot=hot, places_bytes=hot).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
+    made = sd.dedup(make(rows), hot=hot, bits=2 if hot == 1 else 28).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) AS kept_sha256")
     assert sorted((tuple(r) for r in made.collect()), key=key) == sorted(plain(rows), key=key)
 
 
