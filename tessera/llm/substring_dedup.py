@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,9 +178,9 @@ def _is_set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7) & 1).astype(bool)
 
 
-def _maps(rows: DataFrame) -> np.ndarray:
-    """The bit map of the keys in the first column, and one of the keys marked in each further column; each task makes its own
-    slices of them."""
+def _maps(rows: DataFrame) -> Broadcast:
+    """The bit map of the keys in the first column, and one of the keys marked in each further column, compressed and broadcast;
+    each task makes its own slices of them."""
     in_slice, n = (1 << SLICE) - 1, len(rows.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,11 @@ def _maps(rows: DataFrame) -> np.ndarray:
     found = dealt.mapInArrow(run, "k int, bits binary").toArrow()  # slices of fixed size, a fixed number of them
     for k, bits in zip(found.column("k").to_pylist(), found.column("bits").to_pylist()):
         out[:, k] = np.frombuffer(bits, np.uint8).reshape(n, -1)
-    return out.reshape(n, -1)
+    return rows.sparkSession.sparkContext.broadcast([zstandard.compress(row) for row in out.reshape(n, -1)])
+
+
+def _opened(maps: Broadcast) -> list[np.ndarray]:
+    return [np.frombuffer(zstandard.decompress(row), np.uint8) for row in maps.value]
 
 
 def _spelled(flat: pa.Array, start: np.ndarray, words: np.ndarray) -> Iterator[list[bytes]]:
@@ -223,7 +228,7 @@ def _content(spelled: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, spelled), np.uint64, len(spelled))
 
 
-def _shared_stretches(texts: pa.Array, size: int, maps: np.ndarray) -> Iterator[tuple]:
+def _shared_stretches(texts: pa.Array, size: int, maps: list[np.ndarray]) -> Iterator[tuple]:
     """``(text, shard, content, first window, spelled)`` of the stretches that other documents may hold, windows of hot anchors
     apart, so many at once."""
     owner, anchor, first, start, words, flat = _stretches(texts, size)
@@ -251,7 +256,7 @@ def _in_chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple
             at += len(some)
 
 
-def _contents(table: DataFrame, size: int, maps) -> DataFrame:
+def _contents(table: DataFrame, size: int, maps: Broadcast) -> DataFrame:
     """``(shard, words, doc, last_doc)``: stretches that may be shared, equal ones of many documents once."""
 
     def out(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +273,11 @@ def _contents(table: DataFrame, size: int, maps) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, stretches = [], 0, 0
+        opened = _opened(maps)
         for batch, texts in _in_chunks(batches, 1):
             ids = batch.column(0).to_numpy()
             n += texts.nbytes
-            for owner, shard, content, _, spelled in _shared_stretches(texts, size, maps.value):
+            for owner, shard, content, _, spelled in _shared_stretches(texts, size, opened):
                 held.append((shard, content, ids[owner], spelled))
                 stretches += len(spelled)
                 if stretches >= HELD:
@@ -286,13 +292,14 @@ def _contents(table: DataFrame, size: int, maps) -> DataFrame:
     return table.select("doc_id", "text").mapInArrow(run, "shard long, words binary, doc long, last_doc long")
 
 
-def _places(table: DataFrame, size: int, maps) -> DataFrame:
+def _places(table: DataFrame, size: int, maps: Broadcast) -> DataFrame:
     """``(doc_id, version, at, shard, content)`` of the stretches that may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = _opened(maps)
         for batch, texts in _in_chunks(batches, 1):
             ids, versions = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            for owner, shard, content, first, _ in _shared_stretches(texts, size, maps.value):
+            for owner, shard, content, first, _ in _shared_stretches(texts, size, opened):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[owner], versions[owner], first.astype(np.int32), shard, content)], names=["doc_id", "version", "at", "shard", "content"])
 
     return table.select("doc_id", "text", "version").mapInArrow(run, "doc_id long, version long, at int, shard long, content long")
@@ -344,7 +351,7 @@ def repeated_windows(table: DataFrame, size: int = 13, hot: int = HOT) -> DataFr
     """
     table = table.filter("doc_id is not null")
     counted = _anchors(table, size).groupBy("anchor").agg(F.sum("n").alias("n"))
-    maps = table.sparkSession.sparkContext.broadcast(_maps(counted.filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))))
+    maps = _maps(counted.filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot")))
     firsts = _first_docs(_contents(table, size, maps), size)
     joined = _places(table, size, maps).join(firsts, ["shard", "content"])
     starts = F.filter(F.transform("firsts", lambda first, t: F.when(first < F.col("doc_id"), F.col("at") + t)), lambda x: x.isNotNull())
@@ -371,7 +378,7 @@ def dedup(docs: DataFrame, size: int = 13, hot: int = HOT, id_col: str = "doc_id
     table = id_and_text(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
     found = materialize(repeated_windows(table, size, hot), "windows")
     slot = F.xxhash64("doc_id", "version").bitwiseAND((1 << min(bits, BITS)) - 1).alias("slot")
-    marks = table.sparkSession.sparkContext.broadcast(_maps(found.select(slot)))
+    marks = _maps(found.select(slot))
 
     def left(ids: pa.Array, texts: list[bytes], starts: list) -> pa.RecordBatch:
         counts, removed, kept = [], [], []
@@ -384,14 +391,16 @@ def dedup(docs: DataFrame, size: int = 13, hot: int = HOT, id_col: str = "doc_id
         return pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (marked,) = _opened(marks)
         for batch in batches:
-            some = batch.filter(pa.array(~_is_set(marks.value[0], batch.column(3).to_numpy())))
+            some = batch.filter(pa.array(~_is_set(marked, batch.column(3).to_numpy())))
             yield left(some.column(0), utf8(some.column(1)), [None] * len(some))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor().compress
+        (marked,) = _opened(marks)
         for batch in batches:
-            some = batch.filter(pa.array(_is_set(marks.value[0], batch.column(3).to_numpy())))
+            some = batch.filter(pa.array(_is_set(marked, batch.column(3).to_numpy())))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(map(pack, utf8(some.column(1))), pa.binary())], names=["doc_id", "version", "packed"])
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
