@@ -32,11 +32,11 @@ def recompute_references(store: Store) -> None:
     store.commit({"refs": elements.references(store.read("ways"), store.read("relations"))}, sort={"refs": "ref"})
 
 
-def geometries(tables: dict[str, DataFrame], only: DataFrame | None = None) -> DataFrame:
+def geometries(tables: dict[str, DataFrame], only: DataFrame | None = None, areas: bool = True) -> DataFrame:
     """``(combined_id, tags, line, shapes)`` of every visible way, relation and coastline that has a geometry.
 
     ``tables`` are a store's by name; ``only``, a table of combined_id, keeps the elements to be assembled to those. They and what they
-    refer to are then read by key.
+    refer to are then read by key. Without ``areas`` every way is a line, closed ones too, and nothing else is assembled.
     """
     points, by_key = tables["points"], only is not None
 
@@ -48,6 +48,8 @@ def geometries(tables: dict[str, DataFrame], only: DataFrame | None = None) -> D
 
     own = lambda kind: ids.combined_id(kind, F.col("id")).alias("combined_id")
     ways = elements.way_geometries(wanted(tables["ways"].filter("visible"), ids.WAY), points, by_key)
+    if not areas:
+        return ways.select(own(ids.WAY), "tags", "line", F.lit(None).cast(shapes.SHAPES).alias("shapes"))
     ways = materialize(ways.select(own(ids.WAY), "tags", "kind", "line"), "ways")
     relations = wanted(tables["relations"].filter("visible"), ids.RELATION)
     closed = ways.filter("kind = 'area'").select(F.col("combined_id").alias("id"), F.lit(0).alias("line"), F.posexplode("line").alias("pos", "p")).select("id", "line", "pos", "p.x", "p.y")
@@ -114,17 +116,17 @@ def tables_of(store: Store) -> dict[str, DataFrame]:
     return {name: store.read(name) for name in store.tables()}
 
 
-def assemble_geometry(store: Store, levels: int = 1, nodes: bool = False) -> None:
+def assemble_geometry(store: Store, levels: int = 1, nodes: bool = False, areas: bool = True) -> None:
     """Write the features of ``laid_out`` for everything in the store, and the tiles that they make; tagged nodes are among them only if
-    they are asked for."""
+    they are asked for, and areas unless they are not. An update keeps to both."""
     tables = tables_of(store)
-    placed = laid_out(geometries(tables), levels)
+    placed = laid_out(geometries(tables, areas=areas), levels)
     placed = materialize(placed.unionByName(node_features(tables)) if nodes else placed, "features")
-    store.commit({"features": placed, "tiles": features.tile_rows(placed)}, sort={"features": "combined_id", "tiles": ["level", "tile_pos"]}, levels=levels, nodes=nodes)
+    store.commit({"features": placed, "tiles": features.tile_rows(placed)}, sort={"features": "combined_id", "tiles": ["level", "tile_pos"]}, levels=levels, nodes=nodes, areas=areas)
 
 
 def average_point_density(store: Store) -> DataFrame:
-    made = geometries(tables_of(store))
+    made = geometries(tables_of(store), areas=store.properties().get("areas", True))
     borders = made.filter("shapes is not null").select(F.explode("shapes").alias("s")).select(F.explode(F.concat(F.array("s.outer"), F.coalesce("s.inners", F.array()))).alias("line"))
     return elements.mean_segment_length(made.filter("line is not null").select("line").union(borders))
 

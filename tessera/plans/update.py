@@ -112,7 +112,7 @@ def geometry_deltas(store: Store, tables: dict[str, DataFrame], made: dict[str,
     affected = materialize(ch.closure(edges, seeds, written=True), "affected")
     now = tables | {name: merged(tables[name], delta) for name, delta in made.items()}
     known = store.properties()
-    placed = build.laid_out(build.geometries(now, affected), known["levels"])
+    placed = build.laid_out(build.geometries(now, affected, known.get("areas", True)), known["levels"])
     placed = materialize(placed.unionByName(build.node_features(now, affected)) if known.get("nodes") else placed, "features")
     old = materialize(elements.narrowed(tables["features"], "combined_id", affected, distinct=True).select(placed.columns), "features")
     keys = ["level", "tile_pos", "combined_id"]
@@ -179,6 +179,6 @@ def get(store: Store, kind: str, number: int, what: str = "element") -> DataFram
     if what == "element":
         return elements.lookup(tables[("nodes", "ways", "relations", "coastlines")[code]], [number])
     if what == "geometry":
-        return build.geometries(tables, own)
+        return build.geometries(tables, own, store.properties().get("areas", True))
     mine = elements.narrowed(tables["features"], "combined_id", own)
     return features.tile_rows(mine) if what == "tiles" else mine
