@@ -44,18 +44,18 @@ def unsigned_struct(combined: Column, *more: Column) -> Column:
     return F.struct((combined < 0).alias("high"), combined.alias("combined_id"), *more)
 
 
-_STEPS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+STEPS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
 def _spread(value: Column) -> Column:
     out = value.cast("long").bitwiseAND(0xFFFFFFFF)
-    for shift, mask in _STEPS:
+    for shift, mask in STEPS:
         out = out.bitwiseOR(F.shiftleft(out, shift)).bitwiseAND(mask)
     return out
 
 
 def _gather(value: Column) -> Column:
-    out = value.bitwiseAND(_STEPS[-1][1])
+    out = value.bitwiseAND(STEPS[-1][1])
     for shift, mask in (*((s, m) for s, m in zip((1, 2, 4, 8, 16), (0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF, 0x0000FFFF0000FFFF, 0xFFFFFFFF))),):
         out = out.bitwiseOR(F.shiftrightunsigned(out, shift)).bitwiseAND(mask)
     return F.when(out >= 1 << 31, out - (1 << 32)).otherwise(out).cast("int")

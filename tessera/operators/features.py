@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +18,8 @@ from tessera.functions import coords, ids
 INLINE_BYTES = 2048
 #: Ids of a range, of which a tile's features are gathered at once, as a power of two.
 ID_RANGE_BITS = 16
+#: The same for the features of which digests' pieces are made in one task, and how many of them make a piece.
+PIECE_RANGE_BITS, FEATURES_AT_ONCE = 14, 4096
 
 
 def point_text(p: Column) -> Column:
@@ -101,8 +110,17 @@ def place(features: DataFrame, hits: DataFrame) -> DataFrame:
         outermost = hits.withColumn("upto", F.max("last").over(before)).filter("upto is null or upto < first")
         gathered = outermost.groupBy("combined_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("held"), F.sum(F.col("last") - F.col("first") + 1).alias("n_tiles"))
         tiles = gathered.select("combined_id", _runs(F.col("held")).alias("tiles"), "n_tiles")
-    counted = features.join(tiles, "combined_id")
-    return counted.withColumn("external", is_external(F.col("combined_id"), F.col("n_tiles"), F.col("json")))
+    return _counted(features.join(tiles, "combined_id"))
+
+
+def place_lists(features: DataFrame) -> DataFrame:
+    """``place`` where ``held``, an array of the feature's distinct tile positions in ascending order, is a column already."""
+    listed = features.filter(F.size("held") > 0).withColumns({"tiles": F.arrays_zip(F.col("held").alias("first"), F.col("held").alias("last")), "n_tiles": F.size("held").cast("long")})
+    return _counted(listed.drop("held"))
+
+
+def _counted(placed: DataFrame) -> DataFrame:
+    return placed.withColumn("external", is_external(F.col("combined_id"), F.col("n_tiles"), F.col("json")))
 
 
 def tile_rows(placed: DataFrame) -> DataFrame:
@@ -132,6 +150,65 @@ def tile_documents(rows: DataFrame, collection: bool = False) -> DataFrame:
     return parts.groupBy("tile_pos").agg(F.sum("n").alias("n"), whole.alias("held")).select("tile_pos", "n", text.alias("document"))
 
 
+def tile_digests(placed: DataFrame) -> DataFrame:
+    """``(tile_pos, n, n_bytes, digest)``: what ``tile_documents(tile_rows(placed))`` gives, its documents told by bytes and MD5.
+
+    A document may have more bytes than a task has memory, so none is put together. Features are gathered by ranges of ids; a
+    range's tasks make pieces of documents, a batch of features at a time, and a tile's pieces, compressed, go through its digest in order.
+    """
+    line = F.when(F.col("external"), reference(F.col("combined_id"))).otherwise(F.col("json"))
+    high = (F.col("combined_id") < 0).alias("high")
+    rows = placed.select(F.shiftright("combined_id", PIECE_RANGE_BITS).alias("range"), high, "combined_id", line.alias("json"), F.transform("tiles", lambda t: t["first"]).alias("firsts"), F.transform("tiles", lambda t: t["last"]).alias("lasts"))
+    # in a task's order no range of another task lies inside a batch's ids unless the range changes there
+    ordered = rows.repartition("range").sortWithinPartitions("high", "combined_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranges = batch.column("range").to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+            for a, b in zip(bounds, bounds[1:]):
+                for at in range(a, b, FEATURES_AT_ONCE):
+                    yield pieces(batch.slice(at, min(b - at, FEATURES_AT_ONCE)))
+
+    def pieces(some: pa.RecordBatch) -> pa.RecordBatch:
+        firsts, lasts = (some.column(c).flatten().to_numpy() for c in ("firsts", "lasts"))
+        of = np.repeat(np.arange(some.num_rows), pc.list_value_length(some.column("firsts")).to_numpy())
+        size = lasts - firsts + 1
+        tile = np.repeat(firsts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        of = np.repeat(of, size)
+        order = np.argsort(tile, kind="stable")
+        tile, of = tile[order], of[order]
+        starts = np.flatnonzero(np.diff(tile, prepend=tile[:1] - 1))
+        ends = np.append(starts[1:], len(tile))
+        texts = [x.as_buffer().to_pybytes() for x in some.column("json").cast(pa.binary())]
+        made = [b"\n".join([texts[i] for i in of[a:b].tolist()]) for a, b in zip(starts.tolist(), ends.tolist())]
+        first = some.column("combined_id").to_numpy()[of[starts]]
+        columns = [pa.array(tile[starts]), pa.array(first < 0), pa.array(first), pa.array(ends - starts), pa.array([zlib.compress(x, 1) for x in made], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["tile_pos", "high", "first", "n", "piece"])
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([tile], pa.int64()), pa.array([n], pa.int64()), pa.array([n_bytes], pa.int64()), pa.array([digest.hexdigest()])], names=["tile_pos", "n", "n_bytes", "digest"])
+
+        tile = None
+        for batch in batches:
+            for pos, more, held in zip(batch.column("tile_pos").to_pylist(), batch.column("n").to_pylist(), batch.column("piece")):
+                if pos != tile:
+                    if tile is not None:
+                        yield row()
+                    tile, n, n_bytes, digest = pos, 0, -1, hashlib.md5(usedforsecurity=False)
+                text = zlib.decompress(held.as_buffer())
+                if n:
+                    digest.update(b"\n")
+                digest.update(text)
+                n, n_bytes = n + more, n_bytes + 1 + len(text)
+        if tile is not None:
+            yield row()
+
+    made = ordered.mapInArrow(cut, "tile_pos long, high boolean, first long, n long, piece binary")
+    return made.repartition("tile_pos").sortWithinPartitions("tile_pos", "high", "first").mapInArrow(digested, "tile_pos long, n long, n_bytes long, digest string")
+
+
 def tile(rows: DataFrame, x: int, y: int) -> DataFrame:
     """One tile's document; the filter on the key reaches the scan of a table sorted by tile_pos."""
     pos = ids.morton(F.lit(x), F.lit(y))

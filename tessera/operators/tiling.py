@@ -10,12 +10,18 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import coords, ids
 from tessera.operators.elements import bounds, segments
 
+#: Points whose tiles are found at once.
+POINTS_AT_ONCE = 20_000
+
 
 def point_tiles(points: DataFrame, level: int = 0) -> DataFrame:
     """``points`` with tile_x, tile_y and tile_pos."""
@@ -78,20 +84,88 @@ def walk(edges: DataFrame, side: Column | int, low_x: Column | None = None, low_
     return columns.withColumn("tile_y", _range(first(low, low_y), tile(high))).drop("_in", "_out")
 
 
-def line_tiles(lines: DataFrame, key: str = "id", column: str = "line", level: int = 0, distinct: bool = True) -> DataFrame:
-    """Distinct ``(key, tile_x, tile_y, tile_pos)`` of lines of two points or more; without ``distinct`` a tile comes once for each segment."""
-    side = coords.tile_side(level)
-    ranged = lines.filter(F.size(column) > 1).select(key, F.col(column).alias("line"), bounds(F.col(column)).alias("b"))
-    ranged = ranged.withColumn("r", _tile_range(F.col("b"), level))
-    ranged = ranged.withColumn("narrow", (F.col("r.min_x") == F.col("r.max_x")) | (F.col("r.min_y") == F.col("r.max_y")))
+def _cells(x: np.ndarray, y: np.ndarray, line: np.ndarray, run: np.ndarray, side: int, n: int) -> np.ndarray:
+    """Distinct rows ``(line, tile_x, tile_y)`` of the tiles that lines touch, whose points (fixed values) lie end to end: ``line`` is the
+    line of each, of ``n``, and there is no segment between points of two runs. As ``walk`` and ``touches`` have it."""
+    starts = np.flatnonzero(np.diff(line, prepend=-1))
+    low_x, low_y, high_x, high_y = (np.zeros(n, np.int64) for _ in range(4))
+    for out, f, v in ((low_x, np.minimum, x), (low_y, np.minimum, y), (high_x, np.maximum, x), (high_y, np.maximum, y)):
+        out[line[starts]] = f.reduceat(v, starts)
+    one_row_or_column = (low_x // side == high_x // side) | (low_y // side == high_y // side)
+    at = np.flatnonzero((line[1:] == line[:-1]) & (run[1:] == run[:-1]) & ~one_row_or_column[line[1:]])
+    narrow = np.flatnonzero(one_row_or_column & np.isin(np.arange(n), line[starts]))
     # a narrow line stands for all tiles of its bounds, as if it were one segment through them
-    through = F.array(F.struct(F.col("b.min_x").alias("x"), F.col("b.min_y").alias("y")), F.struct(F.col("b.max_x").alias("x"), F.col("b.max_y").alias("y")))
-    each = segments(ranged.select(key, "r", "narrow", F.when(F.col("narrow"), through).otherwise(F.col("line")).alias("line")))
-    cells = walk(each, side, F.col("r.min_x"), F.col("r.min_y"))
-    left, bottom = coords.tile_start(F.col("tile_x"), level), coords.tile_start(F.col("tile_y"), level)
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    hits = cells.filter(F.col("narrow") | touches(x1, y1, x2, y2, left, bottom, side)).select(key, "tile_x", "tile_y")
-    return with_pos(hits.distinct() if distinct else hits)
+    x1, y1, x2, y2 = (np.concatenate(v) for v in ((x[at], low_x[narrow]), (y[at], low_y[narrow]), (x[at + 1], high_x[narrow]), (y[at + 1], high_y[narrow])))
+    of, whole = np.concatenate((line[at], narrow)), np.arange(len(at) + len(narrow)) >= len(at)
+
+    def ranged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each number from first to last, ends included, the place of its range, and the number."""
+        size = np.maximum(last - first + 1, 0)
+        place = np.repeat(np.arange(len(first)), size)
+        return place, first[place] + np.arange(len(place)) - (np.cumsum(size) - size)[place]
+
+    # a segment that lies on a tile's low side touches the tile before it too
+    i, tile_x = ranged(np.maximum(low_x[of] // side, (np.minimum(x1, x2) - 1) // side), np.maximum(x1, x2) // side)
+    left = tile_x * side
+    dx, dy, low, high = (x2 - x1)[i], (y2 - y1)[i], np.minimum(y1, y2)[i], np.maximum(y1, y2)[i]
+    edges = [y1[i] + dy * (e - x1[i]) // np.where(dx == 0, 1, dx) for e in (np.maximum(left, np.minimum(x1, x2)[i]), np.minimum(left + side, np.maximum(x1, x2)[i]))]
+    first = np.where(dx == 0, low, np.clip(np.minimum(*edges) - 1, low, high))
+    last = np.where(dx == 0, high, np.clip(np.maximum(*edges) + 1, low, high))
+    j, tile_y = ranged(np.maximum(low_y[of[i]] // side, (first - 1) // side), last // side)
+    i, tile_x, left, bottom = i[j], tile_x[j], left[j], tile_y * side
+    near = (np.minimum(x1, x2)[i] <= left + side) & (np.maximum(x1, x2)[i] >= left) & (np.minimum(y1, y2)[i] <= bottom + side) & (np.maximum(y1, y2)[i] >= bottom)
+    signs = [(x2 - x1)[i] * (b - y1[i]) - (y2 - y1)[i] * (a - x1[i]) for a in (left, left + side) for b in (bottom, bottom + side)]
+    hit = whole[i] | (near & (reduce(np.minimum, signs) <= 0) & (reduce(np.maximum, signs) >= 0))
+    return np.unique(np.stack((of[i], tile_x, tile_y), axis=1)[hit], axis=0)
+
+
+def _interleaved(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``ids.morton`` of arrays."""
+    out = [v.astype(np.uint64) & np.uint64(0xFFFFFFFF) for v in (x, y)]
+    for shift, mask in ids.STEPS:
+        out = [(v | v << np.uint64(shift)) & np.uint64(mask) for v in out]
+    return (out[0] | out[1] << np.uint64(1)).view(np.int64)
+
+
+def tiles_of_line(line: Column, level: int = 0) -> Column:
+    """The distinct positions of the tiles that a line touches, ascending; none for a line of fewer than two points.
+
+    Made line by line, so nothing is shuffled or held for it but the lines of a batch, a few points at a time.
+    """
+    side = coords.tile_side(level)
+
+    def run(lines: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy().astype(np.int64)
+        flat = lines.flatten()
+        fields = [pc.struct_field(flat, c) for c in ("x", "y")]
+        x, y = (pc.fill_null(f, 0).to_numpy().astype(np.int64) for f in fields)
+        # a point without a place ends a run of segments
+        there = pc.and_(*[pc.is_valid(f) for f in fields]).to_numpy(zero_copy_only=False)
+        runs = np.cumsum(~there)
+        ends = np.cumsum(sizes)
+        held, first = [], 0
+        while first < len(sizes):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + POINTS_AT_ONCE, side="right")))
+            a, b = ends[first] - sizes[first], ends[last - 1]
+            of = np.repeat(np.arange(last - first), sizes[first:last])
+            able = (sizes[first:last] > 1)[of] & there[a:b]
+            found = _cells(x[a:b][able], y[a:b][able], of[able], runs[a:b][able], side, last - first) if able.any() else np.zeros((0, 3), np.int64)
+            pos = _interleaved(found[:, 1], found[:, 2])
+            order = np.lexsort((pos, found[:, 0]))
+            held.append((np.bincount(found[:, 0], minlength=last - first), pos[order]))
+            first = last
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate([n for n, _ in held])))) if held else np.zeros(1)
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate([p for _, p in held]) if held else np.zeros(0, np.int64)))
+
+    # so that Spark does not run it once more for a filter or a second use
+    return F.arrow_udf(run, "array<long>").asNondeterministic()(line)
+
+
+def line_tiles(lines: DataFrame, key: str = "id", column: str = "line", level: int = 0) -> DataFrame:
+    """Distinct ``(key, tile_x, tile_y, tile_pos)`` of lines of two points or more."""
+    listed = lines.select(key, tiles_of_line(F.col(column), level).alias("held"))
+    pos = F.col("tile_pos")
+    return listed.select(key, F.explode("held").alias("tile_pos")).select(key, ids.morton_x(pos).alias("tile_x"), ids.morton_y(pos).alias("tile_y"), "tile_pos")
 
 
 def polygon_intervals(shapes: DataFrame, key: str = "id", outer: str = "outer", inners: str = "inners", level: int = 0) -> DataFrame:

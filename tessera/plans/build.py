@@ -77,9 +77,9 @@ def at_level(made: DataFrame, level: int) -> DataFrame:
 
 
 def geometry_tiles(made: DataFrame, level: int, areas: bool = True) -> DataFrame:
-    """``(combined_id, first, last)``: intervals of the tiles of each geometry, a tile of a line once for each segment; ``areas`` says that there
+    """``(combined_id, first, last)``: intervals of the tiles of each geometry; ``areas`` says that there
     may be some."""
-    lines = tiling.line_tiles(made.filter("line is not null"), "combined_id", level=level, distinct=False)
+    lines = tiling.line_tiles(made.filter("line is not null"), "combined_id", level=level)
     lines = lines.select("combined_id", F.col("tile_pos").alias("first"), F.col("tile_pos").alias("last"))
     if not areas:
         return lines

@@ -183,3 +183,44 @@ def test_bounds(spark):
     assert tuple(table.first().b) == (0, 3, -4, 5)
     row = table.select(elements.bounds_contain(F.col("b"), F.col("b")), elements.bounds_intersect(F.col("b"), F.col("b"))).first()
     assert tuple(row) == (True, True)
+
+
+def walked(lines):
+    """The tiles of lines as a join of walked segments gives them, narrow lines left out."""
+    hits = tiling.walk(elements.segments(lines), S)
+    x1, y1, x2, y2, left, bottom = (F.col(c) for c in ("x1", "y1", "x2", "y2", "left", "bottom"))
+    hits = hits.withColumns({"left": F.col("tile_x").cast("long") * S, "bottom": F.col("tile_y").cast("long") * S})
+    return {(r.id, r.tile_x, r.tile_y) for r in hits.filter(tiling.touches(x1, y1, x2, y2, left, bottom, S)).collect()}
+
+
+def test_tiles_of_lines_need_no_shuffle(spark, monkeypatch):
+    """Each line's tiles are made distinct where the line is, whatever lines lie in a batch beside it."""
+    draw = random.Random(8)
+    at = lambda k: draw.choice([0, S, -S, draw.randint(-k * S, k * S)])
+    # the first points make every line wide, and its bounds' low sides lie inside a tile
+    lines = [(i, [(-9 * S + 5, -9 * S + 5), (9 * S + 3, 9 * S + 1)] + [(at(8), at(8)) for _ in range(draw.choice([0, 1, 2, 30]))]) for i in range(60)]
+    table = spark.createDataFrame([*lines, (60, [(5, 5)]), (61, []), (62, None), (63, [(5, 5), (None, 7), (3 * S + 9, 5)])], LINE)
+    whole = table.filter("id < 60")
+    for at_once in (1, 100, 20_000):
+        monkeypatch.setattr(tiling, "POINTS_AT_ONCE", at_once)
+        got = tiling.line_tiles(table)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        found = [(r.id, r.tile_x, r.tile_y) for r in got.collect()]
+        assert len(found) == len(set(found)) and {x for x in found if x[0] < 60} == walked(whole)
+        assert sorted(x for x in found if x[0] >= 60) == [(63, x, 0) for x in range(4)]
+    big = spark.createDataFrame([(1, [(-1_799_999_995, -899_999_995), (1_799_999_990, 899_999_000)])], LINE)
+    assert {(r.id, r.tile_x, r.tile_y) for r in tiling.line_tiles(big).collect()} == walked(big)
+
+
+def test_digests_are_those_of_the_documents(spark, monkeypatch):
+    """From pieces that cut ranges of ids of both signs; no document is put together."""
+    monkeypatch.setattr(features, "FEATURES_AT_ONCE", 7)
+    draw = random.Random(3)
+    keys = sorted({draw.choice([1, -1]) * draw.randint(1, 200_000) for _ in range(200)} | {-(1 << 63) + i for i in range(20)}, key=lambda _: draw.random())
+    made = spark.createDataFrame([(k, f'{{"ö": {k}}}' * draw.randint(0, 3)) for k in keys], "combined_id long, json string")
+    hits = spark.createDataFrame([(k, 5, 5 + draw.choice([0, 2])) for k in keys] + [(k, -9, -9) for k in keys[::3]], "combined_id long, first long, last long")
+    placed = features.place(made, hits).withColumn("external", F.col("combined_id") % 11 == 0)
+    whole = features.tile_documents(features.tile_rows(placed)).select("tile_pos", "n", F.octet_length("document").cast("long"), F.md5("document"))
+    got = features.tile_digests(placed)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() == 4
+    assert "array_join" not in got._jdf.queryExecution().executedPlan().toString()
