@@ -4,10 +4,9 @@ Words are lower-cased (A-Z) and parted at ASCII white space; each goes to the mo
 and the end of a text is a subword of its own. The model's score is the sum of the log probabilities of all of them, each one
 scored once, in a window with at least half a window of context where the text has it.
 
-Words and subwords are counted over all training rows, and the counts set the model's biases and shares. The weights are
-learnt on a share of all training rows' windows, so what is learnt from grows with the table: in each round every
-partition of windows starts from the last round's weights, learns from its own, and the weights are averaged by sums in
-Spark. A documented number of the most frequent words goes to every task with their counts; the other words of a text
+Words, subwords and their neighbours are counted over all training rows, and the counts set the model's classes, biases and
+shares. The weights are learnt on all windows of all training rows, a part of them in each round: every partition of
+windows starts from the last round's weights, learns from its own, and the weights are averaged by sums in Spark. A documented number of the most frequent words goes to every task with their counts; the other words of a text
 are joined to the counts by a shuffle, so memory stays bounded and every word gets its own count.
 """
 
@@ -28,13 +27,11 @@ from tessera.llm.pieces import chunks, distinct_ids, spread
 from tessera.llm.token_files import Encoder
 
 FREQUENT = 500_000
-#: The share of all training windows that is learnt from, and the windows that are taken where that gives fewer.
-SHARE, LEAST_WINDOWS = 1 / 40, 40_000
 #: Rounds of averaging; batches in all, where there are few windows; windows of a partition, and partitions at most.
 ROUNDS, LEAST_BATCHES, PART_WINDOWS, MOST_PARTS = 4, 800, 20_000, 4096
 RATE = 0.01
-#: Windows, subwords and neighbours from which the classes of subwords are made.
-LIKENESS_WINDOWS, LIKENESS_IDS, NEIGHBOURS, AXES = 60_000, 8192, 128, 6
+#: Subwords and neighbours from which the classes of subwords are made, and the rows of their counts that are summed together.
+LIKENESS_IDS, NEIGHBOURS, AXES, BLOCK = 8192, 128, 6, 128
 END = ""
 
 
@@ -112,11 +109,10 @@ def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return made.dictionary, codes, np.cumsum(n + 1)
 
 
-def training_windows(train: DataFrame, encoder, size: int, rate: float) -> DataFrame:
-    """``(part, ids)``: a share ``rate`` of the windows of all rows, chosen by hash: the subword before, -1 at a start, then the
-    window's, -1 after the end. Only rows that may give windows, a share of them where the rate is low, are encoded."""
-    rows = min(1.0, 4 * rate)
-    key = F.xxhash64(F.lit("windows"), "doc_id", "text")
+def training_windows(train: DataFrame, encoder, size: int) -> DataFrame:
+    """``(part, ids)``: every window of every row, parted by hash: the subword before, the largest number at a start, then the window's, that number
+    after the end, as two bytes each, or four where there are too many subwords for that."""
+    kind = _kind(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,40 +129,77 @@ def training_windows(train: DataFrame, encoder, size: int, rate: float) -> DataF
                 mixed = (keys[of_text] + nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
                 mixed ^= mixed >> np.uint64(29)
-                chosen = np.flatnonzero((mixed >> np.uint64(11)).astype(np.float64) / (1 << 53) < rate / rows)
-                starts = (ends[text_ends - 1] - lengths)[of_text[chosen]]
-                reach = nth[chosen, None] * WINDOW + np.arange(-1, WINDOW)
-                inside = (reach >= 0) & (reach < lengths[of_text[chosen], None])
-                made = np.where(inside, ids[np.minimum(starts[:, None] + reach, len(ids) - 1)], -1).astype("<i4")
-                offsets = np.arange(len(made) + 1, dtype=np.int32) * made.shape[1] * 4
+                starts = (ends[text_ends - 1] - lengths)[of_text]
+                reach = nth[:, None] * WINDOW + np.arange(-1, WINDOW)
+                inside = (reach >= 0) & (reach < lengths[of_text, None])
+                made = np.where(inside, ids[np.minimum(starts[:, None] + reach, len(ids) - 1)], np.iinfo(kind).max).astype(kind)
+                offsets = np.arange(len(made) + 1, dtype=np.int32) * made.shape[1] * made.itemsize
                 held = pa.Array.from_buffers(pa.binary(), len(made), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(made))])
-                yield pa.RecordBatch.from_arrays([pa.array((mixed[chosen] % np.uint64(ROUNDS)).astype(np.int32)), held], names=["part", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array((mixed % np.uint64(ROUNDS)).astype(np.int32)), held], names=["part", "ids"])
 
-    # shares of a hash, not a sample of Spark's: the same rows whatever the partitions
-    some = train.filter((F.shiftrightunsigned(key, 11) / float(1 << 53)) < rows)
-    return some.select("text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, "part int, ids binary")
+    return train.select("text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, "part int, ids binary")
 
 
-def _matrix(held: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(held.to_pylist()), "<i4").reshape(-1, WINDOW + 1)
+def _kind(size: int) -> np.dtype:
+    """What a window's subwords are held as; its largest value stands for no subword."""
+    return np.dtype("<u2" if size < 0xFFFF else "<u4")
 
 
-def likeness(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A row for each subword: the main axes of what stands right before it, right after it, and within a dozen places of it, for
-    the most frequent subwords; zeros for the others."""
-    out = np.zeros((len(counts), AXES))
+def _matrix(held: pa.Array, size: int) -> np.ndarray:
+    """Windows' subwords, -1 for none."""
+    kind = _kind(size)
+    found = np.frombuffer(b"".join(held.to_pylist()), kind).reshape(-1, WINDOW + 1).astype(np.int32)
+    found[found == np.int64(np.iinfo(kind).max).astype(np.int32)] = -1
+    return found
+
+
+def neighbours(found: DataFrame, counts: np.ndarray) -> list[np.ndarray]:
+    """Over all windows, how often each of the most frequent subwords has each of the very frequent ones right before it, right after it,
+    and within a dozen places of it: sums of a fixed size, whatever the table's."""
     order = np.lexsort((np.arange(len(counts)), -counts))
-    n, k = min(LIKENESS_IDS, len(counts)), min(NEIGHBOURS, len(counts))
+    n, k, size = min(LIKENESS_IDS, len(counts)), min(NEIGHBOURS, len(counts)), len(counts) - 1
     place = np.full(len(counts) + 1, n)  # -1, no subword, is the last
     place[order[:n]] = np.arange(n)
-    at = place[found]
+    place = found.sparkSession.sparkContext.broadcast(place)
+
+    def blocks(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for b, held in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([held.astype("<i8").tobytes()], pa.binary())], names=["block", "held"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, n * k), np.int64)
+        for batch in batches:
+            at = place.value[_matrix(batch.column(0), size)]
+
+            def keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+                kept = (left < n) & (right < k)
+                return left[kept] * k + right[kept]
 
-    def pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        kept = (left < n) & (right < k)
-        return np.bincount(left[kept] * k + right[kept], minlength=n * k).reshape(n, k).astype(np.float64)
+            near = [keys(*x) for o in range(2, 12) for x in ((at[:, :-o], at[:, o:]), (at[:, o:], at[:, :-o]))]
+            for i, some in enumerate(([keys(at[:, 1:], at[:, :-1])], [keys(at[:, :-1], at[:, 1:])], near)):
+                total[i] += np.bincount(np.concatenate(some), minlength=n * k)
+        total = total.reshape(3, n, k)
+        yield from blocks({b: total[:, b : b + BLOCK] for b in range(0, n, BLOCK) if total[:, b : b + BLOCK].any()})
 
-    near = sum(pairs(at[:, :-o], at[:, o:]) + pairs(at[:, o:], at[:, :-o]) for o in range(2, 12))
-    parts = [pairs(at[:, 1:], at[:, :-1]), pairs(at[:, :-1], at[:, 1:]), near]
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[b] = total.get(b, 0) + np.frombuffer(held, "<i8")
+        yield from blocks(total)
+
+    out = np.zeros((3, n, k))
+    schema = "block int, held binary"
+    for row in found.select("ids").mapInArrow(run, schema).repartition(16, "block").mapInArrow(summed, schema).collect():
+        out[:, row.block : row.block + BLOCK] = np.frombuffer(bytes(row.held), "<i8").reshape(3, -1, k)
+    return list(out)
+
+
+def likeness(parts: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """A row for each subword: the main axes of its ``neighbours``, for the most frequent subwords; zeros for the others."""
+    out = np.zeros((len(counts), AXES))
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    n = len(parts[0])
     weights = counts[order[:n]] + 1
     shares = [np.sqrt((x + 2 * x.sum(axis=0) / max(1.0, x.sum())) / (x.sum(axis=1, keepdims=True) + 2)) for x in parts]
     made = np.concatenate(shares, axis=1)
@@ -195,7 +228,8 @@ def train(found: DataFrame, n: int, vocabulary: Vocabulary, counts: np.ndarray,
     names = sorted(model.p)
     shapes = [model.p[x].shape for x in names]
     passes = min(50, max(1, -(-least_batches * BATCH // max(1, n))))
-    parts = max(1, min(MOST_PARTS, n // PART_WINDOWS))
+    parts = max(1, min(MOST_PARTS, n // ROUNDS // PART_WINDOWS))
+    size = len(counts) - 1
     cell_of = spark.sparkContext.broadcast(vocabulary.cell_of)
 
     def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -220,7 +254,7 @@ def train(found: DataFrame, n: int, vocabulary: Vocabulary, counts: np.ndarray,
         start, rate = spark.sparkContext.broadcast(flat(model.p)), RATE * (1 - r / (ROUNDS + 1))
 
         def learn(batches: Iterator[pa.RecordBatch], start=start, rate=rate, r=r) -> Iterator[pa.RecordBatch]:
-            held = [_matrix(batch.column(0)) for batch in batches if batch.num_rows]
+            held = [_matrix(batch.column(0), size) for batch in batches if batch.num_rows]
             if held:
                 mine = np.concatenate(held)
                 own = Attention(unflat(start.value))
@@ -290,12 +324,9 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
     counts = materialize(word_counts(learnt), "word-counts")
     n, v, n_end = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("c"))), F.lit(0))).first()
     by_subword = subword_counts(counts, encoder, size)
-    all_windows = by_subword.sum() / WINDOW
-    rate = min(1.0, max(SHARE, LEAST_WINDOWS / max(1.0, all_windows)))
-    found = materialize(training_windows(learnt, encoder, size, rate), "windows")
+    found = materialize(training_windows(learnt, encoder, size), "windows")
     n_windows = found.count()
-    few = found.filter(F.pmod(F.xxhash64("ids"), F.lit(1 << 20)) < (1 << 20) * min(1.0, LIKENESS_WINDOWS / max(1, n_windows)))
-    vocabulary = Vocabulary.of(by_subword, likeness(_matrix(few.select("ids").toArrow().column("ids")), by_subword))
+    vocabulary = Vocabulary.of(by_subword, likeness(neighbours(found, by_subword), by_subword))
     model = train(found, n_windows, vocabulary, by_subword, least_batches)
     whole = float(n + v + 1)
     scorer = spark.sparkContext.broadcast(Scorer(own, model, vocabulary, frequent_words(counts, FREQUENT), n_end, whole))

@@ -134,3 +134,23 @@ def test_scores_far_below_zero_stay_finite():
         model.p[name] = model.p[name] * np.float32(60)
     inputs = np.random.default_rng(4).integers(0, START, (200, 3))
     assert np.isfinite(model.log_probabilities(inputs, inputs, 0)).all()
+
+
+def test_every_training_window_is_learnt_from(spark, make):
+    """Whatever the table's size: all windows of all rows, each in one round, and their neighbours counted over all of them."""
+    encoder = Encoder(open(PATH).read())
+    size = encoder.tokenizer.get_vocab_size()
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(i % 5 * 60))) for i in range(400)]
+    found = lm.training_windows(make(rows), spark.sparkContext.broadcast(encoder), size)
+    got = Counter(tuple(x) for x in lm._matrix(found.select("ids").toArrow().column("ids"), size).tolist())
+    want = Counter()
+    for _, text in rows:
+        ids = [-1, *[x for w in plain_words(text) for x in encoder.tokenizer.encode(" " + w.decode(), add_special_tokens=False).ids], size]
+        want.update(tuple((ids[at : at + WINDOW + 1] + [-1] * WINDOW)[: WINDOW + 1]) for at in range(0, len(ids) - 1, WINDOW))
+    assert got == want and {r.part for r in found.select("part").distinct().collect()} == set(range(lm.ROUNDS))
+    counts = np.zeros(size + 1)
+    for window, times in want.items():
+        np.add.at(counts, [x for x in window[1:] if x >= 0], times)
+    before, after, _ = lm.neighbours(found, counts)
+    pairs = sum(t for w, t in want.items() for a, b in zip(w, w[1:]) if a >= 0 and b >= 0)
+    assert before.sum() == after.sum() == pairs  # no more than NEIGHBOURS subwords occur
