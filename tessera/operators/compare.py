@@ -8,6 +8,9 @@ from operator import and_, or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that one task groups, about, where their number is known.
+ROWS_A_TASK = 1_000_000
+
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` with ``change``: added, removed or changed; rows that are the same in both do not appear."""
@@ -60,9 +63,16 @@ def apply_patch(old: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
     return kept.union(patch.filter("action <> 'delete'").select(*keys, F.col("after").alias("json")))
 
 
-def missing_references(edges: DataFrame, held: DataFrame) -> DataFrame:
-    """References that should be listed and are not; both tables are ``(ref, referrer)``."""
-    return edges.select("ref", "referrer").distinct().join(held, ["ref", "referrer"], "left_anti")
+def missing_references(edges: DataFrame, held: DataFrame, rows: int | None = None) -> DataFrame:
+    """References that should be listed and are not; both tables are ``(ref, referrer)``.
+
+    Both meet in one grouping, dealt by reference and referrer before it, so that a task groups what it was dealt and nothing more;
+    ``rows``, how many both tables have together where that is known, keeps that to some ``ROWS_A_TASK`` whatever their size.
+    """
+    keys = ["ref", "referrer"]
+    both = edges.select(*keys, F.lit(False).alias("listed")).union(held.dropna(subset=keys).select(*keys, F.lit(True)))
+    tasks = [] if rows is None else [max(1, -(-rows // ROWS_A_TASK))]
+    return both.repartition(*tasks, *keys).groupBy(*keys).agg(F.bool_or("listed").alias("listed")).filter("not listed").select(*keys)
 
 
 def stale(source: DataFrame, store: DataFrame, key: str = "id") -> DataFrame:

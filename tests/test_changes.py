@@ -127,3 +127,16 @@ def test_edges_of_elements(spark):
     got = ch.element_edges(elements(spark, (1, 5, 2, True, [1, 1, 2]), (2, 6, 1, False, [1]))).collect()
     assert {(r.ref, r.referrer) for r in got} == {(1, W + 5), (2, W + 5)}
     assert spark.range(1).select(ids.combined_id(1, F.lit(5).cast("long")).alias("c")).first().c == W + 5
+
+
+def test_references_that_are_not_listed_take_no_join_and_tasks_of_bounded_rows(spark, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(r, "ref long, referrer long")
+    edges, held = rows((1, 10), (1, 10), (2, 10), (3, 11), (None, 11)), rows((1, 10), (1, 10), (3, 10), (None, 11), (7, 7))
+    for n in (None, 10):
+        got = compare.missing_references(edges, held, n).collect()
+        assert sorted((r.ref or 0, r.referrer) for r in got) == [(0, 11), (2, 10), (3, 11)]
+    monkeypatch.setattr(compare, "ROWS_A_TASK", 100)
+    many = spark.range(1000).select(F.col("id").alias("ref"), (F.col("id") % 7).alias("referrer"))
+    missing = compare.missing_references(many, many.filter("ref % 9 <> 0"), 1889)
+    assert missing.count() == 112 and missing.rdd.getNumPartitions() == 19
+    assert "Join" not in missing._jdf.queryExecution().executedPlan().toString()
