@@ -195,12 +195,13 @@ def polygon_intervals(shapes: DataFrame, key: str = "id", outer: str = "outer",
     place = [key, "shape", "tile_x", "tile_y"]
     border = near.groupBy(*place).agg(F.max("top").alias("top"), F.bool_or(through & (F.col("ring") == 0)).alias("edge"), F.bool_or(through & (F.col("ring") > 0)).alias("hole_edge"))
     # blocks of height k are named by their first tile's place over 2^k
-    up = border.select(key, "shape", "top", "tile_x", "tile_y", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("k"))
-    high = lambda c: F.expr(f"shiftright({c}, k)")
-    touched = up.select(key, "shape", "k", high("tile_x").alias("bx"), high("tile_y").alias("by")).distinct()
-    below = F.explode(F.array(*[F.struct((F.col("bx") * 2 + dx).alias("bx"), (F.col("by") * 2 + dy).alias("by")) for dx in (0, 1) for dy in (0, 1)]))
-    blocks = touched.filter("k > 0").select(key, "shape", (F.col("k") - 1).alias("k"), below.alias("b")).select(key, "shape", "k", "b.bx", "b.by")
-    blocks = blocks.join(touched, [key, "shape", "k", "bx", "by"], "left_anti")
+    up = border.select(key, "shape", "tile_x", "tile_y", F.explode(F.sequence(F.lit(0), F.col("top") - 1)).alias("k"))
+    high, parent = (lambda c: F.expr(f"shiftright({c}, k)")), (lambda c: F.expr(f"shiftright({c}, k + 1)"))
+    quarter = F.when(high("tile_x") % 2 != 0, F.when(high("tile_y") % 2 != 0, 8).otherwise(4)).otherwise(F.when(high("tile_y") % 2 != 0, 2).otherwise(1))
+    # one grouping tells which quarters of a block have such a tile; the others are asked for
+    touched = up.groupBy(key, "shape", "k", parent("tile_x").alias("px"), parent("tile_y").alias("py")).agg(F.bit_or(quarter).alias("quarters"))
+    below = F.explode(F.array(*[F.struct((F.col("px") * 2 + dx).alias("bx"), (F.col("py") * 2 + dy).alias("by"), F.lit(1 << 2 * dx + dy).alias("quarter")) for dx in (0, 1) for dy in (0, 1)]))
+    blocks = touched.filter("quarters <> 15").select(key, "shape", "k", "quarters", below.alias("b")).filter("(quarters & b.quarter) = 0").select(key, "shape", "k", "b.bx", "b.by")
     first_tile = lambda c: F.expr(f"shiftleft({c}, k)")
     asked = blocks.select(key, "shape", "k", first_tile("bx").alias("tile_x"), first_tile("by").alias("tile_y"), F.lit(None).cast("boolean").alias("edge"), F.lit(None).cast("boolean").alias("hole_edge"))
     asked = asked.union(border.select(key, "shape", F.lit(0).alias("k"), "tile_x", "tile_y", "edge", "hole_edge"))

@@ -224,3 +224,12 @@ def test_digests_are_those_of_the_documents(spark, monkeypatch):
     got = features.tile_digests(placed)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() == 4
     assert "array_join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_blocks_of_a_polygon_take_no_join(spark):
+    """Which blocks of the quadtree are asked for is told by one grouping, whose tasks hold a row a block and no sorted copies."""
+    table = spark.createDataFrame([(0, square(-3 * S + 5, -9, 6 * S, 7 * S), [square(-S, S, 4 * S, 5 * S)])], POLYGON)
+    spans = tiling.polygon_intervals(table)
+    assert "Join" not in spans._jdf.queryExecution().executedPlan().toString()
+    got = tiles(tiling.polygon_tiles(table))
+    assert got == {(0, x, y) for x in range(-3, 6) for y in range(-1, 7)} - {(0, x, y) for x in range(-1, 4) for y in range(1, 5)}
