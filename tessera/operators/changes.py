@@ -46,19 +46,20 @@ def steps(elements: DataFrame, changes: DataFrame) -> DataFrame:
     return held.union(made).withColumns({"before": F.lag(state).over(order), "last": F.lead("ord").over(order).isNull()})
 
 
-def violations(elements: DataFrame, changes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def violations(elements: DataFrame, changes: DataFrame, edges: DataFrame | None = None, made: bool = False) -> DataFrame:
     """Changes that may not be applied, ``(type, id, version, problem)``: a created element has version 1, is new and nothing refers to it; a
     modified or deleted one exists, a visible one going up by one version (a deleted one comes back with any) and listed
     as a referrer by all that it referred to; a deleted way or relation lists no members.
 
     ``edges`` is a store's table ``(ref, referrer)``. Without one, edges are those of ``elements``, which list all that refers.
+    ``made`` says that the edges are made from the elements that the store holds, so that each of these is listed.
     """
     met = steps(elements, changes).filter("op is not null").withColumn("own", ids.combined_id(F.col("type"), F.col("id")))
     listed = element_edges(elements) if edges is None else edges
     created = met.filter("op = 'create'").select(F.col("own").alias("ref"))
     referred = listed.join(created, "ref", "left_semi").select(F.col("ref").alias("own")).distinct().withColumn("referred", F.lit(True))
     met = met.join(referred, "own", "left")
-    if edges is None:
+    if edges is None or made:
         met = met.withColumn("broken", F.lit(None).cast("boolean"))
     else:
         old = element_edges(elements)
@@ -78,12 +79,17 @@ def violations(elements: DataFrame, changes: DataFrame, edges: DataFrame | None
     return met.select("type", "id", "version", problem.alias("problem")).filter("problem is not null")
 
 
-def final_states(elements: DataFrame, changes: DataFrame) -> DataFrame:
-    """The elements that the changes leave; deleted ones stay as tombstones without references or place."""
+def touched_states(elements: DataFrame, changes: DataFrame) -> DataFrame:
+    """What the changes leave of the elements that they touch; deleted ones stay as tombstones without references or place."""
     last = steps(elements, changes).filter("op is not null and last").select(*FIELDS)
     gone = ~F.col("visible")
-    last = last.withColumns({"refs": F.when(gone, F.array().cast("array<long>")).otherwise(F.col("refs")), "x": F.when(~gone, F.col("x")), "y": F.when(~gone, F.col("y"))})
-    return last.union(elements.select(*FIELDS).join(changes.select("type", "id").distinct(), ["type", "id"], "left_anti").select(*FIELDS))
+    return last.withColumns({"refs": F.when(gone, F.array().cast("array<long>")).otherwise(F.col("refs")), "x": F.when(~gone, F.col("x")), "y": F.when(~gone, F.col("y"))})
+
+
+def final_states(elements: DataFrame, changes: DataFrame) -> DataFrame:
+    """The elements that the changes leave: ``touched_states`` and those that are not touched."""
+    untouched = elements.select(*FIELDS).join(changes.select("type", "id").distinct(), ["type", "id"], "left_anti")
+    return touched_states(elements, changes).union(untouched.select(*FIELDS))
 
 
 def apply_changeset(elements: DataFrame, changes: DataFrame, since=None) -> DataFrame:

@@ -96,7 +96,7 @@ def apply_changeset(store: Store, changes: DataFrame, sequence: int) -> None:
     near = changes.select(ids.combined_id(F.col("type"), F.col("id")).alias("ref")).union(ch.element_edges(before).select("ref"))
     ch.check(ch.violations(before, changes, elements.narrowed(tables["refs"], "ref", near)))
     roles = changes.groupBy("type", "id").agg(F.max_by("roles", F.struct("version", "ord")).alias("roles"))
-    after = materialize(ch.final_states(before, changes).join(roles, ["type", "id"], "left"), "after")
+    after = materialize(ch.touched_states(before, changes).join(roles, ["type", "id"], "left"), "after")
     made = deltas(after) | {"refs": edge_delta(before, changes)}
     made |= geometry_deltas(store, tables, made, after) if "tiles" in tables else {}
     store.commit({}, deltas=made, sequence=sequence)

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.functions import ids
 from tessera.operators import changes as ch
 from tessera.plans import update
 from tessera.sources import osc_stream
@@ -40,8 +39,9 @@ def advance(store: Store, batch: DataFrame) -> list[int]:
         mine = materialize(ch.newer(mine, since) if since is not None else mine, "changes")
         keys = mine.select("type", "id").distinct()
         before = materialize(store.read("elements").join(keys, ["type", "id"], "left_semi"), "before")
-        ch.check(ch.violations(before, mine, _referring(store, mine)))
-        store.commit({}, deltas={"elements": (keys, ch.final_states(before, mine))}, sequence=seq, followed=followed)
+        # the table's own references are its edges, so only what refers to created elements is asked of it
+        ch.check(ch.violations(before, mine, ch.element_edges(store.read("elements")), made=True))
+        store.commit({}, deltas={"elements": (keys, ch.touched_states(before, mine))}, sequence=seq, followed=followed)
     return waiting
 
 
@@ -64,13 +64,6 @@ def _versions(store: Store) -> DataFrame:
     return reduce(DataFrame.union, [store.read(name).select(F.lit(k).alias("type"), "id", F.col("version").alias("had")) for k, name in kinds])
 
 
-def _referring(store: Store, changes: DataFrame) -> DataFrame:
-    """The edges of a table of elements that a changeset's rules ask for: those to what it touches, and those from there."""
-    own = changes.select(ids.combined_id(F.col("type"), F.col("id")).alias("own")).distinct()
-    edges = ch.element_edges(store.read("elements"))
-    return edges.join(own, edges["ref"] == own["own"], "left_semi").union(edges.join(own, edges["referrer"] == own["own"], "left_semi")).distinct()
-
-
 def follow(spark: SparkSession, store: Store, source: str, checkpoint: str, once: bool = True, every: str = "1 minute", feed: str = "parquet") -> StreamingQuery:
     """Read changes as a stream and apply them to the store: Parquet files of ``changes.FEED``, with or without roles, or with ``feed``
     osmchange the numbered changeset files of a replication folder after the store's sequence."""
