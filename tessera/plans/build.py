@@ -67,13 +67,10 @@ def geometries(tables: dict[str, DataFrame], only: DataFrame | None = None, area
     return reduce(DataFrame.union, parts)
 
 
-def at_level(made: DataFrame, level: int) -> DataFrame:
-    """Geometries simplified for a level; those that it or a level below drops are gone."""
-    for z in range(1, level + 1):
-        simple = made.withColumns({"_line": shapes.simplify(F.col("line"), z), "_shapes": shapes.simplify_shapes(F.col("shapes"), z)})
-        simple = simple.filter("_line is not null or _shapes is not null")
-        made = simple.drop("line", "shapes").withColumnsRenamed({"_line": "line", "_shapes": "shapes"}) if z == level else simple.drop("_line", "_shapes")
-    return made
+def simplified(made: DataFrame, level: int) -> DataFrame:
+    """``made`` with ``_line`` and ``_shapes``, its geometries simplified for a level; those that the level drops are gone."""
+    simple = made.withColumns({"_line": shapes.simplify(F.col("line"), level), "_shapes": shapes.simplify_shapes(F.col("shapes"), level)})
+    return simple.filter("_line is not null or _shapes is not null")
 
 
 def geometry_tiles(made: DataFrame, level: int, areas: bool = True) -> DataFrame:
@@ -101,11 +98,18 @@ def node_features(tables: dict[str, DataFrame], only: DataFrame | None = None) -
 
 
 def laid_out(made: DataFrame, levels: int) -> DataFrame:
-    """Table ``features (level, combined_id, json, tiles, n_tiles, external)`` of every level below ``levels``."""
+    """Table ``features (level, combined_id, json, tiles, n_tiles, external)`` of every level below ``levels``.
+
+    A level simplifies the geometries that the levels below it keep. They are written once, as text and tiles read them several times.
+    """
     placed, made = [], materialize(made, "geometries")
     areas = not made.filter("shapes is not null").isEmpty()
     for level in range(levels):
-        simple = at_level(made, level)
+        simple = made
+        if level:
+            both = materialize(simplified(made, level), "simplified")
+            made = both.drop("_line", "_shapes")
+            simple = both.drop("line", "shapes").withColumnsRenamed({"_line": "line", "_shapes": "shapes"})
         text = F.when(F.col("shapes").isNull(), features.line_geometry(F.col("line"))).otherwise(features.area_geometry(F.col("shapes")))
         found = features.place(simple.select("combined_id", features.feature(text, F.col("tags"), F.col("combined_id")).alias("json")), geometry_tiles(simple, level, areas))
         placed.append(found.withColumn("level", F.lit(level)))

@@ -1,3 +1,4 @@
+import json
 import random
 from fractions import Fraction
 
@@ -5,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ids
 from tessera.operators import elements, features, shapes, tiling
+from tessera.plans import build
 
 S = 156_250
+W = 1 << 62
 LINE = "id int, line array<struct<x:int,y:int>>"
 
 
@@ -233,3 +236,23 @@ def test_the_blocks_of_a_polygon_take_no_join(spark):
     assert "Join" not in spans._jdf.queryExecution().executedPlan().toString()
     got = tiles(tiling.polygon_tiles(table))
     assert got == {(0, x, y) for x in range(-3, 6) for y in range(-1, 7)} - {(0, x, y) for x in range(-1, 4) for y in range(1, 5)}
+
+
+def test_a_level_is_simplified_once(spark):
+    """Text and tiles of three levels read what is written once for each level, made from the geometries that the levels below it keep."""
+    zigzag = [(i * 100, (i % 2) * 10) for i in range(40)]
+    rings = {2: square(0, 0, 500_000, 500_000), 3: square(0, 0, 9, 9)}
+    rows = [(W + 1, {}, zigzag, None), *[(W + i, {}, None, [(ring, [])]) for i, ring in rings.items()]]
+    made = spark.createDataFrame(rows, f"combined_id long, tags map<string,string>, line {shapes.POINTS}, shapes {shapes.SHAPES}")
+    # compiling the plans would take most of the time
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    placed = build.laid_out(made, 3)
+    # what is left in the plan are the tiles of lines, one function a level
+    assert placed._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 3
+    got = {(r.level, r.combined_id - W): len(json.loads(r.json)["geometry"]["coordinates"]) for r in placed.select("level", "combined_id", "json").collect()}
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+    want = {(0, 1): 40, (0, 2): 1, (0, 3): 1}
+    for level in (1, 2):
+        want |= {(level, 1): len(line)} if (line := shapes.simplified(zigzag, level, False)) and (level == 1 or (1, 1) in want) else {}
+        want |= {(level, i): 1 for i, ring in rings.items() if (level - 1, i) in want and shapes.simplified(ring, level, True)}
+    assert got == want
