@@ -20,8 +20,14 @@ WINDOW, STRIDE = 32, 16
 START = CLASSES * CELLS
 #: Scores and logits stop here, so that their exponentials stay finite without a search for the largest.
 LARGEST = np.float32(60)
+#: Sums of exponentials below this are worked out again.
+FAINT = np.float32(1e-30)
+#: What each place of a window may look at.
+SEEN = np.tri(WINDOW, dtype=np.float32)
 #: Windows that are scored, or learnt from, together.
 ROWS, BATCH = 256, 64
+#: Weights that a step of Adam goes over together.
+ADAM = 16_384
 
 
 @dataclass
@@ -93,32 +99,38 @@ class Attention:
         p["within"][:, -1] = np.log(counts / counts.sum(axis=1, keepdims=True))
         return cls(p)
 
-    def _hidden(self, inputs: np.ndarray, first: int) -> tuple:
-        """What the output sees at places from ``first`` on, and what the slope needs."""
+    def _projections(self) -> np.ndarray:
+        """What turns an embedded subword into its query (scaled), its key, its value and its own part, side by side."""
         p = self.p
-        n, width = inputs.shape
-        x = p["embed"][inputs]
-        x += p["place"][:width]
-        asked = x[:, first:]
-        q, k, v = asked @ (p["q"] / np.float32(np.sqrt(WIDTH))), x @ p["k"], x @ p["v"]
+        return np.concatenate([p["q"] / np.float32(np.sqrt(WIDTH)), p["k"], p["v"], p["last"]], axis=1)
+
+    def _attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, own: np.ndarray, first: int) -> tuple:
+        """Exponentials of the scores of places from ``first`` on, their sums, what is attended to, and what the output sees.
+
+        What the output sees ends with a 1, so the last column of the values is free: it is all ones, and gives the sums.
+        """
+        width = k.shape[1]
         scores = q @ k.transpose(0, 2, 1)
-        np.minimum(scores, LARGEST, out=scores)
+        if scores.size and scores.max() > LARGEST:
+            np.minimum(scores, LARGEST, out=scores)
         np.exp(scores, out=scores)
-        scores[:, :, first:] *= np.tri(width - first, dtype=np.float32)
-        total = scores.sum(axis=2, keepdims=True)
-        if not total.all():
+        scores *= SEEN[first:width, :width]
+        seen = scores @ v
+        total = seen[:, :, -1:].copy()
+        faint = total[:, :, 0] < FAINT
+        if faint.any():
             # all that these rows may see lies far below zero: once more, from the largest of it
-            at, place = np.nonzero(total[:, :, 0] == 0)
+            at, place = np.nonzero(faint)
             again = np.einsum("nd,nwd->nw", q[at, place], k[at])
             again[np.arange(width) > (place + first)[:, None]] = -np.inf
             scores[at, place] = np.exp(again - again.max(axis=1, keepdims=True))
-            total[at, place] = scores[at, place].sum(axis=1, keepdims=True)
-        scores /= total
-        hidden = asked @ p["last"]
-        hidden += scores @ v
+            seen[at, place] = np.einsum("nw,nwd->nd", scores[at, place], v[at])
+            total[at, place] = seen[at, place, -1:]
+        seen /= total
+        hidden = seen + own
         np.tanh(hidden, out=hidden)
         hidden[:, :, -1] = 1
-        return x, asked, q, k, v, scores, hidden
+        return scores, total, seen, hidden
 
     def bounded(self) -> bool:
         """Whether no logit can pass ``LARGEST``, as what the output sees lies between -1 and 1."""
@@ -130,95 +142,146 @@ class Attention:
         ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
         return order, [(c, int(a), int(b)) for c, (a, b) in enumerate(zip((0, *ends[:-1]), ends)) if a < b]
 
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, first: int, bounded: bool = False) -> np.ndarray:
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """Keys and values, and queries and own parts, of each cell and of each place in a window; a subword's are the sums of both."""
+        projections = self._projections()
+        cells, places = self.p["embed"] @ projections, self.p["place"] @ projections
+        keys, own = slice(WIDTH, 2 * WIDTH + HIDDEN), [*range(WIDTH), *range(2 * WIDTH + HIDDEN, 2 * WIDTH + 2 * HIDDEN)]
+        cells[:, 2 * WIDTH + HIDDEN - 1], places[:, 2 * WIDTH + HIDDEN - 1] = 1, 0
+        return tuple(np.ascontiguousarray(a[:, c]) for c in (keys, own) for a in (cells, places))
+
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, first: int, bounded: bool = False, tables: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
         """Natural log probabilities of the targets (cells), from place ``first`` on; inputs are the cells before the targets."""
-        p = self.p
-        hidden = _flat(self._hidden(inputs, first)[-1])
+        p, width = self.p, inputs.shape[1]
+        key_of, key_at, own_of, own_at = self.tables() if tables is None else tables
+        keys, own = key_of.take(inputs, axis=0), own_of.take(inputs[:, first:], axis=0)
+        keys += key_at[:width]
+        own += own_at[first:width]
+        hidden = _flat(self._attend(own[:, :, :WIDTH], keys[:, :, :WIDTH], keys[:, :, WIDTH:], own[:, :, WIDTH:], first)[-1])
         wanted = targets[:, first:].ravel()
-        classes, places = wanted // CELLS, wanted % CELLS
-        at = np.arange(len(wanted))
+        order, runs = self._by_class(wanted // CELLS)
+        wanted, at = wanted[order], np.arange(len(wanted))
+        hidden = hidden.take(order, axis=0)
 
         def chosen(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
             if not bounded:
                 np.minimum(logits, LARGEST, out=logits)
             out = logits[at, which]
             np.exp(logits, out=logits)
-            return out - np.log(logits @ np.ones(logits.shape[1], np.float32))
+            return out - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
-        out = chosen(hidden @ p["out"], classes)
-        order, runs = self._by_class(classes)
-        hidden, within = hidden[order], np.empty((len(wanted), CELLS), p["out"].dtype)
+        found = chosen(hidden @ p["out"], wanted // CELLS)
+        within = np.empty((len(wanted), CELLS), hidden.dtype)
         for c, a, b in runs:
-            np.matmul(hidden[a:b], p["within"][c], out=within[a:b])
-        out[order] += chosen(within, places[order])
+            np.dot(hidden[a:b], p["within"][c], out=within[a:b])
+        found += chosen(within, wanted % CELLS)
+        out = np.empty_like(found)
+        out[order] = found
         return out.reshape(targets[:, first:].shape)
 
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
-        """The slope of the mean loss over the counted places."""
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray, out: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+        """The slope of the mean loss over the counted places, in the arrays of ``out`` if it is given."""
         p = self.p
-        x, _, q, k, v, scores, hidden = self._hidden(inputs, 0)
+        g = {n: np.empty_like(a) for n, a in p.items()} if out is None else out
+        n, width = inputs.shape
+        projections = self._projections()
+        x = p["embed"].take(inputs, axis=0)
+        x += p["place"][:width]
+        flat_x = _flat(x)
+        made = flat_x @ projections
+        cuts = [slice(0, WIDTH), slice(WIDTH, 2 * WIDTH), slice(2 * WIDTH, 2 * WIDTH + HIDDEN), slice(2 * WIDTH + HIDDEN, None)]
+        made[:, 2 * WIDTH + HIDDEN - 1] = 1
+        q, k, v, own = (made.reshape(n, width, -1)[:, :, c] for c in cuts)
+        scores, total, seen, hidden = self._attend(q, k, v, own, 0)
         flat = _flat(hidden)
+
         wanted, share = targets.ravel(), (counted / max(1, counted.sum())).astype(np.float32).ravel()
-        classes, places = wanted // CELLS, wanted % CELLS
-        at = np.arange(len(wanted))
-
-        def slope(logits: np.ndarray, chosen: np.ndarray, share: np.ndarray) -> np.ndarray:
-            np.exp(np.minimum(logits, LARGEST, out=logits), out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            logits[at, chosen] -= 1
-            logits *= share[:, None]
+        order, runs = self._by_class(wanted // CELLS)
+        wanted, share, at = wanted[order], share[order], np.arange(len(wanted))
+        ordered = flat.take(order, axis=0)
+
+        def slope(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+            if logits.size and logits.max() > LARGEST:
+                np.minimum(logits, LARGEST, out=logits)
+            np.exp(logits, out=logits)
+            logits *= (share / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
+            logits[at, chosen] -= share
             return logits
 
-        d_class = slope(flat @ p["out"], classes, share)
-        g = {"out": flat.T @ d_class, "within": np.zeros_like(p["within"])}
-        order, runs = self._by_class(classes)
-        ordered = flat[order]
-        within = np.empty((len(wanted), CELLS), p["out"].dtype)
+        d_class = slope(ordered @ p["out"], wanted // CELLS)
+        np.matmul(ordered.T, d_class, out=g["out"])
+        within = np.empty((len(wanted), CELLS), flat.dtype)
         for c, a, b in runs:
-            np.matmul(ordered[a:b], p["within"][c], out=within[a:b])
-        d_within = slope(within, places[order], share[order])
-        d_ordered = np.empty_like(ordered)
+            np.dot(ordered[a:b], p["within"][c], out=within[a:b])
+        d_within = slope(within, wanted % CELLS)
+        d_ordered, d_own = d_class @ p["out"].T, np.empty_like(ordered)
+        if len(runs) < CLASSES:
+            g["within"][:] = 0
         for c, a, b in runs:
-            g["within"][c] = ordered[a:b].T @ d_within[a:b]
-            d_ordered[a:b] = d_within[a:b] @ p["within"][c].T
-        d_flat = d_class @ p["out"].T
-        d_flat[order] += d_ordered
-        d_flat[:, -1] = 0
-        d_pre = (d_flat * (1 - flat * flat)).reshape(hidden.shape)
-        g["last"] = _flat(x).T @ _flat(d_pre)
-        d_x = d_pre @ p["last"].T
-        d_v = scores.transpose(0, 2, 1) @ d_pre
-        d_scores = d_pre @ v.transpose(0, 2, 1)
-        d_scores = scores * (d_scores - (d_scores * scores).sum(axis=2, keepdims=True))
-        d_q, d_k = d_scores @ k / np.float32(np.sqrt(WIDTH)), d_scores.transpose(0, 2, 1) @ q
-        for name, d in (("q", d_q), ("k", d_k), ("v", d_v)):
-            g[name] = _flat(x).T @ _flat(d)
-            d_x = d_x + d @ p[name].T
-        g["place"] = np.zeros_like(p["place"])
-        g["place"][: x.shape[1]] = d_x.sum(axis=0)
-        g["embed"] = np.zeros_like(p["embed"])
-        order = np.argsort(inputs.ravel(), kind="stable")
-        listed, starts = np.unique(inputs.ravel()[order], return_index=True)
-        g["embed"][listed] = np.add.reduceat(_flat(d_x)[order], starts, axis=0)
+            np.dot(ordered[a:b].T, d_within[a:b], out=g["within"][c])
+            np.dot(d_within[a:b], p["within"][c].T, out=d_own[a:b])
+        d_ordered += d_own
+        np.multiply(ordered, ordered, out=ordered)
+        np.subtract(1, ordered, out=ordered)
+        d_ordered *= ordered  # the last column is zero, as the output sees a 1 there
+
+        d_made = np.empty_like(made)
+        d_q, d_k, d_v, d_pre = (d_made.reshape(n, width, -1)[:, :, c] for c in cuts)
+        d_made[:, cuts[3]][order] = d_ordered
+        # over the sums, and with what the sums' slope takes off in the free last column
+        d_seen = d_pre / total
+        d_seen[:, :, -1] = -np.einsum("nwd,nwd->nw", d_seen, seen)
+        d_scores = d_seen @ v.transpose(0, 2, 1)
+        d_scores *= scores
+        np.matmul(d_scores, k, out=d_q)
+        np.matmul(d_scores.transpose(0, 2, 1), q, out=d_k)
+        np.matmul(scores.transpose(0, 2, 1), d_seen, out=d_v)
+        d_v[:, :, -1] = 0
+        slopes, d_x = flat_x.T @ d_made, d_made @ projections.T
+        for name, c in zip(("q", "k", "v", "last"), cuts):
+            g[name][:] = slopes[:, c]
+        g["q"] /= np.float32(np.sqrt(WIDTH))
+        g["place"][:] = 0
+        d_x.reshape(n, -1).sum(axis=0, out=g["place"][:width].reshape(-1))
+        g["embed"][:] = 0
+        order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+        listed = inputs.ravel()[order]
+        starts = np.flatnonzero(np.diff(listed, prepend=-1))
+        g["embed"][listed[starts]] = np.add.reduceat(d_x.take(order, axis=0), starts, axis=0)
         return g
 
     def learn(self, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rate: float) -> int:
-        """Adam over batches of ``(inputs, targets, counted)``; gives how many there were."""
-        m = {n: np.zeros_like(a) for n, a in self.p.items()}
-        v = {n: np.zeros_like(a) for n, a in self.p.items()}
-        step = 0
+        """Adam over batches of ``(inputs, targets, counted)``; gives how many there were. All weights lie in one array, and its
+        means are held as sums (ten and a hundred times the means)."""
+        ends = np.cumsum([a.size for a in self.p.values()])
+        weights = np.concatenate([a.ravel() for a in self.p.values()])
+        views = lambda flat: {n: flat[e - a.size : e].reshape(a.shape) for (n, a), e in zip(self.p.items(), ends)}
+        slopes, m, v = (np.zeros_like(weights) for _ in range(3))
+        self.p, g = views(weights), views(slopes)
+        parts = [slice(a, a + ADAM) for a in range(0, len(weights), ADAM)]
+        held, step = np.empty(ADAM, weights.dtype), 0
         for step, batch in enumerate(batches, 1):
-            slow = rate * min(1.0, step / 10) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            for n, g in self.gradient(*batch).items():
-                m[n] += np.float32(0.1) * (g - m[n])
-                v[n] += np.float32(0.01) * (g * g - v[n])
-                self.p[n] = self.p[n] - np.float32(slow) * m[n] / (np.sqrt(v[n]) + np.float32(1e-8))
+            slow = np.float32(rate * min(1.0, step / 10) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+            self.gradient(*batch, out=g)
+            for part in parts:
+                a, b, c = slopes[part], m[part], v[part]
+                t = held[: len(a)]
+                b *= np.float32(0.9)
+                b += a
+                np.multiply(a, a, out=t)
+                c *= np.float32(0.99)
+                c += t
+                np.sqrt(c, out=t)
+                t += np.float32(1e-7)
+                np.divide(b, t, out=t)
+                t *= slow
+                weights[part] -= t
         return step
 
     def place_scores(self, cells: np.ndarray, lengths: np.ndarray, rows: int = ROWS) -> np.ndarray:
         """For sequences that lie end to end in ``cells``, the log probability of each place's cell. Every place is scored
         once, in a window where what comes before it is its context."""
-        out, bounded = np.zeros(len(cells), np.float32), self.bounded()
+        out, bounded, tables = np.zeros(len(cells), np.float32), self.bounded(), self.tables()
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
         before = np.concatenate(([START], cells[:-1]))
         before[starts[lengths > 0]] = START
@@ -234,7 +297,7 @@ class Attention:
                 inside = np.arange(width)[None, :] < size[some][:, None]
                 if not inside.all():
                     reach = np.where(inside, reach, reach[:, :1])
-                scores = self.log_probabilities(before[reach], cells[reach], kind, bounded)
+                scores = self.log_probabilities(before[reach], cells[reach], kind, bounded, tables)
                 fresh_inside = inside[:, kind:]
                 out[reach[:, kind:][fresh_inside]] = scores[fresh_inside]
         return out

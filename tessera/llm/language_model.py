@@ -129,12 +129,15 @@ def training_windows(train: DataFrame, encoder, size: int) -> DataFrame:
                 mixed = (keys[of_text] + nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
                 mixed ^= mixed >> np.uint64(29)
-                starts = (ends[text_ends - 1] - lengths)[of_text]
-                reach = nth[:, None] * WINDOW + np.arange(-1, WINDOW)
-                inside = (reach >= 0) & (reach < lengths[of_text, None])
-                made = np.where(inside, ids[np.minimum(starts[:, None] + reach, len(ids) - 1)], np.iinfo(kind).max).astype(kind)
+                # each text starts a window of its own: its subwords move up by what the windows before leave empty
+                firsts = np.cumsum(n) - n
+                held = np.full((len(of_text), WINDOW), np.iinfo(kind).max, kind)
+                held.reshape(-1)[np.arange(len(ids)) + np.repeat(firsts * WINDOW - (ends[text_ends - 1] - lengths), lengths)] = ids
+                made = np.empty((len(held), WINDOW + 1), kind)
+                made[:, 1:], made[1:, 0] = held, held[:-1, -1]
+                made[firsts, 0] = np.iinfo(kind).max
                 offsets = np.arange(len(made) + 1, dtype=np.int32) * made.shape[1] * made.itemsize
-                held = pa.Array.from_buffers(pa.binary(), len(made), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(made))])
+                held = pa.Array.from_buffers(pa.binary(), len(made), [None, pa.py_buffer(offsets), pa.py_buffer(made)])
                 yield pa.RecordBatch.from_arrays([pa.array((mixed % np.uint64(ROUNDS)).astype(np.int32)), held], names=["part", "ids"])
 
     return train.select("text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, "part int, ids binary")
@@ -148,37 +151,54 @@ def _kind(size: int) -> np.dtype:
 def _matrix(held: pa.Array, size: int) -> np.ndarray:
     """Windows' subwords, -1 for none."""
     kind = _kind(size)
-    found = np.frombuffer(b"".join(held.to_pylist()), kind).reshape(-1, WINDOW + 1).astype(np.int32)
+    if isinstance(held, pa.ChunkedArray):
+        held = held.combine_chunks()
+    held = held.cast(pa.large_binary())
+    row = (WINDOW + 1) * kind.itemsize
+    start = int(np.frombuffer(held.buffers()[1], np.int64)[held.offset]) if len(held) else 0
+    found = np.frombuffer(held.buffers()[2] or b"", np.uint8)[start : start + len(held) * row].view(kind).reshape(-1, WINDOW + 1).astype(np.int32)
     found[found == np.int64(np.iinfo(kind).max).astype(np.int32)] = -1
     return found
 
 
+def _ordered(found: np.ndarray, size: int) -> np.ndarray:
+    """The order of windows by their last subword, then the one before it and so on, a few subwords to a key."""
+    bits = 8 * _kind(size).itemsize
+    each = 64 // bits
+    found = np.pad(found + 1, ((0, 0), (-found.shape[1] % each, 0))).astype(np.uint64)
+    return np.lexsort(sum(found[:, i::each].T << np.uint64(i * bits) for i in range(each)))
+
+
 def neighbours(found: DataFrame, counts: np.ndarray) -> list[np.ndarray]:
     """Over all windows, how often each of the most frequent subwords has each of the very frequent ones right before it, right after it,
     and within a dozen places of it: sums of a fixed size, whatever the table's."""
     order = np.lexsort((np.arange(len(counts)), -counts))
     n, k, size = min(LIKENESS_IDS, len(counts)), min(NEIGHBOURS, len(counts)), len(counts) - 1
-    place = np.full(len(counts) + 1, n)  # -1, no subword, is the last
-    place[order[:n]] = np.arange(n)
-    place = found.sparkSession.sparkContext.broadcast(place)
+    # -1, no subword, is the last; a row and a column more take what is not counted, so that no pair has to be left out
+    places = [np.full(len(counts) + 1, most) for most in (n, k)]
+    for place, most in zip(places, (n, k)):
+        place[order[:most]] = np.arange(most)
+    places = found.sparkSession.sparkContext.broadcast((places[0] * (k + 1), places[1]))
 
     def blocks(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for b, held in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([held.astype("<i8").tobytes()], pa.binary())], names=["block", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, n * k), np.int64)
+        total = np.zeros((3, (n + 1) * (k + 1)), np.int64)
+        row, column = places.value
         for batch in batches:
-            at = place.value[_matrix(batch.column(0), size)]
-
-            def keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-                kept = (left < n) & (right < k)
-                return left[kept] * k + right[kept]
-
-            near = [keys(*x) for o in range(2, 12) for x in ((at[:, :-o], at[:, o:]), (at[:, o:], at[:, :-o]))]
-            for i, some in enumerate(([keys(at[:, 1:], at[:, :-1])], [keys(at[:, :-1], at[:, 1:])], near)):
-                total[i] += np.bincount(np.concatenate(some), minlength=n * k)
-        total = total.reshape(3, n, k)
+            ids = _matrix(batch.column(0), size)
+            left, right = row[ids], column[ids]
+            near = np.empty(2 * sum(left[:, o:].size for o in range(2, 12)), np.int64)
+            at = 0
+            for o in range(2, 12):
+                for a, b in ((left[:, :-o], right[:, o:]), (left[:, o:], right[:, :-o])):
+                    np.add(a, b, out=near[at : at + a.size].reshape(a.shape))
+                    at += a.size
+            for i, some in enumerate(((left[:, 1:] + right[:, :-1]).ravel(), (left[:, :-1] + right[:, 1:]).ravel(), near)):
+                total[i] += np.bincount(some, minlength=total.shape[1])
+        total = np.ascontiguousarray(total.reshape(3, n + 1, k + 1)[:, :n, :k])
         yield from blocks({b: total[:, b : b + BLOCK] for b in range(0, n, BLOCK) if total[:, b : b + BLOCK].any()})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +278,7 @@ def train(found: DataFrame, n: int, vocabulary: Vocabulary, counts: np.ndarray,
             if held:
                 mine = np.concatenate(held)
                 own = Attention(unflat(start.value))
-                own.learn(batches_of(mine[np.lexsort(mine.T)], cell_of.value, passes, r), rate)
+                own.learn(batches_of(mine[_ordered(mine, size)], cell_of.value, passes, r), rate)
                 yield row(TaskContext.get().partitionId() % 16, float(len(mine)), flat(own.p) * len(mine))
 
         kinds = "group int, n double, weights binary"

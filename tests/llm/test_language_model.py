@@ -154,3 +154,68 @@ def test_every_training_window_is_learnt_from(spark, make):
     before, after, _ = lm.neighbours(found, counts)
     pairs = sum(t for w, t in want.items() for a, b in zip(w, w[1:]) if a >= 0 and b >= 0)
     assert before.sum() == after.sum() == pairs  # no more than NEIGHBOURS subwords occur
+
+
+def test_a_step_of_learning_is_adam_in_place():
+    """Slopes go into the arrays that are given, and steps from them are those of Adam as it is written."""
+    _, model = made_model()
+    draw = np.random.default_rng(8)
+    batches = []
+    for _ in range(12):
+        inputs, targets = draw.integers(0, START, (2, 64, WINDOW))
+        batches.append((inputs, targets, draw.random((64, WINDOW)) < 0.9))
+    p = {k: a.copy() for k, a in model.p.items()}
+    m, v = ({k: np.zeros(a.shape) for k, a in p.items()} for _ in range(2))
+    for step, batch in enumerate(batches, 1):
+        held = {k: np.full_like(a, np.nan) for k, a in p.items()}
+        given = Attention(p).gradient(*batch, out=held)
+        assert all(given[k] is held[k] and np.isfinite(held[k]).all() for k in p)
+        for k, g in given.items():
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.99 * v[k] + 0.01 * g.astype(float) ** 2
+            rate = 0.01 * min(1.0, step / 10)
+            p[k] = (p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    before = {k: a.copy() for k, a in model.p.items()}
+    assert model.learn(iter(batches), 0.01) == 12
+    for k, a in model.p.items():
+        moved = np.abs(p[k] - before[k])
+        assert moved.max() > 0.01 and np.abs(a - p[k]).mean() < 0.02 * moved.mean(), k
+    assert len({id(a.base) for a in model.p.values()}) == 1
+
+
+def test_slopes_stay_finite_where_scores_lie_far_below_zero():
+    """Sums of exponentials that are small but not zero: their slopes are quotients of very small numbers."""
+    _, model = made_model()
+    for far in (75, 85, 95, 101):
+        p = {k: a.copy() for k, a in model.p.items()}
+        p["embed"][:, 0], p["place"][:, 0], p["q"][:], p["k"][:] = 1, 0, 0, 0
+        p["q"][0, 0], p["k"][0, 0] = -4 * far, 1
+        inputs = np.random.default_rng(4).integers(0, START, (20, 5))
+        slope = Attention(p).gradient(inputs, inputs, np.ones((20, 5)))
+        p["q"][0, 0] = 0  # all scores alike, which is the same attention
+        want = Attention(p).gradient(inputs, inputs, np.ones((20, 5)))
+        for name in ("v", "last", "embed", "out"):
+            at = slice(1, None) if name == "embed" else slice(None)
+            assert np.isfinite(slope[name]).all() and np.allclose(slope[name][..., at], want[name][..., at], atol=1e-4), (far, name)
+
+
+def test_neighbours_and_order_over_plain_loops(spark, make):
+    encoder = Encoder(open(PATH).read())
+    size = encoder.tokenizer.get_vocab_size()
+    rows = [(i, " ".join(f"{(i * j) % 1009}xyz" for j in range(i % 4 * 30))) for i in range(60)]
+    found = lm.training_windows(make(rows), spark.sparkContext.broadcast(encoder), size)
+    held = found.select("ids").toArrow().column("ids")
+    each = lm._matrix(held, size)
+    assert (lm._matrix(held.slice(3, 9), size) == each[3:12]).all() and len(lm._matrix(held.slice(0, 0), size)) == 0
+    assert (lm._ordered(each, size) == np.lexsort(each.T)).all()
+    counts = np.bincount(each[:, 1:][each[:, 1:] >= 0], minlength=size + 1).astype(float)
+    rank = {x: i for i, x in enumerate(sorted(range(size + 1), key=lambda x: (-counts[x], x)))}
+    want = Counter()
+    for window in each.tolist():
+        for i, a in enumerate(window):
+            for j, b in enumerate(window):
+                if a >= 0 and b >= 0 and i != j and abs(i - j) < 12:
+                    kind = 2 if abs(i - j) > 1 else int(j > i)
+                    want[kind, rank[a], rank[b]] += 1
+    got = np.stack(lm.neighbours(found, counts))
+    at = np.nonzero(got)
+    assert Counter(dict(zip(zip(*map(np.ndarray.tolist, at)), got[at].tolist()))) == Counter({x: n for x, n in want.items() if x[1] < lm.LIKENESS_IDS and x[2] < lm.NEIGHBOURS})
