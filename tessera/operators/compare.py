@@ -52,9 +52,10 @@ def diff_by_ranges(old: DataFrame, new: DataFrame, keys: list[str], ranges: int
 
 
 def tile_patch(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """What to do to each tile entry: ``keys`` with ``action`` add, replace or delete; both tables have a json column."""
-    met = old.select(*keys, F.col("json").alias("before")).join(new.select(*keys, F.col("json").alias("after")), keys, "full_outer")
-    action = F.when(F.col("before").isNull(), "add").when(F.col("after").isNull(), "delete").when(F.col("before") != F.col("after"), "replace")
+    """What to do to each tile entry: ``keys`` with ``action`` add, replace or delete; both tables have a json column, which may be null."""
+    was, now = old.select(*keys, F.col("json").alias("before"), F.lit(True).alias("was")), new.select(*keys, F.col("json").alias("after"), F.lit(True).alias("is"))
+    met = was.join(now, keys, "full_outer")
+    action = F.when(F.col("was").isNull(), "add").when(F.col("is").isNull(), "delete").when(~F.col("before").eqNullSafe(F.col("after")), "replace")
     return met.select(*keys, action.alias("action"), "after").filter("action is not null")
 
 

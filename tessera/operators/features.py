@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,15 +123,39 @@ def _counted(placed: DataFrame) -> DataFrame:
     return placed.withColumn("external", is_external(F.col("combined_id"), F.col("n_tiles"), F.col("json")))
 
 
-def tile_rows(placed: DataFrame) -> DataFrame:
-    """``(tile_pos, combined_id, json)``: the feature itself, or its reference where it is external, in every tile of its intervals; with
+def line_text() -> Column:
+    """What stands for a placed feature in its tiles: the feature itself, or its reference where it is external."""
+    return F.when(F.col("external"), reference(F.col("combined_id"))).otherwise(F.col("json"))
+
+
+def entry_text() -> Column:
+    """``line_text`` as a store's tiles keep it: a text that stands in several tiles is left to the table of features, and is null there."""
+    return F.when(F.col("n_tiles") == 1, line_text())
+
+
+def spread(placed: DataFrame, text: Column) -> DataFrame:
+    """A row of placed features for every tile, ``(tile_pos, combined_id, json)``, json being what ``text`` gives of the feature; with
     ``level`` before them where ``placed`` has it."""
     level = [c for c in placed.columns if c == "level"]
-    line = F.when(F.col("external"), reference(F.col("combined_id"))).otherwise(F.col("json"))
-    spans = placed.select(*level, F.explode("tiles").alias("t"), "combined_id", line.alias("json"))
+    # Spark drops the names of a struct's fields where a row is spread out beside it
+    spans = placed.select(*level, "tiles", "combined_id", text.alias("json")).select(*level, F.explode("tiles").alias("t"), "combined_id", "json")
     return spans.select(*level, F.explode(F.sequence("t.first", "t.last")).alias("tile_pos"), "combined_id", "json")
 
 
+def tile_rows(placed: DataFrame) -> DataFrame:
+    """``(tile_pos, combined_id, json)``: the feature itself, or its reference where it is external, in every tile of its intervals; with
+    ``level`` before them where ``placed`` has it."""
+    return spread(placed, line_text())
+
+
+def with_texts(entries: DataFrame, placed: DataFrame, of: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """A store's tiles as ``tile_rows`` again, the texts from the features that they were made of; ``of`` gives what is wanted of a text
+    (a digest, say), so that no more than that travels to a feature's tiles."""
+    shared = placed.filter("n_tiles > 1").select("level", "combined_id", of(line_text()).alias("_text"))
+    met = entries.join(shared, ["level", "combined_id"], "left")
+    return met.select("level", "tile_pos", "combined_id", F.coalesce(of(F.col("json")), "_text").alias("json"))
+
+
 def tile_documents(rows: DataFrame, collection: bool = False) -> DataFrame:
     """``(tile_pos, n, document)``: a tile's features in unsigned id order, one on each line, or as one feature collection.
 
@@ -156,9 +180,8 @@ def tile_digests(placed: DataFrame) -> DataFrame:
     A document may have more bytes than a task has memory, so none is put together. Features are gathered by ranges of ids; a
     range's tasks make pieces of documents, a batch of features at a time, and a tile's pieces, compressed, go through its digest in order.
     """
-    line = F.when(F.col("external"), reference(F.col("combined_id"))).otherwise(F.col("json"))
     high = (F.col("combined_id") < 0).alias("high")
-    rows = placed.select(F.shiftright("combined_id", PIECE_RANGE_BITS).alias("range"), high, "combined_id", line.alias("json"), F.transform("tiles", lambda t: t["first"]).alias("firsts"), F.transform("tiles", lambda t: t["last"]).alias("lasts"))
+    rows = placed.select(F.shiftright("combined_id", PIECE_RANGE_BITS).alias("range"), high, "combined_id", line_text().alias("json"), F.transform("tiles", lambda t: t["first"]).alias("firsts"), F.transform("tiles", lambda t: t["last"]).alias("lasts"))
     # in a task's order no range of another task lies inside a batch's ids unless the range changes there
     ordered = rows.repartition("range").sortWithinPartitions("high", "combined_id")
 
@@ -210,6 +233,5 @@ def tile_digests(placed: DataFrame) -> DataFrame:
 
 
 def tile(rows: DataFrame, x: int, y: int) -> DataFrame:
-    """One tile's document; the filter on the key reaches the scan of a table sorted by tile_pos."""
-    pos = ids.morton(F.lit(x), F.lit(y))
-    return tile_documents(rows.filter(F.col("tile_pos") == pos))
+    """One tile's rows; the filter on the key reaches the scan of a table sorted by tile_pos."""
+    return rows.filter(F.col("tile_pos") == ids.morton(F.lit(x), F.lit(y)))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids, tagrules
@@ -73,15 +74,17 @@ def simplified(made: DataFrame, level: int) -> DataFrame:
     return simple.filter("_line is not null or _shapes is not null")
 
 
-def geometry_tiles(made: DataFrame, level: int, areas: bool = True) -> DataFrame:
-    """``(combined_id, first, last)``: intervals of the tiles of each geometry; ``areas`` says that there
-    may be some."""
-    lines = tiling.line_tiles(made.filter("line is not null"), "combined_id", level=level)
-    lines = lines.select("combined_id", F.col("tile_pos").alias("first"), F.col("tile_pos").alias("last"))
+def geometry_features(made: DataFrame, level: int, areas: bool = True) -> DataFrame:
+    """``(combined_id, json, tiles, n_tiles, external)`` of each geometry; ``areas`` says that there may be some. A line's text and tiles
+    are made where the line is, so neither is shuffled."""
+    own = lambda geometry: features.feature(geometry, F.col("tags"), F.col("combined_id")).alias("json")
+    held = tiling.tiles_of_line(F.col("line"), level).alias("held")
+    lines = features.place_lists(made.filter("line is not null").select("combined_id", own(features.line_geometry(F.col("line"))), held))
     if not areas:
         return lines
-    each = made.filter("shapes is not null").select("combined_id", F.explode("shapes").alias("s")).select("combined_id", "s.outer", "s.inners")
-    return lines.union(tiling.polygon_intervals(each, "combined_id", level=level))
+    shaped = made.filter("shapes is not null")
+    each = shaped.select("combined_id", F.explode("shapes").alias("s")).select("combined_id", "s.outer", "s.inners")
+    return lines.union(features.place(shaped.select("combined_id", own(features.area_geometry(F.col("shapes")))), tiling.polygon_intervals(each, "combined_id", level=level)))
 
 
 def node_features(tables: dict[str, DataFrame], only: DataFrame | None = None) -> DataFrame:
@@ -110,9 +113,7 @@ def laid_out(made: DataFrame, levels: int) -> DataFrame:
             both = materialize(simplified(made, level), "simplified")
             made = both.drop("_line", "_shapes")
             simple = both.drop("line", "shapes").withColumnsRenamed({"_line": "line", "_shapes": "shapes"})
-        text = F.when(F.col("shapes").isNull(), features.line_geometry(F.col("line"))).otherwise(features.area_geometry(F.col("shapes")))
-        found = features.place(simple.select("combined_id", features.feature(text, F.col("tags"), F.col("combined_id")).alias("json")), geometry_tiles(simple, level, areas))
-        placed.append(found.withColumn("level", F.lit(level)))
+        placed.append(geometry_features(simple, level, areas).withColumn("level", F.lit(level)))
     return reduce(DataFrame.union, placed)
 
 
@@ -122,11 +123,20 @@ def tables_of(store: Store) -> dict[str, DataFrame]:
 
 def assemble_geometry(store: Store, levels: int = 1, nodes: bool = False, areas: bool = True) -> None:
     """Write the features of ``laid_out`` for everything in the store, and the tiles that they make; tagged nodes are among them only if
-    they are asked for, and areas unless they are not. An update keeps to both."""
+    they are asked for, and areas unless they are not. An update keeps to both.
+
+    A text that stands in several tiles is written once, with the feature, and not in each of them (``features.entry_text``):
+    ``tile_rows`` and ``tile`` give tiles with all their texts."""
     tables = tables_of(store)
     placed = laid_out(geometries(tables, areas=areas), levels)
     placed = materialize(placed.unionByName(node_features(tables)) if nodes else placed, "features")
-    store.commit({"features": placed, "tiles": features.tile_rows(placed)}, sort={"features": "combined_id", "tiles": ["level", "tile_pos"]}, levels=levels, nodes=nodes, areas=areas)
+    sort = {"features": "combined_id", "tiles": ["level", "tile_pos", "combined_id"]}
+    store.commit({"features": placed, "tiles": features.spread(placed, features.entry_text())}, sort=sort, levels=levels, nodes=nodes, areas=areas)
+
+
+def tile_rows(store: Store, of: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """``(level, tile_pos, combined_id, json)``: the store's tiles, every entry with its text or with ``of`` it."""
+    return features.with_texts(store.read("tiles"), store.read("features"), of)
 
 
 def average_point_density(store: Store) -> DataFrame:
@@ -136,8 +146,10 @@ def average_point_density(store: Store) -> DataFrame:
 
 
 def tile(store: Store, level: int, x: int, y: int) -> str:
-    """A tile's text, empty where nothing is."""
-    found = features.tile(store.read("tiles").filter(F.col("level") == level), x, y).select("document").first()
+    """A tile's text, empty where nothing is; the features of which it needs the texts are read by key."""
+    mine = features.tile(store.read("tiles").filter(F.col("level") == level), x, y)
+    near = elements.narrowed(store.read("features").filter(F.col("level") == level), "combined_id", mine.filter("json is null").select("combined_id"))
+    found = features.tile_documents(features.with_texts(mine, near)).select("document").first()
     return found[0] if found else ""
 
 
@@ -159,7 +171,8 @@ def compare_stores(one: Store, other: Store, tables: list[str] | None = None) ->
     """``(table_name, change, n)``: how many rows of each table were added, removed or changed from one store to the other; tables that
     one of them lacks are passed over."""
     both = [t for t in one.tables() if t in KEYS and t in other.tables() and t in (tables or KEYS)]
-    counts = [compare.diff_by_ranges(one.read(t), other.read(t).select(one.read(t).columns), KEYS[t]).groupBy("change").agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "change", "n") for t in both]
+    rows = lambda store, t: tile_rows(store) if t == "tiles" else store.read(t)
+    counts = [compare.diff_by_ranges(rows(one, t), rows(other, t).select(rows(one, t).columns), KEYS[t]).groupBy("change").agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "change", "n") for t in both]
     return reduce(DataFrame.union, counts)
 
 

@@ -105,7 +105,9 @@ def apply_changeset(store: Store, changes: DataFrame, sequence: int) -> None:
 def geometry_deltas(store: Store, tables: dict[str, DataFrame], made: dict[str, Delta], after: DataFrame) -> dict[str, Delta]:
     """What becomes of features and tiles: everything that refers to a touched element, before or after, is assembled again.
 
-    What a feature had in tiles is told by the feature, so the tiles are not read. Nodes are among them if the store has them in tiles.
+    What a feature had in tiles is told by the feature, so the tiles are not read. Nodes are among them if the store has them in tiles. The
+    entries of a text that differs are replaced in all its tiles, though a text that stands in several of them is the feature's: so the
+    delta of tiles tells every tile whose document is another.
     """
     edges = tables["refs"].select("ref", "referrer").union(made["refs"][1])
     seeds = after.select(ids.combined_id(F.col("type"), F.col("id")).alias("combined_id"))
@@ -116,10 +118,14 @@ def geometry_deltas(store: Store, tables: dict[str, DataFrame], made: dict[str,
     placed = materialize(placed.unionByName(build.node_features(now, affected)) if known.get("nodes") else placed, "features")
     old = materialize(elements.narrowed(tables["features"], "combined_id", affected, distinct=True).select(placed.columns), "features")
     keys = ["level", "tile_pos", "combined_id"]
-    patch = materialize(compare.tile_patch(features.tile_rows(old), features.tile_rows(placed), keys), "patch")
+    was, now = (t.select("level", "combined_id", features.line_text().alias(c)) for t, c in ((old, "was"), (placed, "now")))
+    turned = was.join(now, ["level", "combined_id"]).filter("was <> now").select("level", "combined_id", F.lit(True).alias("turned"))
+    entry = lambda turned: F.struct(F.coalesce(turned, F.lit(False)).alias("turned"), features.entry_text().alias("json"))
+    stood, stand = features.spread(old, entry(F.lit(False))), features.spread(placed.join(turned, ["level", "combined_id"], "left"), entry(F.col("turned")))
+    patch = materialize(compare.tile_patch(stood, stand, keys), "patch")
     other = materialize(compare.diff(old, placed, ["level", "combined_id"]).select("level", "combined_id"), "patch")
     return {
-        "tiles": (patch.select(*keys), patch.filter("action <> 'delete'").select(*keys, F.col("after").alias("json"))),
+        "tiles": (patch.select(*keys), patch.filter("action <> 'delete'").select(*keys, F.col("after.json").alias("json"))),
         "features": (other, placed.join(other, ["level", "combined_id"], "left_semi")),
     }
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.shared import located, storage
 
-FORMAT = 3
+FORMAT = 4
 #: Deltas of a table before they are made one, and their bytes for one byte of the base before it is written anew.
 DELTAS, SHARE = 8, 0.25
 

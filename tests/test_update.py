@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import changes as ch
-from tessera.operators import elements
+from tessera.operators import elements, features
 from tessera.plans import build, update
 from tessera.sources.store import Store
 from tessera.streaming import replication
@@ -206,3 +206,31 @@ def test_nodes_in_tiles_if_asked_for(spark, store):
     build.assemble_geometry(store, nodes=True)
     found = store.read("tiles").filter("combined_id BETWEEN 0 AND 100").collect()
     assert [(r.combined_id, r.level) for r in found] == [(1, 0)] and '"type":"Point"' in found[0].json
+
+
+def test_a_text_in_several_tiles_is_written_once(spark, store):
+    kept = {(r.combined_id, r.json) for r in store.read("tiles").collect()}
+    assert store.read("tiles").filter(F.col("combined_id") == W + 11).count() > 1 and {t for i, t in kept if i == W + 11} == {None}
+    places = store.read("tiles").select("level", "tile_pos", "combined_id")
+    before = rows(places)
+    changes = [change(5, 0, "modify", 1, 11, 2, {"highway": "y"}, [5, 6]), change(5, 1, "modify", 0, 6, 2, {"a": "b"}, x=20, y=30)]
+    update.apply_changeset(store, spark.createDataFrame(changes, ch.CHANGE), 5)
+    # its tiles stay as they are, and have the new text
+    assert rows(store.read("tiles").select(places.columns)) == before
+    whole = build.tile_rows(store)
+    assert rows(whole) == rows(features.tile_rows(store.read("features"))) and whole.filter("json is null").isEmpty()
+    assert '"highway":"y"' in build.tile(store, 0, 1, 1) and build.tile_rows(store, F.md5).filter("length(json) <> 32").isEmpty()
+    other = store.snapshot(f"{store.root}-other")
+    update.apply_changeset(other, spark.createDataFrame([change(6, 0, "modify", 1, 11, 3, {"highway": "z"}, [5, 6])], ch.CHANGE), 6)
+    found = {(r.table_name, r.change): r.n for r in build.compare_stores(store, other, ["tiles", "features"]).collect()}
+    assert found == {("features", "changed"): 1, ("tiles", "changed"): whole.filter(F.col("combined_id") == W + 11).count()}
+
+
+def test_a_text_goes_to_its_tile_and_back(spark, store, tmp_path):
+    """A line that comes to lie in one tile has its text there, and one that leaves it has it no more."""
+    update.apply_changeset(store, spark.createDataFrame([change(5, 0, "modify", 0, 5, 2, x=40, y=50)], ch.CHANGE), 5)
+    assert [r.json is None for r in store.read("tiles").filter(F.col("combined_id") == W + 11).collect()] == [False]
+    as_rebuilt(store, tmp_path)
+    update.apply_changeset(store, spark.createDataFrame([change(6, 0, "modify", 0, 5, 3, x=160_000, y=50)], ch.CHANGE), 6)
+    assert [r.json is None for r in store.read("tiles").filter(F.col("combined_id") == W + 11).collect()] == [True, True]
+    assert rows(build.tile_rows(store)) == rows(features.tile_rows(store.read("features")))
