@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import gzip
+from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,9 @@ from tessera.functions import coords, ids
 from tessera.sources import osc_stream
 from tessera.sources.shared import storage
 
+#: Places in a file of which one task makes pieces, as a power of two.
+CHANGES_BITS = 14
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -156,25 +163,42 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_feed(changes: DataFrame, folder: str) -> int:
-    """Write changes of nodes as a replication folder, a changeset file for each number from the least to the greatest; gives the least."""
+    """Write changes of nodes as a replication folder, a changeset file for each number from the least to the greatest; gives the least.
+
+    A changeset may have more text than a task has memory: ranges of changes make compressed pieces, some changes at a time, and a file
+    is its pieces one after the other, each a member of gzip's.
+    """
     text = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
     time = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     at = F.when(F.col("op") != "delete", F.concat(F.lit(' lon="'), coords.text(F.col("x")), F.lit('" lat="'), coords.text(F.col("y")), F.lit('"'))).otherwise("")
     tags = F.array_join(F.transform(F.map_entries("tags"), lambda t: F.concat(F.lit('<tag k="'), text(t["key"]), F.lit('" v="'), text(t["value"]), F.lit('"/>'))), "")
     node = F.format_string('<%s><node id="%d" version="%d" timestamp="%s"%s>%s</node></%s>', "op", "id", "version", time, at, tags, "op")
-    days = changes.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("ord", node.alias("text")))).alias("held"))
     first, last = changes.agg(F.min("seq"), F.max("seq")).first()
-    each = changes.sparkSession.range(first, last + 1).join(days, F.col("id") == F.col("seq"), "left")
-    document = F.concat(F.lit('<osmChange version="0.6">'), F.coalesce(F.array_join("held.text", ""), F.lit("")), F.lit("</osmChange>"))
+    block = F.shiftright("ord", CHANGES_BITS).alias("block")
+    # a task's order has gaps between blocks of places in the file, where those of other tasks lie, and none inside
+    ordered = changes.select("seq", block, "ord", node.alias("text")).repartition("seq", "block").sortWithinPartitions("seq", "ord")
+
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turns = np.diff(batch.column("seq").to_numpy()) | np.diff(batch.column("block").to_numpy())
+            bounds = [0, *(np.flatnonzero(turns) + 1).tolist(), batch.num_rows]
+            parts = [batch.slice(a, b - a) for a, b in zip(bounds, bounds[1:]) if b > a]
+            pieces = [gzip.compress("".join(p.column("text").to_pylist()).encode(), 6) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([p.column(c)[0].as_py() for p in parts], pa.int64()) for c in ("seq", "ord")] + [pa.array(pieces, pa.binary())], names=["seq", "ord", "piece"])
 
     def write(rows) -> None:
-        for row in rows:
-            fs, path = storage(f"{folder}/{osc_stream.changeset_path(row.id)}")
+        for number, pieces in groupby(rows, lambda row: row.seq):
+            fs, path = storage(f"{folder}/{osc_stream.changeset_path(number)}")
             fs.create_dir(path.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(path, compression=None) as out:
-                out.write(gzip.compress(row.document.encode()))
-
-    each.select("id", document.alias("document")).foreachPartition(write)
+                for row in pieces:
+                    out.write(row.piece)
+
+    # a file's first piece and its last one, which changesets without changes have too
+    every = changes.sparkSession.range(first, last + 1)
+    ends = [every.select(F.col("id").alias("seq"), F.lit(at).cast("long").alias("ord"), F.lit(gzip.compress(text)).alias("piece")) for at, text in ((None, b'<osmChange version="0.6">'), (2**63 - 1, b"</osmChange>"))]
+    pieces = ordered.mapInArrow(compressed, "seq long, ord long, piece binary").union(ends[0]).union(ends[1])
+    pieces.repartition("seq").sortWithinPartitions("seq", F.asc_nulls_first("ord")).foreachPartition(write)
     fs, path = storage(folder)
     with fs.open_output_stream(f"{path}/state.txt") as out:
         out.write(f"sequenceNumber={last}\n".encode())

@@ -74,10 +74,7 @@ def follow(spark: SparkSession, store: Store, source: str, checkpoint: str, once
     trigger = {"availableNow": True} if once else {"processingTime": every}
 
     def step(batch: DataFrame, _: int) -> None:
-        held = batch.persist()
-        try:
-            advance(store, held)
-        finally:
-            held.unpersist()
+        # written and not persisted: each changeset is read by its number, and a batch of many takes no executor's memory
+        advance(store, materialize(batch, "batch"))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()

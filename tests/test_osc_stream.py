@@ -3,6 +3,7 @@
 import gzip
 import io
 import os
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,35 @@ def test_written_feeds_hold_every_day(spark, tmp_path):
     kept = ["seq", "op", "type", "id", "version", "ts", "tags"]
     assert sorted(map(str, got.select(kept).collect())) == sorted(map(str, made.select(kept).collect()))
     assert got.filter("op <> 'delete'").select(F.sum("x"), F.sum("y")).first() == made.filter("op <> 'delete'").select(F.sum("x"), F.sum("y")).first()
+
+
+def test_a_feeds_files_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    """A changeset's file is put together of pieces in their order, and none of them holds the changeset."""
+    from tessera.plans import standin
+
+    monkeypatch.setattr(standin, "CHANGES_BITS", 3)
+    made = spark.range(0, 100, 1, 7).repartition(5).select(
+        F.when(F.col("id") < 90, 5).otherwise(8).cast("long").alias("seq"), F.col("id").alias("ord"), F.lit("create").alias("op"), F.lit(0).alias("type"), (F.col("id") * 7).alias("id"),
+        F.lit(1).alias("version"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.create_map(F.lit("k"), F.lit("<&")).alias("tags"), F.lit(1).alias("x"), F.lit(2).alias("y"),
+    )
+    assert standin.write_feed(made, str(tmp_path / "feed")) == 5
+    held = {i: (tmp_path / "feed" / osc_stream.changeset_path(i)).read_bytes() for i in range(5, 9)}
+    assert gzip.decompress(held[6]) == gzip.decompress(held[7]) == b'<osmChange version="0.6"></osmChange>'
+    for i, ids in ((5, range(0, 90)), (8, range(90, 100))):
+        assert [r[4] for r in osc_stream.rows_of(io.BytesIO(gzip.decompress(held[i])), i)] == [k * 7 for k in ids]
+    members, rest = 0, held[5]
+    while rest:
+        one = zlib.decompressobj(31)
+        assert one.decompress(rest).count(b"<create>") <= 8
+        members, rest = members + 1, one.unused_data
+    assert members == 14
+
+
+def test_a_batch_is_not_held_by_executors(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(replication, "advance", lambda store, batch: seen.append((batch.is_cached, batch.count())))
+    store = Store(spark, str(tmp_path / "store"))
+    store.set_properties(sequence=0)
+    put(tmp_path / "feed", 1, NODE.format(op="create", i=1, v=1))
+    replication.follow(spark, store, str(tmp_path / "feed"), str(tmp_path / "followed"), feed="osmchange").awaitTermination()
+    assert seen == [(False, 1)]
